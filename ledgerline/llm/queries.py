@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import id_shards, packing, pieces, telephony, token_counts
+from ledgerline.llm import id_shards, nearest, packing, pieces, quality, telephony, token_counts
 from ledgerline.llm.common import table
 
 
@@ -16,10 +17,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.stored_text_media(table(spark, sf_dir, "documents"))
 
@@ -37,7 +46,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_media, op6_packing, op7_id_shards, op10_pieces)}
+    return {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_quality, op4_media, op6_packing, op7_id_shards, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
