@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import id_shards, nearest, packing, pieces, quality, telephony, token_counts
+from ledgerline.llm import id_shards, nearest, packing, pieces, quality, shingle_join, telephony, token_counts
 from ledgerline.llm.common import table
 
 
@@ -41,12 +41,16 @@ def op7_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_shards.stored_ids(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.shingle_join(table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_quality, op4_media, op6_packing, op7_id_shards, op10_pieces)}
+    return {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_quality, op4_media, op6_packing, op7_id_shards, op8_shingle_join, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
