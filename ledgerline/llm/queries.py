@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import id_shards, nearest, packing, pieces, quality, shingle_join, telephony, token_counts
+from ledgerline.llm import id_shards, nearest, packing, pieces, quality, repeats, shingle_join, telephony, token_counts
 from ledgerline.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.stored_text_media(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -50,7 +54,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_quality, op4_media, op6_packing, op7_id_shards, op8_shingle_join, op10_pieces)}
+    return {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_quality, op4_media, op5_repeats, op6_packing, op7_id_shards, op8_shingle_join, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
