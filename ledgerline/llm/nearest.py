@@ -19,7 +19,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES, PROBES, CHUNK = 16, 8, 32_768
+from ledgerline.llm.common import cut
+
+TABLES, PROBES, CHUNK = 16, 8, 4_096
+#: Neighbouring axes that one task takes together.
+AXES = 16
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -87,21 +91,22 @@ def nearest_in_chunk(k: int, block: int = 1 << 22):
 
     def run(index, queries):
         found = []
-        if len(index) and len(queries):
-            x = np.frombuffer(b"".join(index["vec"]), np.float64).reshape(len(index), -1)
-            q = np.frombuffer(b"".join(queries["vec"]), np.float64).reshape(len(queries), -1)
-            ids, own = index["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+        for axis in np.intersect1d(index["axis"], queries["axis"]):
+            own, asked = index[index["axis"] == axis], queries[queries["axis"] == axis]
+            x, q = (np.frombuffer(b"".join(f["vec"]), np.float64).reshape(len(f), -1) for f in (own, asked))
+            ids = own["vec_id"].to_numpy()
             step = max(1, block // max(1, x.size))
             for i in range(0, len(q), step):
                 with np.errstate(over="ignore"):
                     gap = np.sqrt(((x[None] - q[i : i + step, None]) ** 2).sum(axis=2))
-                for row, query in zip(gap, own[i : i + step], strict=True):
+                for row, query in zip(gap, asked["vec_id"].to_numpy()[i : i + step], strict=True):
                     near = np.nonzero(ids != query)[0]
                     if len(near) > k:
                         near = near[row[near] <= np.partition(row[near], k - 1)[k - 1]]
                     near = near[np.lexsort((ids[near], row[near]))][:k]
-                    found.append(pd.DataFrame({"query_id": query, "vec_id": ids[near], "score": row[near]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64").astype({"score": "float64"})
+                    found.append((np.full(len(near), query), ids[near], row[near]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
     return run
 
@@ -111,12 +116,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     good = usable(vectors)
     index = hashed(good, tables, 1)
     # At most tables * 2 * dim rows for each dimension; a chunk for each so many vectors of a bucket.
-    chunks = index.groupBy("dim", "table", "axis").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     key = ["dim", "table", "axis"]
-    dealt = index.join(chunks, key).withColumn("chunk", F.pmod(F.xxhash64("vec_id", "vec"), F.col("chunks")).cast("int"))
-    asked = hashed(good.where(is_query), tables, probes).join(chunks, key).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    key = [*key, "chunk"]
-    found = dealt.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(nearest_in_chunk(k), "query_id long, vec_id long, score double")
+    chunks = cut(index.groupBy(key).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")))
+    dealt = index.join(chunks, key).select(*key, F.pmod(F.xxhash64("vec_id", "vec"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "vec")
+    asked = hashed(good.where(is_query), tables, probes).join(chunks, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "vec")
+    group = lambda df: df.toDF("dim", "table", "axis", "chunk", "vec_id", "vec").groupBy("dim", "table", F.floor(F.col("axis") / AXES), "chunk")
+    found = group(dealt).cogroup(group(asked)).applyInPandas(nearest_in_chunk(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

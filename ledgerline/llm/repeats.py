@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.llm.common import Rolling, cut, mixed, text_bytes, text_slices, written
 
@@ -90,7 +91,7 @@ def runs(docs: DataFrame, threshold: int = THRESHOLD, span: int = SPAN) -> DataF
 
 
 def single_windows(texts: DataFrame, threshold: int) -> DataFrame:
-    """key, start, window, digit of every window of the listed runs of (key, doc_id, text, runs)."""
+    """key, start, window, digit of every window of the listed runs of (key, own, text, runs)."""
 
     def run(batches):
         for b in batches:
@@ -109,7 +110,7 @@ def single_windows(texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def kept(texts: DataFrame, threshold: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of (key, doc_id, text, runs); runs may be null."""
+    """own, n_bytes, n_removed, n_spans, kept_sha256, kept of (key, own, text, runs); runs may be null."""
 
     def run(batches):
         for b in batches:
@@ -128,15 +129,16 @@ def kept(texts: DataFrame, threshold: int) -> DataFrame:
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 rows.append((n, n - len(rest), spans, hashlib.sha256(rest).hexdigest(), rest))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["own", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = T.StructType([texts.schema["own"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
+    return texts.mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, span: int = SPAN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every row of docs (doc_id, text)."""
+def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, span: int = SPAN, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every row of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long"), text.alias("text"))
+    docs = docs.select(F.xxhash64("doc_id", text, *carry).alias("key"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), *carry).alias("own"), text.alias("text"))
     every = runs(docs, threshold, span)
     several = every.groupBy("digit").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1").select("digit", (F.col("least") != F.col("most")).alias("differ"))
     found = written(every.join(several, "digit"), "runs")
@@ -147,9 +149,9 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, span: int = SPA
     alike = alike.select("key", "start", "windows").unionByName(differ.join(contexts.where("n > 1").select("digit", "context"), ["digit", "context"]).select("key", "start", "windows"))
 
     asked = contexts.select("one.*", "digit").groupBy("key").agg(F.collect_list(F.struct("start", "windows", "digit")).alias("runs"))
-    single = single_windows(docs.join(asked, "key").select("key", "doc_id", "text", "runs"), threshold)
+    single = single_windows(docs.join(asked, "key").select("key", "own", "text", "runs"), threshold)
     often = single.groupBy("window", "digit").count().where("count > 1").select("window", "digit")
     single = single.join(often, ["window", "digit"]).select("key", "start", F.lit(1).alias("windows"))
 
     gone = alike.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
-    return kept(docs.join(gone, "key", "left").select("key", "doc_id", "text", "runs"), threshold)
+    return kept(docs.join(gone, "key", "left").select("key", "own", "text", "runs"), threshold).select("own.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

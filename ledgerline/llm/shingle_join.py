@@ -227,10 +227,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("sig"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("sig"), F.col("v").alias("comp")).distinct())
 
 
-def shingle_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of docs (doc_id, text)."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """key (of the row's id and text), doc_id, text."""
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long"), text.alias("text"))
+    return docs.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long"), text.alias("text"))
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """key, doc_id, n, comp (null for empty sets) of every row of docs (key, doc_id, text)."""
     found = written(survey(docs), "shingles")
     rows = found.where("sig is not null").select("key", "doc_id", "n", "sig", "bins")
     frequent = found.where("hash is not null").groupBy("hash").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "hash").limit(FREQUENT)
@@ -250,7 +254,24 @@ def shingle_join(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         comps = cut(components(links.unionByName(more)))
 
-    named = rows.select("doc_id", "n", "sig").join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component"))
-    out = named.join(least, "comp", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = rows.select("key", "doc_id", "n", "sig").join(comps, "sig", "left")
+    return named.select("key", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "sig")).alias("comp"))
+
+
+def shingle_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of docs (doc_id, text)."""
+    rows = joined(keyed(docs))
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component"))
+    out = rows.join(least, "comp", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("comp").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs (any columns besides doc_id and text) that stay: of each component the one of the smallest doc_id, once; rows without words all stay."""
+    text = F.coalesce("text", F.lit(""))
+    rows = cut(joined(keyed(docs)))
+    first = F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    stays = rows.where("comp is not null").groupBy("comp").agg(first.alias("key_")).select("key_", F.lit(True).alias("once_")).unionByName(rows.where("comp is null").select(F.col("key").alias("key_"), F.lit(False).alias("once_")).distinct())
+    kept = docs.withColumn("key_", F.xxhash64("doc_id", text)).join(stays, "key_")
+    place = F.row_number().over(Window.partitionBy("key_").orderBy("doc_id"))
+    return kept.withColumn("place_", place).where("place_ = 1 or not once_").select(docs.columns)
