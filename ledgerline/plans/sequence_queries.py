@@ -130,11 +130,11 @@ def pool_accumulate(spark, sf_dir):
 @query(
     f"""{STATES}, p AS (SELECT a.id, b.object % 4 AS v, b.reading AS s FROM st a JOIN st b ON b.game = a.game AND b.seq BETWEEN a.seq - 4 AND a.seq),
 g AS (SELECT id, v, sum(s) AS total, count(*) AS n FROM p GROUP BY 1, 2), t AS (SELECT id, count(*) AS m FROM p GROUP BY 1)
-SELECT id, first(v ORDER BY round(total, 6) DESC, n DESC, v) AS agreed, round(first(0.55 * total / n + 0.45 * n / m ORDER BY round(total, 6) DESC, n DESC, v), 3) AS confidence FROM g JOIN t USING (id) GROUP BY id"""
+SELECT id, first(v ORDER BY round(total, 6) DESC, n DESC, v) AS agreed, round(first(0.55 * total / n + 0.45 * n / m ORDER BY round(total, 6) DESC, n DESC, v) + 1e-9, 4) AS confidence FROM g JOIN t USING (id) GROUP BY id"""
 )
 def rolling_consensus(spark, sf_dir):
     df = states(spark, sf_dir).withColumn("v", F.col("object") % 4)
-    return S.consensus(df, ["game"], ["seq"], "v", "reading").select("id", "agreed", F.round("confidence", 3).alias("confidence"))
+    return S.consensus(df, ["game"], ["seq"], "v", "reading").select("id", "agreed", F.round(F.col("confidence") + 1e-9, 4).alias("confidence"))
 
 
 @query(f"{STATES} SELECT game, zone, round(sum(d), 6) AS delta FROM (SELECT game, zone, reading - lag(reading) OVER (PARTITION BY game ORDER BY seq) AS d FROM st) GROUP BY 1, 2")
