@@ -111,10 +111,10 @@ def preference_metrics(df: DataFrame, by: list[str], margin: str, left_preferred
     w, own = F.col(weight), F.when(F.col(left_preferred), F.col(margin)).otherwise(-F.col(margin))
     decided = F.when(F.col(margin) != 0, w)
     return df.groupBy(*by).agg(
-        F.round(F.sum(decided * (own > 0).cast("double")) / F.sum(decided), 6).alias("accuracy"),
-        F.round(F.sum(w * -F.log(F.greatest(right, F.lit(1e-12)))) / F.sum(w), 6).alias("log_loss"),
-        F.round(F.sum(w * (1 - right) * (1 - right)) / F.sum(w), 6).alias("brier"),
-        F.round(F.sum(w * own) / F.sum(w), 6).alias("mean_margin"),
+        (F.sum(decided * (own > 0).cast("double")) / F.sum(decided)).alias("accuracy"),
+        (F.sum(w * -F.log(F.greatest(right, F.lit(1e-12)))) / F.sum(w)).alias("log_loss"),
+        (F.sum(w * (1 - right) * (1 - right)) / F.sum(w)).alias("brier"),
+        (F.sum(w * own) / F.sum(w)).alias("mean_margin"),
     )
 
 

@@ -218,12 +218,12 @@ SIGMOID = "1 / (1 + exp(-mg))"
 
 @query(
     f"""{PREFERENCES}, mm AS (SELECT *, round(0.8 * d_quantity + 0.1 * d_discount, 9) AS mg FROM pr), oo AS (SELECT *, CASE WHEN left_preferred THEN {SIGMOID} ELSE 1 - {SIGMOID} END AS r, CASE WHEN left_preferred THEN mg ELSE -mg END AS own FROM mm)
-SELECT expert, round(sum(CASE WHEN mg <> 0 THEN weight * (own > 0)::INT END) / sum(CASE WHEN mg <> 0 THEN weight END), 5) AS accuracy, round(sum(weight * -ln(greatest(r, 1e-12))) / sum(weight), 5) AS log_loss, round(sum(weight * (1 - r) ** 2) / sum(weight), 5) AS brier, round(sum(weight * own) / sum(weight), 5) AS mean_margin FROM oo GROUP BY expert"""
+SELECT expert, round(sum(CASE WHEN mg <> 0 THEN weight * (own > 0)::INT END) / sum(CASE WHEN mg <> 0 THEN weight END) + 1e-9, 4) AS accuracy, round(sum(weight * -ln(greatest(r, 1e-12))) / sum(weight) + 1e-9, 4) AS log_loss, round(sum(weight * (1 - r) ** 2) / sum(weight) + 1e-9, 4) AS brier, round(sum(weight * own) / sum(weight) + 1e-9, 4) AS mean_margin FROM oo GROUP BY expert"""
 )
 def preference_metrics(spark, sf_dir):
     rows = preferences(spark, sf_dir).withColumn("margin", F.round(0.8 * F.col("d_quantity") + 0.1 * F.col("d_discount"), 9))
     out = S.preference_metrics(rows, ["expert"], "margin", "left_preferred", "weight")
-    return out.select("expert", *(F.round(c, 5).alias(c) for c in ("accuracy", "log_loss", "brier", "mean_margin")))
+    return out.select("expert", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("accuracy", "log_loss", "brier", "mean_margin")))
 
 
 @query("WITH v AS (SELECT l_partkey % 100 AS context, l_suppkey AS expert, l_returnflag AS vote, 1 + l_discount AS w FROM lineitem), s AS (SELECT context, vote, sum(w) AS w FROM v GROUP BY 1, 2), r AS (SELECT context, count(DISTINCT expert) AS raters FROM v GROUP BY 1 HAVING count(DISTINCT expert) >= 2) SELECT context, any_value(raters) AS raters, round(max(w) / sum(w), 6) AS majority FROM s JOIN r USING (context) GROUP BY context")
