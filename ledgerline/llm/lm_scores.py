@@ -18,6 +18,8 @@ n-gram has one entry for each bucket, however frequent; hashes have 48 bits.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import Rolling, mixed, text_bytes, text_slices
 
 BACKOFF = 0.4
-BUCKET_BYTES, PARTITION_BYTES = 24 << 20, 24 << 20
+BUCKET_BYTES, PARTITION_BYTES = 12 << 20, 12 << 20
 STEP = 0xD6E8FEB86659FD93
 BITS = 48
 
@@ -83,21 +85,49 @@ def cuts(parts: int) -> np.ndarray:
     return np.array([-(-(p << BITS) // parts) for p in range(parts + 1)], np.uint64)
 
 
+def pack_small(values: np.ndarray) -> bytes:
+    """Whole numbers of which most are small: one byte each, compressed; those of 255 and over by place."""
+    large = np.nonzero(values >= 255)[0]
+    small = zlib.compress(np.minimum(values, 255).astype(np.uint8).tobytes(), 1)
+    return np.array([len(small), len(large)], "<u4").tobytes() + small + large.astype("<u4").tobytes() + values[large].astype("<i8").tobytes()
+
+
+def unpack_small(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """(values, where they end)."""
+    size, large = np.frombuffer(data, "<u4", 2, at).tolist()
+    at += 8
+    values = np.frombuffer(zlib.decompress(data[at : at + size]), np.uint8).astype(np.int64)
+    place = np.frombuffer(data, "<u4", large, at + size)
+    values[place] = np.frombuffer(data, "<i8", large, at + size + 4 * large)
+    return values, at + size + 12 * large
+
+
 def pack_block(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted hashes as 32 low bits each and the sizes of runs with equal high bits; counts other than 1 by place."""
-    high, sizes = np.unique((hashes >> np.uint64(32)).astype("<u4"), return_counts=True)
-    more = np.nonzero(counts != 1)[0]
-    head = np.array([len(hashes), len(high), len(more)], "<u4")
-    return b"".join(x.tobytes() for x in (head, high, sizes.astype("<u4"), (hashes & np.uint64(0xFFFFFFFF)).astype("<u4"), more.astype("<u4"), counts[more].astype("<i8")))
+    """Sorted hashes: steps of the high bits and 24 low bits each; then the counts."""
+    high = np.diff((hashes >> np.uint64(24)).astype(np.int64), prepend=0)
+    low = (hashes & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return pack_small(high) + pack_small(counts) + low.tobytes()
 
 
 def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, runs, more = np.frombuffer(data, "<u4", 3).tolist()
-    at = 12
-    high, sizes, low, place = (np.frombuffer(data, "<u4", k, at + 4 * b) for k, b in ((runs, 0), (runs, runs), (n, 2 * runs), (more, 2 * runs + n)))
-    counts = np.ones(n, np.int64)
-    counts[place] = np.frombuffer(data, "<i8", more, at + 4 * (2 * runs + n + more))
-    return (np.repeat(high.astype(np.uint64) << np.uint64(32), sizes)) | low.astype(np.uint64), counts
+    high, at = unpack_small(data, 0)
+    counts, at = unpack_small(data, at)
+    low = np.zeros((len(high), 4), np.uint8)
+    low[:, :3] = np.frombuffer(data, np.uint8, 3 * len(high), at).reshape(-1, 3)
+    return (np.cumsum(high).astype(np.uint64) << np.uint64(24)) | low.view("<u4").ravel().astype(np.uint64), counts
+
+
+def pack_answer(outside: np.ndarray) -> bytes:
+    """Counts in the order of the block that asked: a bit for each that is not 0, then those."""
+    hit = outside != 0
+    return pack_small(outside[hit]) + np.packbits(hit).tobytes()
+
+
+def unpack_answer(data: bytes, n: int) -> np.ndarray:
+    values, at = unpack_small(data, 0)
+    out = np.zeros(n, np.int64)
+    out[np.unpackbits(np.frombuffer(data, np.uint8, -1, at), count=n).astype(bool)] = values
+    return out
 
 
 def own_counts(docs: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -163,18 +193,16 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         outside -= counts
         made, at = [], 0
         for h, _ in blocks:
-            own = outside[at : at + len(h)]
-            hit = np.nonzero(own)[0]
-            made.append(pack_block(h[hit], own[hit]))
+            made.append(pack_answer(outside[at : at + len(h)]))
             at += len(h)
-        return pa.table({"bucket": rows["bucket"], "block": pa.array(made, pa.binary())})
+        return pa.table({"bucket": rows["bucket"], "part": rows["part"], "block": pa.array(made, pa.binary())})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         words, bounds = word_hashes(rows["text"])
         hashes, totals = table_of(words, bounds)
-        for block in answers["block"].to_pylist():
-            found, outside = unpack_block(block)
-            totals[np.searchsorted(hashes, found)] += outside
+        at = np.searchsorted(hashes, cuts(parts)).tolist()
+        for part, block in zip(answers["part"].to_pylist(), answers["block"].to_pylist(), strict=True):
+            totals[at[part] : at[part + 1]] += unpack_answer(block, at[part + 1] - at[part])
         n = np.diff(bounds)
         sums = document_scores(words, bounds, hashes, totals)
         with np.errstate(invalid="ignore"):
@@ -182,5 +210,5 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(n, pa.int64()), "log_score": pa.array(sums + 0.0, pa.float64()), "mean_log_score": mean})
 
     blocks = dealt.groupBy("bucket").applyInArrow(count, "bucket int, part int, block binary")
-    answers = blocks.groupBy("part").applyInArrow(answer, "bucket int, block binary")
+    answers = blocks.groupBy("part").applyInArrow(answer, "bucket int, part int, block binary")
     return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
