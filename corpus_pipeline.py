@@ -30,7 +30,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: repeated strings of 400 bytes go; what is left of a text is its text, and bytes that no longer form UTF-8 are replaced.  Emptied documents go."""
     left = repeats.without_repeats(docs, carry=("lang", "source")).where("n_removed = 0 or n_removed < n_bytes")
-    text = F.decode(F.col("kept"), "UTF-8")
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
     return left.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
