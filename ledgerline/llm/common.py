@@ -60,6 +60,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bits of a key filter (2 MB of masks): its size never depends on the data.
+FILTER_BITS = 1 << 24
+
+
+def key_bits(keys: DataFrame) -> DataFrame:
+    """A filter of the 64-bit hashes in column key: at most FILTER_BITS / 64 rows (word_, mask_)."""
+    bit = F.pmod("key", F.lit(FILTER_BITS))
+    masks = keys.select(F.shiftright(bit, 6).alias("word_"), F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) & 63 as int))").alias("bit_"))
+    return cut(masks.groupBy("word_").agg(F.bit_or("bit_").alias("mask_")))
+
+
+def may_hold(df: DataFrame, bits: DataFrame) -> DataFrame:
+    """df with column held_: false only if its key is not among those of the filter.  Nothing is shuffled."""
+    word = F.shiftright(F.pmod("key", F.lit(FILTER_BITS)), 6)
+    hit = F.expr(f"coalesce(mask_ & shiftleft(1L, cast(pmod(key, {FILTER_BITS}) & 63 as int)), 0L) <> 0")
+    return df.join(F.broadcast(bits), word == F.col("word_"), "left").withColumn("held_", hit).drop("word_", "mask_")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path, on whichever file system it lies."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -71,6 +89,22 @@ def whole_text(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+_memo: dict = {}
+
+
+def remembered(key, make):
+    """A worker's one memo, kept between tasks; another key drops it, so that operators in turn don't add up."""
+    if key not in _memo:
+        _memo.clear()
+        _memo[key] = make()
+    return _memo[key]
+
+
+def forget() -> None:
+    """Drop the worker's memo: for tasks that need the memory and have none."""
+    _memo.clear()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes (in place)."""
     h ^= h >> np.uint64(30)
@@ -125,7 +159,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_slices(column, most: int = 4 << 20):
+def text_slices(column, most: int = 1 << 20):
     """Arrow string array -> slices (first row, array) of about so many bytes; one long text is a slice of its own."""
     if hasattr(column, "combine_chunks"):
         column = column.combine_chunks()

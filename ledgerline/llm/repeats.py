@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import Rolling, cut, mixed, text_bytes, text_slices, written
+from ledgerline.llm.common import Rolling, cut, forget, mixed, text_bytes, text_slices, written
 
 THRESHOLD, SPAN = 400, 128
 SALT = 0xA24BAED4963EE407
@@ -78,6 +78,7 @@ def runs(docs: DataFrame, threshold: int = THRESHOLD, span: int = SPAN) -> DataF
     """key, start, windows, digit, context of every run of (key, text)."""
 
     def run(batches):
+        forget()
         for b in batches:
             keys = b.column(0).to_numpy()
             for first, part in text_slices(b.column(1)):

@@ -8,9 +8,10 @@ result.  Linked sets share a shingle of their prefixes; nodes meet on those shin
 Pairs go through length, positional and suffix filters and are verified once, on texts:
 
 1. along chains and hubs of each prefix shingle, each node with its most shared partners;
-2. among nodes of one shingle that the links of 1 leave in different components: every
-   pair that the filters admit.  Links within a component would not change it, so large
-   groups of copies are never expanded into pairs.
+2. among nodes of one shingle that the links of 1 leave in different components: the likeliest
+   pair of each two components, then every pair that the filters admit and that is still
+   apart.  Links within a component would not change it, so large groups of copies are
+   never expanded into pairs.
 
 Null texts and texts without words have an empty set: no links, their own component.  Rows
 that repeat are copies.  A row without doc_id takes part, and its component is the
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import Rolling, cut, mixed, text_bytes, text_slices, written
+from ledgerline.llm.common import Rolling, cut, forget, key_bits, may_hold, mixed, text_bytes, text_slices, written
 
 WORDS = 5
-#: Shingles ordered last at most (the order only), and the count in one slice of text that makes a shingle known as frequent.
-FREQUENT, SEEN = 1 << 16, 4
+#: Shingles ordered last at most (the order only); the count among so many shingles of a task that makes one known as frequent.
+FREQUENT, SEEN, SLICE = 1 << 16, 4, 600_000
 STEP = 0xD6E8FEB86659FD93
-BINS = 64
+BINS = 256
 
 
 def shingle_sets(column) -> list[np.ndarray]:
@@ -85,25 +86,31 @@ def prefix_length(n: int) -> int:
 def survey(docs: DataFrame) -> DataFrame:
     """One row for each text (key, doc_id, n, sig, bins), and rows (hash, seen) of shingles found often in a slice."""
 
+    names = ["key", "doc_id", "n", "sig", "bins", "hash", "seen"]
+
+    def often(sets):
+        found, times = np.unique(np.concatenate(sets), return_counts=True)
+        found, times = found[times >= SEEN], times[times >= SEEN]
+        missing = [pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*missing, pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], names)
+
     def run(batches):
+        forget()
+        waiting, size = [], 0
         for b in batches:
             for first, part in text_slices(b.column(2)):
                 sets = shingle_sets(part)
-                n = np.array([len(s) for s in sets], np.int32)
-                bins = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).clip(max=65535).astype("<u2").tobytes() for s in sets]
                 k = len(sets)
-                empty = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, k), b.column(1).slice(first, k), pa.array(n), pa.array([signature(s) for s in sets], pa.int64()), pa.array(bins, pa.binary()), empty, empty],
-                    ["key", "doc_id", "n", "sig", "bins", "hash", "seen"],
-                )
-                found, times = np.unique(np.concatenate(sets), return_counts=True)
-                found, times = found[times >= SEEN], times[times >= SEEN]
-                k = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())] + [pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))],
-                    ["key", "doc_id", "n", "sig", "bins", "hash", "seen"],
-                )
+                bins = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS).clip(max=255).astype(np.uint8).tobytes() for s in sets]
+                own = [pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.int64()), pa.array(bins, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k), b.column(1).slice(first, k), *own, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+                waiting += sets
+                size += sum(map(len, sets))
+                if size >= SLICE:
+                    yield often(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield often(waiting)
 
     return docs.mapInArrow(run, "key long, doc_id long, n int, sig long, bins binary, hash long, seen long")
 
@@ -130,6 +137,7 @@ def prefixes(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast((hashes[by_hash], place[by_hash]))
 
     def run(batches):
+        forget()
         frequent, order = shipped.value
         for b in batches:
             for _, part in text_slices(b.column(0)):
@@ -170,9 +178,9 @@ def chains_and_hubs(live: DataFrame) -> DataFrame:
 
 def across(live: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b of all pairs on a shingle that length and positional filters admit and whose components (sig, comp) differ."""
+    w = Window.partitionBy("hash")
     own = live.join(nodes, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    open_ = own.groupBy("hash").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("hash")
-    own = cut(own.join(open_, "hash", "left_semi"))
+    own = cut(own.withColumns({"least": F.min("comp").over(w), "most": F.max("comp").over(w)}).where("least <> most").drop("least", "most"))
     a, b = (own.select("hash", *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "pos", "comp"))) for s in "ab")
     index = a.where(F.col("pos_a") <= F.col("n_a") - F.ceil(6 * F.col("n_a") / 7))  # the prefix that is enough against sets not smaller
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -183,8 +191,10 @@ def across(live: DataFrame, nodes: DataFrame) -> DataFrame:
 
 @F.arrow_udf(T.LongType())
 def bins_in_common(left: pa.Array, right: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, BINS) for c in (left, right))
-    return pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64))
+    """No more shingles are common than this: summed least counts of the bins; a full bin (255) may hold any number."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in (left, right))
+    bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    return pa.array(np.where((x.max(axis=1, initial=0) == 255) | (y.max(axis=1, initial=0) == 255), np.iinfo(np.int64).max // 8, bound))
 
 
 @F.arrow_udf(T.BooleanType())
@@ -196,15 +206,28 @@ def linked(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links: suffix filter on the bins of both sets, then both texts."""
+def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) that the suffix filter admits, with the keys of their texts and the bound of what they share."""
     side = lambda s: nodes.select(F.col("sig").alias(s), F.col("bins").alias(f"bins_{s}"), F.col("key").alias(f"key_{s}"))
-    bound = bins_in_common("bins_a", "bins_b")
-    left = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(7 * bound >= 3 * (F.col("na") + F.col("nb"))).select("a", "b", "key_a", "key_b"))
-    keys = left.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    texts = cut(docs.select("key", "text").join(keys, "key").dropDuplicates(["key"]))
-    of = lambda s: texts.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
-    return left.join(of("a"), "key_a").join(of("b"), "key_b").where(linked("text_a", "text_b")).select("a", "b")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("bound", bins_in_common("bins_a", "bins_b"))
+    return rows.where(7 * F.col("bound") >= 3 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", "key_a", "key_b", "bound")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b, key_a, key_b) that are links, by both texts."""
+    pairs = cut(pairs.select("a", "b", "key_a", "key_b"))
+    keys = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    near = may_hold(docs.select("key", "text"), key_bits(keys)).where("held_")
+    of = lambda s: near.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
+    return pairs.join(of("a"), "key_a").join(of("b"), "key_b").where(linked("text_a", "text_b")).select("a", "b").distinct()
+
+
+def still_apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components: with ca < cb."""
+    of = lambda s: comps.select(F.col("sig").alias(s), F.col("comp").alias(f"c{s}"))
+    rows = pairs.drop("ca", "cb").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    x, y = F.coalesce("ca", "a"), F.coalesce("cb", "b")
+    return rows.withColumns({"ca": F.least(x, y), "cb": F.greatest(x, y)}).where("ca <> cb")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -245,14 +268,22 @@ def joined(docs: DataFrame) -> DataFrame:
     live = met.withColumns({"least": F.min("sig").over(w), "most": F.max("sig").over(w)}).where("least <> most").select("hash", "sig", "n", "pos").dropDuplicates(["hash", "sig"])
     live = written(live, "live")
 
-    first = chains_and_hubs(live)
-    first = cut(first)
-    links = cut(verified(first, nodes, docs))
+    nodes = cut(nodes.join(live.select("sig").distinct(), "sig"))
+
+    first = cut(chains_and_hubs(live))
+    links = cut(verified(bounded(first, nodes), docs))
     comps = cut(components(links))
-    second = across(live, comps).join(first, ["a", "b"], "left_anti")
-    more = cut(verified(second, nodes, docs))
-    if not more.isEmpty():
-        comps = cut(components(links.unionByName(more)))
+
+    second = cut(still_apart(bounded(across(live, comps).join(first, ["a", "b"], "left_anti"), nodes), comps))
+    place = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc(F.col("bound") / (F.col("na") + F.col("nb"))), "a", "b"))
+    best = cut(second.withColumn("place", place).where("place = 1"))
+    for more in (best, None):  # the likeliest pair of each two components, then all that are still apart
+        if more is None:
+            more = still_apart(second.join(best.select("a", "b"), ["a", "b"], "left_anti"), comps)
+        found = cut(verified(more, docs))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comps = cut(components(links))
 
     named = rows.select("key", "doc_id", "n", "sig").join(comps, "sig", "left")
     return named.select("key", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "sig")).alias("comp"))
@@ -267,11 +298,16 @@ def shingle_join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs (any columns besides doc_id and text) that stay: of each component the one of the smallest doc_id, once; rows without words all stay."""
-    text = F.coalesce("text", F.lit(""))
-    rows = cut(joined(keyed(docs)))
-    first = F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    stays = rows.where("comp is not null").groupBy("comp").agg(first.alias("key_")).select("key_", F.lit(True).alias("once_")).unionByName(rows.where("comp is null").select(F.col("key").alias("key_"), F.lit(False).alias("once_")).distinct())
-    kept = docs.withColumn("key_", F.xxhash64("doc_id", text)).join(stays, "key_")
-    place = F.row_number().over(Window.partitionBy("key_").orderBy("doc_id"))
-    return kept.withColumn("place_", place).where("place_ = 1 or not once_").select(docs.columns)
+    """The rows of docs (any columns besides doc_id and text) that stay: of each component the one of the smallest doc_id, once; rows without words all stay.
+
+    Only rows that may be copies are shuffled; a key filter lets the others pass.
+    """
+    rows = cut(joined(keyed(docs)).where("comp is not null"))
+    first = F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
+    copies = rows.groupBy("comp").agg(first, F.count("*").alias("n")).where("n > 1")
+    keys = cut(rows.join(copies, "comp").select("key", (F.col("key") == F.col("first")).alias("stays_")).distinct())
+    marked = may_hold(docs.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))), key_bits(keys))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+    some = marked.where("held_").join(keys, "key", "left").withColumn("place_", F.when(F.col("stays_"), place))
+    some = some.where("stays_ is null or (stays_ and place_ = 1)")
+    return marked.where("not held_").select(docs.columns).unionByName(some.select(docs.columns))
