@@ -11,7 +11,9 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMO = 1 << 20
+from ledgerline.llm.common import remembered
+
+MEMO = 3 << 18
 MEMO_CHARS = 64
 
 split_parts = re.compile(r" (?=\S)").split
@@ -54,8 +56,5 @@ class PartIds(dict):
         return np.frombuffer(b"".join([head, *map(self.__getitem__, parts), np.array([end], self.kind).tobytes()]), self.kind)
 
 
-_workers: dict[str, PartIds] = {}
-
-
 def part_ids(path: str) -> PartIds:
-    return _workers.get(path) or _workers.setdefault(path, PartIds(path))
+    return remembered(("parts", path), lambda: PartIds(path))

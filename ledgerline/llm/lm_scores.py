@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Rolling, mixed, text_bytes, text_slices
+from ledgerline.llm.common import Rolling, forget, mixed, text_bytes, text_slices
 
 BACKOFF = 0.4
 BUCKET_BYTES, PARTITION_BYTES = 12 << 20, 12 << 20
@@ -174,6 +174,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     dealt = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
 
     def count(rows: pa.Table) -> pa.Table:
+        forget()
         hashes, counts = table_of(*word_hashes(rows["text"]))
         at = np.searchsorted(hashes, cuts(parts)).tolist()
         used = [p for p in range(parts) if at[p] < at[p + 1]]

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import remembered
 from ledgerline.llm.token_counts import MARK, MEMO, MEMO_CHARS, processor, split_words
 
 
@@ -161,11 +162,8 @@ class Codec(dict):
         return sum([w[1] for w in words]) + 1, sha(ids), sha(decoded), int(ends[-1]) if len(ends) else 0, zlib.crc32(ends.astype("<u4").tobytes())
 
 
-_workers: dict[str, Codec] = {}
-
-
 def codec(model_path: str) -> Codec:
-    return _workers.get(model_path) or _workers.setdefault(model_path, Codec(model_path))
+    return remembered(("codec", model_path), lambda: Codec(model_path))
 
 
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:

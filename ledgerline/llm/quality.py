@@ -23,19 +23,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import remembered
+
 BUCKETS = 1 << 18
 DIM = 12
 #: Labelled documents learned from, at most.
-SAMPLE = 4_000
-MEMO = 1 << 18
+SAMPLE = 1_500
+MEMO = 1 << 19
 NGRAMS = (3, 4, 5)
 SAME = 0  # the bucket of a repeated word
 
 
 def word_buckets(word: str) -> list[int]:
     marked = f"<{word}>".encode()
-    grams = {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)} | {marked}
-    return [zlib.crc32(g) % (BUCKETS - 1) + 1 for g in sorted(grams)]
+    size, crc = len(marked), zlib.crc32
+    grams = [crc(marked[i : i + n]) % (BUCKETS - 1) + 1 for n in NGRAMS for i in range(size - n + 1)]
+    return [*grams, crc(marked) % (BUCKETS - 1) + 1]
 
 
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
@@ -124,7 +127,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 5, r
             label, buckets, counts = examples[i]
             now = rate * (1 - done / total)
             done += 1
-            share = counts / max(1.0, counts.sum())
+            share = counts.astype(np.float64) / max(1.0, float(counts.sum()))
             mean = share @ model.vectors[buckets]
             z = mean @ model.layer + model.bias
             p = np.exp(z - z.max())
@@ -150,10 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = texts.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "label int, doc_id long, buckets binary, counts binary").toArrow()
     order = np.lexsort((rows["label"].to_numpy(), rows["doc_id"].to_numpy()))[: 2 * sample]  # the same order on every run
     label, buckets, counts = (rows[c].to_pylist() for c in ("label", "buckets", "counts"))
-    return train([(label[i], np.frombuffer(buckets[i], "<i4").astype(np.int64), np.frombuffer(counts[i], "<f4").astype(np.float64)) for i in order])
-
-
-_workers: dict[int, Words] = {}
+    return train([(label[i], np.frombuffer(buckets[i], "<i4"), np.frombuffer(counts[i], "<f4")) for i in order])
 
 
 def score(docs: DataFrame, model: Model, text: Column) -> Column:
@@ -163,10 +163,7 @@ def score(docs: DataFrame, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def logit(texts: pa.Array) -> pa.Array:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Words(shipped.value)
-        words = _workers[key]
+        words = remembered(("words", key), lambda: Words(shipped.value))
         return pa.array([words.logit(x or "") for x in texts.to_pylist()], pa.float64())
 
     return 1 / (1 + F.exp(-(logit(text) + F.lit(offset))))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import remembered
+
 MARK = "▁"
 #: Pre-tokens that a worker remembers at most; beyond it, it starts anew.
 MEMO = 1 << 19
@@ -85,16 +87,13 @@ class Counts(dict):
         return sum(map(self.__getitem__, split_words(text.replace(MARK, " "))))
 
 
-_workers: dict[str, Counts] = {}
-
-
 def count_tokens(spark: SparkSession, text: Column, model_path: str) -> Column:
     """The number of tokens of each text, as the library's encode() gives them."""
     proven = spark.sparkContext.broadcast(whole_tokens(model_path))  # at most one string for each piece of the vocabulary
 
     @F.arrow_udf("long")
     def n_tokens(texts: pa.Array) -> pa.Array:
-        counts = _workers.get(model_path) or _workers.setdefault(model_path, Counts(model_path, proven.value))
+        counts = remembered(("counts", model_path), lambda: Counts(model_path, proven.value))
         return pa.array([counts.of(x or "") for x in texts.to_pylist()], pa.int64())
 
     return n_tokens(text)
