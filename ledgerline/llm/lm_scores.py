@@ -13,7 +13,7 @@ The first words of a text start at the order that they have.
 
 Words are runs other than white space, A-Z in lower case.  Null texts and texts without words
 get n_words 0, log_score 0 and no mean.  Rows that repeat are documents of their own.  An
-n-gram has one entry for each bucket, however frequent; hashes have 48 bits.
+n-gram has one entry for each bucket, however frequent; hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ from ledgerline.llm.common import Rolling, forget, mixed, text_bytes, text_slice
 BACKOFF = 0.4
 BUCKET_BYTES, PARTITION_BYTES = 12 << 20, 12 << 20
 STEP = 0xD6E8FEB86659FD93
-BITS = 48
+#: Bits of a hash that a block stores as they are; those above go as steps.
+LOW = 40
+#: The empty n-gram; all others are above it, and 0 stands for no n-gram.
+EMPTY = 1
 
 
 def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -59,30 +62,26 @@ def grams(words: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
         made = np.full(n, order, np.uint64)
         for j in range(order):
             made += words[j : j + n] * np.uint64(pow(STEP, j + 1, 1 << 64))
-        out[order - 1 :][:n] = (mixed(made) >> np.uint64(64 - BITS)) | np.uint64(1)
+        out[order - 1 :][:n] = np.maximum(mixed(made), np.uint64(EMPTY + 1))
     for k in range(order - 1):
         first = bounds[:-1] + k
         out[first[first < bounds[1:]]] = 0
     return out
 
 
-#: The empty n-gram: even, as no other hash is.
-EMPTY = 0x5555AAAA5554
-
-
 def table_of(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of all n-grams of a bucket."""
     every = np.concatenate([g[g != 0] for g in (grams(words, bounds, k) for k in (1, 2, 3))])
     every.sort()
     first = np.nonzero(np.concatenate([[True], every[1:] != every[:-1]]))[0] if len(every) else np.zeros(0, np.int64)
     hashes, counts = every[first], np.diff(np.append(first, len(every)))
-    at = int(np.searchsorted(hashes, EMPTY))
-    return np.insert(hashes, at, np.uint64(EMPTY)), np.insert(counts, at, len(words))
+    return np.insert(hashes, 0, np.uint64(EMPTY)), np.insert(counts, 0, len(words))
 
 
-def cuts(parts: int) -> np.ndarray:
-    """The least hash of each partition."""
-    return np.array([-(-(p << BITS) // parts) for p in range(parts + 1)], np.uint64)
+def cuts(hashes: np.ndarray, parts: int) -> list[int]:
+    """Where each partition begins in sorted hashes, and where the last one ends."""
+    least = np.array([-(-(p << 64) // parts) for p in range(parts)], np.uint64)
+    return [*np.searchsorted(hashes, least).tolist(), len(hashes)]
 
 
 def pack_small(values: np.ndarray) -> bytes:
@@ -103,18 +102,18 @@ def unpack_small(data: bytes, at: int) -> tuple[np.ndarray, int]:
 
 
 def pack_block(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted hashes: steps of the high bits and 24 low bits each; then the counts."""
-    high = np.diff((hashes >> np.uint64(24)).astype(np.int64), prepend=0)
-    low = (hashes & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    """Sorted hashes: steps of the high bits and LOW low bits each; then the counts."""
+    high = np.diff((hashes >> np.uint64(LOW)).astype(np.int64), prepend=0)
+    low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8]
     return pack_small(high) + pack_small(counts) + low.tobytes()
 
 
 def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     high, at = unpack_small(data, 0)
     counts, at = unpack_small(data, at)
-    low = np.zeros((len(high), 4), np.uint8)
-    low[:, :3] = np.frombuffer(data, np.uint8, 3 * len(high), at).reshape(-1, 3)
-    return (np.cumsum(high).astype(np.uint64) << np.uint64(24)) | low.view("<u4").ravel().astype(np.uint64), counts
+    low = np.zeros((len(high), 8), np.uint8)
+    low[:, : LOW // 8] = np.frombuffer(data, np.uint8, LOW // 8 * len(high), at).reshape(-1, LOW // 8)
+    return (np.cumsum(high).astype(np.uint64) << np.uint64(LOW)) | low.view("<u8").ravel().astype(np.uint64), counts
 
 
 def pack_answer(outside: np.ndarray) -> bytes:
@@ -176,7 +175,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     def count(rows: pa.Table) -> pa.Table:
         forget()
         hashes, counts = table_of(*word_hashes(rows["text"]))
-        at = np.searchsorted(hashes, cuts(parts)).tolist()
+        at = cuts(hashes, parts)
         used = [p for p in range(parts) if at[p] < at[p + 1]]
         blocks = [pack_block(hashes[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in used]
         bucket = rows["bucket"][0].as_py()
@@ -201,7 +200,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         words, bounds = word_hashes(rows["text"])
         hashes, totals = table_of(words, bounds)
-        at = np.searchsorted(hashes, cuts(parts)).tolist()
+        at = cuts(hashes, parts)
         for part, block in zip(answers["part"].to_pylist(), answers["block"].to_pylist(), strict=True):
             totals[at[part] : at[part + 1]] += unpack_answer(block, at[part + 1] - at[part])
         n = np.diff(bounds)

@@ -271,6 +271,30 @@ def test_blocks_round_trip():
         assert (unpack_answer(pack_answer(some), len(hashes)) == some).all()
 
 
+def test_grams_that_differ_in_low_or_high_bits_stay_apart():
+    from ledgerline.llm.common import MIX_1, MIX_2
+    from ledgerline.llm.lm_scores import EMPTY, STEP, cuts, grams, pack_block, table_of, unpack_block
+
+    def word_of(h):
+        """The word hash whose 1-gram is h: mixed() undone."""
+        for shift, factor in ((31, MIX_2), (27, MIX_1), (30, 1)):
+            x = h
+            for _ in range(64 // shift):
+                x = h ^ x >> shift
+            h = x * pow(factor, -1, 1 << 64) % (1 << 64)
+        return (h - 1) * pow(STEP, -1, 1 << 64) % (1 << 64)
+
+    want = [0x123456789ABC0000, 0x123456789ABC0001, 0x123456789ABCFFFF, 0x923456789ABC0000, (1 << 64) - 1]
+    words, bounds = np.array([word_of(h) for h in [*want, 0, EMPTY]], np.uint64), np.arange(8)
+    assert grams(words, bounds, 1).tolist() == [*want, EMPTY + 1, EMPTY + 1]
+    hashes, counts = table_of(words, bounds)
+    assert dict(zip(hashes.tolist(), counts.tolist(), strict=True)) == {EMPTY: 7, EMPTY + 1: 2} | dict.fromkeys(want, 1)
+    at = cuts(hashes, 3)
+    assert at[0] == 0 and at[-1] == len(hashes)
+    for a, b in zip(at, at[1:], strict=False):
+        assert [x.tolist() for x in unpack_block(pack_block(hashes[a:b], counts[a:b]))] == [hashes[a:b].tolist(), counts[a:b].tolist()]
+
+
 # ---- pipeline
 
 
