@@ -193,8 +193,11 @@ def index_decisions_by_state(spark, sf_dir):
 
 @query()
 def object_match(spark, sf_dir):
-    rows = states(spark, sf_dir).withColumn("parity", F.col("object") % 2)
-    return G.greedy_match(rows.where("seq < 20"), rows.where("seq between 10 and 30"), "game", {"zone": 0.5, "object": 0.4, "parity": 0.1})
+    """All states of a game's zone, against the same states seen late: each with the object of the one before in its zone."""
+    rows = states(spark, sf_dir)
+    late = rows.withColumn("object", F.lag("object").over(Window.partitionBy("game", "zone").orderBy("seq")))
+    expected, observed = (d.withColumn("parity", F.col("object") % 2) for d in (rows, late))
+    return G.greedy_match(expected, observed, ["game", "zone"], {"zone": 0.5, "object": 0.4, "parity": 0.1}).drop("zone")
 
 
 @query(f"{WITH}, s AS (SELECT o.decision, idx, round(CASE WHEN kind = pick_kind THEN 0.45 WHEN left(kind, 1) = left(pick_kind, 1) THEN 0.28 ELSE 0 END + CASE WHEN part = pick_part THEN 0.38 ELSE 0 END + CASE WHEN akey IS NOT NULL THEN 0.12 ELSE 0 END, 6) AS score FROM opt o JOIN dec d ON d.decision = o.decision) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY score DESC, idx) AS rank FROM s) WHERE rank = 1")

@@ -1,5 +1,7 @@
 """Decision records, sequences, joins and statistics on small fixtures."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,38 @@ def test_names(spark):
     out = {r["name"]: (r["resolved"], r["strategy"]) for r in resolve_names(asked, cards, "name", "card").collect()}
     assert out == {"Fire Bolt": ("Fire Bolt", "exact"), "fire  bolt": ("Fire Bolt", "normalized"), "O’Neil’s Gate": ("O'Neil's Gate", "normalized"), "Fire Bold": (None, "unresolved"), "zzz": (None, "unresolved")}
     assert {r["name"]: r["card"] for r in fuzzy(asked, cards, "name", "card").collect()}["Fire Bold"] == "Fire Bolt"
+
+
+def test_greedy_match_equals_brute_force(spark):
+    import random
+
+    from ledgerline.operators.state import greedy_match
+
+    random.seed(4)
+    big = 1 << 60  # ids and objects that a double cannot hold
+    weights = {"zone": 0.5, "object": 0.4, "parity": 0.1}
+    sides = [[(g, random.choice("ab"), big + i, random.choice([None, big, big + 1, big + 2]), random.choice([None, 0, 1])) for i, g in enumerate(random.choices([1, 2, 3], [60, 30, 1], k=n))] for n in (90, 70)]
+    want = []
+    for game in (1, 2, 3):
+        left, right = ([r for r in side if r[0] == game] for side in sides)
+        score = lambda a, b: sum(w for f, w in enumerate(weights.values()) if (x := (a[1], *a[3:])[f]) is not None and x == (b[1], *b[3:])[f])
+        used_a, used_b = set(), set()
+        for s, a, b in sorted((-score(a, b), a[2], b[2]) for a in left for b in right):
+            if -s >= 0.25 and a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                want.append((game, a, b, round(-s, 6)))
+    expected, observed = (spark.createDataFrame(side, "game long, zone string, id long, object long, parity long") for side in sides)
+    got = [(r["game"], r["expected_id"], r["observed_id"], round(r["score"], 6)) for r in greedy_match(expected, observed, ["game"], weights).collect()]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the driver's tables are not here")
+def test_object_match_takes_every_state(spark):
+    from ledgerline.plans.registry import QUERIES
+
+    import __spark_entry__  # noqa: F401
+
+    pairs = QUERIES["object_match"](spark, "/root/testdata/sf0.001").collect()
+    ids = sorted(r["event_id"] for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect())
+    assert sorted(r["expected_id"] for r in pairs) == sorted(r["observed_id"] for r in pairs) == ids
