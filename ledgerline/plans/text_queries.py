@@ -65,7 +65,7 @@ def mana_colors(spark, sf_dir):
 
 @query("SELECT p_partkey, lpad(p_partkey::VARCHAR, 4, '0') || '-run-' || regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '-', 'g') AS slug FROM part WHERE p_partkey < 10000")
 def run_slug(spark, sf_dir):
-    return read(spark, sf_dir, "part").where("p_partkey < 10000").select("p_partkey", T.run_slug(F.col("p_partkey"), F.lit("run"), F.concat_ws(" / ", "p_name", "p_type")).alias("slug"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.run_slug(F.col("p_partkey"), F.lit("run"), F.concat_ws(" / ", "p_name", "p_type")).alias("slug"))
 
 
 @query(f"{WITH} SELECT decision, sha256(game || chr(1) || seq || chr(1) || prompt) AS fingerprint FROM dec")

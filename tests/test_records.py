@@ -163,3 +163,10 @@ def test_object_match_takes_every_state(spark):
     pairs = QUERIES["object_match"](spark, "/root/testdata/sf0.001").collect()
     ids = sorted(r["event_id"] for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect())
     assert sorted(r["expected_id"] for r in pairs) == sorted(r["observed_id"] for r in pairs) == ids
+
+
+def test_slugs_keep_all_digits(spark):
+    from ledgerline.functions.text import run_slug
+
+    rows = spark.createDataFrame([(7,), (9999,), (10000,), (1234567,)], "i long").orderBy("i")
+    assert [r[0] for r in rows.select(run_slug(F.col("i"), F.lit("run"), F.lit("A b"))).collect()] == ["0007-run-a-b", "9999-run-a-b", "10000-run-a-b", "1234567-run-a-b"]
