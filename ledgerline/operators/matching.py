@@ -77,13 +77,32 @@ def normalised(name: Column) -> Column:
 
 
 def fuzzy(names: DataFrame, catalogue: DataFrame, name: str, known: str, least: float = 0.72) -> DataFrame:
-    """The best catalogue name by Levenshtein ratio among those that share a word with the name (ties to the least name)."""
-    words = lambda c: F.explode(F.array_distinct(F.split(normalised(F.col(c)), " ")))
-    left, right = names.select(name).distinct().withColumn("w_", words(name)), catalogue.select(known).distinct().withColumn("w_", words(known))
-    pairs = left.join(right, "w_").select(name, known).distinct()
-    a, b = normalised(F.col(name)), normalised(F.col(known))
-    scored = pairs.withColumn("score", F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)), 6)).where(F.col("score") >= least)
-    return scored.groupBy(name).agg(F.min_by(known, F.struct(-F.col("score"), F.col(known))).alias(known), F.max("score").alias("score"))
+    """The best catalogue name by Levenshtein ratio, of all that reach ``least`` (ties to the least name).
+
+    Of two names of which the longer has m characters, a pair at the threshold has at most d = (1 - least) * m edits, so
+    lengths differ by d at most, and at least m - 1 - 2 * d pairs of neighbouring characters are shared.  Where that is
+    less than 1 (very short names; any length if least is near 0.5 or lower), all names of such lengths are compared.
+    """
+    a, b = (d.select(normalised(F.col(c)).alias(n)).where(F.col(n).isNotNull()).distinct() for d, c, n in ((names, name, "a_"), (catalogue, known, "b_")))
+    longer = F.greatest(F.length("a_"), F.length("b_"), F.lit(1))
+    edits = lambda m: F.floor(m * (1 - least + 1e-6))  # noqa: E731  scores are rounded to 6 places
+    shared = lambda m: m - 1 - 2 * edits(m)
+
+    def grams(df: DataFrame, text: str, times: str) -> DataFrame:
+        n = F.length(text)
+        found = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col(text), i, F.lit(2)))
+        return df.where(n >= 2).select(text, F.explode(found).alias("gram_")).groupBy(text, "gram_").agg(F.count("*").alias(times))
+
+    near = (F.abs(F.length("a_") - F.length("b_")) <= edits(longer)) & (shared(longer) >= 1)
+    long = grams(a, "a_", "x_").join(grams(b, "b_", "y_"), "gram_").where(near).groupBy("a_", "b_").agg(F.sum(F.least("x_", "y_")).alias("shared_")).where(F.col("shared_") >= shared(longer)).select("a_", "b_")
+    lengths = b.select(F.length("b_").alias("size_")).distinct()
+    size, own = F.col("size_"), F.length("a_")
+    m = F.greatest(own, size, F.lit(1))
+    short = a.join(F.broadcast(lengths), (F.abs(own - size) <= edits(m)) & (shared(m) < 1)).join(b.withColumn("size_", F.length("b_")), "size_").select("a_", "b_")
+    scored = long.unionByName(short).withColumn("score", F.round(1 - F.levenshtein("a_", "b_") / longer, 6)).where(F.col("score") >= least)
+    asked, held = names.select(name).distinct(), catalogue.select(known).distinct()
+    pairs = asked.withColumn("a_", normalised(F.col(name))).join(scored, "a_").join(held.withColumn("b_", normalised(F.col(known))), "b_")
+    return pairs.groupBy(name).agg(F.min_by(known, F.struct(-F.col("score"), F.col(known))).alias(known), F.max("score").alias("score"))
 
 
 def compared(expected: DataFrame, observed: DataFrame, on: list[str], value: str) -> DataFrame:

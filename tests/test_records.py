@@ -165,6 +165,35 @@ def test_object_match_takes_every_state(spark):
     assert sorted(r["expected_id"] for r in pairs) == sorted(r["observed_id"] for r in pairs) == ids
 
 
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.72, 0.9])
+def test_fuzzy_equals_brute_force(spark, least):
+    import random
+
+    from ledgerline.operators.matching import fuzzy
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    random.seed(5)
+    cards = ["Lightning", "Fire Bolt", "Fire Bolts", "Ow", "Ox", "X", "Hot Bolt", *{"".join(random.choices("abc ", k=random.randint(1, 14))).strip() or "q" for _ in range(60)}]
+    asked = ["Lightnng", "Fir Bollt", "Ow", "Oz", "x", "", "zzzzzzzz", *{"".join(random.choices("abc ", k=random.randint(1, 14))).strip() or "q" for _ in range(60)}]
+    plain = lambda t: " ".join(t.split()).lower()
+    want = {}
+    for n in asked:
+        scores = sorted((-round(1 - edits(plain(n), plain(c)) / max(len(plain(n)), len(plain(c)), 1), 6), c) for c in cards)
+        if -scores[0][0] >= least:
+            want[n] = (scores[0][1], -scores[0][0])
+    names, catalogue = (spark.createDataFrame([(x,) for x in rows], f"{c} string") for c, rows in (("name", asked), ("card", cards)))
+    got = {r["name"]: (r["card"], r["score"]) for r in fuzzy(names, catalogue, "name", "card", least).collect()}
+    assert got == want
+    assert least > 0.72 or (got["Lightnng"][0], got["Fir Bollt"][0]) == ("Lightning", "Fire Bolt")
+
+
 def test_slugs_keep_all_digits(spark):
     from ledgerline.functions.text import run_slug
 
