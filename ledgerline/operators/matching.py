@@ -124,7 +124,21 @@ def paired(scores: DataFrame, agent: str, pair: str, score: str) -> DataFrame:
     return a.join(b, pair).where(F.col("left") < F.col("right")).withColumn("delta", F.col("score_left") - F.col("score_right"))
 
 
-def pool_overlap(decks: DataFrame, pools: DataFrame, deck: str, pool: str, card: str, order: str) -> DataFrame:
-    """Each deck with the pool that shares most distinct cards (ties to the earliest); both as rows (id, card)."""
-    shared = decks.select(deck, card).distinct().join(pools.select(pool, order, card).distinct(), card).groupBy(deck, pool, order).agg(F.count("*").alias("shared"))
-    return latest(shared, [deck], [F.desc("shared"), order, pool]).drop(order)
+def pool_overlap(decks: DataFrame, pools: DataFrame, deck: str, pool: str, card: str, order: str, least: float = 0.5) -> DataFrame:
+    """Each deck with the pool that shares most distinct cards (ties to the earliest); both as rows (id, card).
+
+    A pool with less than this share of the deck's cards that any pool has is none.
+    """
+    cards, held = decks.select(deck, card).distinct(), pools.select(pool, order, card).distinct()
+    shared = cards.join(held, card).groupBy(deck, pool, order).agg(F.count("*").alias("shared"))
+    known = cards.join(held.select(card).distinct(), card, "left_semi").groupBy(deck).agg(F.count("*").alias("known_"))
+    return latest(shared, [deck], [F.desc("shared"), order, pool]).drop(order).join(known, deck).where(F.col("shared") >= least * F.col("known_")).drop("known_")
+
+
+def join_analysis(decisions: DataFrame, analyses: DataFrame, on: list[str], checkpoint: str, chosen: object = None, several: bool = False) -> DataFrame:
+    """Decisions with the analyses of the chosen checkpoint; with none chosen, more than one is an error unless several may be."""
+    if chosen is not None:
+        analyses = analyses.where(F.col(checkpoint) == F.lit(chosen))
+    elif not several and analyses.select(checkpoint).distinct().limit(2).count() > 1:
+        raise ValueError(f"several values of {checkpoint}: choose one")
+    return decisions.join(analyses, on)

@@ -199,3 +199,23 @@ def test_slugs_keep_all_digits(spark):
 
     rows = spark.createDataFrame([(7,), (9999,), (10000,), (1234567,)], "i long").orderBy("i")
     assert [r[0] for r in rows.select(run_slug(F.col("i"), F.lit("run"), F.lit("A b"))).collect()] == ["0007-run-a-b", "9999-run-a-b", "10000-run-a-b", "1234567-run-a-b"]
+
+
+def test_pools_of_chance_cards_are_rejected(spark):
+    from ledgerline.operators.matching import pool_overlap
+
+    decks = spark.createDataFrame([(d, c) for d, cards in ((1, "abcz"), (2, "adg"), (3, "ad"), (4, "xyz")) for c in cards + cards[:1]], "deck long, card string")
+    pools = spark.createDataFrame([(p, p, c) for p, cards in ((7, "abc"), (8, "def"), (9, "ghi"), (10, "abc")) for c in cards], "pool long, at long, card string")
+    assert sorted(tuple(r) for r in pool_overlap(decks, pools, "deck", "pool", "card", "at").select("deck", "pool", "shared").collect()) == [(1, 7, 3), (3, 7, 1)]
+
+
+def test_several_checkpoints_need_a_choice(spark):
+    from ledgerline.operators.matching import join_analysis
+
+    decisions = spark.createDataFrame([(1,), (2,)], "decision long")
+    analyses = spark.createDataFrame([(1, 3, "a"), (1, 4, "b"), (2, 4, "c")], "decision long, checkpoint long, top string")
+    with pytest.raises(ValueError, match="several"):
+        join_analysis(decisions, analyses, ["decision"], "checkpoint")
+    top = lambda **k: sorted(r["top"] for r in join_analysis(decisions, analyses, ["decision"], "checkpoint", **k).collect())
+    assert top(chosen=4) == ["b", "c"] and top(several=True) == ["a", "b", "c"]
+    assert join_analysis(decisions, analyses.where("checkpoint = 3"), ["decision"], "checkpoint").count() == 1
