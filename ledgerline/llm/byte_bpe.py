@@ -1,22 +1,33 @@
 """Byte-level BPE ids by the tokenizers library, behind a bounded memo of words.
 
 A byte-level pre-tokenizer always cuts before a space that is followed by a character
-other than white space, so texts are split there and every part is encoded alone.
+other than white space, so texts are split there and every part is encoded alone.  The
+parts of many texts that are not known yet go to the library in one call: joined by
+spaces, each begins with the only token that starts with a space.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
 from ledgerline.llm.common import remembered
 
+#: Parts that a worker remembers; beyond it the older half goes.
 MEMO = 3 << 18
+#: Longer parts are not remembered.
 MEMO_CHARS = 64
+#: Characters of text that are split and looked up together.
+GROUP = 1 << 20
+#: Parts in one call of the library.
+CALL = 4_096
 
-split_parts = re.compile(r" (?=\S)").split
+part_start = re.compile(r" (?=\S)")
+white = re.compile(r"\s")
 
 
 @lru_cache(maxsize=4)
@@ -26,6 +37,18 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def blocks(text: str) -> Iterator[str]:
+    """A text in pieces of about GROUP characters that end before a part; each later one lacks the space before it."""
+    at = 0
+    while len(text) - at > GROUP:
+        found = part_start.search(text, at + GROUP)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start() + 1
+    yield text[at:] if at else text
+
+
 class PartIds(dict):
     """Part (without the space before it) -> its ids as bytes of ``kind``."""
 
@@ -35,6 +58,8 @@ class PartIds(dict):
         self.pre, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.special = re.compile("|".join(map(re.escape, sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True))) or r"(?!)")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.starts = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # tokens that start with a space
+        self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
 
     def ids(self, part: str) -> list[int]:
         if self.special.search(part):
@@ -42,18 +67,71 @@ class PartIds(dict):
         return [t.id for word, _ in self.pre.pre_tokenize_str(part) for t in self.model.tokenize(word)]
 
     def __missing__(self, part: str) -> bytes:
-        made = np.array(self.ids(" " + part), self.kind).tobytes()
-        if len(part) <= MEMO_CHARS:
-            if len(self) >= self.memo:
-                self.clear()
-            self[part] = made
-        return made
+        return np.array(self.ids(" " + part), self.kind).tobytes()
+
+    def learn(self, parts: Iterable[str]) -> None:
+        """Remember the short parts that are not known yet."""
+        if len(self) >= self.memo:
+            newer = list(islice(self.items(), len(self) // 2, None))
+            self.clear()
+            self.update(newer)
+        new = list(dict.fromkeys(p for p in parts if p not in self and len(p) <= MEMO_CHARS))
+        for i in range(0, len(new), CALL):
+            own = new[i : i + CALL]
+            text = " ".join(own)
+            if self.special.search(text) or len(white.findall(text)) != len(own) - 1:
+                odd = [p for p in own if self.special.search(p) or white.search(p)]
+                self.update((p, self[p]) for p in odd)
+                own = [p for p in own if p not in self]
+                text = " ".join(own)
+            if own:
+                ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.kind)
+                first = np.nonzero(self.starts[ids])[0]
+                if len(first) != len(own):
+                    raise ValueError("a word's first token does not start with the space before it")
+                size, data = self.kind.itemsize, ids.tobytes()
+                ends = [*(first[1:] * size).tolist(), len(data)]
+                self.update((p, data[a:b]) for p, a, b in zip(own, (first * size).tolist(), ends, strict=True))
+
+    def of_many(self, texts: Iterable[str | None], end: int) -> Iterator[np.ndarray]:
+        """All ids of each text (none: empty), then ``end``."""
+        last = np.array([end], self.kind).tobytes()
+        group, size = [], 0
+        for text in texts:
+            if len(text or "") > GROUP:
+                yield from self._group(group, last)
+                group, size = [], 0
+                yield self._long(text, last)
+                continue
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= GROUP:
+                yield from self._group(group, last)
+                group, size = [], 0
+        yield from self._group(group, last)
+
+    def _head(self, part: str) -> bytes:
+        return np.array(self.ids(part), self.kind).tobytes() if part else b""
+
+    def _group(self, texts: list[str], last: bytes) -> Iterator[np.ndarray]:
+        lists = [part_start.split(t) for t in texts]
+        self.learn(p for parts in lists for p in islice(parts, 1, None))
+        for first, *parts in lists:
+            yield np.frombuffer(b"".join([self._head(first), *map(self.__getitem__, parts), last]), self.kind)
+
+    def _long(self, text: str, last: bytes) -> np.ndarray:
+        made = []
+        for k, block in enumerate(blocks(text)):
+            parts = part_start.split(block)
+            if not k:
+                made.append(self._head(parts.pop(0)))
+            self.learn(parts)
+            made.append(b"".join(map(self.__getitem__, parts)))
+        return np.frombuffer(b"".join([*made, last]), self.kind)
 
     def of(self, text: str, end: int) -> np.ndarray:
         """All ids of a text, then ``end``."""
-        first, *parts = split_parts(text)
-        head = np.array(self.ids(first), self.kind).tobytes() if first else b""
-        return np.frombuffer(b"".join([head, *map(self.__getitem__, parts), np.array([end], self.kind).tobytes()]), self.kind)
+        return next(self.of_many([text], end))
 
 
 def part_ids(path: str) -> PartIds:

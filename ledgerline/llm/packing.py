@@ -1,14 +1,16 @@
 """Operator 6: bounded-space online best-fit packing.
 
-Documents become token pieces of at most ``size``; the pieces are dealt by hash to batches
-and every batch is packed in arrival order with at most ``open_bins`` open bins.  Free
-spaces of open bins are the bits of one integer: the best fit for a piece is the lowest
-set bit at or above its length.  If a new bin would exceed the bound, the fullest closes.
-Bins still open at a batch's end are emptied and their pieces packed once more, longest
-first, with those of other batches, so that the number of batches costs next to nothing.
+Documents become token pieces of at most ``size``.  Pieces are dealt to batches by a hash of
+their row's number, so that rows that repeat spread too, and every batch is packed in one
+pass, piece by piece, with at most ``open_bins`` open bins.  Free spaces of open bins are
+the bits of one integer: the best fit for a piece is the lowest set bit at or above its
+length.  If a new bin would exceed the bound, the fullest closes.  Pieces arrive in hash
+order, but within each ``open_bins`` of them the longest come first: so many pieces can't
+open more bins than may be open, and the short ones that follow fill them.
 
 Null texts are empty documents (one piece, the end id alone); repeated rows are packed
-as often as they come; an empty table gives no rows; other columns are ignored.
+as often as they come; ties of length keep the arrival order; texts of any length are encoded
+in blocks; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from ledgerline.llm.byte_bpe import part_ids
 from ledgerline.llm.common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, closed boolean"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def cut_lengths(n: int, size: int) -> list[int]:
@@ -41,9 +43,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end: in
         ids = part_ids(tokenizer_path)
         for b in batches:
             rows = ([], [], [], [], [])
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                all_ids = ids.of(text or "", end).astype("<u4")
-                start = 0
+            for doc_id, own in zip(b.column(0).to_pylist(), ids.of_many(b.column(1).to_pylist(), end), strict=True):
+                all_ids, start = own.astype("<u4"), 0
                 for k, n in enumerate(cut_lengths(len(all_ids), size)):
                     for column, x in zip(rows, (doc_id, k, start, n, zlib.crc32(all_ids[start : start + n].tobytes())), strict=True):
                         column.append(x)
@@ -53,8 +54,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end: in
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def best_fit(lengths: Iterable[int], size: int, open_bins: int) -> tuple[list[int], list[int], set[int]]:
-    """(bin of each piece, offset of each piece, bins still open with room at the end)."""
+def best_fit(lengths: Iterable[int], size: int, open_bins: int) -> tuple[list[int], list[int]]:
+    """(bin of each piece, offset of each piece)."""
     bins, offsets = [], []
     spaces, by_space, n_open, new = 0, {}, 0, 0
     for n in lengths:
@@ -84,36 +85,30 @@ def best_fit(lengths: Iterable[int], size: int, open_bins: int) -> tuple[list[in
             by_space.setdefault(free, []).append(chosen)
             spaces |= 1 << free
             n_open += 1
-    return bins, offsets, {b for stack in by_space.values() for b in stack}
+    return bins, offsets
 
 
-def packed_batches(pieces: DataFrame, batch, order, size: int, open_bins: int) -> DataFrame:
-    """Pack each batch (a column's value) by itself in the given order; bins are numbered within the batch."""
+def arrival(hashes: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """The order in which pieces come: by hash, and within each ``window`` of them the longest first."""
+    by_hash = np.argsort(hashes, kind="stable")
+    return by_hash[np.lexsort((-lengths[by_hash], np.arange(len(by_hash)) // window))]
 
-    def pack(pdf):
-        pdf = pdf.sort_values(["order", "doc_id", "piece", "start"], kind="stable")
-        bins, offsets, left = best_fit(pdf["length"].tolist(), size, open_bins)
-        pdf["bin"], pdf["offset"] = np.array(bins, np.int64), np.array(offsets, np.int64)
-        pdf["closed"] = ~pdf["bin"].isin(left)
-        pdf["bin"] += pdf["batch"].iloc[0] << 32 if len(pdf) else 0
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "closed"]]
 
-    dealt = pieces.withColumns({"batch": batch.cast("long"), "order": order})
-    return dealt.groupBy("batch").applyInPandas(pack, PACKED)
-
-
-def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 1024, batch_bins: int = 2048, repack_bins: int = 4096) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 2048, open_bins: int = 4096, batch_bins: int = 1 << 17, batch_pieces: int = 1 << 20) -> DataFrame:
     """Give every piece a sequence_id and its offset there.
 
-    ``batch_bins``: sequences that a batch of the first pass is to fill; ``repack_bins``:
-    those of a batch of the second pass, and its number of open bins.
+    A batch is to fill ``batch_bins`` sequences, with about ``batch_pieces`` pieces at most.
     """
-    row = ("doc_id", "piece", "start", "length", "ids_crc32")
-    n = lambda df, bins: max(1, -(-(df.agg(F.sum("length")).first()[0] or 0) // (size * bins)))
-    deal = lambda k, salt: F.pmod(F.xxhash64(*row, F.lit(salt)), F.lit(k))
     pieces = cut(pieces)
-    first = cut(packed_batches(pieces, deal(n(pieces, batch_bins), 2), F.xxhash64(*row, F.lit(1)), size, open_bins))
-    left = first.filter("not closed").select(*row)
-    again = packed_batches(left, deal(n(left, repack_bins), 3), -F.col("length"), size, repack_bins)
-    number = lambda df, k: df.select(*row, (F.col("bin") * 2 + k).alias("sequence_id"), "offset")
-    return number(first.filter("closed"), 0).unionByName(number(again, 1))
+    tokens, rows = pieces.agg(F.sum("length"), F.count("*")).first()
+    batches = max(1, -(-(tokens or 0) // (size * batch_bins)), -(-rows // batch_pieces))
+    number = F.xxhash64(F.monotonically_increasing_id())  # of a row of the checkpoint: the same whenever it is read
+    dealt = pieces.withColumn("order", number).withColumn("batch", F.pmod("order", F.lit(batches)))
+
+    def run(pdf):
+        pdf = pdf.iloc[arrival(pdf["order"].to_numpy(np.int64), pdf["length"].to_numpy(np.int64), open_bins)]
+        bins, offsets = best_fit(pdf["length"].tolist(), size, open_bins)
+        first = int(pdf["batch"].iloc[0]) << 32 if len(pdf) else 0
+        return pdf.assign(sequence_id=np.array(bins, np.int64) + first, offset=np.array(offsets, np.int64))[[c.split()[0] for c in PACKED.split(", ")]]
+
+    return dealt.groupBy("batch").applyInPandas(run, PACKED)
