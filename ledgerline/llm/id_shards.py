@@ -3,18 +3,24 @@
 Documents in ascending key order are range-partitioned; each partition writes one shard:
 
 - ``shard-N.bin``: the ids of its documents one after another, 2 or 4 bytes each;
-- ``shard-N.idx``: a JSON line of sizes, then the arrays named there: the bits of a minimal
-  perfect hash of the distinct keys, a 32-bit fingerprint, first row and row count for
-  each of its slots, the end of each row in ids, and the keys in row order.
+- ``shard-N.end``: the end of each document in ids, 8 bytes each.
 
-A manifest table (one row for each shard: counts, first and last key) is written beside them.
-A key's shard is found by range, its slot by hashing, so that access takes constant time;
-a key that is not there is refused by its fingerprint.
+Tables beside them: ``runs`` (one row for each run of equal keys of a shard) and ``shards`` (one
+row for each shard).  The index is dealt by a hash of the key to files of bounded size:
+
+- ``index-N.mph``: a JSON line of sizes, then the arrays named there: the bits of a minimal
+  perfect hash of the distinct keys and, in each of its slots, a 32-bit fingerprint and
+  the place of its entries: shard, first row there, number of rows.
+
+A key's file and slot are found by hashing and its ids by two seeks, so that access takes
+constant time whatever is stored; a key that is not there is refused by its fingerprint.
+A key of very many rows has one entry for each shard that holds some.
 
 Files are written under a name of the attempt and then renamed, so a repeated task leaves
-the same files.  Null texts are empty documents (the end id alone).  Rows that share a key
-stand one after another, and the index gives all of them; rows without a key come first
-and are read in order only.  An empty table writes no shard.
+the same files.  Null texts are empty documents (the end id alone); texts of any length are
+encoded in blocks.  Rows that share a key stand one after another, and the index gives all
+of them; rows without a key come first and are read in order only.  Other columns
+are ignored.  An empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -24,14 +30,19 @@ import zlib
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.byte_bpe import part_ids
 from ledgerline.llm.common import mixed, scratch
 
-MANIFEST = "shard int, bin string, idx string, n_docs long, n_tokens long, first_key long, last_key long"
+RUNS = "shard int, doc_id long, row long, n_rows long, n_tokens long"
+#: Bytes of ids that a task reads or writes at once.
 BLOCK = 8 << 20
+#: Distinct keys of an index file, about.
+INDEX_KEYS = 1 << 20
+#: Rows of one key that a task reads at once.
+SPAN_ROWS = 1 << 16
 
 
 def hashed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -74,47 +85,51 @@ class PerfectHash:
         return out
 
 
-class ShardIndex:
-    FINGER = 1 << 20  # the fingerprint's seed
+class KeyIndex:
+    """Distinct keys -> entries (shard, row, rows) by a minimal perfect hash."""
 
-    def __init__(self, keys: np.ndarray, known: np.ndarray, ends: np.ndarray):
-        """keys in ascending order after rows without one (known is False there); ends: of each row, in ids."""
-        self.keys, self.known, self.ends = keys, known, ends
-        rows = np.nonzero(known)[0]
-        first = rows[np.diff(keys[rows], prepend=keys[rows[0]] - 1 if len(rows) else 0) != 0] if len(rows) else rows
-        counts = np.diff(np.append(first, len(keys)))
-        self.hash = PerfectHash.build(keys[first])
-        slots = self.hash.slots(keys[first])
-        self.fingers, self.first, self.count = (np.zeros(len(first), t) for t in ("<u4", "<i8", "<i8"))
-        self.fingers[slots] = hashed(keys[first], self.FINGER).astype(np.uint32)
-        self.first[slots], self.count[slots] = first, counts
+    FINGER = 1 << 20  # the fingerprint's seed
+    KEPT = ("fingers", "first", "shard", "row", "rows")
+
+    def __init__(self, keys: np.ndarray, shard: np.ndarray, row: np.ndarray, rows: np.ndarray):
+        """Entries; those of one key stand together."""
+        start = np.nonzero(np.diff(keys, prepend=keys[0] - 1 if len(keys) else 0))[0]
+        own = keys[start]
+        self.hash = PerfectHash.build(own)
+        slots = self.hash.slots(own)
+        order = np.empty(len(own), np.int64)
+        order[slots] = np.arange(len(own))
+        counts = np.diff(np.append(start, len(keys)))[order]
+        self.fingers = hashed(own[order], self.FINGER).astype("<u4")
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype("<i8")
+        entry = np.repeat(start[order] - self.first[:-1], counts) + np.arange(len(keys))
+        self.shard, self.row, self.rows = shard[entry].astype("<i4"), row[entry].astype("<i8"), rows[entry].astype("<i8")
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first row or -1, number of rows) of each key."""
+        """(which of the keys, entry) of all entries of the keys that are there."""
         slots = self.hash.slots(keys)
-        if not len(self.fingers):
-            return np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        hit = (slots >= 0) & (self.fingers[slots] == hashed(keys, self.FINGER).astype(np.uint32))
-        return np.where(hit, self.first[slots], -1), np.where(hit, self.count[slots], 0)
+        own = np.nonzero(slots >= 0)[0]
+        own = own[self.fingers[slots[own]] == hashed(keys[own], self.FINGER).astype(np.uint32)]
+        first, counts = self.first[slots[own]], self.first[slots[own] + 1] - self.first[slots[own]]
+        ahead = np.cumsum(counts) - counts
+        return np.repeat(own, counts), np.repeat(first - ahead, counts) + np.arange(counts.sum())
 
     def to_bytes(self) -> bytes:
-        arrays = [("keys", self.keys.astype("<i8")), ("known", self.known.astype("u1")), ("ends", self.ends.astype("<i8")), ("fingers", self.fingers), ("first", self.first), ("count", self.count)]
-        arrays += [("level", np.packbits(x)) for x in self.hash.levels]
+        arrays = [(n, getattr(self, n)) for n in self.KEPT] + [("level", np.packbits(x)) for x in self.hash.levels]
         head = json.dumps([[n, a.dtype.str, len(a)] for n, a in arrays]).encode() + b"\n"
         return head + b"".join(a.tobytes() for _, a in arrays)
 
     @staticmethod
-    def from_bytes(data: bytes) -> ShardIndex:
+    def from_bytes(data: bytes) -> KeyIndex:
         at = data.index(b"\n") + 1
         found: dict[str, list[np.ndarray]] = {}
         for name, kind, n in json.loads(data[:at]):
             size = n * np.dtype(kind).itemsize
             found.setdefault(name, []).append(np.frombuffer(data[at : at + size], kind))
             at += size
-        index = ShardIndex.__new__(ShardIndex)
-        for name in ("keys", "known", "ends", "fingers", "first", "count"):
+        index = KeyIndex.__new__(KeyIndex)
+        for name in KeyIndex.KEPT:
             setattr(index, name, found[name][0])
-        index.known = index.known.astype(bool)
         index.hash = PerfectHash([np.unpackbits(x).astype(bool) for x in found.get("level", [])])
         return index
 
@@ -125,113 +140,175 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def index_file(key, files: int):
+    """The index file of a key column."""
+    return F.pmod(F.xxhash64(key), F.lit(files)).cast("int")
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end: int = 2) -> DataFrame:
-    """Encode (doc_id, text), write shards below ``path`` in ascending doc_id order; returns the manifest as a table read back."""
+    """Encode (doc_id, text), write shards in ascending doc_id order and their index below ``path``; returns the table of shards read back."""
     import pyarrow as pa
 
     def run(batches):
         ids, store, base = None, None, None
-        keys, known, sizes, out, buffer = [], [], [], None, bytearray()
-        task = TaskContext.get()
-        name, attempt = f"shard-{task.partitionId():06d}", f"attempt-{task.taskAttemptId()}"
+        name, attempt = f"shard-{(shard := TaskContext.get().partitionId()):06d}", f"attempt-{TaskContext.get().taskAttemptId()}"
+        outs, buffer, rows, total = {}, bytearray(), 0, 0
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if out is None:
-                    ids, (store, base) = part_ids(tokenizer_path), file_system(path)
-                    store.create_dir(base, recursive=True)
-                    out = store.open_output_stream(f"{base}/{name}.bin.{attempt}")
-                own = ids.of(text or "", end)
-                keys.append(key or 0)
-                known.append(key is not None)
-                sizes.append(len(own))
+            if not b.num_rows:
+                continue
+            if not outs:
+                ids, (store, base) = part_ids(tokenizer_path), file_system(path)
+                store.create_dir(base, recursive=True)
+                outs = {kind: store.open_output_stream(f"{base}/{name}.{kind}.{attempt}") for kind in ("bin", "end")}
+            sizes = np.zeros(b.num_rows, np.int64)
+            for k, own in enumerate(ids.of_many(b.column(1).to_pylist(), end)):
+                sizes[k] = len(own)
                 buffer += own.tobytes()
                 if len(buffer) >= BLOCK:
-                    out.write(bytes(buffer))
+                    outs["bin"].write(bytes(buffer))
                     buffer.clear()
-        if out is None:
-            return
-        out.write(bytes(buffer))
-        out.close()
-        index = ShardIndex(np.array(keys, np.int64), np.array(known, bool), np.cumsum(np.array(sizes, np.int64)))
-        with store.open_output_stream(f"{base}/{name}.idx.{attempt}") as f:
-            f.write(index.to_bytes())
-        for kind in ("bin", "idx"):
+            outs["end"].write((total + np.cumsum(sizes)).astype("<i8").tobytes())
+            keys, known = b.column(0).fill_null(0).to_numpy(), b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            first = np.nonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (known[1:] != known[:-1])]))[0]
+            n = len(first)
+            columns = [pa.array(np.full(n, shard, np.int32)), pa.array(keys[first], pa.int64(), mask=~known[first]), pa.array(rows + first), pa.array(np.diff(np.append(first, len(keys)))), pa.array(np.add.reduceat(sizes, first))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RUNS.split(", ")])
+            rows, total = rows + len(keys), total + int(sizes.sum())
+        if outs:
+            outs["bin"].write(bytes(buffer))
+        for kind, out in outs.items():
+            out.close()
             store.move(f"{base}/{name}.{kind}.{attempt}", f"{base}/{name}.{kind}")
-        real = index.keys[index.known]
-        row = [task.partitionId(), f"{name}.bin", f"{name}.idx", len(keys), int(index.ends[-1]), int(real[0]) if len(real) else None, int(real[-1]) if len(real) else None]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], [c.split()[0] for c in MANIFEST.split(", ")])
-
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
-    return docs.sparkSession.read.parquet(f"{path}/manifest")
 
+    def build(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("shard", "ascending")])
+        index = KeyIndex(*(rows[c].to_numpy() for c in ("doc_id", "shard", "row", "n_rows")))
+        store, base = file_system(path)
+        number, attempt = rows["file"][0].as_py(), f"attempt-{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(f"{base}/index-{number:06d}.mph.{attempt}") as f:
+            f.write(index.to_bytes())
+        store.move(f"{base}/index-{number:06d}.mph.{attempt}", f"{base}/index-{number:06d}.mph")
+        return pa.table({"file": pa.array([number], pa.int32()), "n_keys": pa.array([len(index.fingers)], pa.int64())})
 
-def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files below ``path``."""
+    # Rows of one key are told apart by their place, so that ranges can divide them.
+    order = [F.col("doc_id").asc_nulls_first(), F.monotonically_increasing_id()]
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    spark = docs.sparkSession
+    ordered.mapInArrow(run, RUNS).write.parquet(f"{path}/runs")
+    runs = spark.read.parquet(f"{path}/runs")
+    runs.groupBy("shard").agg(F.sum("n_rows").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{path}/shards")
+    keyed = runs.where("doc_id is not null")
+    files = max(1, -(-keyed.count() // INDEX_KEYS))
+    entries = keyed.groupBy("doc_id", "shard").agg(F.min("row").alias("row"), F.sum("n_rows").alias("n_rows")).withColumn("file", index_file("doc_id", files))
+    entries.groupBy("file").applyInArrow(build, "file int, n_keys long").withColumn("files", F.lit(files)).write.parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/shards")
+
+
+def located(keys: DataFrame, path: str) -> DataFrame:
+    """doc_id, shard, row, n_rows of what is stored for each distinct key of ``keys`` (doc_id), by the index files; strange keys give no rows."""
     import pyarrow as pa
 
+    asked = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    one = keys.sparkSession.read.parquet(f"{path}/index").select("files").first()
+    if one is None:
+        return asked.where("false").selectExpr("doc_id", "0 as shard", "0L as row", "0L as n_rows")
+
     def run(batches):
         store, base = file_system(path)
+        opened: dict[int, KeyIndex | None] = {}
         for b in batches:
-            for idx, payload, start in zip(*(b.column(c).to_pylist() for c in ("idx", "bin", "start")), strict=True):
-                with store.open_input_file(f"{base}/{idx}") as f:
-                    index = ShardIndex.from_bytes(f.read())
-                begins = np.concatenate([[0], index.ends[:-1]])
-                row, count = index.find(index.keys[index.known])
-                at = np.nonzero(index.known)[0]
-                if not ((row >= 0) & (row <= at) & (at < row + count)).all():
-                    raise ValueError(f"{idx} doesn't lead to its rows")
-                with store.open_input_file(f"{base}/{payload}") as f:
-                    first = 0
-                    while first < len(begins):
-                        last = max(first + 1, int(np.searchsorted(index.ends, begins[first] + BLOCK // width, side="right")))
-                        f.seek(int(begins[first]) * width)
-                        ids = np.frombuffer(f.read(int(index.ends[last - 1] - begins[first]) * width), f"<u{width}").astype("<u4")
-                        own = [zlib.crc32(ids[s:e]) for s, e in zip(begins[first:last] - begins[first], index.ends[first:last] - begins[first], strict=True)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(index.keys[first:last], pa.int64(), mask=~index.known[first:last]), pa.array(begins[first:last] + start), pa.array(index.ends[first:last] - begins[first:last]), pa.array(own, pa.int64())],
-                            ["doc_id", "start", "n_tokens", "ids_crc32"],
-                        )
-                        first = last
-
-    manifest = spark.read.parquet(f"{path}/manifest")
-    n = max(1, manifest.count())
-    start = F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")  # one row a shard
-    return manifest.select("shard", "idx", "bin", start.alias("start")).repartitionByRange(n, "shard").drop("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            files, own = b.column(1).to_numpy(), b.column(0).to_numpy()
+            for file in np.unique(files):
+                if file not in opened:
+                    name = f"{base}/index-{file:06d}.mph"
+                    opened = {file: KeyIndex.from_bytes(store.open_input_file(name).read()) if store.get_file_info(name).is_file else None}
+                index, asked = opened[file], own[files == file]
+                if index is None:
+                    continue
+                which, entry = index.find(asked)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[which]), pa.array(index.shard[entry]), pa.array(index.row[entry]), pa.array(index.rows[entry])], ["doc_id", "shard", "row", "n_rows"])
 
+    return asked.select("doc_id", index_file("doc_id", one["files"]).alias("file")).repartition("file").sortWithinPartitions("file").mapInArrow(run, "doc_id long, shard int, row long, n_rows long")
 
-def fetch_ids(keys: DataFrame, path: str, width: int = 2) -> DataFrame:
-    """doc_id, ids array<long> of each row stored for each distinct key of ``keys`` (doc_id); strange keys give no rows."""
+
+def stored(places: DataFrame, path: str, width: int, schema: str, make) -> DataFrame:
+    """What ``make(doc_ids, begins, ends, payloads)`` gives (Arrow arrays as in the schema) for the rows at ``places`` (doc_id, shard, row, n_rows).
+
+    ``begins`` and ``ends`` are in ids of the shard; neighbouring rows are read together, in blocks.
+    """
     import pyarrow as pa
 
-    manifest = keys.sparkSession.read.parquet(f"{path}/manifest")
-    asked = keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    routed = asked.join(manifest.select("idx", "bin", "first_key", "last_key"), F.col("doc_id").between(F.col("first_key"), F.col("last_key"))).select("doc_id", "idx", "bin")
+    names = ["shard", *(c.split()[0] for c in schema.split(", "))]
+
+    def clusters(row, n_rows):
+        """(entries from, to) that stand close together."""
+        end = np.maximum.accumulate(row + n_rows)
+        cut = np.nonzero(row[1:] - end[:-1] > 512)[0] + 1
+        return zip([0, *cut.tolist()], [*cut.tolist(), len(row)], strict=True)
 
     def run(batches):
         store, base = file_system(path)
-        opened: dict[str, ShardIndex] = {}
         for b in batches:
-            out_keys, out_ids = [], []
-            for key, idx, payload in zip(*(b.column(c).to_pylist() for c in ("doc_id", "idx", "bin")), strict=True):
-                if idx not in opened:
-                    opened = {idx: ShardIndex.from_bytes(store.open_input_file(f"{base}/{idx}").read())}
-                index = opened[idx]
-                (first,), (count,) = index.find(np.array([key], np.int64))
-                with store.open_input_file(f"{base}/{payload}") as f:
-                    for row in range(first, first + count):
-                        begin = int(index.ends[row - 1]) if row else 0
-                        f.seek(begin * width)
-                        out_keys.append(key)
-                        out_ids.append(np.frombuffer(f.read((int(index.ends[row]) - begin) * width), f"<u{width}").tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
-
-    return routed.repartition("idx").sortWithinPartitions("idx").mapInArrow(run, "doc_id long, ids array<long>")
+            keys, shards, rows, counts = (b.column(i) for i in range(4))
+            shards, rows, counts = (c.to_numpy() for c in (shards, rows, counts))
+            for shard in np.unique(shards):
+                own = np.nonzero(shards == shard)[0]
+                own = own[np.argsort(rows[own], kind="stable")]
+                with store.open_input_file(f"{base}/shard-{shard:06d}.end") as marks, store.open_input_file(f"{base}/shard-{shard:06d}.bin") as payload:
+                    for a, z in clusters(rows[own], counts[own]):
+                        at = own[a:z]
+                        low, high = int(rows[at[0]]), int((rows[at] + counts[at]).max())
+                        marks.seek(max(0, low - 1) * 8)
+                        ends = np.frombuffer(marks.read((high - max(0, low - 1)) * 8), "<i8")
+                        ends = ends if low else np.concatenate([[0], ends])
+                        which = np.repeat(at, counts[at])
+                        row = np.repeat(rows[at] - (np.cumsum(counts[at]) - counts[at]), counts[at]) + np.arange(len(which)) - low
+                        begins, ends = ends[row], ends[row + 1]
+                        first = 0
+                        while first < len(which):
+                            last = max(first + 1, int(np.searchsorted(ends, begins[first] + BLOCK // width, side="right")))
+                            payload.seek(int(begins[first]) * width)
+                            data = np.frombuffer(payload.read(int(ends[last - 1] - begins[first]) * width), f"<u{width}")
+                            own_ids = [data[s:e] for s, e in zip((begins[first:last] - begins[first]).tolist(), (ends[first:last] - begins[first]).tolist(), strict=True)]
+                            made = make(keys.take(pa.array(which[first:last])), begins[first:last], ends[first:last], own_ids)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(last - first, shard, np.int32)), *made], names)
+                            first = last
+
+    # A key of many rows is read by many tasks.
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_rows") / SPAN_ROWS) - 1)).alias("step")
+    spans = places.select("doc_id", "shard", "row", "n_rows", step).select("doc_id", "shard", (F.col("row") + F.col("step") * SPAN_ROWS).alias("row"), F.least(F.lit(SPAN_ROWS), F.col("n_rows") - F.col("step") * SPAN_ROWS).alias("n_rows"))
+    dealt = spans.repartition("shard", F.floor(F.col("row") / SPAN_ROWS)).sortWithinPartitions("shard", "row")
+    return dealt.mapInArrow(run, f"shard int, {schema}")
+
+
+def read_ids(docs: DataFrame, path: str, width: int = 2) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row stored for the keys of ``docs`` (doc_id), found through the index, and of rows without a key."""
+    import pyarrow as pa
 
+    def digest(keys, begins, ends, ids):
+        return keys, pa.array(begins), pa.array(ends - begins), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64())
 
-def stored_ids(docs: DataFrame, tokenizer_path: str, end: int = 2) -> DataFrame:
-    """Write the shards to the shared folder and return what is read back from them."""
     spark = docs.sparkSession
-    path = scratch(spark, "ids")
+    unkeyed = spark.read.parquet(f"{path}/runs").where("doc_id is null").select("doc_id", "shard", "row", "n_rows")
+    found = stored(located(docs, path).unionByName(unkeyed), path, width, "doc_id long, begin long, n_tokens long, ids_crc32 long", digest)
+    ahead = F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")  # one row a shard
+    shards = spark.read.parquet(f"{path}/shards").select("shard", ahead.alias("ahead"))
+    return found.join(shards, "shard").select("doc_id", (F.col("ahead") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def fetch_ids(keys: DataFrame, path: str, width: int = 2) -> DataFrame:
+    """doc_id, ids array<long> of each row stored for each distinct key of ``keys`` (doc_id); strange keys give no rows."""
+    import pyarrow as pa
+
+    def lists(keys, begins, ends, ids):
+        values = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)
+        return keys, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends - begins)]), pa.int32()), pa.array(values))
+
+    return stored(located(keys, path), path, width, "doc_id long, ids array<long>", lists).select("doc_id", "ids")
+
+
+def stored_ids(docs: DataFrame, tokenizer_path: str, end: int = 2) -> DataFrame:
+    """Write the shards to the shared folder and return what is read back from them, each key through the index."""
+    path = scratch(docs.sparkSession, "ids")
     write_ids(docs, tokenizer_path, path, end)
-    return read_ids(spark, path, part_ids(tokenizer_path).kind.itemsize)
+    return read_ids(docs, path, part_ids(tokenizer_path).kind.itemsize)

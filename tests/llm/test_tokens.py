@@ -108,7 +108,7 @@ def test_shards_are_read_back_and_found_by_key(spark, hf, tmp_path):
     own, df = rows(spark)
     path = f"file://{tmp_path}/ids"
     assert write_ids(df.repartition(5), BYTES, path).agg({"n_docs": "sum"}).first()[0] == len(own)
-    got = read_ids(spark, path).collect()
+    got = read_ids(df, path).collect()
     want = {}
     for i, t in own:
         ids = hf.encode(t or "", add_special_tokens=False).ids + [2]
@@ -121,6 +121,10 @@ def test_shards_are_read_back_and_found_by_key(spark, hf, tmp_path):
     keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in in_order]
     assert keys == sorted(keys)
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(in_order, in_order[1:], strict=False))
+    many = spark.range(400).selectExpr("5L as doc_id", "concat('word ', id % 3) as text", "id as shard", "'x' as row")  # one key, more than one shard
+    write_ids(many.repartition(4), BYTES, f"file://{tmp_path}/many")
+    assert read_ids(many, f"file://{tmp_path}/many").selectExpr("sum(n_tokens)", "max(start)").collect() == [(1200, 1197)]
+    assert fetch_ids(many, f"file://{tmp_path}/many").count() == 400
     asked = spark.createDataFrame([(3,), (9999,), (123456,), (None,)], "doc_id long")
     found = fetch_ids(asked, path).collect()
     assert sorted(r["doc_id"] for r in found) == [3, 9999, 9999]
@@ -128,16 +132,20 @@ def test_shards_are_read_back_and_found_by_key(spark, hf, tmp_path):
 
 
 def test_perfect_hash_is_minimal_and_refuses_strangers():
-    from ledgerline.llm.id_shards import ShardIndex
+    from ledgerline.llm.id_shards import KeyIndex
 
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
-    index = ShardIndex.from_bytes(ShardIndex(keys, np.ones(len(keys), bool), np.arange(1, len(keys) + 1)).to_bytes())
+    twice = np.sort(np.concatenate([keys, keys[::7]]))
+    places = np.arange(len(twice))
+    index = KeyIndex.from_bytes(KeyIndex(twice, places % 9, places * 3, places + 1).to_bytes())
     assert sorted(index.hash.slots(keys).tolist()) == list(range(len(keys)))
-    assert (index.find(keys)[0] == np.arange(len(keys))).all()
+    which, entry = index.find(keys)
+    assert (np.sort(keys[which]) == twice).all() and (twice[index.row[entry] // 3] == keys[which]).all()
+    assert (index.rows[entry] == index.row[entry] // 3 + 1).all() and (index.shard[entry] == index.row[entry] // 3 % 9).all()
     strange = np.setdiff1d(np.arange(3000), keys)
-    assert (index.find(strange)[0] == -1).all()
-    empty = ShardIndex(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
-    assert (ShardIndex.from_bytes(empty.to_bytes()).find(strange)[0] == -1).all()
+    assert not len(index.find(strange)[0])
+    none = np.zeros(0, np.int64)
+    assert not len(KeyIndex.from_bytes(KeyIndex(none, none, none, none).to_bytes()).find(strange)[0])
 
 
 def test_empty_tables(spark, tmp_path):
@@ -149,14 +157,14 @@ def test_empty_tables(spark, tmp_path):
     assert piece_digests(none, PIECES).count() == 0
     assert pack(token_pieces(none, BYTES)).count() == 0
     write_ids(none, BYTES, f"file://{tmp_path}/none")
-    assert read_ids(spark, f"file://{tmp_path}/none").count() == 0
+    assert read_ids(none, f"file://{tmp_path}/none").count() == 0
 
 
 def test_packing_fills_sequences_without_gaps(spark, hf):
     from ledgerline.llm.packing import best_fit, pack, token_pieces
 
     own, df = rows(spark)
-    pieces = pack(token_pieces(df.select("*"), BYTES, size=64), size=64, open_bins=16, batch_bins=8, repack_bins=16).collect()
+    pieces = pack(token_pieces(df.select("*"), BYTES, size=64), size=64, open_bins=16, batch_bins=8).collect()
     ids = {}
     for i, t in own:
         ids.setdefault(i, []).append(hf.encode(t or "", add_special_tokens=False).ids + [0])
@@ -175,10 +183,91 @@ def test_packing_fills_sequences_without_gaps(spark, hf):
         assert at <= 64
     total = sum(r["length"] for r in pieces)
     assert len(by) <= 1.1 * -(-total // 64)
-    bins, offsets, _ = best_fit([40, 30, 24, 34, 10], 64, 2)
+    bins, offsets = best_fit([40, 30, 24, 34, 10], 64, 2)
     assert bins == [0, 1, 0, 1, 2] and offsets == [0, 0, 40, 30, 0]
 
 
+def plain_best_fit(lengths, size, open_bins):
+    """The rule by lists: the fullest open bin with room; the fullest of all closes; of equally full ones the last touched."""
+    open_, out, new = [], [], 0
+    for n in lengths:
+        room = [(free, -k) for k, (_, free) in enumerate(open_) if free >= n]
+        if room:
+            chosen, free = open_.pop(-min(room)[1])
+        else:
+            chosen, free, new = new, size, new + 1
+        out.append((chosen, size - free))
+        open_.append((chosen, free - n))
+        open_ = [x for x in open_ if x[1]]
+        if len(open_) > open_bins:
+            least = min(free for _, free in open_)
+            mine = open_[-1]
+            if mine[1] == least:
+                open_.pop()
+            else:
+                open_.pop(max(k for k, x in enumerate(open_) if x[1] == least))
+    return out
+
+
+def least_bins(lengths, size):
+    """The optimum by trying every place of every piece."""
+    best = len(lengths)
+
+    def place(k, frees):
+        nonlocal best
+        if len(frees) >= best:
+            return
+        if k == len(lengths):
+            best = len(frees)
+            return
+        for free in sorted(set(frees)):
+            if free >= lengths[k]:
+                rest = list(frees)
+                rest[rest.index(free)] -= lengths[k]
+                place(k + 1, rest)
+        place(k + 1, [*frees, size - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_best_fit_equals_its_rule_and_nears_the_optimum():
+    from ledgerline.llm.packing import arrival, best_fit
+
+    random.seed(6)
+    for open_bins in (1, 2, 5, 100):
+        lengths = [random.choice([1, 5, 17, 30, 40, 63, 64, random.randint(1, 64)]) for _ in range(400)]
+        assert list(zip(*best_fit(lengths, 64, open_bins), strict=True)) == plain_best_fit(lengths, 64, open_bins)
+    for _ in range(40):
+        lengths = np.array([random.randint(3, 40) for _ in range(9)])
+        order = arrival(np.array([random.getrandbits(40) for _ in lengths]), lengths, 4096)
+        bins, _ = best_fit(lengths[order].tolist(), 64, 4096)
+        assert max(bins) + 1 <= least_bins(sorted(lengths.tolist(), reverse=True), 64) + 1
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm.packing import pack
+
+    same = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("piece"), *(F.lit(x).cast("long").alias(c) for c, x in (("start", 0), ("length", 30), ("ids_crc32", 5))))
+    out = pack(same, size=64, open_bins=16, batch_bins=200).selectExpr("shiftright(sequence_id, 32) as batch").groupBy("batch").count().collect()
+    assert sum(r["count"] for r in out) == 4000 and len(out) >= 9 and max(r["count"] for r in out) < 1000
+
+
+def test_memo_in_one_call_equals_the_library(hf):
+    from ledgerline.llm import byte_bpe
+
+    own = texts() + ["word " * 9000 + "end", "é\x85 b\xa0 c <|endoftext|> d", " lead"]
+    for memo, group in ((50, 1 << 20), (1 << 18, 300)):
+        size, byte_bpe.GROUP = byte_bpe.GROUP, group
+        try:
+            got = [x.tolist() for x in byte_bpe.PartIds(BYTES, memo).of_many([*own, None], 2)]
+        finally:
+            byte_bpe.GROUP = size
+        assert got == [hf.encode(t, add_special_tokens=False).ids + [2] for t in [*own, ""]]
+
+
 def test_arrow_slices_keep_every_row():
     from ledgerline.llm.common import text_slices
 
