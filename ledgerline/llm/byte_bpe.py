@@ -8,6 +8,7 @@ spaces, each begins with the only token that starts with a space.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ MEMO_CHARS = 64
 #: Characters of text that are split and looked up together.
 GROUP = 1 << 20
 #: Parts in one call of the library.
-CALL = 4_096
+CALL = 512
 
 part_start = re.compile(r" (?=\S)")
 white = re.compile(r"\s")
@@ -32,6 +33,7 @@ white = re.compile(r"\s")
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)

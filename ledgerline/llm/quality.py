@@ -10,7 +10,8 @@ Scoring reads whole texts.  The score of an average is the average of scores, so
 keep one number for each bucket (vector times layer) instead of its vector.
 
 Null and empty texts, and texts without words, get the class prior of the layer's bias.
-Rows repeat as they come; other columns are ignored; without labels the score is 0.5.
+Texts of any length are read whole; rows repeat as they come, and equal texts score alike;
+other columns are ignored; without labels the score is 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from ledgerline.llm.common import remembered
 
 BUCKETS = 1 << 18
 DIM = 12
-#: Labelled documents learned from, at most.
-SAMPLE = 1_500
+#: Labelled documents learned from, at most, and distinct features of one that are: its most frequent.
+SAMPLE, FEATURES = 1_500, 1 << 14
 MEMO = 1 << 19
 NGRAMS = (3, 4, 5)
 SAME = 0  # the bucket of a repeated word
@@ -141,18 +142,28 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 5, r
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from (doc_id, text) and (doc_id, label 0 or 1): the ``sample`` labelled rows of smallest hash."""
-    chosen = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    """Learn from (doc_id, text) and (doc_id, label 0 or 1): the ``sample`` labelled documents of smallest hash.
+
+    A document is one row: of labels that share a doc_id the least counts, of rows that share one the text of smallest hash.
+    What comes to the driver is thus ``sample`` rows of at most FEATURES features.
+    """
+    one = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
 
     def run(batches):
         for b in batches:
-            made = [text_features(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array([x.astype("<i4").tobytes() for x, _ in made], pa.binary()), pa.array([y.astype("<f4").tobytes() for _, y in made], pa.binary())], ["label", "doc_id", "buckets", "counts"])
-
-    rows = texts.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "label int, doc_id long, buckets binary, counts binary").toArrow()
-    order = np.lexsort((rows["label"].to_numpy(), rows["doc_id"].to_numpy()))[: 2 * sample]  # the same order on every run
+            made = []
+            for x in b.column(1).to_pylist():
+                own, counts = text_features(x)
+                often = np.sort(np.argsort(-counts, kind="stable")[:FEATURES])
+                made.append((own[often].astype("<i4").tobytes(), counts[often].astype("<f4").tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), b.column(3), pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())], ["label", "doc_id", "place", "buckets", "counts"])
+
+    found = texts.select(F.col("doc_id").cast("long"), "text", "label", F.xxhash64("text").alias("place")).mapInArrow(run, "label int, doc_id long, place long, buckets binary, counts binary")
+    rows = found.groupBy("doc_id", "label").agg(F.min_by(F.struct("buckets", "counts"), "place").alias("own")).select("doc_id", "label", "own.*").toArrow()
     label, buckets, counts = (rows[c].to_pylist() for c in ("label", "buckets", "counts"))
+    order = np.argsort(rows["doc_id"].to_numpy())  # the same on every run
     return train([(label[i], np.frombuffer(buckets[i], "<i4"), np.frombuffer(counts[i], "<f4")) for i in order])
 
 
