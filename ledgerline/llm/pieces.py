@@ -6,17 +6,20 @@ byte it came from.  Pieces of the normalised text are thereby projected to spans
 the original bytes: spans follow one another without gaps and cover the text.
 Decoding joins the pieces' surfaces and bytes again.
 
-Nulls are empty texts (only the end id; decoded empty).  Rows repeat as they come, and
-other columns of the input are ignored.
+Nulls are empty texts (only the end id; decoded empty).  Texts of any length are encoded
+whole; rows repeat as they come, and other columns of the input are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,10 @@ from ledgerline.llm.common import remembered
 from ledgerline.llm.token_counts import MARK, MEMO, MEMO_CHARS, processor, split_words
 
 
+#: Every byte that is no UTF-8 becomes a U+FFFD of its own.
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
 def unpack_charsmap(blob: bytes) -> dict[bytes, bytes]:
     """All (source bytes -> replacement) rules of a compiled character map.
 
@@ -115,8 +122,11 @@ class Codec(dict):
         norm = spec.normalizer_spec
         self.normalise = Normaliser(norm.precompiled_charsmap, norm.remove_extra_whitespaces)
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in spec.pieces) and norm.add_dummy_prefix
+        unknown = spec.trainer_spec.unk_surface.encode()
         #: id -> the bytes that it stands for (markers as spaces)
-        self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else p.piece.replace(MARK, " ").encode() for p in spec.pieces]
+        self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else unknown if p.type == 2 else p.piece.replace(MARK, " ").encode() for p in spec.pieces]
+        #: ids whose piece begins with a marker: the dummy prefix, if they come first
+        self.marked = {i for i, p in enumerate(spec.pieces) if p.piece.startswith(MARK)}
         self.end = self.sp.eos_id()
 
     def __missing__(self, word: str):
@@ -125,7 +135,7 @@ class Codec(dict):
         else:  # a last space alone
             ids = self.sp.encode("a ")[len(self.sp.encode("a")) :]
         surfaces = [self.surface[i] for i in ids]
-        entry = (" ".join(map(str, ids)), len(ids), b"".join(surfaces).decode("utf-8", "replace"), np.array([len(s) for s in surfaces], "<u4").tobytes(), ids)
+        entry = (" ".join(map(str, ids)), len(ids), b"".join(surfaces).decode("utf-8", "each_byte"), np.array([len(s) for s in surfaces], "<u4").tobytes(), ids)
         if len(word) <= MEMO_CHARS:
             if len(self) >= self.memo:
                 self.clear()
@@ -150,8 +160,11 @@ class Codec(dict):
         return ends if origin is None else origin[ends]
 
     def decode(self, ids: list[int]) -> str:
-        """Joined surfaces, without the dummy prefix; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+        """Joined surfaces, without the dummy prefix; each byte that is no UTF-8 becomes a U+FFFD."""
+        runs = groupby((self.surface[i] for i in ids), key=bool)  # control pieces, which have no surface, part bytes
+        text = "".join([b"".join(run).decode("utf-8", "each_byte") for _, run in runs])
+        first = next((i for i in ids if self.surface[i]), None)
+        return text[1:] if first in self.marked else text
 
     def digest(self, text: str) -> tuple[int, str, str, int, int]:
         words, origin = self._words(text)
