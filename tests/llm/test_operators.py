@@ -76,6 +76,79 @@ def test_quality_learns_and_leaves_held_out_rows_alone(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def plain_train(examples, epochs=5, rate=0.4):
+    """The same descent written out number by number, on a dict of vectors."""
+    from ledgerline.llm.quality import BACK, BUCKETS, DIM
+
+    rng = np.random.default_rng(0)
+    start = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
+    vectors, layer, bias, done = {}, [[0.0, 0.0] for _ in range(DIM)], [0.0, 0.0], 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(examples)):
+            label, features = examples[i]
+            now, total = rate * (1 - done / (epochs * len(examples))), sum(features.values())
+            done += 1
+            own = {f: vectors.setdefault(f, start[f].tolist()) for f in features}
+            mean = [sum(c / total * own[f][d] for f, c in features.items()) for d in range(DIM)]
+            z = [sum(mean[d] * layer[d][k] for d in range(DIM)) + bias[k] for k in (0, 1)]
+            p = [np.exp(x - max(z)) for x in z]
+            p = [x / sum(p) - (k == label) for k, x in enumerate(p)]
+            back = [sum(layer[d][k] * p[k] for k in (0, 1)) for d in range(DIM)]
+            for d in range(DIM):
+                for k in (0, 1):
+                    layer[d][k] -= now * mean[d] * p[k]
+            for k in (0, 1):
+                bias[k] -= 0.1 * now * p[k]
+            for f, c in features.items():
+                for d in range(DIM):
+                    vectors[f][d] -= now * BACK * c / total * back[d]
+    return start, vectors, layer, bias
+
+
+def plain_features(text):
+    """Counts of hashed words, n-grams and pairs of a text, one by one."""
+    from ledgerline.llm.quality import BUCKETS, SAME
+
+    words, found = text.split(), collections.Counter()
+    for w in words:
+        marked = f"<{w}>".encode()
+        for gram in [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)] + [marked]:
+            found[zlib.crc32(gram) % (BUCKETS - 1) + 1] += 1
+    h = lambda w: zlib.crc32(w.encode()) << 32 | zlib.crc32(w.encode()[::-1])
+    for x, y in zip(words, words[1:], strict=False):
+        both = (h(x) * 0x9E3779B97F4A7C15 ^ h(y) * 0xC2B2AE3D27D4EB4F) & (1 << 64) - 1
+        both = (both ^ both >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        found[SAME if x == y else (both >> 33) % (BUCKETS - 1) + 1] += 1
+    return found
+
+
+def test_scores_equal_a_plain_trainer(spark):
+    from ledgerline.llm import quality
+
+    random.seed(4)
+    rows = [(i, " ".join(random.choices(["river", "stone", "stone", "xx##", "b$$$", "é"], k=random.randint(0, 12)))) for i in range(60)]
+    labels = {i: i % 2 for i in range(50)}
+    learned = [i for i in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    start, vectors, layer, bias = plain_train([(labels[i], plain_features(dict(rows)[i])) for i in learned])
+    got = quality.quality_scores(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, q, 0) for i, q in labels.items()], "doc_id long, quality int, toxic int")).collect()
+    for r in got:
+        features = plain_features(dict(rows)[r["doc_id"]])
+        total = max(1, sum(features.values()))
+        z = bias[1] - bias[0] + sum(c / total * sum(v * (layer[d][1] - layer[d][0]) for d, v in enumerate(vectors.get(f, start[f]))) for f, c in features.items())
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_the_sample_is_bounded_in_rows_and_features(spark, monkeypatch):
+    from ledgerline.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda examples: seen.extend(examples))
+    docs = spark.createDataFrame([(1, f"copy {i % 5}") for i in range(300)] + [(2, " ".join(f"w{i}x" for i in range(6000))), (3, "three")], SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, label int")
+    quality.fit(docs, labels)
+    assert sorted(x[0] for x in seen) == [0, 0, 1] and max(len(x[1]) for x in seen) == quality.FEATURES
+
+
 def test_projected_scores_equal_averaged_vectors():
     from ledgerline.llm import quality
 
@@ -109,19 +182,72 @@ def test_expansion_tables_and_round_trips(spark):
     assert out[2] is None and T.unwave(bytes(out[1]))[3][: 2 * len(wavy)] == back.astype("<i2").tobytes()
 
 
+def heard(data):
+    """(stored form, feature) of a payload, sample by sample from the rules."""
+    from ledgerline.llm.telephony import INDEX_MOVES, STEPS
+
+    form, samples = zlib.crc32(data) % 3, []
+    for start in range(0, len(data), 64):
+        if form == 2:
+            value, index = 0, 0
+            samples.append(0)
+            for code in (c for x in data[start : start + 64] for c in (x & 15, x >> 4)):
+                step = int(STEPS[index])
+                move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - move if code & 8 else value + move))
+                index = max(0, min(88, index + int(INDEX_MOVES[code])))
+                samples.append(value)
+            continue
+        for x in data[start : start + 64]:
+            if form == 0:
+                x ^= 255
+                size = ((((x & 15) << 3) + 132) << (x >> 4 & 7)) - 132
+                samples.append(-size if x & 128 else size)
+            else:
+                x ^= 0x55
+                size = ((x & 15) << 4) + 8 if not x >> 4 & 7 else ((x & 15) << 4) + 264 << ((x >> 4 & 7) - 1)
+                samples.append(size if x & 128 else -size)
+    sound = []
+    for k in range((len(samples) - 1) * 2000 // 8000 + 1):
+        left, part = divmod(k * 8000, 2000)
+        right = samples[min(left + 1, len(samples) - 1)]
+        sound.append(samples[left] + (right - samples[left]) * part // 2000)
+    turns = sum((x < 0) != (y < 0) for x, y in zip(sound, sound[1:], strict=False))
+    n = len(sound)
+    text = f"{n}:{sum(map(abs, sound)) // n}:{max(map(abs, sound))}:{turns}:{sum(x * x for x in sound) * 1000 // (n << 30)}"
+    body = b"".join(b"\0" * 4 + data[i : i + 64] for i in range(0, len(data), 64)) if form == 2 else data
+    code, bits, block, speed = ((7, 8, 1, 8000), (6, 8, 1, 8000), (17, 4, 68, 4000))[form]
+    fmt = b"fmt " + (16 + 2).to_bytes(4, "little") + b"".join(v.to_bytes(w, "little") for v, w in ((code, 2), (1, 2), (8000, 4), (speed, 4), (block, 2), (bits, 2), (0, 2)))
+    chunk = b"WAVE" + fmt + b"data" + len(body).to_bytes(4, "little") + body
+    return b"RIFF" + len(chunk).to_bytes(4, "little") + chunk, text
+
+
 def test_stored_media_hold_the_payload(spark):
     from ledgerline.llm import telephony as T
 
-    own = [(1, "abc"), (2, ""), (3, None), (4, "x" * 64), (5, "é" * 5000), (1, "abc"), (None, "q")]
-    got = T.stored_text_media(spark.createDataFrame(own, SCHEMA)).collect()
+    own = [(1, "abc"), (2, ""), (3, None), (4, "x" * 64), (5, "é" * 5000), (1, "abc"), (None, "q")] + [(10 + i, f"text {i} " * i) for i in range(12)]
+    got = T.stored_text_media(spark.createDataFrame(own, SCHEMA).selectExpr("*", "'x' as media", "1 as n_bytes")).collect()
     want = []
     for i, t in own:
         data = (t or "").encode()
         data += b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
-        want.append((i, len((t or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:])))
-    assert as_key((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == as_key(want)
-    assert len({r["feature"] for r in got if r["doc_id"] == 1}) == 1
+        media, text = heard(data)
+        want.append((i, len((t or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), text))
+    assert as_key(map(tuple, got)) == as_key(want)
     assert T.stored_text_media(spark.createDataFrame([], SCHEMA)).count() == 0
+    broken = spark.createDataFrame([(1, b"RIFF"), (2, None), (3, b"no sound at all")], "id int, media binary")
+    assert [r["media"] for r in T.decode_media(broken).collect()] == [None] * 3
+    none = T.media_digests(broken.selectExpr("id as doc_id", "0L as n_bytes", "media", "media as pcm")).collect()
+    assert all(r["payload_bytes"] is None and r["feature"] is None for r in none)
+
+
+def test_long_sounds_in_pieces_are_the_same(monkeypatch):
+    from ledgerline.llm import telephony as T
+
+    sound = np.random.default_rng(3).integers(-30000, 30000, 5000).astype(np.int16)
+    whole = [T.resample(sound, 8000, r) for r in (2000, 12000)], T.feature(sound)
+    monkeypatch.setattr(T, "PIECE", 7)
+    assert all((a == b).all() for a, b in zip(whole[0], [T.resample(sound, 8000, r) for r in (2000, 12000)], strict=True)) and T.feature(sound) == whole[1]
 
 
 # ---- repeated bytes
@@ -220,6 +346,38 @@ def test_components_equal_brute_force(spark):
     assert shingle_join(df.limit(0)).count() == 0 and one_of_each(df.limit(0)).count() == 0
 
 
+def test_large_groups_are_divided_and_lose_no_pair(spark, monkeypatch):
+    from ledgerline.llm import shingle_join as S
+
+    monkeypatch.setattr(S, "GROUP", 5)
+    monkeypatch.setattr(S, "LARGE", 3)
+    random.seed(12)
+    base = [f"w{i}" for i in range(60)]
+    own = []
+    for i in range(70):  # many near copies of one text, of which many are no links of each other
+        w = list(base)
+        for k in random.sample(range(60), random.randint(0, 5)):
+            w[k] = random.choice(["x", "y", "z"])
+        own.append((i, " ".join(w)))
+    df = spark.createDataFrame(own, SCHEMA)
+    assert as_key(map(tuple, S.shingle_join(df).collect())) == as_key(brute_components(own))
+    sets = S.shingle_sets(pa.array([t for _, t in own]))
+    nodes = spark.createDataFrame([(S.signature(s), len(s), bytearray(S.histogram(s))) for s in sets], "sig long, n int, bins binary").dropDuplicates(["sig"])
+    docs = S.keyed(df)
+    nodes = nodes.join(S.survey(docs).where("sig is not null").groupBy("sig").agg({"key": "min"}).withColumnRenamed("min(key)", "key"), "sig")
+    live = spark.createDataFrame([(int(h), S.signature(s), len(s), p) for s in sets for p, h in enumerate(s.view(np.int64)[: S.prefix_length(len(s))].tolist())], "hash long, sig long, n int, pos int").dropDuplicates(["hash", "sig"])
+    alone = spark.createDataFrame([], "sig long, comp long")
+    got = {(r["a"], r["b"]) for r in S.across(S.apart(live, alone), nodes, docs).collect()}
+    by = {S.signature(s): s for s in sets}
+    want = set()
+    for x in by:
+        for y in by:
+            both = len(np.intersect1d(by[x], by[y]))
+            if (len(by[x]), x) < (len(by[y]), y) and both >= S.needed(len(by[x]), len(by[y])):
+                want.add((x, y))
+    assert want and want <= got and len(got) < 1.2 * len(want) + 5
+
+
 def test_frequent_shingles_come_last():
     from ledgerline.llm.shingle_join import needed, prefix_length, rare_first
 

@@ -81,6 +81,17 @@ def test_pieces_equal_the_library_and_cover_the_bytes(spark, sp):
             assert not r["ends"] or (r["ends"][-1] == len(text.encode()) and r["ends"] == sorted(r["ends"]))
 
 
+def test_any_ids_decode_as_the_library_does(sp):
+    from ledgerline.llm.pieces import Codec
+
+    random.seed(1)
+    codec = Codec(PIECES)
+    pool = [0, 1, 2, *range(3, 259), *map(sp.piece_to_id, ("▁the", "▁", "a", "▁▁", "é")), *range(300, 320)]
+    for _ in range(5000):
+        ids = random.choices(pool, k=random.randint(0, 6))
+        assert codec.decode(ids) == sp.decode(ids)
+
+
 def test_compiled_maps_are_unpacked_and_matched_longest_first():
     import sentencepiece
 
