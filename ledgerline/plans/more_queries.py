@@ -159,19 +159,6 @@ def group_key(spark, sf_dir):
     return option_rows(spark, sf_dir).groupBy(F.coalesce(F.col("akey").cast("string"), F.concat(F.lit("index:"), "idx")).alias("group_key")).agg(F.count("*").alias("n"))
 
 
-@query(f"{WITH} SELECT decision, prompt AS kind, n AS options, 1 AS least, 1 AS most FROM dec")
-def build_prompt(spark, sf_dir):
-    df = decisions(spark, sf_dir)
-    return df.select("decision", R.prompt_type().alias("kind"), R.option_count().alias("options"), F.col("select.minCount").alias("least"), F.col("select.maxCount").alias("most"))
-
-
-@query(f"{WITH}, m AS (SELECT d.decision, min(o.idx) AS matched FROM dec d JOIN opt o ON o.decision = d.decision AND o.part = d.pick_part GROUP BY 1) SELECT decision, matched FROM m")
-def match_response(spark, sf_dir):
-    """The answer names a part; it is matched to the first option of that part."""
-    answers = picks(spark, sf_dir).select("decision", F.col("pick_part").alias("part"))
-    return answers.join(option_rows(spark, sf_dir).select("decision", "part", "idx"), ["decision", "part"]).groupBy("decision").agg(F.min("idx").alias("matched"))
-
-
 @query(f"{STATES} SELECT game, seq, count(*) OVER w AS seen, CASE WHEN zone NOT IN ('error', 'signup') THEN object END AS object FROM st WINDOW w AS (PARTITION BY game ORDER BY seq)")
 def snapshot_view(spark, sf_dir):
     w = Window.partitionBy("game").orderBy("seq")

@@ -56,6 +56,20 @@ def discover(spark: SparkSession, root: str, pattern: str = "*", limit: int = 10
     return rows.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")).orderBy("file").limit(limit)
 
 
+def read_log(spark: SparkSession, path: str, header: str) -> DataFrame:
+    """file, entry (from 1), header, text of raw logs below a path: bytes that are no UTF-8 are replaced, a line that fits the header opens an entry.
+
+    A file is one row of bytes while it is cut into lines; lines before the first header are an entry without one.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    lines = rows.select("file", F.posexplode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("line", "value"))
+    opens = F.col("value").rlike(header)
+    w = Window.partitionBy("file").orderBy("line")
+    entries = lines.withColumns({"opens": opens, "entry": F.sum(F.when(opens | (F.col("line") == 0), 1).otherwise(0)).over(w)})
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("opens"), F.struct("line", "value")))), lambda x: x["value"]), "\n")
+    return entries.groupBy("file", "entry").agg(F.max(F.when(F.col("opens"), F.col("value"))).alias("header"), body.alias("text"))
+
+
 def decode_bytes(content: Column) -> Column:
     """UTF-8 (a mark at the start goes), UTF-16 by its mark, else Latin text."""
     utf16 = content.substr(1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
