@@ -63,6 +63,43 @@ def baseline_select(df: DataFrame, least: Column, n: Column) -> Column:
     return F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<long>"))
 
 
+#: Fixed pattern: words, numbers with a sign, and marks of a rules text.
+RULES_WORDS = r"[a-z0-9]+(?:/[a-z0-9]+)?|[+\-]\d+|[{}():,]"
+
+
+def hash_features_of(text: Column) -> Column:
+    """Features of a text: words ('w:'), 3-grams of words of three letters on and 4-grams of words of five on, between marks."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({RULES_WORDS})"), 1)
+
+    def grams(word: Column, n: int, least: int) -> Column:
+        marked = F.concat(F.lit("^"), word, F.lit("$"))
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1))
+        return F.when(F.length(word) >= least, F.transform(places, lambda i: F.concat(F.lit(f"c{n}:"), F.substr(marked, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(words, lambda w: F.concat(F.array(F.concat(F.lit("w:"), w)), grams(w, 3, 3), grams(w, 4, 5))))
+
+
+def hash_embedding(df: DataFrame, text: str, dim: int = 384) -> DataFrame:
+    """The frame with vector: signed hashes of a text's features, of length 1 unless empty; computed once for each distinct text."""
+    import hashlib
+
+    import numpy as np
+
+    def one(own) -> list[float]:
+        h = np.array([int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little") for f in own], np.uint64)
+        v = np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), -1.0, 1.0), dim) if len(h) else np.zeros(dim)
+        n = np.linalg.norm(v)
+        return (v / n if n else v).tolist()
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"text_": frame["text_"], "vector": frame["features_"].map(one)})
+
+    distinct = df.select(F.col(text).alias("text_")).distinct().withColumn("features_", hash_features_of(F.col("text_")))
+    vectors = distinct.mapInPandas(run, "text_ string, vector array<double>")
+    return df.join(vectors, F.col(text).eqNullSafe(F.col("text_")), "left").drop("text_")
+
+
 def steps(df: DataFrame, run: str, order: str, state: str, final: Column) -> DataFrame:
     """before and after of each step: the next step's state, or the final one."""
     return df.select("*", F.col(state).alias("before"), F.coalesce(F.lead(state).over(Window.partitionBy(run).orderBy(order)), final).alias("after"))

@@ -105,12 +105,6 @@ def prompt_type(spark, sf_dir):
     return decisions(spark, sf_dir).groupBy(R.prompt_type().alias("prompt")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, 'brand=' || p_brand || ' name=' || p_name || ' size=' || p_size AS text FROM part")
-def flatten_text(spark, sf_dir):
-    pairs = F.sort_array(F.array(F.concat(F.lit("name="), "p_name"), F.concat(F.lit("brand="), "p_brand"), F.concat(F.lit("size="), "p_size")))
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(pairs, " ").alias("text"))
-
-
 @query(f"SELECT {KEYS}, round(tanh(l_quantity / 20), 6) AS x FROM lineitem")
 def norm(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select(*LINE, F.round(T.norm(F.col("l_quantity"), 20), 6).alias("x"))

@@ -68,23 +68,6 @@ def run_slug(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.run_slug(F.col("p_partkey"), F.lit("run"), F.concat_ws(" / ", "p_name", "p_type")).alias("slug"))
 
 
-@query(f"{WITH} SELECT decision, sha256(game || chr(1) || seq || chr(1) || prompt) AS fingerprint FROM dec")
-def fingerprint(spark, sf_dir):
-    return picks(spark, sf_dir).select("decision", T.sha_key(F.col("gameId"), F.col("sequenceNumber"), F.col("prompt"), sep="\u0001").alias("fingerprint"))
-
-
-@query(f"{STATES} SELECT game, zone, count(DISTINCT sha256(zone || chr(1) || coalesce(object::VARCHAR, ''))) AS distinct_states FROM st GROUP BY 1, 2")
-def semantic_fingerprint(spark, sf_dir):
-    rows = states(spark, sf_dir).withColumn("f", T.sha_key(F.col("zone"), F.col("object"), sep="\u0001"))
-    return rows.groupBy("game", "zone").agg(F.countDistinct("f").alias("distinct_states"))
-
-
-@query(f"{WITH} SELECT decision, 'v1|' || sha256(game || chr(1) || seq || chr(1) || prompt) || '|model-a' AS cache_key FROM dec")
-def cache_key(spark, sf_dir):
-    own = fingerprint(spark, sf_dir)
-    return own.select("decision", F.concat_ws("|", F.lit("v1"), "fingerprint", F.lit("model-a")).alias("cache_key"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'PLAY_LAND' WHEN p_partkey % 4 = 1 THEN 'CAST_SPELL' WHEN p_partkey % 4 = 2 THEN 'ACTIVATE' ELSE 'PASS_PRIORITY' END AS action FROM part")
 def action_type_norm(spark, sf_dir):
     k = F.col("p_partkey") % 4
@@ -114,12 +97,6 @@ def hash_features(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.hash_features(F.col("p_name"), 16).alias("vector"))
 
 
-@query(f"{STATES} SELECT id, round(tanh(reading / 50), 6) AS x, round(tanh((reading - coalesce(lag(reading) OVER (PARTITION BY game ORDER BY seq), 0)) / 50), 6) AS d FROM st")
-def causal_delta_vector(spark, sf_dir):
-    before = F.coalesce(F.lag("reading").over(Window.partitionBy("game").orderBy("seq")), F.lit(0.0))
-    return states(spark, sf_dir).select("id", F.round(T.norm(F.col("reading"), 50), 6).alias("x"), F.round(T.delta(before, F.col("reading"), 50), 6).alias("d"))
-
-
 @query(f"{WITH} SELECT decision, n + 1 AS legal, 32 AS slots FROM dec")
 def action_mask(spark, sf_dir):
     rows = picks(spark, sf_dir).select("decision", T.action_mask(F.col("n"), F.lit(0), 32).alias("m"))

@@ -70,6 +70,59 @@ def read_log(spark: SparkSession, path: str, header: str) -> DataFrame:
     return entries.groupBy("file", "entry").agg(F.max(F.when(F.col("opens"), F.col("value"))).alias("header"), body.alias("text"))
 
 
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """file, state (typed, absent lists empty) of JSONL files of canonical states; a line that is no object is an error."""
+    from ledgerline.operators.boards import OBJECTS, PLAYERS, SCALARS
+
+    rows, _ = read_jsonl(spark, path)
+    kind = ", ".join(f"{k}: {v}" for k, v in {**SCALARS, "players": PLAYERS, "objects": OBJECTS}.items())
+    state = F.from_json("value", f"struct<{kind}>")
+    fields = [F.coalesce(state[k], F.array().cast(t)).alias(k) for k, t in (("players", PLAYERS), ("objects", OBJECTS))]
+    return rows.select("file", F.struct(*(state[k].alias(k) for k in SCALARS), *fields).alias("state"))
+
+
+#: Fixed values of factor ontologies.
+ONTOLOGY_VERSION, ONTOLOGY_KIND = 1, "expert-factor-ontology-v1"
+
+
+def read_ontology(spark: SparkSession, path: str) -> DataFrame:
+    """name, transform, scale, sign of the factors of an ontology file: a list, or an object with version, kind and factors.
+
+    Another version or kind, no factors, or a factor without a name or named twice is an error.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    get = lambda p, kind="string": F.try_variant_get("v", p, kind)
+    listed = F.coalesce(get("$.factors", "array<variant>"), get("$", "array<variant>"))
+    names = F.transform(listed, lambda f: F.try_variant_get(f, "$.name", "string"))
+    wrong = (
+        F.when(get("$.schemaVersion", "int") != ONTOLOGY_VERSION, "unsupported ontology version")
+        .when(get("$.kind") != ONTOLOGY_KIND, "not a factor ontology")
+        .when(F.coalesce(F.size(listed), F.lit(0)) < 1, "an ontology needs factors")
+        .when(F.exists(names, lambda n: n.isNull()) | (F.size(F.array_distinct(names)) < F.size(names)), "factors need names of their own")
+    )
+    rows = text.select(F.explode(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("array<variant>")).otherwise(listed)).alias("f"))
+    of = lambda p, kind="string": F.try_variant_get("f", f"$.{p}", kind)
+    return rows.select(of("name").alias("name"), F.coalesce(of("transform"), F.lit("identity")).alias("transform"), F.coalesce(of("scale", "double"), F.lit(1.0)).alias("scale"), F.coalesce(of("sign", "int"), F.lit(1)).alias("sign"))
+
+
+#: File names of a run's states, decisions and ready transitions (fixed values).
+STATES_FILE, DECISIONS_FILE, TRANSITIONS_FILE = "mirror_states.jsonl", "decisions.jsonl", "transitions.jsonl"
+
+
+def read_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """run (folder), kind, value of the lines of all runs below a path; the file's name (or that of a folder of its parts) tells the kind.
+
+    Ready transitions count only in runs that have neither states nor decisions; other names are decisions.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
+    place = r"^(.*)/([^/]+\.jsonl)(?:/[^/]+)?$"
+    name = F.regexp_extract("file", place, 2)
+    kind = F.when(name == STATES_FILE, "states").when(name == TRANSITIONS_FILE, "transitions").otherwise("decisions")
+    rows = lines.select(F.regexp_extract("file", place, 1).alias("run"), kind.alias("kind"), "value")
+    made = rows.where("kind <> 'transitions'").select("run").distinct()
+    return rows.where("kind <> 'transitions'").unionByName(rows.where("kind = 'transitions'").join(made, "run", "left_anti"))
+
+
 def decode_bytes(content: Column) -> Column:
     """UTF-8 (a mark at the start goes), UTF-16 by its mark, else Latin text."""
     utf16 = content.substr(1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
