@@ -8,10 +8,16 @@ result.  Linked sets share a shingle of their prefixes; nodes meet on those shin
 Pairs go through length, positional and suffix filters and are verified once, on texts:
 
 1. along chains and hubs of each prefix shingle, each node with its most shared partners;
-2. among nodes of one shingle that the links of 1 leave in different components: the likeliest
-   pair of each two components, then every pair that the filters admit and that is still
-   apart.  Links within a component would not change it, so large groups of copies are
-   never expanded into pairs.
+2. on each shingle, one node of each component that the links of 1 leave, with one of the
+   largest component there and one of the next; of those, each component's likeliest;
+3. every pair of one shingle whose nodes are still in different components and that the
+   filters admit: first the likeliest of each two components, then all that are left.
+
+Links within a component would not change it, so large groups of copies are never expanded
+into pairs.  In step 3 the pairs of a shingle are only looked at where its nodes are together;
+those that pass go on.  Of many nodes the high bits of all shingles are there too, which
+bound what two of them share by little more than it is.  Groups of more than GROUP nodes are divided into chunks, two
+of which meet in a task.
 
 Null texts and texts without words have an empty set: no links, their own component.  Rows
 that repeat are copies.  A row without doc_id takes part, and its component is the
@@ -22,17 +28,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import Rolling, cut, forget, key_bits, may_hold, mixed, text_bytes, text_slices, written
+from ledgerline.llm.common import Rolling, forget, key_bits, may_hold, mixed, remove, scratch, text_bytes, text_slices, written
 
 WORDS = 5
 #: Shingles ordered last at most (the order only); the count among so many shingles of a task that makes one known as frequent.
 FREQUENT, SEEN, SLICE = 1 << 16, 4, 600_000
 STEP = 0xD6E8FEB86659FD93
-BINS = 256
+#: Bins of a set's histogram, at least and at most; between them there is about one for each shingle.
+BINS, MOST_BINS = 256, 4_096
+#: Nodes of a shingle that one task takes together (two chunks of this size), and those beyond which 16 bits of every shingle of a node go along.
+GROUP, LARGE = 2_048, 64
+#: Shingles of the largest set whose high bits go along, and sets of them that a task keeps.
+SKETCHED, HELD = 2_048, 1_024
+#: Pairs that a task looks at together, and those whose histograms it compares together.
+PAIRS, COMPARED = 1 << 19, 1 << 14
+#: Pairs that a component tries in step 2.
+TRIES = 2
 
 
 def shingle_sets(column) -> list[np.ndarray]:
@@ -83,6 +99,23 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
 
+def histogram(own: np.ndarray) -> bytes:
+    """Numbers of shingles by the highest bits of their hashes, 255 at most."""
+    bits = min(MOST_BINS, max(BINS, len(own))).bit_length() - 1
+    return np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).clip(max=255).astype(np.uint8).tobytes()
+
+
+def least_sum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """No more shingles are common than this, by histograms in rows; a full bin (255) may hold any number."""
+    bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    return np.where((x.max(axis=1, initial=0) == 255) | (y.max(axis=1, initial=0) == 255), np.iinfo(np.int64).max // 8, bound)
+
+
+def high_bits(own: np.ndarray) -> np.ndarray:
+    """The distinct highest 16 bits of a set's hashes."""
+    return np.unique((own >> np.uint64(48)).astype("<u2"))
+
+
 def survey(docs: DataFrame) -> DataFrame:
     """One row for each text (key, doc_id, n, sig, bins), and rows (hash, seen) of shingles found often in a slice."""
 
@@ -101,7 +134,7 @@ def survey(docs: DataFrame) -> DataFrame:
             for first, part in text_slices(b.column(2)):
                 sets = shingle_sets(part)
                 k = len(sets)
-                bins = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS).clip(max=255).astype(np.uint8).tobytes() for s in sets]
+                bins = [histogram(s) for s in sets]
                 own = [pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.int64()), pa.array(bins, pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k), b.column(1).slice(first, k), *own, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
                 waiting += sets
@@ -176,32 +209,139 @@ def chains_and_hubs(live: DataFrame) -> DataFrame:
     return shared.withColumn("best", best).where("best = 1").select("a", "b", "na", "nb").distinct()
 
 
-def across(live: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b of all pairs on a shingle that length and positional filters admit and whose components (sig, comp) differ."""
+def apart(live: DataFrame, comps: DataFrame) -> DataFrame:
+    """hash, sig, n, pos, comp, met (nodes of the shingle) of the shingles whose nodes are in different components (sig, comp)."""
     w = Window.partitionBy("hash")
-    own = live.join(nodes, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    own = cut(own.withColumns({"least": F.min("comp").over(w), "most": F.max("comp").over(w)}).where("least <> most").drop("least", "most"))
-    a, b = (own.select("hash", *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "pos", "comp"))) for s in "ab")
-    index = a.where(F.col("pos_a") <= F.col("n_a") - F.ceil(6 * F.col("n_a") / 7))  # the prefix that is enough against sets not smaller
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    before = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("sig_a") < F.col("sig_b")))
-    admitted = before & (F.col("comp_a") != F.col("comp_b")) & length_filter(F.col("n_b"), F.col("n_a")) & (7 * rest >= 3 * (F.col("n_a") + F.col("n_b")))
-    return index.join(b, (index["hash"] == b["hash"]) & admitted).select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
+    own = live.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    return own.withColumns({"least": F.min("comp").over(w), "most": F.max("comp").over(w), "met": F.count("*").over(w)}).where("least <> most").drop("least", "most")
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """a, b, na, nb of the distinct pairs of structs x, y (sig, n) that the length filter admits; a is the smaller set, then the smaller sig."""
+    a, b = F.least("x", "y"), F.greatest("x", "y")
+    rows = pairs.where("x is not null and y is not null").select(a.alias("a"), b.alias("b"))
+    return rows.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).where((F.col("a") != F.col("b")) & length_filter(F.col("nb"), F.col("na"))).distinct()
+
+
+def between_components(own: DataFrame) -> DataFrame:
+    """a, b, na, nb: on each shingle a node of each component with one of the largest component and one of the next larger."""
+    one = F.min_by(F.struct("n", "sig"), F.xxhash64("sig", "hash")).alias("x")
+    some = own.groupBy("hash", "comp").agg(F.count("*").alias("size"), one)
+    w = Window.partitionBy("hash").orderBy(F.desc("size"), "comp")
+    met = some.select("x", F.first("x").over(w).alias("hub"), F.lag("x").over(w).alias("next"))
+    return in_order(met.select("x", F.explode(F.array("hub", "next")).alias("y")))
+
+
+def met_pairs(hashes, cell, role, sig, n, pos, comp, sketches: list[bytes | None]) -> np.ndarray:
+    """(a, b, na, nb) rows of the pairs of one (hash, cell) that length, positional and suffix filters admit and whose components differ.
+
+    Rows of one (hash, cell) stand together; role 0: only b, 1: only a, 2: either; sketches: high bits of the sets, where they are known.
+    """
+    first = np.nonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (cell[1:] != cell[:-1])]))[0]
+    size = np.diff(np.append(first, len(hashes)))
+    group = np.repeat(np.arange(len(first)), size)
+    known = np.array([x is not None for x in sketches])
+    flat = np.frombuffer(b"".join(x for x in sketches if x is not None), "<u2")
+    held = np.array([len(x) // 2 if x is not None else 0 for x in sketches])
+    bins = np.bincount(np.repeat(np.arange(len(held)), held) * BINS + (flat >> 8), minlength=len(held) * BINS).clip(max=255).reshape(-1, BINS).astype(np.uint8)
+    lost = n - held  # shingles whose bits another has too
+    sets: dict[int, frozenset] = {}
+
+    def common(i: int, j: int) -> int:
+        if len(sets) > HELD:
+            sets.clear()
+        for k in (i, j):
+            if k not in sets:
+                sets[k] = frozenset(np.frombuffer(sketches[k], "<u2").tolist())
+        return len(sets[i] & sets[j])
+
+    left = np.nonzero((role != 0) & (pos <= n - -(-6 * n // 7)))[0]  # the prefix that is enough against sets not smaller
+    times = size[group[left]]
+    found, at, ends = [], 0, np.cumsum(times)
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        own, k = left[at:to], times[at:to]
+        i = np.repeat(own, k)
+        j = np.repeat(first[group[own]] - (np.cumsum(k) - k), k) + np.arange(len(i))
+        ok = (comp[i] != comp[j]) & (role[j] != 1) & (4 * n[i] >= 3 * n[j]) & ((n[i] < n[j]) | ((n[i] == n[j]) & (sig[i] < sig[j])))
+        ok &= 7 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 3 * (n[i] + n[j])
+        i, j = i[ok], j[ok]
+        sure = ~(known[i] & known[j])
+        for c in range(0, len(i), COMPARED):
+            x, y = i[c : c + COMPARED], j[c : c + COMPARED]
+            spare = np.minimum(lost[x], lost[y])
+            near = 7 * (least_sum(bins[x], bins[y]) + spare) >= 3 * (n[x] + n[y])
+            for k in np.nonzero(near & ~sure[c : c + COMPARED])[0].tolist():
+                sure[c + k] = 7 * (common(int(x[k]), int(y[k])) + spare[k]) >= 3 * (n[x[k]] + n[y[k]])
+        found.append(np.stack([sig[i[sure]], sig[j[sure]], n[i[sure]], n[j[sure]]], axis=1))
+        at = to
+    return np.unique(np.concatenate([*found, np.zeros((0, 4), np.int64)]), axis=0)
+
+
+@F.arrow_udf(T.BinaryType())
+def sketched(texts: pa.Array) -> pa.Array:
+    return pa.array([high_bits(s).tobytes() if len(s) <= SKETCHED else None for _, part in text_slices(texts) for s in shingle_sets(part)], pa.binary())
+
+
+def across(own: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, na, nb of all pairs on a shingle that the filters admit and whose components differ."""
+    own = written(own, "apart")
+    large = own.where(F.col("met") > LARGE)
+    keys = written(nodes.select("sig", "key").join(large.select("sig").distinct(), "sig"), "keys")
+    near = may_hold(docs.select("key", "text"), key_bits(keys)).where("held_").select("key", sketched("text").alias("few"))
+    few = keys.join(near.dropDuplicates(["key"]), "key").select("sig", "few")
+    narrow = large.join(few, "sig").unionByName(own.where(F.col("met") <= LARGE).withColumn("few", F.lit(None).cast("binary")))
+    chunks = F.ceil(F.col("met") / GROUP).cast("int")
+    mine = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    place = lambda cell, role: F.struct(cell.alias("cell"), F.lit(role).alias("role"))
+    halves = F.concat(F.transform(every, lambda k: place(F.col("mine") * F.col("chunks") + k, 1)), F.transform(every, lambda k: place(k * F.col("chunks") + F.col("mine"), 0)))
+    rows = narrow.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("place", F.explode(F.when(F.col("chunks") == 1, F.array(place(F.lit(0), 2))).otherwise(halves)))
+    dealt = rows.select("hash", "place.cell", "place.role", "sig", "n", "pos", "comp", "few").repartition("hash", "cell").sortWithinPartitions("hash", "cell")
+
+    def run(batches):
+        forget()
+        waiting: list[pa.RecordBatch] = []
+
+        def pairs(rows: pa.Table) -> pa.RecordBatch:
+            columns = [rows.column(k).to_numpy().astype(np.int64) for k in range(7)]
+            out = met_pairs(*columns, rows.column(7).to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32)), pa.array(out[:, 3].astype(np.int32))], ["a", "b", "na", "nb"])
+
+        for b in batches:
+            key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
+            new = np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0]
+            last = [(w.column(0)[-1].as_py(), w.column(1)[-1].as_py()) for w in waiting[-1:]]
+            if last and b.num_rows and last[0] != (int(key[0, 0]), int(key[1, 0])):
+                yield pairs(pa.Table.from_batches(waiting))
+                waiting = []
+            if len(new):
+                yield pairs(pa.Table.from_batches([*waiting, b.slice(0, int(new[-1]) + 1)]))
+                waiting = [b.slice(int(new[-1]) + 1)]
+            elif b.num_rows:
+                waiting.append(b)
+        if waiting:
+            yield pairs(pa.Table.from_batches(waiting))
+
+    return dealt.mapInArrow(run, "a long, b long, na int, nb int").distinct()
 
 
 @F.arrow_udf(T.LongType())
 def bins_in_common(left: pa.Array, right: pa.Array) -> pa.Array:
-    """No more shingles are common than this: summed least counts of the bins; a full bin (255) may hold any number."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in (left, right))
-    bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-    return pa.array(np.where((x.max(axis=1, initial=0) == 255) | (y.max(axis=1, initial=0) == 255), np.iinfo(np.int64).max // 8, bound))
+    sizes = np.stack([pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (left, right)], axis=1)
+    out = np.zeros(len(left), np.int64)
+    for pair in np.unique(sizes, axis=0):  # the finer histogram is added up to the bins of the other
+        own = np.nonzero((sizes == pair).all(axis=1))[0]
+        rows = [np.frombuffer(b"".join(c.take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), pair.min(), -1).sum(axis=2, dtype=np.int64).clip(max=255) for c in (left, right)]
+        out[own] = least_sum(*rows)
+    return pa.array(out)
 
 
 @F.arrow_udf(T.BooleanType())
 def linked(left: pa.Array, right: pa.Array) -> pa.Array:
     out = []
-    for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-        a, b = shingle_sets(pa.array([x, y], pa.string()))
+    for k in range(len(left)):
+        a, b = shingle_sets(pa.array([left[k].as_py(), right[k].as_py()], pa.string()))
         out.append(len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b)))
     return pa.array(out, pa.bool_())
 
@@ -215,7 +355,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b, key_a, key_b) that are links, by both texts."""
-    pairs = cut(pairs.select("a", "b", "key_a", "key_b"))
+    pairs = written(pairs.select("a", "b", "key_a", "key_b"), "pairs")
     keys = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
     near = may_hold(docs.select("key", "text"), key_bits(keys)).where("held_")
     of = lambda s: near.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
@@ -230,23 +370,27 @@ def still_apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.withColumns({"ca": F.least(x, y), "cb": F.greatest(x, y)}).where("ca <> cb")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """sig, comp (the smallest sig reachable) of every sig of the edges (a, b), by large and small stars."""
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    for _ in range(most):
+def components(edges: DataFrame) -> DataFrame:
+    """sig, comp (the smallest sig reachable) of every sig of the edges (a, b), by large and small stars.
+
+    Every round leaves either fewer nodes at a distance from their component's least one or, at the end, the
+    same edges; the rounds grow with the logarithm of the longest path.
+    """
+    spark, state, path = edges.sparkSession, None, scratch(edges.sparkSession, "edges")
+    edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().write.parquet(path)
+    while True:
+        edges = spark.read.parquet(path)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state, old, path = now, path, scratch(spark, "edges")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
+        small.distinct().write.parquet(path)
+        remove(spark, old)
     return edges.select(F.col("u").alias("sig"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("sig"), F.col("v").alias("comp")).distinct())
 
 
@@ -256,6 +400,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long"), text.alias("text"))
 
 
+def joined_by(pairs: DataFrame, docs: DataFrame, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those pairs (a, b, key_a, key_b) that are links."""
+    found = written(verified(pairs, docs), "links")
+    if found.isEmpty():
+        return links, comps
+    links = links.unionByName(found)
+    return links, components(links)
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """key, doc_id, n, comp (null for empty sets) of every row of docs (key, doc_id, text)."""
     found = written(survey(docs), "shingles")
@@ -268,22 +421,24 @@ def joined(docs: DataFrame) -> DataFrame:
     live = met.withColumns({"least": F.min("sig").over(w), "most": F.max("sig").over(w)}).where("least <> most").select("hash", "sig", "n", "pos").dropDuplicates(["hash", "sig"])
     live = written(live, "live")
 
-    nodes = cut(nodes.join(live.select("sig").distinct(), "sig"))
+    nodes = written(nodes.join(live.select("sig").distinct(), "sig"), "nodes")
+
+    first = written(chains_and_hubs(live), "pairs")
+    links = written(verified(bounded(first, nodes), docs), "links")
+    comps = components(links)
 
-    first = cut(chains_and_hubs(live))
-    links = cut(verified(bounded(first, nodes), docs))
-    comps = cut(components(links))
+    likeliest = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("bound") / (F.col("na") + F.col("nb"))), "a", "b"))
+    some = still_apart(bounded(between_components(apart(live, comps)).join(first, ["a", "b"], "left_anti"), nodes), comps)
+    some = some.withColumn("comp", F.explode(F.array("ca", "cb"))).withColumn("place", likeliest(["comp"])).where(F.col("place") <= TRIES)
+    some = written(some.select("a", "b", "key_a", "key_b").distinct(), "pairs")
+    tried = first.select("a", "b").unionByName(some.select("a", "b"))
+    links, comps = joined_by(some, docs, links, comps)
 
-    second = cut(still_apart(bounded(across(live, comps).join(first, ["a", "b"], "left_anti"), nodes), comps))
-    place = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc(F.col("bound") / (F.col("na") + F.col("nb"))), "a", "b"))
-    best = cut(second.withColumn("place", place).where("place = 1"))
-    for more in (best, None):  # the likeliest pair of each two components, then all that are still apart
-        if more is None:
-            more = still_apart(second.join(best.select("a", "b"), ["a", "b"], "left_anti"), comps)
-        found = cut(verified(more, docs))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = cut(components(links))
+    second = written(still_apart(bounded(across(apart(live, comps), nodes, docs).join(tried, ["a", "b"], "left_anti"), nodes), comps), "pairs")
+    best = written(second.withColumn("place", likeliest(["ca", "cb"])).where("place = 1"), "pairs")
+    links, comps = joined_by(best, docs, links, comps)
+    rest = still_apart(second.join(best.select("a", "b"), ["a", "b"], "left_anti"), comps)
+    links, comps = joined_by(rest, docs, links, comps)
 
     named = rows.select("key", "doc_id", "n", "sig").join(comps, "sig", "left")
     return named.select("key", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "sig")).alias("comp"))
@@ -302,10 +457,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Only rows that may be copies are shuffled; a key filter lets the others pass.
     """
-    rows = cut(joined(keyed(docs)).where("comp is not null"))
+    rows = written(joined(keyed(docs)).where("comp is not null"), "rows")
     first = F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
     copies = rows.groupBy("comp").agg(first, F.count("*").alias("n")).where("n > 1")
-    keys = cut(rows.join(copies, "comp").select("key", (F.col("key") == F.col("first")).alias("stays_")).distinct())
+    keys = written(rows.join(copies, "comp").select("key", (F.col("key") == F.col("first")).alias("stays_")).distinct(), "keys")
     marked = may_hold(docs.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))), key_bits(keys))
     place = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
     some = marked.where("held_").join(keys, "key", "left").withColumn("place_", F.when(F.col("stays_"), place))
