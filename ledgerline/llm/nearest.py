@@ -1,16 +1,20 @@
 """Operator 1: approximate nearest neighbours by cross-polytope hashing.
 
 Unit vectors are turned by pseudo-rotations (three rounds of random signs and a fast
-Hadamard transform) and hashed to the nearest signed axis, once for each table.  Every
-vector is indexed in every table; queries probe the axes nearest to them, and the
-candidates found are reranked by the exact distance of the original vectors.
-
-Groups of one bucket are dealt in chunks of bounded size, so a bucket that holds much of the
-table is many tasks; each task returns only its nearest few for each query, never all pairs.
-
-Vectors that are null, zero or hold null or non-finite components take no part.  Vectors are
-compared with those of their own dimension.  Ties go to the smaller id; rows that share an
-id count as one, by the nearer vector; an empty table gives no rows.
+Hadamard transform); two of them, each hashed to the nearest signed axis, make a bucket of a
+table, so that a bucket holds about one in the square of the axes.  Every vector is indexed in
+every table.  Queries probe the buckets whose axes lie nearest to them: PROBES a table, and in
+small tables so many that CANDIDATES vectors are to be expected.  Only ids meet in buckets;
+the distinct pairs of a query and a candidate are reranked by the exact distance of the
+original vectors, in blocks of candidates and queries of bounded size, and a block returns
+only the nearest few of each query.  A query that finds fewer than k is answered
+from all vectors in the same blocks.
+
+Of equal vectors the k + 1 smallest ids are indexed: no query can need more.  Vectors that are
+null, zero or hold null or non-finite components take no part.  Vectors are compared with those
+of their own dimension.  Ties go to the smaller id; rows that share an id count as one, by the
+nearer vector, and are no candidates of each other; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut
+from ledgerline.llm.common import written
 
-TABLES, PROBES, CHUNK = 16, 8, 4_096
-#: Neighbouring axes that one task takes together.
-AXES = 16
+#: Tables; buckets probed in each, at least; candidates of a query to be expected, at least.
+TABLES, PROBES, CANDIDATES = 32, 48, 1_500
+#: Candidates and queries of a block.
+BLOCK, QUERIES = 8_192, 4_096
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -36,92 +41,136 @@ def hadamard(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(n)
 
 
-def axes(unit: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The nearest signed axes of each row under the rotation of this table, nearest first; axis a + d is -a."""
+def turned(unit: np.ndarray, rotation: int) -> np.ndarray:
+    """How near each row is to each signed axis under a rotation; axis a + d is -a."""
     n = 1 << max(0, unit.shape[1] - 1).bit_length()
-    turned = np.zeros((len(unit), n))
-    turned[:, : unit.shape[1]] = unit
-    signs = np.random.default_rng([table, n]).choice([-1.0, 1.0], (3, n))
-    for s in signs:
-        turned = hadamard(turned * s)
-    both = np.concatenate([turned, -turned], axis=1)
+    out = np.zeros((len(unit), n))
+    out[:, : unit.shape[1]] = unit
+    for s in np.random.default_rng([rotation, n]).choice([-1.0, 1.0], (3, n)):
+        out = hadamard(out * s)
+    return np.concatenate([out, -out], axis=1)
+
+
+def buckets(unit: np.ndarray, table: int, probes: int) -> np.ndarray:
+    """The nearest buckets of each row in this table, nearest first."""
+    one, two = turned(unit, 2 * table), turned(unit, 2 * table + 1)
+    n = one.shape[1]
     if probes == 1:
-        return both.argmax(axis=1)[:, None]
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+        return (one.argmax(axis=1) * n + two.argmax(axis=1))[:, None]
+    few = min(n, 2 * int(np.ceil(np.sqrt(probes))))  # axes of either rotation that are combined
+    first, second = (np.argsort(-x, axis=1, kind="stable")[:, :few] for x in (one, two))
+    sums = np.take_along_axis(one, first, 1)[:, :, None] + np.take_along_axis(two, second, 1)[:, None, :]
+    best = np.argsort(-sums.reshape(len(unit), -1), axis=1, kind="stable")[:, :probes]
+    return np.take_along_axis(first, best // few, 1) * n + np.take_along_axis(second, best % few, 1)
+
+
+def probes_of(n: int, axes: int, tables: int, least: int, candidates: int) -> int:
+    """Buckets that a query probes in each table of n vectors."""
+    return min(axes * axes, max(least, -(-candidates * axes * axes // max(1, tables * n))))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, vec (doubles) of the vectors that take part."""
+    """dim, vec_id, vec (doubles) of the vectors that take part."""
     v = F.col("vec")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & v.isNotNull() & sound)
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & v.isNotNull() & sound)
+    return rows.select(F.size("vec").alias("dim"), "vec_id", "vec")
 
 
-def hashed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
-    """A row for each vector, table and probe: dim, table, axis, vec_id, vec (bytes of doubles)."""
+def hashed(vectors: DataFrame, tables: int, probing: tuple[int, int] | None = None) -> DataFrame:
+    """dim, table, bucket, id of each vector (dim, vec_id, vec); with ``probing`` (least, candidates) of all that it probes, by the column n of its table's size."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-            dims = np.diff(lists.offsets.to_numpy())
+            dims, ids, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             starts = np.concatenate([[0], np.cumsum(dims)])
             for dim in np.unique(dims):
                 own = np.nonzero(dims == dim)[0]
                 x = flat[starts[own][:, None] + np.arange(dim)]
-                big = np.abs(x).max(axis=1, keepdims=True)  # first, so that no square overflows
-                unit = x / big
+                unit = x / np.abs(x).max(axis=1, keepdims=True)  # first, so that no square overflows
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                raw = [r.tobytes() for r in x]
+                probes = 1
+                if probing:
+                    probes = probes_of(int(b.column(3)[int(own[0])].as_py()), 2 << max(0, int(dim) - 1).bit_length(), tables, *probing)
+                step = max(1, (1 << 22) // max(4 * probes, 2 * int(dim)))
                 for t in range(tables):
-                    found = axes(unit, t, probes)
-                    for p in range(found.shape[1]):
-                        n = len(own)
+                    for i in range(0, len(own), step):
+                        found = buckets(unit[i : i + step], t, probes)
+                        n = found.size
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(found[:, p].astype(np.int32)), pa.array(ids[own]), pa.array(raw, pa.binary())],
-                            ["dim", "table", "axis", "vec_id", "vec"],
+                            [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(found.ravel().astype(np.int64)), pa.array(np.repeat(ids[own[i : i + step]], found.shape[1]))],
+                            ["dim", "table", "bucket", "id"],
                         )
 
-    return vectors.mapInArrow(run, "dim int, table int, axis int, vec_id long, vec binary")
+    return vectors.mapInArrow(run, "dim int, table int, bucket long, id long")
 
 
-def nearest_in_chunk(k: int, block: int = 1 << 22):
+def nearest_in_block(k: int, compared: int = 1 << 21):
+    """The k nearest of each query among the candidates of a block: all, or those that it is paired with."""
     import pandas as pd
 
-    def run(index, queries):
+    def run(vectors, asked):
         found = []
-        for axis in np.intersect1d(index["axis"], queries["axis"]):
-            own, asked = index[index["axis"] == axis], queries[queries["axis"] == axis]
-            x, q = (np.frombuffer(b"".join(f["vec"]), np.float64).reshape(len(f), -1) for f in (own, asked))
-            ids = own["vec_id"].to_numpy()
-            step = max(1, block // max(1, x.size))
-            for i in range(0, len(q), step):
-                with np.errstate(over="ignore"):
-                    gap = np.sqrt(((x[None] - q[i : i + step, None]) ** 2).sum(axis=2))
-                for row, query in zip(gap, asked["vec_id"].to_numpy()[i : i + step], strict=True):
-                    near = np.nonzero(ids != query)[0]
-                    if len(near) > k:
-                        near = near[row[near] <= np.partition(row[near], k - 1)[k - 1]]
-                    near = near[np.lexsort((ids[near], row[near]))][:k]
-                    found.append((np.full(len(near), query), ids[near], row[near]))
+        vectors, asked = (f.sort_values("id", kind="stable") for f in (vectors, asked))
+        ids, x = vectors["id"].to_numpy(), np.stack(vectors["vec"].to_list()) if len(vectors) else np.zeros((0, 1))
+        queries, pairs = asked[asked["vec"].notna()], asked[asked["vec"].isna()]
+        wanted = pairs["candidate"].to_numpy(np.int64)
+        first, last = (np.searchsorted(pairs["id"].to_numpy(), queries["id"].to_numpy(), side=s) for s in ("left", "right"))
+        for query, q, every, a, z in zip(queries["id"].to_numpy(), queries["vec"].to_list(), queries["every"].to_numpy(), first, last, strict=True):
+            own = np.arange(len(ids)) if every else np.nonzero(np.isin(ids, wanted[a:z]))[0]
+            own = own[ids[own] != query]
+            if not len(own):
+                continue
+            step = max(1, compared // max(1, len(q)))
+            with np.errstate(over="ignore"):
+                gap = np.concatenate([np.sqrt(((x[own[i : i + step]] - np.asarray(q)) ** 2).sum(axis=1)) for i in range(0, len(own), step)])
+            order = np.lexsort((gap, ids[own]))  # of rows of one id the nearest
+            order = order[np.concatenate([[True], ids[own[order[1:]]] != ids[own[order[:-1]]]])]
+            order = order[np.lexsort((ids[own[order]], gap[order]))][:k]
+            found.append((np.full(len(order), query), ids[own[order]], gap[order]))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, probes: int = PROBES, chunk: int = CHUNK) -> DataFrame:
+def candidate_pairs(good: DataFrame, sizes: DataFrame, is_query: Column, k: int, tables: int, probes: int, candidates: int) -> DataFrame:
+    """dim, id, candidate: the distinct pairs of a query and a vector that share a probed bucket."""
+    place = F.row_number().over(Window.partitionBy("dim", "vec").orderBy("vec_id"))
+    distinct = good.withColumn("place_", place).where(F.col("place_") <= k + 1).select("dim", "vec_id", "vec")
+    index = hashed(distinct, tables).withColumnRenamed("id", "candidate")
+    asked = hashed(good.where(is_query).join(sizes, "dim").select("dim", "vec_id", "vec", "n"), tables, (probes, candidates))
+    return index.join(asked, ["dim", "table", "bucket"]).where("id <> candidate").select("dim", "id", "candidate").distinct()
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, probes: int = PROBES, candidates: int = CANDIDATES, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of the k nearest candidates of each query."""
     good = usable(vectors)
-    index = hashed(good, tables, 1)
-    # At most tables * 2 * dim rows for each dimension; a chunk for each so many vectors of a bucket.
-    key = ["dim", "table", "axis"]
-    chunks = cut(index.groupBy(key).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")))
-    dealt = index.join(chunks, key).select(*key, F.pmod(F.xxhash64("vec_id", "vec"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "vec")
-    asked = hashed(good.where(is_query), tables, probes).join(chunks, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "vec")
-    group = lambda df: df.toDF("dim", "table", "axis", "chunk", "vec_id", "vec").groupBy("dim", "table", F.floor(F.col("axis") / AXES), "chunk")
-    found = group(dealt).cogroup(group(asked)).applyInPandas(nearest_in_chunk(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    # One row for each dimension.
+    sizes = written(good.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("asked")), "sizes")
+    pairs = written(candidate_pairs(good, sizes, is_query, k, tables, probes, candidates), "pairs")
+    groups = ["dim", "part", "team"]
+    parts, teams = F.ceil(F.col("n") / block), F.ceil(F.greatest(F.col("asked"), F.lit(1)) / queries)
+    part, team = (lambda c: F.pmod(F.xxhash64(c), parts)), (lambda c: F.pmod(F.xxhash64(c), teams))
+    sized = good.join(sizes, "dim")
+    stock = sized.select("dim", part("vec_id").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), teams - 1)).alias("team"), F.col("vec_id").alias("id"), "vec")
+    asked = sized.where(is_query).select("dim", F.col("vec_id").alias("id"), "vec", parts.alias("parts"), team("vec_id").alias("team"))
+
+    def answers(rows: DataFrame) -> DataFrame:
+        own = lambda df: df.toDF(*df.columns).groupBy(*groups)  # noqa: E731  both sides come from the same columns
+        out = own(stock).cogroup(own(rows)).applyInPandas(nearest_in_block(k), "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        best = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+    met = pairs.join(sizes, "dim").select("dim", part("candidate").alias("part"), team("id").alias("team"), "id", "candidate")
+    came = asked.join(met.select("dim", "part", "id").distinct(), ["dim", "id"]).select(*groups, "id", F.lit(None).cast("long").alias("candidate"), "vec", F.lit(False).alias("every"))
+    found = written(answers(came.unionByName(met.select(*groups, "id", "candidate", F.lit(None).cast("array<double>").alias("vec"), F.lit(False).alias("every")))), "found")
+    enough = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("found")).where(F.col("found") >= k).select("id")
+    short = written(asked.join(enough, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    every = short.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "team", "id", F.lit(None).cast("long").alias("candidate"), "vec", F.lit(True).alias("every"))
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(answers(every))
