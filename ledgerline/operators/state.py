@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from itertools import combinations
 
 import pandas as pd
@@ -121,16 +122,13 @@ def redact(df: DataFrame, column: str, sensitive: tuple[str, ...], pseudonyms: t
 
 
 def running_scores(df: DataFrame, decay: float = 0.5) -> DataFrame:
-    """game, seq, score: a scorer with memory; each row adds its reading to the decayed memory of its game."""
+    """game, seq, score: a scorer with memory; each row adds its reading to the decayed memory of its game.
 
-    def step(frame: pd.DataFrame) -> pd.DataFrame:
-        memory, rows = 0.0, []
-        for r in frame.sort_values("seq").itertuples():
-            memory = decay * memory + r.reading
-            rows.append((r.game, r.seq, memory))
-        return pd.DataFrame(rows, columns=["game", "seq", "score"])
-
-    return df.select("game", "seq", "reading").groupBy("game").applyInPandas(step, "game long, seq long, score double")
+    What is older than the decay to 2 ** -64 can't change a double any more, so the frame is so many rows.
+    """
+    frame = math.ceil(64 / -math.log2(decay))
+    recent = F.collect_list("reading").over(Window.partitionBy("game").orderBy("seq").rowsBetween(1 - frame, 0))
+    return df.select("game", "seq", F.aggregate(recent, F.lit(0.0), lambda memory, x: memory * decay + x).alias("score"))
 
 
 def embed_distinct(df: DataFrame, text: str, dim: int = 16) -> DataFrame:

@@ -148,12 +148,23 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def split_groups(df: DataFrame, group: str, fraction: float, seed: int = 0) -> DataFrame:
-    """held_out for whole groups: the round(n * fraction) of the smallest hash, at least 1 and at most n - 1."""
-    groups = df.select(group).distinct().withColumn("h_", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")), 256))
-    n = groups.count()
+    """held_out for whole groups: the round(n * fraction) of the smallest hash, at least 1 and at most n - 1.
+
+    Counts of 65,536 ranges of the hash tell which ranges are held out whole; only the range at the border is sorted.
+    """
+    hashed = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")), 256)
+    groups = df.select(group).distinct().withColumn("h_", hashed).withColumn("range_", F.substring("h_", 1, 4))
+    counts = sorted((r["range_"], r["count"]) for r in groups.groupBy("range_").count().collect())
+    n = sum(c for _, c in counts)
     take = min(max(1, round(n * fraction)), n - 1) if n > 1 else 0
-    held = groups.orderBy("h_", group).limit(take).select(group, F.lit(True).alias("held_out"))
-    return df.join(held, group, "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    border, left = "", take
+    for border, c in counts:
+        if left < c:
+            break
+        left -= c
+    rest = groups.where(F.col("range_") == border).orderBy("h_", group).limit(left).select(group, F.lit(True).alias("border_"))
+    whole = F.substring(hashed, 1, 4) < border
+    return df.join(rest, group, "left").withColumn("held_out", F.lit(take > 0) & F.coalesce(whole | F.coalesce("border_", F.lit(False)), F.lit(False))).drop("border_")
 
 
 def take_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
@@ -169,15 +180,33 @@ def vector_spread(df: DataFrame, vector: str) -> DataFrame:
 
 
 def effective_rank(df: DataFrame, vector: str) -> float:
-    """exp of the entropy of the covariance's eigenvalue shares; the covariance is d x d, summed in Spark."""
+    """exp of the entropy of the covariance's eigenvalue shares.
+
+    Every task sums its own d x d products; Spark sums those, and the driver gets d x d numbers.  Vectors that are null,
+    or hold a null, and those of another length than the longest don't count.
+    """
     import numpy as np
+    import pyarrow as pa
+
+    sound = df.select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    d = sound.agg(F.max(F.size("v"))).first()[0] or 0
+
+    def run(batches):
+        total = np.zeros((d + 1, d + 1))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
+            x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange((d + 1) ** 2)), pa.array(total.ravel())], ["place", "total"])
 
-    pairs = df.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v_")).select("i", "x", F.posexplode("v_").alias("j", "y")).where("i <= j")
-    rows = pairs.groupBy("i", "j").agg(F.covar_pop(F.col("x").cast("double"), F.col("y").cast("double")).alias("c")).collect()
-    d = 1 + max(r["j"] for r in rows) if rows else 0
-    matrix = np.zeros((d, d))
+    rows = sound.where(F.size("v") == d).mapInArrow(run, "place long, total double").groupBy("place").agg(F.sum("total").alias("total")).collect() if d else []
+    sums = np.zeros((d + 1) ** 2)
     for r in rows:
-        matrix[r["i"], r["j"]] = matrix[r["j"], r["i"]] = r["c"]
-    values = np.clip(np.linalg.eigvalsh(matrix), 0, None) if d else np.zeros(0)
-    share = values[values > 0] / values.sum() if values.sum() > 0 else values
+        sums[r["place"]] = r["total"]
+    sums = sums.reshape(d + 1, d + 1)
+    if not sums[d, d]:
+        return 0.0
+    mean = sums[d, :d] / sums[d, d]
+    values = np.clip(np.linalg.eigvalsh(sums[:d, :d] / sums[d, d] - np.outer(mean, mean)), 0, None)
+    share = values[values > 0] / values.sum() if values.sum() > 0 else np.zeros(0)
     return float(np.exp(-(share * np.log(share)).sum())) if len(share) else 0.0

@@ -70,11 +70,6 @@ def explode_zone_objects(spark, sf_dir):
     return zones.select("game", "zone", F.explode("objects").alias("object")).groupBy("game", "zone", "object").agg(F.count("*").alias("n"))
 
 
-@query(f"{STATES} SELECT id, CASE WHEN zone NOT IN ('error', 'signup') THEN object END AS object FROM st")
-def redact_snapshot(spark, sf_dir):
-    return states(spark, sf_dir).select("id", F.when(~F.col("zone").isin("error", "signup"), F.col("object")).alias("object"))
-
-
 @query(f"{STATES} SELECT id, zone <> 'error' AS kept FROM st")
 def redact_history(spark, sf_dir):
     rows = read(spark, sf_dir, "events").withColumn("props", F.when(F.col("event_type") != "error", F.col("props")))
@@ -97,11 +92,6 @@ def counter_map(spark, sf_dir):
     return C.counter_map(states(spark, sf_dir), ["game"], "zone", "object").select("game", F.explode("counters").alias("kind", "n"))
 
 
-@query(f"{STATES} SELECT game, zone, count(object) AS n FROM st GROUP BY 1, 2")
-def zone_counts(spark, sf_dir):
-    return states(spark, sf_dir).groupBy("game", "zone").agg(F.count("object").alias("n"))
-
-
 @query("SELECT l_orderkey AS deck, count(DISTINCT CASE WHEN p_brand = 'Brand#2' THEN p_name END) = 0 AS valid FROM lineitem JOIN (SELECT p_partkey, p_name || ' ' || p_partkey AS p_name, p_brand FROM part) ON p_partkey = l_partkey GROUP BY 1")
 def validate_deck(spark, sf_dir):
     part = read(spark, sf_dir, "part").withColumn("name", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")))
@@ -122,12 +112,6 @@ def forbidden_key_scan(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", C.forbidden_keys(raw, C.SENSITIVE).alias("forbidden"))
 
 
-@query(f"{STATES} SELECT game, count(*) FILTER (zone = 'error' AND object % 2 = 0) AS leaks, count(*) FILTER (zone = 'error' AND object % 2 = 0) = 0 AS passed FROM st GROUP BY 1")
-def hidden_leak_check(spark, sf_dir):
-    leak = F.count(F.when((F.col("zone") == "error") & (F.col("object") % 2 == 0), 1))
-    return states(spark, sf_dir).groupBy("game").agg(leak.alias("leaks"), (leak == 0).alias("passed"))
-
-
 @query("SELECT conv_id, turn, regexp_matches(lower(text), 'draw|cast|play|attack|block|damage|counter|target|trigger|mulligan|keep|concede|wins|loses') AS worth FROM conversations")
 def worth_preserving(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", C.worth_keeping(F.col("text")).alias("worth"))
@@ -159,22 +143,6 @@ def check_preferences(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", error.alias("error"))
 
 
-@query(f"{WITH} SELECT decision, count(*) AS options, bool_and(score_a IS NOT NULL) AS finite FROM opt GROUP BY 1")
-def check_analysis_scores(spark, sf_dir):
-    finite = F.every(F.col("score_a").isNotNull() & ~F.isnan("score_a") & (F.abs("score_a") < float("inf")))
-    return option_rows(spark, sf_dir).groupBy("decision").agg(F.count("*").alias("options"), finite.alias("finite"))
-
-
-@query("SELECT count(*) AS labels, count(DISTINCT p_name) AS distinct_labels, count(*) = count(DISTINCT p_name) AS unique FROM part".replace("AS unique", 'AS "unique"'))
-def check_vocabulary(spark, sf_dir):
-    return read(spark, sf_dir, "part").agg(F.count("*").alias("labels"), F.countDistinct("p_name").alias("distinct_labels"), (F.count("*") == F.countDistinct("p_name")).alias("unique"))
-
-
-@query(f"{STATES} SELECT game, bool_or(zone = 'error' AND object = 0) AS over FROM st GROUP BY 1".replace("AS over", 'AS "over"'))
-def is_game_over(spark, sf_dir):
-    return states(spark, sf_dir).groupBy("game").agg(F.some((F.col("zone") == "error") & (F.col("object") == 0)).alias("over"))
-
-
 @query(f"{WITH}, p AS (SELECT decision, game, seq, list_sort(list(part)) AS deck FROM opt JOIN dec USING (decision, game) GROUP BY ALL) SELECT decision, deck IS DISTINCT FROM lag(deck) OVER (PARTITION BY game ORDER BY seq) AS changed FROM p")
 def join_sideboard(spark, sf_dir):
     decks = decisions(spark, sf_dir).select("decision", "gameId", "sequenceNumber", F.transform("select.option", lambda o: o["part"]).alias("deck"))
@@ -229,11 +197,6 @@ def selection_metrics(spark, sf_dir):
     return C.selection_metrics(option_rows(spark, sf_dir).withColumn("pos", F.col("price") > 40000), ["decision"], "score_a", "pos")
 
 
-@query("SELECT o_custkey AS run, bool_and(o_totalprice > 20000) AS verified FROM orders GROUP BY 1")
-def verification_summary(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.every(F.col("o_totalprice") > 20000).alias("verified"))
-
-
 @query(f"{STATES} SELECT game, string_agg(DISTINCT upper(left(zone, 1)), '' ORDER BY upper(left(zone, 1))) AS colors FROM st WHERE object % 3 = 0 GROUP BY 1")
 def colors_seen(spark, sf_dir):
     return states(spark, sf_dir).where("object % 3 = 0").groupBy("game").agg(F.array_join(F.array_sort(F.collect_set(F.upper(F.substring("zone", 1, 1)))), "").alias("colors"))
@@ -260,11 +223,6 @@ def sequence_context(spark, sf_dir):
     return picks(spark, sf_dir).select("decision", T.sha_key(F.lit("m"), F.col("gameId"), F.col("sequenceNumber"), sep="|").alias("context"))
 
 
-@query(f"{WITH} SELECT decision, '[\"' || source || '\",' || game || ']' AS game_key, source || '|' || (game % 7) AS pair_key FROM dec")
-def game_key(spark, sf_dir):
-    return picks(spark, sf_dir).select("decision", F.format_string('["%s",%d]', "source", "gameId").alias("game_key"), F.concat_ws("|", "source", (F.col("gameId") % 7).cast("string")).alias("pair_key"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(0.7 * ln(1 + l_quantity) - 2 * l_discount, 6) AS utility, round(-(0.7 * ln(1 + l_quantity) - 2 * l_discount), 6) AS cost, round(1 / (1 + exp(-(0.7 * ln(1 + l_quantity) - 2 * l_discount))), 6) AS preference, round(0.9 * l_tax - l_discount, 6) AS shaped FROM lineitem")
 def utility(spark, sf_dir):
     u = C.utility({"q": 0.7, "d": -2.0}, {"q": S.oriented(F.col("l_quantity"), "log1p"), "d": F.col("l_discount")})

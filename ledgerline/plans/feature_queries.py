@@ -92,12 +92,6 @@ def draft_state(spark, sf_dir):
     return X.running_pack(picks(spark, sf_dir), "gameId", "sequenceNumber", "pick_part", F.col("prompt") == "1-URGENT").select("decision", "picked")
 
 
-@query(f"{WITH} SELECT decision, CASE WHEN game % 3 = 2 THEN -1 ELSE game % 3 END AS winner FROM dec WHERE terminal")
-def winner_seat(spark, sf_dir):
-    winner = F.col("gameId") % 3
-    return picks(spark, sf_dir).where("terminal").select("decision", F.when(winner == 2, -1).otherwise(winner).alias("winner"))
-
-
 @query(f"{WITH} SELECT CASE WHEN n > 6 THEN 'too_many_options' ELSE 'kept' END AS reason, count(*) AS n, sum(n)::BIGINT AS options FROM dec GROUP BY 1")
 def ranker_examples(spark, sf_dir):
     return picks(spark, sf_dir).groupBy(F.when(F.col("n") > 6, "too_many_options").otherwise("kept").alias("reason")).agg(F.count("*").alias("n_"), F.sum("n").alias("options")).withColumnRenamed("n_", "n")

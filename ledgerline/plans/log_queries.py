@@ -153,8 +153,8 @@ def stream_sinks(spark, sf_dir):
     path, out = shared_folder(spark, "decisions"), shared_folder(spark, "sinks")
     picks(spark, sf_dir).select("source", "decision").write.parquet(path)
 
-    def fan_out(df, _):
-        df.write.mode("append").partitionBy("source").parquet(f"{out}/rows")
+    def fan_out(df, batch):  # a batch that is run again overwrites itself
+        df.write.mode("overwrite").partitionBy("source").parquet(f"{out}/rows/batch={batch}")
 
     X.stream_table(spark, path).writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(fan_out).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").groupBy("source").agg(F.count("*").alias("n"))

@@ -60,34 +60,12 @@ def decode_text(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", files.decode_bytes(raw).alias("name"))
 
 
-@query(f"{STATES} SELECT id, object AS k, 1 AS n FROM st")
-def annotation_map(spark, sf_dir):
-    details = F.map_from_arrays(F.array(F.lit("k")), F.array(F.col("object")))
-    return states(spark, sf_dir).select("id", details["k"].alias("k"), F.size(details).cast("long").alias("n"))
-
-
 @query(f"{WITH} SELECT game AS file, seq, prompt FROM dec")
 def current_state(spark, sf_dir):
     rows = raw_log(spark, sf_dir).withColumn("record", files.parsed(F.col("value"))).where(~N.has("result"))
     return rows.select("file", N.as_int("sequenceNumber", "sequence").alias("seq"), F.coalesce(N.field("observation.select.type"), N.field("select.type")).alias("prompt"))
 
 
-@query("SELECT p_brand, min(p_retailprice) > 0 AND min(p_size) <= max(p_size) AND count(*) = count(DISTINCT p_partkey) AS sound FROM part GROUP BY 1")
-def check_specs(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy("p_brand").agg(((F.min("p_retailprice") > 0) & (F.min("p_size") <= F.max("p_size")) & (F.count("*") == F.countDistinct("p_partkey"))).alias("sound"))
-
-
-@query("SELECT o_custkey AS bundle, count(DISTINCT o_orderstatus) = 3 AS valid, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1")
-def validate_bundle(spark, sf_dir):
-    kinds = F.countDistinct("o_orderstatus")
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("bundle")).agg((kinds == 3).alias("valid"), kinds.alias("kinds"))
-
-
-@query(f"{WITH} SELECT decision, count(*) FILTER (kind = 'NO') AS implicit FROM opt GROUP BY 1")
-def is_implicit(spark, sf_dir):
-    return decisions(spark, sf_dir).select("decision", F.size(F.filter("select.option", lambda o: o["type"].isin("NO", "PASS"))).cast("long").alias("implicit"))
-
-
 @query(f"{STATES}, m AS (SELECT game, object, seq, zone AS to_zone, lag(zone) OVER (PARTITION BY game, object ORDER BY seq) AS from_zone FROM st WHERE object IS NOT NULL) SELECT game, count(*) AS moves, count(*) FILTER (from_zone = 'view' AND to_zone = 'click') AS expected FROM m WHERE from_zone <> to_zone GROUP BY 1")
 def move_invariants(spark, sf_dir):
     moves = Q.zone_moves(states(spark, sf_dir), "game", "object", ["seq"], "zone")
@@ -137,12 +115,6 @@ def shaping(spark, sf_dir):
     return states(spark, sf_dir).select("id", F.round(C.shaping(F.col("reading"), after, 0.95), 6).alias("reward"))
 
 
-@query(f"{WITH} SELECT decision, coalesce(CASE WHEN decision % 2 = 0 THEN 'pair-' || decision END, prompt || '|' || game) AS pair_key FROM dec")
-def pair_key(spark, sf_dir):
-    explicit = F.when(F.col("decision") % 2 == 0, F.concat(F.lit("pair-"), "decision"))
-    return picks(spark, sf_dir).select("decision", F.coalesce(explicit, F.concat_ws("|", "prompt", F.col("gameId").cast("string"))).alias("pair_key"))
-
-
 @query(f"SELECT {KEYS}, round(l_discount * (0.35 + 0.65 * l_tax), 8) AS score FROM lineitem")
 def combine_scores(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select(*LINE, F.round(T.combined_score(F.col("l_tax"), F.col("l_discount")), 8).alias("score"))

@@ -103,52 +103,6 @@ def action_mask(spark, sf_dir):
     return rows.select("decision", F.size(F.filter("m", lambda x: x)).cast("long").alias("legal"), F.size("m").cast("long").alias("slots"))
 
 
-@query(f"{WITH}, c AS (SELECT game, brand, count(*) AS n FROM opt WHERE chosen GROUP BY 1, 2) SELECT game, first(brand ORDER BY n DESC, brand) AS set_mode FROM c GROUP BY game")
-def deck_set_mode(spark, sf_dir):
-    counts = option_rows(spark, sf_dir).where("chosen").groupBy("game", "brand").agg(F.count("*").alias("n"))
-    return counts.groupBy("game").agg(F.min_by("brand", F.struct(-F.col("n"), "brand")).alias("set_mode"))
-
-
-@query(f"{WITH} SELECT game, least(psize, 7) AS cost, count(*) AS n FROM opt WHERE chosen GROUP BY 1, 2")
-def deck_curve(spark, sf_dir):
-    return option_rows(spark, sf_dir).where("chosen").groupBy("game", F.least("psize", F.lit(7)).alias("cost")).agg(F.count("*").alias("n"))
-
-
-@query(f"{WITH} SELECT game, string_agg(DISTINCT source, '' ORDER BY source) AS colors FROM dec GROUP BY 1")
-def deck_colors(spark, sf_dir):
-    return picks(spark, sf_dir).groupBy(F.col("gameId").alias("game")).agg(F.array_join(F.array_sort(F.collect_set("source")), "").alias("colors"))
-
-
-@query(f"{WITH}, g AS (SELECT game, count(*) AS decisions, first(total ORDER BY seq DESC) AS last FROM dec GROUP BY 1) SELECT count(*) AS attempted, count(*) FILTER (last > 250000) AS wins, count(*) FILTER (last <= 250000 AND last > 150000) AS draws, count(*) FILTER (last <= 150000) AS losses, round(avg(decisions), 6) AS mean_decisions FROM g")
-def tournament_summary(spark, sf_dir):
-    games = picks(spark, sf_dir).groupBy("gameId").agg(F.count("*").alias("decisions"), F.max_by("total", "sequenceNumber").alias("last"))
-    n = lambda c: F.count(F.when(c, 1))
-    last = F.col("last")
-    return games.agg(F.count("*").alias("attempted"), n(last > 250000).alias("wins"), n((last <= 250000) & (last > 150000)).alias("draws"), n(last <= 150000).alias("losses"), F.round(F.avg("decisions"), 6).alias("mean_decisions"))
-
-
-@query(f"{WITH} SELECT decision, CASE WHEN terminal THEN (CASE WHEN total > 250000 THEN 1.0 WHEN total > 150000 THEN 0.0 ELSE -1.0 END)::DOUBLE END AS reward FROM dec")
-def terminal_reward(spark, sf_dir):
-    won = F.when(F.col("total") > 250000, 1.0).when(F.col("total") > 150000, 0.0).otherwise(-1.0)
-    return picks(spark, sf_dir).select("decision", F.when(F.col("terminal"), won).alias("reward"))
-
-
-@query(f"{STATES} SELECT game, count(*) AS states, count(DISTINCT zone) AS zones, min(id) AS first_id, max(id) AS last_id, round(sum(reading), 4) AS total FROM st GROUP BY 1")
-def capture_summary(spark, sf_dir):
-    return states(spark, sf_dir).groupBy("game").agg(F.count("*").alias("states"), F.countDistinct("zone").alias("zones"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.round(F.sum("reading"), 4).alias("total"))
-
-
-@query(f"{STATES} SELECT game, zone, round(sum(reading), 4) AS power, sum(object)::BIGINT AS toughness, count(*) FILTER (object % 2 = 1) AS tapped FROM st GROUP BY 1, 2")
-def board_totals(spark, sf_dir):
-    return states(spark, sf_dir).groupBy("game", "zone").agg(F.round(F.sum("reading"), 4).alias("power"), F.sum("object").alias("toughness"), F.count(F.when(F.col("object") % 2 == 1, 1)).alias("tapped"))
-
-
-@query(f"{STATES} SELECT id, round(greatest(0, least(1, 0.78 * least(reading / 100, 1) + 0.22 * CASE WHEN object IS NULL THEN 0 ELSE 1 END)), 6) AS quality FROM st")
-def state_quality(spark, sf_dir):
-    score = 0.78 * F.least(F.col("reading") / 100, F.lit(1)) + 0.22 * F.when(F.col("object").isNull(), 0).otherwise(1)
-    return states(spark, sf_dir).select("id", F.round(F.greatest(F.lit(0), F.least(F.lit(1), score)), 6).alias("quality"))
-
-
 @query(f"{STATES} SELECT zone, round(avg(reading), 6) AS mean, min(reading) AS least, max(reading) AS most, count(object) AS identified, count(*) - count(object) AS unknown FROM st GROUP BY 1")
 def quality_summary(spark, sf_dir):
     return states(spark, sf_dir).groupBy("zone").agg(F.round(F.avg("reading"), 6).alias("mean"), F.min("reading").alias("least"), F.max("reading").alias("most"), F.count("object").alias("identified"), (F.count("*") - F.count("object")).alias("unknown"))
@@ -177,11 +131,6 @@ def card_index_by_name(spark, sf_dir):
     return read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
 
 
-@query("SELECT p_brand, p_name, max(p_partkey) AS p_partkey, max_by(p_retailprice, p_partkey) AS p_retailprice FROM part GROUP BY 1, 2")
-def merge_card_sources(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.max("p_partkey").alias("p_partkey"), F.max_by("p_retailprice", "p_partkey").alias("p_retailprice"))
-
-
 @query(f"{WITH} SELECT decision, idx, (idx = 0)::DOUBLE AS first_legal, ('0x' || substr(sha256('5|' || decision || '|' || idx), 1, 8))::BIGINT AS seeded FROM opt")
 def baseline_scores(spark, sf_dir):
     from ledgerline.operators.statistics import draw
@@ -201,11 +150,6 @@ def format_analysis(spark, sf_dir):
     return picks(spark, sf_dir).select("decision", F.format_string("decision %d: %d options, played %d", "sequenceNumber", "n", F.col("pick") + 1).alias("line"))
 
 
-@query("SELECT conv_id, turn, role = 'user' AND (length(text) - length(replace(text, ' ', ''))) > 20 AS review FROM conversations")
-def need_second_pass(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("role") == "user") & (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) > 20)).alias("review"))
-
-
 @query(f"{WITH} SELECT decision, game, seq, n, CASE WHEN n <= 1 THEN '0-1' WHEN n <= 4 THEN '2-4' WHEN n <= 8 THEN '5-8' WHEN n <= 16 THEN '9-16' ELSE '17+' END AS options, pick_kind AS chosen_group FROM dec")
 def decision_rows(spark, sf_dir):
     from ledgerline.operators.records import option_bucket

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1, counted before any filter), value of text files."""
+    """file, line (from 1, counted before any filter), value of text files.
+
+    Lines are counted within the blocks that tasks read; what stands before a block comes from a table of one row a block.
+    """
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    w = Window.partitionBy("file").orderBy("block", "id")
-    return rows.select("file", F.row_number().over(w).cast("long").alias("line"), "value")
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))
+    return rows.withColumn("own", own).join(blocks.select("file", "block", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("own")).alias("line"), "value")
 
 
 def parsed(value: Column) -> Column:
@@ -50,10 +55,11 @@ def inventory(spark: SparkSession, path: str, limit: int | None = None) -> DataF
     return rows.orderBy("file").limit(limit) if limit else rows
 
 
-def discover(spark: SparkSession, root: str, pattern: str = "*", limit: int = 10_000) -> DataFrame:
-    """file, bytes, modified of candidate files, in path order, without reading them."""
+def discover(spark: SparkSession, root: str, pattern: str = "*", limit: int | None = None) -> DataFrame:
+    """file, bytes, modified of candidate files, in path order, without reading them; all of them unless a limit is asked for."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return rows.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")).orderBy("file").limit(limit)
+    found = rows.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")).orderBy("file")
+    return found.limit(limit) if limit else found
 
 
 def read_log(spark: SparkSession, path: str, header: str) -> DataFrame:

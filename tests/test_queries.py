@@ -12,7 +12,7 @@ from ledgerline.plans.registry import QUERIES, SQL
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A cross-section; the driver compares all of them.
-SOME = ["action_entropy_report", "validate_record", "canonical_groups", "horizon_transitions", "asof_state", "rolling_consensus", "compare_states", "benchmark_analyses", "cluster_bootstrap", "holm_adjust", "fold_result_line", "text_records", "stream_dedupe"]
+SOME = ["action_entropy_report", "validate_record", "canonical_groups", "horizon_transitions", "asof_state", "rolling_consensus", "compare_states", "benchmark_analyses", "cluster_bootstrap", "holm_adjust", "fold_result_line", "text_records", "stream_dedupe", "normalize_stream", "match_response", "factors", "hidden_leak_check", "fingerprint", "lineage_remap", "selection_rows", "annotation_map", "custom_udaf", "split_by_hash", "stateful_scorer", "read_jsonl"]
 
 
 def norm(v):
