@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -38,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -95,14 +98,22 @@ _memo: dict = {}
 def remembered(key, make):
     """A worker's one memo, kept between tasks; another key drops it, so that operators in turn don't add up."""
     if key not in _memo:
-        _memo.clear()
+        forget()
         _memo[key] = make()
     return _memo[key]
 
 
 def forget() -> None:
-    """Drop the worker's memo: for tasks that need the memory and have none."""
+    """Drop the worker's memo and give freed memory back to the system: for tasks that need it and have no memo."""
+    import ctypes
+
+    import pyarrow as pa
+
     _memo.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -161,7 +161,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end: int = 2) ->
                 store.create_dir(base, recursive=True)
                 outs = {kind: store.open_output_stream(f"{base}/{name}.{kind}.{attempt}") for kind in ("bin", "end")}
             sizes = np.zeros(b.num_rows, np.int64)
-            for k, own in enumerate(ids.of_many(b.column(1).to_pylist(), end)):
+            for k, own in enumerate(ids.of_many((x.as_py() for x in b.column(1)), end)):
                 sizes[k] = len(own)
                 buffer += own.tobytes()
                 if len(buffer) >= BLOCK:

@@ -22,8 +22,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.llm.common import Rolling, forget, mixed, text_bytes, text_slices
 
@@ -165,16 +167,29 @@ def document_scores(words: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, t
     return np.bincount(docs, np.log(score), minlength=len(bounds) - 1)
 
 
+@F.arrow_udf(T.BinaryType())
+def squeezed(texts: pa.Array) -> pa.Array:
+    """Texts as they are shuffled: about half their bytes."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([pack(x.encode()) for x in texts.to_pylist()], pa.binary())
+
+
+def opened(column) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x).decode() for x in column.to_pylist()], pa.string())
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of every row of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // PARTITION_BYTES))
-    dealt = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(buckets)).cast("int")
+    dealt = docs.select(F.col("doc_id").cast("long"), squeezed(text).alias("text"), bucket.alias("bucket"))
 
     def count(rows: pa.Table) -> pa.Table:
         forget()
-        hashes, counts = table_of(*word_hashes(rows["text"]))
+        hashes, counts = table_of(*word_hashes(opened(rows["text"])))
         at = cuts(hashes, parts)
         used = [p for p in range(parts) if at[p] < at[p + 1]]
         blocks = [pack_block(hashes[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in used]
@@ -198,7 +213,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         return pa.table({"bucket": rows["bucket"], "part": rows["part"], "block": pa.array(made, pa.binary())})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        words, bounds = word_hashes(rows["text"])
+        words, bounds = word_hashes(opened(rows["text"]))
         hashes, totals = table_of(words, bounds)
         at = cuts(hashes, parts)
         for part, block in zip(answers["part"].to_pylist(), answers["block"].to_pylist(), strict=True):

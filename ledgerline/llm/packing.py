@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end: in
         ids = part_ids(tokenizer_path)
         for b in batches:
             rows = ([], [], [], [], [])
-            for doc_id, own in zip(b.column(0).to_pylist(), ids.of_many(b.column(1).to_pylist(), end), strict=True):
+            for doc_id, own in zip(b.column(0).to_pylist(), ids.of_many((x.as_py() for x in b.column(1)), end), strict=True):
                 all_ids, start = own.astype("<u4"), 0
                 for k, n in enumerate(cut_lengths(len(all_ids), size)):
                     for column, x in zip(rows, (doc_id, k, start, n, zlib.crc32(all_ids[start : start + n].tobytes())), strict=True):

@@ -207,7 +207,7 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, ends_crc32 long")
     def digest(texts: pa.Array) -> pa.Array:
         c = codec(model_path)
-        rows = [c.digest(x or "") for x in texts.to_pylist()]
+        rows = [c.digest(x.as_py() or "") for x in texts]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind.field(i).type) for i in range(5)], fields=list(kind))
 
     return docs.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")

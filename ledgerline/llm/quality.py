@@ -30,7 +30,8 @@ BUCKETS = 1 << 18
 DIM = 12
 #: Labelled documents learned from, at most, and distinct features of one that are: its most frequent.
 SAMPLE, FEATURES = 1_500, 1 << 14
-MEMO = 1 << 19
+#: Words that a worker remembers at most; beyond it, it starts anew.
+MEMO = 1 << 18
 NGRAMS = (3, 4, 5)
 SAME = 0  # the bucket of a repeated word
 
@@ -175,7 +176,7 @@ def score(docs: DataFrame, model: Model, text: Column) -> Column:
     @F.arrow_udf("double")
     def logit(texts: pa.Array) -> pa.Array:
         words = remembered(("words", key), lambda: Words(shipped.value))
-        return pa.array([words.logit(x or "") for x in texts.to_pylist()], pa.float64())
+        return pa.array([words.logit(x.as_py() or "") for x in texts], pa.float64())
 
     return 1 / (1 + F.exp(-(logit(text) + F.lit(offset))))
 

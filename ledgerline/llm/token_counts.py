@@ -94,7 +94,7 @@ def count_tokens(spark: SparkSession, text: Column, model_path: str) -> Column:
     @F.arrow_udf("long")
     def n_tokens(texts: pa.Array) -> pa.Array:
         counts = remembered(("counts", model_path), lambda: Counts(model_path, proven.value))
-        return pa.array([counts.of(x or "") for x in texts.to_pylist()], pa.int64())
+        return pa.array([counts.of(x.as_py() or "") for x in texts], pa.int64())
 
     return n_tokens(text)
 
