@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, with production parameters, over whole tables."""
+"""The thin queries of the operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import id_shards, lm_scores, nearest, packing, pieces, quality, repeats, shingle_join, telephony, token_counts
+from ledgerline.llm import clusters, id_shards, lm_scores, mixing, nearest, negatives, oracles, packing, pieces, quality, repeats, shingle_join, telephony, token_counts
 from ledgerline.llm.common import table
 
 
@@ -86,9 +86,21 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_quality, op4_media, op5_repeats, op6_packing, op7_id_shards, op8_shingle_join, op9_lm_scores, op10_pieces)}
+    return {f.__name__: f for f in (op1_nearest, op2_token_counts, op3_quality, op4_media, op5_repeats, op6_packing, op7_id_shards, op8_shingle_join, op9_lm_scores, op10_pieces, op11_mixing, op12_hard_negatives, op13_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_lm_scores": OP9_SQL}
+    return {"op9_lm_scores": OP9_SQL, "op11_mixing": oracles.OP11_SQL, "op12_hard_negatives": oracles.OP12_SQL, "op13_clusters": oracles.OP13_SQL}
