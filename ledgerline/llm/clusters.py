@@ -1,13 +1,13 @@
 """Operator 13: centroid clustering with geometric drift tightening.
 
-Every vector keeps its cluster and a lower bound on its distance to all other centroids.
-When centroids have moved, the bound is loosened, not by their full drift but by what the
-drift can mean inside the sphere of the vector's cluster: for x, an old centroid p and the
-new one q, |x - p| - |x - q| is at most |p - q| * cos(angle of x - m to q - p), m their
-middle, and over a sphere that angle is least on the cone from m that touches it.  A vector
-whose exact distance to its own centroid stays under the bound keeps its cluster; the other,
-ambiguous ones are compared with all centroids.  Distances are exact integers and bounds
-have a margin for rounding, so the result is that of the plain rule.
+Every vector keeps its cluster and a lower bound on its distance to each centroid.  When
+centroids have moved, a bound is loosened, not by the full drift but by what the drift can
+mean inside the sphere of the vector's cluster: for x, an old centroid p and the new one q,
+|x - p| - |x - q| is at most |p - q| * cos(angle of x - m to q - p), m their middle, and over
+a sphere that angle is least on the cone from m that touches it.  A vector whose exact
+distance to its own centroid stays under all bounds keeps its cluster; an ambiguous one is
+compared exactly with the centroids whose bounds it passes.  Distances are exact integers
+and bounds have a margin for rounding, so the result is that of the plain rule.
 
 Each round writes clusters and bounds in the shared folder and drops the round before; the
 driver sees one row for each centroid and component.
@@ -44,7 +44,7 @@ def squares(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def loosening(old: np.ndarray, new: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """By how much the lower bound of each cluster's vectors falls when all centroids move."""
+    """[a, j]: by how much the lower bounds of cluster a's vectors on centroid j fall when all centroids move."""
     old, new = old.astype(np.float64), new.astype(np.float64)
     moved = np.linalg.norm(new - old, axis=1)
     axis = (new - old) / np.maximum(moved, 1e-300)[:, None]
@@ -58,8 +58,18 @@ def loosening(old: np.ndarray, new: np.ndarray, radius: np.ndarray) -> np.ndarra
         angle = np.arccos(np.clip((arm * axis).sum(axis=1) / safe, -1, 1)) - np.arcsin(np.where(outside, r / safe, 0))
         share = np.where(outside, np.cos(np.clip(angle, 0, np.pi / 2)), 1)
         out[a] = np.where(moved > 0, moved * np.minimum(1, share + MARGIN), 0)
-        out[a, a] = 0
-    return out.max(axis=1)
+    return out
+
+
+def floats_below(x: np.ndarray) -> np.ndarray:
+    return np.nextafter(x.astype(np.float32), np.float32(-np.inf))
+
+
+def state_batch(ids, vec, cluster, lower, distance, compared):
+    import pyarrow as pa
+
+    bounds = pa.array([r.tobytes() for r in lower], pa.binary())
+    return pa.RecordBatch.from_arrays([ids, vec, pa.array(cluster.astype(np.int32)), bounds, pa.array(distance), pa.array(compared.astype(np.int32))], ["vec_id", "vec", "cluster", "lower", "distance", "compared"])
 
 
 def first_state(k: np.ndarray):
@@ -69,42 +79,44 @@ def first_state(k: np.ndarray):
     def run(batches):
         for b in batches:
             for own, x in by_dimension(b.column(1)):
-                cluster, lower, distance = scanned(x, k)
+                d = squares(x, k)
+                cluster = d.argmin(axis=1)
                 raw = pa.array([r.tobytes() for r in x.astype(np.int32)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), raw, pa.array(cluster), pa.array(lower), pa.array(distance), pa.array(np.ones(len(x), bool))], ["vec_id", "vec", "cluster", "lower", "distance", "scanned"])
+                yield state_batch(b.column(0).take(pa.array(own)), raw, cluster, floats_below(np.sqrt(d)), d[np.arange(len(x)), cluster], np.full(len(x), len(k)))
 
     return run
 
 
-def scanned(x: np.ndarray, k: np.ndarray):
-    """Nearest centroid (the smaller of equal ones), distance to the second, squared distance to the first."""
-    d = squares(x, k)
-    cluster = d.argmin(axis=1)
-    distance = d[np.arange(len(x)), cluster]
-    lower = np.sqrt(np.partition(d, 1, axis=1)[:, 1]) if len(k) > 1 else np.full(len(x), np.inf)
-    return cluster.astype(np.int32), lower, distance
+def reassigned(x: np.ndarray, cluster: np.ndarray, lower: np.ndarray, k: np.ndarray, step: int = 1 << 15):
+    """Cluster, bounds, squared distance and exact comparisons of each vector; lower holds bounds on the distances to k."""
+    own = ((x - k[cluster]) ** 2).sum(axis=1)
+    rows, upper = np.arange(len(x)), np.sqrt(own)
+    lower[rows, cluster] = np.inf
+    at, to = np.nonzero(lower <= (upper * (1 + MARGIN) + MARGIN)[:, None])
+    exact = np.full(lower.shape, np.iinfo(np.int64).max)
+    for i in range(0, len(at), step):
+        exact[at[i : i + step], to[i : i + step]] = ((x[at[i : i + step]] - k[to[i : i + step]]) ** 2).sum(axis=1)
+    lower[at, to] = floats_below(np.sqrt(exact[at, to]))
+    exact[rows, cluster], lower[rows, cluster] = own, floats_below(upper)
+    cluster = exact.argmin(axis=1)  # the smaller of equal ones; centroids left out are farther
+    return cluster, lower, exact[rows, cluster], 1 + np.bincount(at, minlength=len(x))
 
 
 def next_state(k: np.ndarray, loosened: np.ndarray):
     """The state after the centroids have moved to k."""
-    import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, cluster = matrix(b.column("vec"), k.shape[1]), b.column("cluster").to_numpy().copy()
-            lower = b.column("lower").to_numpy() - loosened[cluster]
-            distance = ((x - k[cluster]) ** 2).sum(axis=1)
-            doubt = np.sqrt(distance) * (1 + MARGIN) + MARGIN >= lower
-            if doubt.any():
-                cluster[doubt], lower[doubt], distance[doubt] = scanned(x[doubt], k)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array(cluster), pa.array(lower), pa.array(distance), pa.array(doubt)], ["vec_id", "vec", "cluster", "lower", "distance", "scanned"])
+            if b.num_rows:
+                cluster = b.column("cluster").to_numpy()
+                lower = np.frombuffer(b"".join(b.column("lower").to_pylist()), np.float32).reshape(b.num_rows, len(k))
+                lower = floats_below(lower - loosened[cluster])
+                yield state_batch(b.column("vec_id"), b.column("vec"), *reassigned(matrix(b.column("vec"), k.shape[1]), cluster, lower, k))
 
     return run
 
 
-STATE = "vec_id long, vec binary, cluster int, lower double, distance long, scanned boolean"
+STATE = "vec_id long, vec binary, cluster int, lower binary, distance long, compared int"
 
 
 def task_sums(clusters: int, dim: int):
@@ -148,7 +160,7 @@ def first_centroids(kept: DataFrame, count: int, dim: int, salt: str) -> np.ndar
 
 
 def clustered(vectors: DataFrame, count: int = CENTROIDS, rounds: int = ROUNDS, dim: int = DIMS, salt: str = "2:") -> tuple[DataFrame, np.ndarray] | None:
-    """The last state (vec_id, vec, cluster, lower, distance, scanned: compared with all centroids in the last round) and its centroids; None without vectors."""
+    """The last state (vec_id, vec, cluster, lower, distance, compared: exact distances taken in the last round) and its centroids; None without vectors."""
     spark = vectors.sparkSession
     kept = whole_vectors(vectors, F.col("vec_id").cast("long")).where(F.size("vec") == dim)
     k = first_centroids(kept, count, dim, salt)

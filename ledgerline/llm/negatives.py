@@ -29,7 +29,7 @@ from ledgerline.llm.common import cut, written
 from ledgerline.llm.nearest import hadamard
 from ledgerline.llm.vectors import by_dimension, matrix, whole_vectors
 
-CODES, PLANES = 5, 8
+CODES, PLANES = 7, 8
 #: Most vectors of a block and anchors of a chunk, expected.
 BLOCK, CHUNK = 1 << 16, 1 << 14
 POSITIVES, NEGATIVES = 5, 10
