@@ -11,30 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fold_state(messages: DataFrame) -> DataFrame:
-    """game, seq, objects, digest of the board after each message.
-
-    Messages (game, seq, full, object, zone): a full one replaces the board, others put their object
-    in its zone, and a null zone removes it.  One game is one task's unit, in order.
-    """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        board: dict[int, str] = {}
-        rows = []
-        for r in frame.sort_values("seq").itertuples():
-            if r.full:
-                board.clear()
-            if not pd.isna(r.object):
-                if r.zone is None:
-                    board.pop(int(r.object), None)
-                else:
-                    board[int(r.object)] = r.zone
-            rows.append((r.game, r.seq, len(board), sum(board)))
-        return pd.DataFrame(rows, columns=["game", "seq", "objects", "digest"])
-
-    return messages.groupBy("game").applyInPandas(fold, "game long, seq long, objects long, digest long")
-
-
 def greedy_match(expected: DataFrame, observed: DataFrame, group: list[str], weights: dict[str, float], least: float = 0.25) -> DataFrame:
     """One-to-one pairs (expected_id, observed_id, score) of each group by falling similarity, ties to the smaller ids.
 

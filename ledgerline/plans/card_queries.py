@@ -265,12 +265,6 @@ def assemble_entries(spark, sf_dir):
     return rows.select("file", F.col("entry").cast("long").alias("entry"), "lines", "text")
 
 
-@query(f"{STATES}, p AS (SELECT game, object, seq, zone, row_number() OVER (PARTITION BY game, object ORDER BY seq DESC) AS r FROM st WHERE object IS NOT NULL) SELECT game, count(*) FILTER (zone <> 'error') AS objects, coalesce(sum(CASE WHEN zone <> 'error' THEN object END), 0)::BIGINT AS digest FROM p WHERE r = 1 GROUP BY 1")
-def fold_state(spark, sf_dir):
-    messages = states(spark, sf_dir).select("game", "seq", F.lit(False).alias("full"), "object", F.when(F.col("zone") != "error", F.col("zone")).alias("zone"))
-    return G.fold_state(messages).groupBy("game").agg(F.max_by("objects", "seq").alias("objects"), F.max_by("digest", "seq").alias("digest"))
-
-
 @query(f"{STATES}, w AS (SELECT a.game, a.seq, sum(b.reading * power(0.5, a.seq - b.seq)) AS score FROM st a JOIN st b ON b.game = a.game AND b.seq <= a.seq GROUP BY 1, 2) SELECT game, seq, round(score + 1e-9, 3) AS score FROM w")
 def stateful_scorer(spark, sf_dir):
     return G.running_scores(states(spark, sf_dir)).select("game", "seq", F.round(F.col("score") + 1e-9, 3).alias("score"))

@@ -141,12 +141,6 @@ def stream_dedupe(spark, sf_dir):
     return X.run_to_table(X.dedupe(events, ["user_id", "event_type"], "ts"), shared_folder(spark, "stream")).select("user_id", "event_type")
 
 
-@query("WITH o AS (SELECT *, lag(role) OVER w AS before, lag(turn) OVER w AS prompt FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id AS match, prompt, turn AS response FROM o WHERE role = 'assistant' AND before = 'user'")
-def pending_prompts(spark, sf_dir):
-    rows = X.stream_table(spark, f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role")
-    return X.run_to_table(X.pair_pending(rows, "conv_id", "turn"), shared_folder(spark, "stream"))
-
-
 @query(f"{WITH} SELECT source, count(*) AS n FROM dec GROUP BY 1")
 def stream_sinks(spark, sf_dir):
     """Decisions are written as a table, streamed by source to sinks, and counted there."""

@@ -123,9 +123,3 @@ def combine_scores(spark, sf_dir):
 @query(f"{WITH} SELECT coalesce(akey::VARCHAR, 'index:' || idx) AS group_key, count(*) AS n FROM opt GROUP BY 1")
 def group_key(spark, sf_dir):
     return option_rows(spark, sf_dir).groupBy(F.coalesce(F.col("akey").cast("string"), F.concat(F.lit("index:"), "idx")).alias("group_key")).agg(F.count("*").alias("n"))
-
-
-@query(f"{STATES} SELECT game, seq, count(*) OVER w AS seen, CASE WHEN zone NOT IN ('error', 'signup') THEN object END AS object FROM st WINDOW w AS (PARTITION BY game ORDER BY seq)")
-def snapshot_view(spark, sf_dir):
-    w = Window.partitionBy("game").orderBy("seq")
-    return states(spark, sf_dir).select("game", "seq", F.count("*").over(w).alias("seen"), F.when(~F.col("zone").isin("error", "signup"), F.col("object")).alias("object"))

@@ -5,12 +5,8 @@ Policy of time: lateness of ten minutes, rows older than the watermark are dropp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATENESS = "10 minutes"
 
@@ -45,43 +41,6 @@ def dedupe(events: DataFrame, keys: list[str], time: str) -> DataFrame:
     return events.dropDuplicates(keys)
 
 
-PENDING = 8
-
-
-def pair_pending(rows: DataFrame, match: str, order: str) -> DataFrame:
-    """match, prompt, response: every response with the latest prompt that waits in its match.
-
-    At most eight prompts wait, the oldest goes.  State is one short list a match.
-    ``rows`` has match, order (long) and role; rows of one batch are taken in order.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = list(state.get[0]) if state.exists else []
-        prompts, responses = [], []
-        for at, role in sorted((a, r) for f in frames for a, r in zip(f[order], f["role"], strict=True)):
-            if role == "user":
-                waiting = [*waiting, at][-PENDING:]
-            elif role == "assistant" and waiting:
-                prompts.append(waiting.pop())
-                responses.append(at)
-        state.update((waiting,))
-        yield pd.DataFrame({"match": key[0], "prompt": prompts, "response": responses}).astype({"prompt": "int64", "response": "int64"})
-
-    if rows.isStreaming:
-        return rows.groupBy(match).applyInPandasWithState(step, "match long, prompt long, response long", "waiting array<long>", "append", GroupStateTimeout.NoTimeout)
-
-    def batch(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        class Fresh:
-            exists = False
-
-            def update(self, _):
-                pass
-
-        return pd.concat(step(key, iter([frame]), Fresh()))
-
-    return rows.groupBy(match).applyInPandas(batch, "match long, prompt long, response long")
-
-
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a Parquet table below the folder and read it.
 

@@ -77,15 +77,3 @@ def test_text_functions(spark):
     assert one(T.pseudonym(F.lit("né日"))) == f"id_{value:08x}"
     vector = one(T.hash_features(F.lit("a b a"), 8))
     assert sum(x * x for x in vector) == pytest.approx(1)
-
-
-def test_streams_equal_their_batches(spark, tmp_path):
-    from ledgerline.streaming import streams as X
-
-    rows = [(1, 0, "user"), (1, 1, "user"), (1, 2, "assistant"), (1, 3, "assistant"), (1, 4, "assistant"), (2, 0, "assistant"), (2, 1, "user")] + [(3, k, "user") for k in range(12)] + [(3, 12 + k, "assistant") for k in range(10)]
-    df = spark.createDataFrame(rows, "match long, turn long, role string")
-    df.coalesce(1).write.parquet(f"{tmp_path}/log")
-    stream = X.run_to_table(X.pair_pending(X.stream_table(spark, f"file://{tmp_path}/log"), "match", "turn"), f"file://{tmp_path}/run")
-    batch = X.pair_pending(df, "match", "turn")
-    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
-    assert (1, 1, 2) in [tuple(r) for r in batch.collect()] and batch.where("match = 3").count() == 8
