@@ -273,8 +273,3 @@ def stateful_scorer(spark, sf_dir):
 @query()
 def card_embed_udf(spark, sf_dir):
     return G.embed_distinct(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
-
-
-@query(f"{STATES} SELECT id, zone || ':' || k AS event FROM st, range(0, 2) t(k)")
-def events_udtf(spark, sf_dir):
-    return states(spark, sf_dir).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.concat(F.col("zone"), F.lit(":"), k))).alias("event"))

@@ -114,15 +114,6 @@ def read_decisions(spark, sf_dir):
     return rows.groupBy((F.col("shape") == "canonical").alias("canonical")).agg(F.count("*").alias("n"), F.count(F.when(F.col("terminal"), 1)).alias("terminal"))
 
 
-@query("SELECT length(text) > 200 AS long, count(*) AS n FROM conversations GROUP BY 1".replace("AS long", 'AS "long"'))
-def stream_log(spark, sf_dir):
-    """Lines of a log folder as a stream, counted by length."""
-    path, run = shared_folder(spark, "log"), shared_folder(spark, "run")
-    read(spark, sf_dir, "conversations").select(F.regexp_replace("text", r"[\r\n]", " ").alias("value")).write.text(path)
-    counts = spark.readStream.text(path).groupBy((F.length("value") > 200).alias("long")).agg(F.count("*").alias("n"))
-    return streams.run_to_table(counts, run, "complete")
-
-
 @query("SELECT n_nationkey, n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def read_card_catalog(spark, sf_dir):
     """A catalogue response is written as JSON, read back, checked to be ok, and joined."""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions.event_tables import log_events
 from ledgerline.operators import log_events as L
 from ledgerline.operators import prompts as P
 from ledgerline.plans.registry import query
 from ledgerline.plans.scratch import shared_folder
 from ledgerline.plans.views import OPTIONS_SQL, decisions, read
 from ledgerline.sources import files
+from ledgerline.sources.tail import LogTail
+from ledgerline.streaming.streams import run_to_table
 
 WITH = f"WITH {OPTIONS_SQL}"
 
@@ -56,6 +59,11 @@ def event_routes(spark, sf_dir):
     return L.routed(entries(spark, sf_dir)).groupBy("type", "message_type").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {ENTRIES_SQL} SELECT file, entry, part, type, message_type FROM r")
+def events_udtf(spark, sf_dir):
+    return log_events(entries(spark, sf_dir)).select("file", "entry", "part", "type", "message_type")
+
+
 @query(
     f"""WITH {ENTRIES_SQL},
 m AS (SELECT *, last_value(named IGNORE NULLS) OVER o AS match_id FROM r WINDOW o AS (PARTITION BY file ORDER BY entry, part)),
@@ -81,6 +89,20 @@ def read_log_text(spark, sf_dir):
     return files.read_log(spark, path, r"^\[Log\](\d+)$").select(F.regexp_extract("file", r"log=(\d+)", 1).cast("long").alias("file"), F.regexp_extract("header", r"(\d+)", 1).cast("long").alias("entry"), "text")
 
 
+@query("SELECT conv_id AS file, turn AS entry, text FROM conversations")
+def stream_log(spark, sf_dir):
+    """Every turn is written as an entry, the first half of a log before the second; the folder is followed from where it was left."""
+    path, run = shared_folder(spark, "tail"), shared_folder(spark, "run")
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("log"), F.col("turn").alias("entry"), F.concat(F.lit("[Log]"), F.col("turn"), F.lit("\n"), F.col("text")).alias("value"))
+    spark.dataSource.register(LogTail)
+    for half in (0, 1):
+        now = rows.where(F.pmod("entry", F.lit(2)) == half)
+        now.repartition("log").sortWithinPartitions("log", "entry").select("log", "value").write.mode("append").partitionBy("log").text(path)
+        stream = spark.readStream.format("log_tail").options(path=path, header=r"\[Log\]\d+\r?$", suffix=".txt", idle="0", memory=f"{run}/memory").load()
+        table = run_to_table(stream, run)
+    return table.select(F.regexp_extract("file", r"log=(\d+)", 1).cast("long").alias("file"), F.regexp_extract("header", r"(\d+)", 1).cast("long").alias("entry"), "text")
+
+
 def prompt_messages(spark, sf_dir):
     """game, seq, decision, and the prompt and its answer as messages of the kind that the decision's number gives."""
     df = decisions(spark, sf_dir)

@@ -65,15 +65,23 @@ def discover(spark: SparkSession, root: str, pattern: str = "*", limit: int | No
 def read_log(spark: SparkSession, path: str, header: str) -> DataFrame:
     """file, entry (from 1), header, text of raw logs below a path: bytes that are no UTF-8 are replaced, a line that fits the header opens an entry.
 
-    A file is one row of bytes while it is cut into lines; lines before the first header are an entry without one.
+    Files are read in blocks.  A block's lines know how many entries open before them in the block, and a table of one row
+    a block how many open before the block, so an entry that is open at a block's end goes on in the next.  Lines before
+    the first header are an entry without one; a file without bytes has none.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    lines = rows.select("file", F.posexplode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("line", "value"))
-    opens = F.col("value").rlike(header)
-    w = Window.partitionBy("file").orderBy("line")
-    entries = lines.withColumns({"opens": opens, "entry": F.sum(F.when(opens | (F.col("line") == 0), 1).otherwise(0)).over(w)})
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("opens"), F.struct("line", "value")))), lambda x: x["value"]), "\n")
-    return entries.groupBy("file", "entry").agg(F.max(F.when(F.col("opens"), F.col("value"))).alias("header"), body.alias("text"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    value = F.regexp_replace(F.make_valid_utf8("value"), r"\r$", "")
+    rows = lines.select(*place, value.alias("value")).withColumn("opens", F.col("value").rlike(header))
+    counts = rows.groupBy("file", "block").agg(F.count_if("opens").alias("n"))
+    # Where a file's first line opens no entry, one without a header comes first.
+    first = rows.groupBy("file").agg(F.min_by("opens", F.struct("block", "line")).alias("whole"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    starts = counts.join(first, "file").select("file", "block", (before + F.when(F.col("whole"), 0).otherwise(1)).alias("before"))
+    own = F.count_if("opens").over(Window.partitionBy("file", "block").orderBy("line"))
+    entries = rows.withColumn("own", own).join(starts, ["file", "block"]).withColumn("entry", F.col("before") + F.col("own"))
+    texts = F.sort_array(F.collect_list(F.when(~F.col("opens"), F.struct("block", "line", "value"))))
+    return entries.groupBy("file", "entry").agg(F.max(F.when(F.col("opens"), F.col("value"))).alias("header"), F.array_join(F.transform(texts, lambda x: x["value"]), "\n").alias("text"))
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import json
 
+from ledgerline.workers import carried
+
+carried(__name__)
+
 #: Fixed values of the wire format: fields of an object that are taken as they come, and what they are called here.
 OBJECT_FIELDS = {
     "grpId": "card",

@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ledgerline.workers import carried
+
+carried(__name__)
+
 #: What a fold takes and gives; ``at`` (a timestamp with the stream's watermark) is needed on streams only.
 TAKES = ["match", "position", "kind", "text"]
 GIVES = "match string, position long, kind string, id long, record string"
