@@ -341,20 +341,35 @@ def selection_rows(examples: DataFrame, cards: DataFrame, keys: list[str], most:
     return known.select(*keys, "role", "place", "card", card_numbers(F.col("role"), F.col("mode"), F.col("pack"), F.col("pick"), F.col("n_context"), F.col("n_candidates"), F.col("copies"), card).alias("numbers"))
 
 
-def lineage(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, object, root, changed: every object id that a change (keys, old, new) names, with the first id of its chain and how many changes lie between.
-
-    Pointers double every round, so the rounds are the logarithm of the longest chain.
+def lineage(changes: DataFrame, keys: list[str], order: str, objects: DataFrame | None = None, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """keys, order, object, root, lineage and attributes of what each change (keys, order, old, new) renumbers: its first id, its ids in order (each once), and what was said of it.
+
+    A change follows the last one before it that gave its old id, unless another has taken that id away since.  Pointers
+    lead back in time only, so ids that go round end like any others.  They double every round, so the rounds are the
+    logarithm of the longest chain.  Of changes at one time those of smaller ids come first; old = new changes nothing.
+    An attribute is its last non-null value in the descriptions (keys, order, object, attributes) of the ids in turn; what
+    is said of an id at the time of a change is said of what has the id then.
     """
-    edges = changes.where("old <> new").groupBy(*keys, "new").agg(F.min("old").alias("root")).select(*keys, F.col("new").alias("object"), "root", F.lit(1).alias("changed"))
-    while True:
-        up = edges.select(*keys, F.col("object").alias("root"), F.col("root").alias("further_"), F.col("changed").alias("more_"))
-        step = edges.join(up, [*keys, "root"], "left").checkpoint()
-        if step.where("further_ is not null").isEmpty():
-            break
-        edges = step.select(*keys, "object", F.coalesce("further_", "root").alias("root"), (F.col("changed") + F.coalesce("more_", F.lit(0))).alias("changed"))
-    first = edges.select(*keys, F.col("root").alias("object"), "root", F.lit(0).alias("changed")).distinct()
-    return edges.select(*keys, "object", "root", "changed").unionByName(first)
+    at = F.struct(F.col(order).alias("at"), F.col("old").alias("old"), F.col("new").alias("new"))
+    moves = changes.where("old <> new").select(*keys, at.alias("me")).distinct()
+    ends = F.array(F.struct(F.col("me.old").alias("object"), F.lit(False).alias("comes")), F.struct(F.col("me.new").alias("object"), F.lit(True).alias("comes")))
+    stream = moves.select(*keys, F.col("me.at").alias("time"), "me", F.explode(ends).alias("t")).select(*keys, "time", "me", "t.*")
+    if objects is not None:
+        stream = stream.unionByName(objects.select(*keys, F.col(order).alias("time"), "object", *attributes), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "object").orderBy("time", F.col("me").isNull(), "me")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    spans = stream.withColumns({"span": F.count("me").over(before), "last": F.last(F.when(F.col("me").isNotNull(), F.struct("me", "comes")), True).over(before)})
+    said = Window.partitionBy(*keys, "object", "span").orderBy("time", F.col("me").isNull(), "me")
+    spans = spans.withColumns({c: F.last(c, True).over(said) for c in attributes}).where("not comes")
+    up = F.when(F.col("last.comes"), F.col("last.me"))
+    path = F.when(up.isNull(), F.array("me.old", "me.new")).otherwise(F.array("me.new"))
+    chains = spans.select(*keys, "me", up.alias("up"), path.alias("path"), *attributes).checkpoint()
+    while not chains.where("up is not null").isEmpty():
+        above = chains.select(*keys, F.col("me").alias("up"), F.col("up").alias("further"), F.col("path").alias("ahead"), *(F.col(c).alias(f"{c}_up") for c in attributes))
+        far = chains.where("up is not null").join(above, [*keys, "up"])
+        far = far.select(*keys, "me", F.col("further").alias("up"), F.concat("ahead", "path").alias("path"), *(F.coalesce(c, f"{c}_up").alias(c) for c in attributes))
+        chains = chains.where("up is null").unionByName(far).checkpoint()
+    return chains.select(*keys, F.col("me.at").alias(order), F.col("me.new").alias("object"), F.col("path")[0].alias("root"), F.array_distinct("path").alias("lineage"), *attributes)
 
 
 def stamped_targets(options: DataFrame, objects: DataFrame, keys: list[str]) -> DataFrame:

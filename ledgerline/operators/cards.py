@@ -24,9 +24,6 @@ SENTENCES = {
     "MULLIGAN": r"(?i)^(?<actor>.+?) mulligans?.*$",
     "KEEP": r"(?i)^(?<actor>.+?) keeps? (?:their )?hand.*$",
 }
-#: Keys whose values are dropped, and keys whose values become pseudonyms (letters and digits, lower case).
-SENSITIVE = ("accountid", "accountidstr", "useremail", "email", "token", "accesstoken", "refreshtoken", "auth", "password", "rawlogpath", "logpath", "deviceid", "machineid", "title", "deckname")
-PSEUDONYMS = ("player", "playername", "opponent", "opponentname", "matchid", "matchids", "gameid", "gameids")
 
 
 def worth_keeping(line: Column) -> Column:

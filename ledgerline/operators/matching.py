@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,30 +79,84 @@ def normalised(name: Column) -> Column:
     return F.lower(plain_name(name))
 
 
-def fuzzy(names: DataFrame, catalogue: DataFrame, name: str, known: str, least: float = 0.72) -> DataFrame:
-    """The best catalogue name by Levenshtein ratio, of all that reach ``least`` (ties to the least name).
+def allowed_edits(length: Column, least: float) -> Column:
+    """Edits that leave a pair, of which the longer name has this length, at the threshold (scores are rounded to 6 places)."""
+    return F.floor(F.greatest(length, F.lit(1)) * (1 - least + 1e-6)).cast("int")
+
+
+#: Parts of a known name that are left out, the most common ones.
+SPARE = 1
+
+
+def known_segments(name: Column, least: float) -> Column:
+    """(size, edits, segment, text) of a known name: cut into edits + 1 + SPARE even parts, for every number of edits that a partner may allow."""
+    size = F.length(name)
+    longest = F.greatest(size, F.lit(1), F.floor(F.greatest(size, F.lit(1)) / (least - 1e-6)).cast("int"))
+
+    def parts(edits: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), edits + SPARE), lambda i: F.struct(size.alias("size"), edits.alias("edits"), i.alias("segment"), F.substring(name, segment_start(size, edits, i) + 1, segment_size(size, edits, i)).alias("text")))
+
+    return F.flatten(F.transform(F.array_distinct(F.transform(F.sequence(F.greatest(size, F.lit(1)), longest), lambda m: allowed_edits(m, least))), parts))
+
+
+def segment_size(size: Column, edits: Column, i: Column) -> Column:
+    """The last parts are one longer where the size does not divide."""
+    parts = edits + 1 + SPARE
+    return (F.floor(size / parts) + F.when(i >= parts - size % parts, 1).otherwise(0)).cast("int")
+
+
+def segment_start(size: Column, edits: Column, i: Column) -> Column:
+    parts = edits + 1 + SPARE
+    return (i * F.floor(size / parts) + F.greatest(F.lit(0), i - (parts - size % parts))).cast("int")
+
 
-    Of two names of which the longer has m characters, a pair at the threshold has at most d = (1 - least) * m edits, so
-    lengths differ by d at most, and at least m - 1 - 2 * d pairs of neighbouring characters are shared.  Where that is
-    less than 1 (very short names; any length if least is near 0.5 or lower), all names of such lengths are compared.
+def probes(name: Column, least: float) -> Column:
+    """(size, edits, segment, text) that a known name within the threshold would have: substrings where a part can stand.
+
+    A part that an alignment leaves whole stands s places off with at most |s| + |difference of lengths - s| edits elsewhere.
+    """
+    own = F.length(name)
+    lowest = F.floor(own * (least - 1e-6)).cast("int")
+    longest = F.greatest(own, F.lit(1), F.floor(F.greatest(own, F.lit(1)) / (least - 1e-6)).cast("int"))
+
+    def of_size(size: Column) -> Column:
+        edits, gap = allowed_edits(F.greatest(own, size), least), own - size
+
+        def of_part(i: Column) -> Column:
+            start, n = segment_start(size, edits, i), segment_size(size, edits, i)
+            low, high = F.greatest(F.lit(0), start - F.floor((edits - gap) / 2).cast("int")), F.least(own - n, start + F.floor((edits + gap) / 2).cast("int"))
+            found = F.transform(F.sequence(low, F.greatest(low, high)), lambda s: F.struct(size.alias("size"), edits.alias("edits"), i.alias("segment"), F.substring(name, s + 1, n).alias("text")))
+            return F.when(high >= low, found).otherwise(F.slice(found, 1, 0))
+
+        every = F.flatten(F.transform(F.sequence(F.lit(0), edits + SPARE), of_part))
+        return F.when(F.abs(gap) <= edits, every).otherwise(F.slice(every, 1, 0))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(lowest, longest), of_size)))
+
+
+def fuzzy_candidates(names: DataFrame, catalogue: DataFrame, name: str, known: str, least: float = 0.72) -> DataFrame:
+    """a_, b_: normalised names that share a part, so that no pair at the threshold is left out; a pair may come more than once.
+
+    Of any edits + 1 parts of a name, as many edits leave one whole, so the rarest ones of its parts are enough.  They are
+    found by the name's length, the part's number and its text: a part that is common is a key only where all parts are,
+    and for names of one length.  Where a name has fewer characters than parts (thresholds under a half), empty parts let
+    every name of such lengths through.
     """
     a, b = (d.select(normalised(F.col(c)).alias(n)).where(F.col(n).isNotNull()).distinct() for d, c, n in ((names, name, "a_"), (catalogue, known, "b_")))
+    key = ["size", "edits", "segment", "text"]
+    parts = b.select("b_", F.explode(known_segments(F.col("b_"), least)).alias("k")).select("b_", "k.*")
+    counted = parts.join(parts.groupBy(key).agg(F.count("*").alias("names_")), key)
+    place = F.row_number().over(Window.partitionBy("b_", "edits").orderBy("names_", "segment"))
+    held = counted.withColumn("place_", place).where(F.col("place_") <= F.col("edits") + 1).select("b_", *key)
+    asked = a.select("a_", F.explode(probes(F.col("a_"), least)).alias("k")).select("a_", "k.*")
+    return asked.join(held, key).select("a_", "b_")
+
+
+def fuzzy(names: DataFrame, catalogue: DataFrame, name: str, known: str, least: float = 0.72) -> DataFrame:
+    """The best catalogue name by Levenshtein ratio, of all that reach ``least`` (ties to the least name)."""
     longer = F.greatest(F.length("a_"), F.length("b_"), F.lit(1))
-    edits = lambda m: F.floor(m * (1 - least + 1e-6))  # noqa: E731  scores are rounded to 6 places
-    shared = lambda m: m - 1 - 2 * edits(m)
-
-    def grams(df: DataFrame, text: str, times: str) -> DataFrame:
-        n = F.length(text)
-        found = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col(text), i, F.lit(2)))
-        return df.where(n >= 2).select(text, F.explode(found).alias("gram_")).groupBy(text, "gram_").agg(F.count("*").alias(times))
-
-    near = (F.abs(F.length("a_") - F.length("b_")) <= edits(longer)) & (shared(longer) >= 1)
-    long = grams(a, "a_", "x_").join(grams(b, "b_", "y_"), "gram_").where(near).groupBy("a_", "b_").agg(F.sum(F.least("x_", "y_")).alias("shared_")).where(F.col("shared_") >= shared(longer)).select("a_", "b_")
-    lengths = b.select(F.length("b_").alias("size_")).distinct()
-    size, own = F.col("size_"), F.length("a_")
-    m = F.greatest(own, size, F.lit(1))
-    short = a.join(F.broadcast(lengths), (F.abs(own - size) <= edits(m)) & (shared(m) < 1)).join(b.withColumn("size_", F.length("b_")), "size_").select("a_", "b_")
-    scored = long.unionByName(short).withColumn("score", F.round(1 - F.levenshtein("a_", "b_") / longer, 6)).where(F.col("score") >= least)
+    scored = fuzzy_candidates(names, catalogue, name, known, least).withColumn("score", F.round(1 - F.levenshtein("a_", "b_") / longer, 6))
+    scored = scored.where(F.col("score") >= least).distinct()
     asked, held = names.select(name).distinct(), catalogue.select(known).distinct()
     pairs = asked.withColumn("a_", normalised(F.col(name))).join(scored, "a_").join(held.withColumn("b_", normalised(F.col(known))), "b_")
     return pairs.groupBy(name).agg(F.min_by(known, F.struct(-F.col("score"), F.col(known))).alias(known), F.max("score").alias("score"))
@@ -127,12 +184,83 @@ def paired(scores: DataFrame, agent: str, pair: str, score: str) -> DataFrame:
 def pool_overlap(decks: DataFrame, pools: DataFrame, deck: str, pool: str, card: str, order: str, least: float = 0.5) -> DataFrame:
     """Each deck with the pool that shares most distinct cards (ties to the earliest); both as rows (id, card).
 
-    A pool with less than this share of the deck's cards that any pool has is none.
+    A pool with less than this share of the deck's cards that any pool has is none.  So a pool that counts has one of the
+    deck's rarest cards (all but the least number that it must share, and one): candidates come from those alone, and a
+    card that most pools have is a key only for decks of such cards.  Candidates that, with all other cards, could not
+    share as many as another has of the rarest go; the other cards are counted for what is left.
+    """
+    held = pools.select(pool, order, card).distinct()
+    firsts = held.groupBy(pool).agg(F.min(order).alias(order))
+    held = held.select(pool, card).distinct()
+    cards = decks.select(deck, card).distinct().join(held.groupBy(card).agg(F.count("*").alias("pools_")), card)
+    w = Window.partitionBy(deck)
+    cards = cards.select(deck, card, F.row_number().over(w.orderBy("pools_", card)).alias("place_"), F.count("*").over(w).alias("known_"))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(least) * F.col("known_") - 1e-9))
+    rare = cards.where(F.col("place_") <= F.col("known_") - need + 1)
+    rest = cards.where(F.col("place_") > F.col("known_") - need + 1).select(deck, card)
+    found = rare.join(held, card).groupBy(deck, pool, "known_").agg(F.count("*").alias("rare_")).withColumn("most_", F.max("rare_").over(w))
+    hopeful = found.where(F.col("rare_") + need - 1 >= F.greatest("most_", need))
+    more = hopeful.select(deck, pool).join(rest, deck).join(held, [pool, card], "left_semi").groupBy(deck, pool).agg(F.count("*").alias("more_"))
+    shared = hopeful.join(more, [deck, pool], "left").withColumn("shared", F.col("rare_") + F.coalesce("more_", F.lit(0))).where(F.col("shared") >= need)
+    return latest(shared.join(firsts, pool), [deck], [F.desc("shared"), order, pool]).select(deck, pool, "shared")
+
+
+def greedy_match(expected: DataFrame, observed: DataFrame, group: list[str], weights: dict[str, float], least: float = 0.25) -> DataFrame:
+    """One-to-one pairs (expected_id, observed_id, score) of each group by falling similarity, ties to the smaller ids.
+
+    A pair scores the weights, all above 0, of its equal fields; null equals nothing.  Scores are taken level by level.
+    At a level, rows that are equal in the fields of one of its sums are a class.  Where no row of a class is in another
+    one, the class's rows pair by place.  In the rest, pairs that are the first choice of both rows are taken in rounds;
+    every round takes one at least.
     """
-    cards, held = decks.select(deck, card).distinct(), pools.select(pool, order, card).distinct()
-    shared = cards.join(held, card).groupBy(deck, pool, order).agg(F.count("*").alias("shared"))
-    known = cards.join(held.select(card).distinct(), card, "left_semi").groupBy(deck).agg(F.count("*").alias("known_"))
-    return latest(shared, [deck], [F.desc("shared"), order, pool]).drop(order).join(known, deck).where(F.col("shared") >= least * F.col("known_")).drop("known_")
+    fields = list(weights)
+    columns = list(dict.fromkeys([*group, *fields]))
+    levels: dict[float, list[tuple[str, ...]]] = {}
+    for own in (c for n in range(1, len(fields) + 1) for c in combinations(fields, n)):
+        levels.setdefault(float(sum(weights[f] for f in own)), []).append(own)
+    kinds = [f"{g} {expected.schema[g].dataType.simpleString()}" for g in group]
+    done = expected.sparkSession.createDataFrame([], ", ".join([*kinds, "expected_id long", "observed_id long", "score double"]))
+    free = {"expected_id": expected, "observed_id": observed}
+    free = {name: df.select(*columns, F.col("id").cast("long").alias(name)).checkpoint() for name, df in free.items()}
+
+    def members(name: str, sets: list[tuple[str, ...]]) -> DataFrame:
+        """A row for each class: its group and fields.  Fields of the group that a set leaves out are null, or they would be equal too."""
+        is_in = lambda own: reduce(lambda a, f: a & (F.col(f).isNotNull() if f in own else F.col(f).isNull()), [f for f in fields if f in own or f in group], F.lit(True))
+        key = lambda n, own: F.when(is_in(own), F.to_json(F.struct(F.lit(n).alias("n_"), *own)))
+        classes = F.array_compact(F.array(*(key(n, own) for n, own in enumerate(sets))))
+        return free[name].select(*group, name, F.explode(classes).alias("class_"))
+
+    for score, sets in sorted((x for x in levels.items() if x[0] >= least), reverse=True):
+        a, b = members("expected_id", sets), members("observed_id", sets)
+        found = []
+        if len(sets) > 1:
+            on = [*group, "class_"]
+            both = same(a.select(*on).distinct(), b.select(*on).distinct(), on)
+            a, b = (same(d, both, on, "left_semi").checkpoint() for d in (a, b))
+            crowded = lambda d, name: d.withColumn("n_", F.count("*").over(Window.partitionBy(*group, name))).where("n_ > 1").select(*on)
+            mixed = crowded(a, "expected_id").unionByName(crowded(b, "observed_id")).distinct().checkpoint()
+            left, right = (same(d, mixed, on, "left_semi").checkpoint() for d in (a, b))
+            a, b = (same(d, mixed, on, "left_anti") for d in (a, b))
+            while not left.isEmpty() and not right.isEmpty():
+                choice = lambda d, e, own, other: same(d, e.groupBy(*on).agg(F.min(other).alias(other)), on).groupBy(*group, own).agg(F.min(other).alias(other))
+                agreed = same(choice(left, right, "expected_id", "observed_id"), choice(right, left, "observed_id", "expected_id"), [*group, "expected_id", "observed_id"]).checkpoint()
+                if agreed.isEmpty():
+                    break
+                found.append(agreed)
+                left, right = (same(d, agreed.select(*group, name), [*group, name], "left_anti").checkpoint() for d, name in ((left, "expected_id"), (right, "observed_id")))
+        place = lambda d, name: d.withColumn("place_", F.row_number().over(Window.partitionBy(*group, "class_").orderBy(name)))
+        found.append(same(place(a, "expected_id"), place(b, "observed_id"), [*group, "class_", "place_"]))
+        pairs = reduce(DataFrame.unionByName, (f.select(*group, "expected_id", "observed_id") for f in found)).withColumn("score", F.lit(score)).checkpoint()
+        done = done.unionByName(pairs)
+        free = {name: same(df, pairs.select(*group, name), [*group, name], "left_anti").checkpoint() for name, df in free.items()}
+    return done
+
+
+def same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of which nulls are equal; the columns of b's own follow."""
+    b = b.toDF(*(f"{c}_r_" if c in on else c for c in b.columns))
+    joined = a.join(b, reduce(lambda x, c: x & a[c].eqNullSafe(b[f"{c}_r_"]), on[1:], a[on[0]].eqNullSafe(b[f"{on[0]}_r_"])), how)
+    return joined.drop(*(f"{c}_r_" for c in on)) if how in ("inner", "left") else joined
 
 
 def join_analysis(decisions: DataFrame, analyses: DataFrame, on: list[str], checkpoint: str, chosen: object = None, several: bool = False) -> DataFrame:

@@ -2,101 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import math
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_match(expected: DataFrame, observed: DataFrame, group: list[str], weights: dict[str, float], least: float = 0.25) -> DataFrame:
-    """One-to-one pairs (expected_id, observed_id, score) of each group by falling similarity, ties to the smaller ids.
-
-    A pair scores the weights, all above 0, of its equal fields; null equals nothing.  Rows equal in all fields are
-    the best pairs, so a join takes them by place; the greedy pick sees only what is left, and never a list of pairs.
-    """
-    fields = list(weights)
-    columns = list(dict.fromkeys([*group, *fields]))
-    levels: dict[float, list[tuple[int, ...]]] = {}  # places of the fields whose weights sum to a score
-    for own in (c for n in range(len(fields) + 1) for c in combinations(range(len(fields)), n)):
-        levels.setdefault(float(sum(weights[fields[i]] for i in own)), []).append(own)
-    falling = sorted((x for x in levels.items() if x[0] >= least), reverse=True)
-
-    def match(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        left, right = (list(zip(d["id"], d[[f"field_{f}" for f in fields]].itertuples(index=False, name=None), strict=True)) for d in (frame[frame["expected_"]], frame[~frame["expected_"]]))
-        used_a, used_b, rows = set(), set(), []
-        for score, sets in falling:
-            queues = []
-            for own in sets:
-                queue: dict[tuple, list[int]] = {}
-                for j in reversed(range(len(right))):
-                    if j not in used_b:
-                        queue.setdefault(tuple(right[j][1][i] for i in own), []).append(j)
-                queues.append((own, queue))
-            for k, (a, values) in enumerate(left):
-                if k in used_a:
-                    continue
-                found = []
-                for own, queue in queues:
-                    at = tuple(values[i] for i in own)
-                    line = [] if None in at else queue.get(at, [])
-                    while line and line[-1] in used_b:
-                        line.pop()
-                    found += line[-1:]
-                if found:
-                    used_a.add(k)
-                    used_b.add(min(found))
-                    rows.append((*key, a, right[min(found)][0], score))
-        return pd.DataFrame(rows, columns=[*group, "expected_id", "observed_id", "score"])
-
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*columns, F.col("id").cast("long").alias(name)).withColumn("place_", F.row_number().over(Window.partitionBy(*columns).orderBy(name)))
-
-    both = placed(expected, "expected_id").join(placed(observed, "observed_id"), [*columns, "place_"], "full")
-    paired = F.col("expected_id").isNotNull() & F.col("observed_id").isNotNull()
-    whole = float(sum(weights.values()))
-    equal = both.where(paired & F.lit(whole >= least)).select(*group, "expected_id", "observed_id", F.lit(whole).alias("score"))
-    rest = both.where(~paired).select(*group, *(F.col(f).cast("string").alias(f"field_{f}") for f in fields), F.coalesce("expected_id", "observed_id").alias("id"), F.col("expected_id").isNotNull().alias("expected_"))
-    kinds = ", ".join(f"{g} {expected.schema[g].dataType.simpleString()}" for g in group)
-    return equal.unionByName(rest.groupBy(*group).applyInPandas(match, f"{kinds}, expected_id long, observed_id long, score double"))
-
-
-def redact(df: DataFrame, column: str, sensitive: tuple[str, ...], pseudonyms: tuple[str, ...]) -> DataFrame:
-    """A JSON text column with sensitive values replaced and identifiers as pseudonyms, at any depth; keys sorted."""
-
-    def alias(value: object) -> object:
-        if isinstance(value, list):
-            return [alias(v) for v in value]
-        if isinstance(value, dict):
-            return walk(value)
-        if value is None:
-            return None
-        h = 2166136261
-        for c in str(value):
-            h = (h ^ ord(c)) * 16777619 % 2**32
-        return f"id_{h:08x}"
-
-    def walk(value: object) -> object:
-        if isinstance(value, list):
-            return [walk(v) for v in value]
-        if not isinstance(value, dict):
-            return value
-        out = {}
-        for key, child in value.items():
-            plain = "".join(c for c in key.lower() if c.isalnum())
-            out[key] = "<redacted>" if plain in sensitive else alias(child) if plain in pseudonyms else walk(child)
-        return out
-
-    @F.pandas_udf("string")
-    def redacted(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else json.dumps(walk(json.loads(t)), sort_keys=True))
-
-    return df.withColumn(column, redacted(column))
-
-
 def running_scores(df: DataFrame, decay: float = 0.5) -> DataFrame:
     """game, seq, score: a scorer with memory; each row adds its reading to the decayed memory of its game.
 

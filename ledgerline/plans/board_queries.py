@@ -252,13 +252,25 @@ def flatten_text(spark, sf_dir):
     return shown(spark, sf_dir).select("decision", J.flatten_text(F.col("current")).alias("text"))
 
 
-@query(f"{STATES}, g AS (SELECT game, seq, sum((zone = 'click')::INT) OVER (PARTITION BY game ORDER BY seq) AS run FROM st), r AS (SELECT game, seq, min(seq) OVER (PARTITION BY game, run) AS root, count(*) OVER (PARTITION BY game, run) AS n FROM g) SELECT game, seq AS object, root, (seq - root)::INT AS changed FROM r WHERE n > 1")
+@query(
+    f"""WITH RECURSIVE {STATES_SQL},
+mv AS (SELECT game, seq AS t, (seq - 1) % 5 AS old, seq % 5 AS new FROM st WHERE zone <> 'click' AND seq > 0),
+ev AS (SELECT game, t, old AS object, 0 AS comes, 0 AS k, NULL::DOUBLE AS reading, old, new FROM mv UNION ALL SELECT game, t, new, 1, 0, NULL, old, new FROM mv
+  UNION ALL SELECT game, seq, seq % 5, NULL, 1, reading, NULL, NULL FROM st WHERE zone IN ('click', 'view')),
+sp AS (SELECT *, count(comes) OVER w AS span, last_value(t * 2 + comes IGNORE NULLS) OVER w AS last FROM ev WINDOW w AS (PARTITION BY game, object ORDER BY t, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+va AS (SELECT *, last_value(reading IGNORE NULLS) OVER (PARTITION BY game, object, span ORDER BY t, k) AS said FROM sp),
+o AS (SELECT game, t, old, new, CASE WHEN last % 2 = 1 THEN last // 2 END AS up, said FROM va WHERE comes = 0),
+p AS (SELECT *, CASE WHEN up IS NULL THEN [old, new] ELSE [new] END AS path FROM o),
+c AS (SELECT game, t, new, up, path, said FROM p UNION ALL SELECT c.game, c.t, c.new, p.up, p.path || c.path, coalesce(c.said, p.said) FROM c JOIN p ON p.game = c.game AND p.t = c.up)
+SELECT game, t AS seq, new AS object, path[1] AS root, array_to_string(list_filter(path, lambda x, i: list_position(path, x) = i), ',') AS lineage, said AS reading FROM c WHERE up IS NULL"""
+)
 def lineage_remap(spark, sf_dir):
-    """A state's number becomes the next one's, but a click starts a new object."""
+    """Five ids go round with the states of a game; a click renumbers nothing, and clicks and views say something of the state's id."""
     rows = states(spark, sf_dir)
-    changes = rows.where("zone <> 'click' and seq > 0").select("game", (F.col("seq") - 1).alias("old"), F.col("seq").alias("new"))
+    changes = rows.where("zone <> 'click' and seq > 0").select("game", "seq", ((F.col("seq") - 1) % 5).alias("old"), (F.col("seq") % 5).alias("new"))
+    said = rows.where("zone in ('click', 'view')").select("game", "seq", (F.col("seq") % 5).alias("object"), "reading")
     shared_folder(spark, "lineage")  # a folder for checkpoints
-    return B.lineage(changes, ["game"])
+    return B.lineage(changes, ["game"], "seq", said, ("reading",)).withColumn("lineage", F.array_join(F.col("lineage").cast("array<string>"), ","))
 
 
 @query(f"{WITH} SELECT decision, idx, CASE WHEN qty < 40 THEN '{{\"card\":' || part || ',\"controller\":' || (supp % 2) || ',\"tapped\":' || (qty >= 25) || ',\"power\":null,\"toughness\":null,\"attachments\":[' || CASE WHEN idx = 0 AND n > 1 THEN '\"' || (SELECT x.part FROM opt x WHERE x.decision = opt.decision AND x.idx = 1) || '\"' ELSE '' END || ']}}' END AS canonical_key FROM opt JOIN (SELECT decision, n FROM dec) USING (decision)")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ledgerline.functions import text as T
 from ledgerline.operators import cards as C
 from ledgerline.operators import matching as M
+from ledgerline.operators import redaction as D
 from ledgerline.operators import state as G
 from ledgerline.operators import statistics as S
 from ledgerline.plans.log_queries import records
 from ledgerline.plans.registry import query
+from ledgerline.plans.scratch import shared_folder
 from ledgerline.plans.sequence_queries import picks
 from ledgerline.plans.views import OPTIONS_SQL, STATES_SQL, decisions, option_rows, read, states
 
@@ -76,10 +78,27 @@ def redact_history(spark, sf_dir):
     return rows.select(F.col("event_id").alias("id"), F.col("props").isNotNull().alias("kept"))
 
 
-@query()
+def alias_sql(x: str) -> str:
+    """A pseudonym in DuckDB."""
+    return f"'id_' || format('{{:08x}}', list_reduce(list_prepend(2166136261, list_transform(string_split({x}, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: xor(a, c) * 16777619 % 4294967296))"
+
+
+@query(
+    f"""SELECT c_custkey, '{{"life":' || c_custkey || ',"matchIds":["' || {alias_sql("c_custkey::VARCHAR")} || '","' || {alias_sql("'m-' || c_custkey")} || '",null,"",["' || {alias_sql("'True'")} || '"]],"ok":true,'
+  || '"opponent":{{"colors":["W",{{}}],"deep":{{"players":[{{"deck":{{"list":[[{{"gameId":"' || {alias_sql("c_custkey::VARCHAR")} || '"}}]],"title":"<redacted>"}},"screenName":"' || {alias_sql("c_name")} || '"}}]}},"name":"' || {alias_sql("c_name")} || '"}},'
+  || '"token":"<redacted>","you":{{"e-mail":"<redacted>","hand":[{{"name":"a \\"card\\" é"}}],"name":"' || {alias_sql("c_name")} || '","playerName":"' || {alias_sql("c_name")} || '"}}}}' AS record FROM customer"""
+)
 def redact_json(spark, sf_dir):
-    raw = F.to_json(F.struct(F.struct(F.col("c_name").alias("playerName"), F.lit("x").alias("e-mail")).alias("you"), F.col("c_acctbal").alias("life")))
-    return G.redact(read(spark, sf_dir, "customer").select("c_custkey", raw.alias("record")), "record", C.SENSITIVE, C.PSEUDONYMS)
+    """A record of every customer, seven levels deep."""
+    key, name = F.col("c_custkey").cast("string"), F.to_json(F.array("c_name"))
+    name = F.substr(name, F.lit(2), F.length(name) - 2)
+    record = F.concat(
+        F.lit('{"you": {"playerName": '), name, F.lit(', "e-mail": "x", "name": '), name, F.lit(', "hand": [{"name": "a \\"card\\" é"}]}, "ok": true, "token": {"a": [1]}, "life": '), key,
+        F.lit(', "matchIds": ['), key, F.lit(', "m-'), key, F.lit('", null, "", [true]], "opponent": {"name": '), name, F.lit(', "colors": ["W", {}], "deep": {"players": [{"screenName": '), name,
+        F.lit(', "deck": {"title": "t", "list": [[{"gameId": '), key, F.lit("}]]}}]}}}"),
+    )
+    shared_folder(spark, "redact")  # a folder for checkpoints
+    return D.redacted(read(spark, sf_dir, "customer").select("c_custkey", record.alias("record")), "record")
 
 
 @query(f"{STATES}, f AS (SELECT game, zone, min(seq) AS first FROM st GROUP BY 1, 2), a AS (SELECT game, zone, 'player:' || row_number() OVER (PARTITION BY game ORDER BY first, zone) AS alias FROM f) SELECT id, alias FROM st JOIN a USING (game, zone)")
@@ -109,7 +128,7 @@ def validate_envelope(spark, sf_dir):
 @query("SELECT event_id, event_id % 3 = 0 AS forbidden FROM events")
 def forbidden_key_scan(spark, sf_dir):
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": {"E-Mail": 1}, "b": '), "props", F.lit("}"))).otherwise(F.concat(F.lit('{"text": "email", "b": '), "props", F.lit("}")))
-    return read(spark, sf_dir, "events").select("event_id", C.forbidden_keys(raw, C.SENSITIVE).alias("forbidden"))
+    return read(spark, sf_dir, "events").select("event_id", C.forbidden_keys(raw, D.SENSITIVE).alias("forbidden"))
 
 
 @query("SELECT conv_id, turn, regexp_matches(lower(text), 'draw|cast|play|attack|block|damage|counter|target|trigger|mulligan|keep|concede|wins|loses') AS worth FROM conversations")
@@ -159,13 +178,25 @@ def index_decisions_by_state(spark, sf_dir):
     return rows.join(at, ["game", "seq"], "left").join(last, "game", "left").select("id", F.coalesce("state", "last").alias("state"))
 
 
-@query()
+@query(
+    f"""{STATES}, a AS (SELECT *, object % 2 AS parity, row_number() OVER (PARTITION BY game, zone, object ORDER BY id) AS p FROM st),
+b AS (SELECT game, zone, id, o AS object, o % 2 AS parity, row_number() OVER (PARTITION BY game, zone, o ORDER BY id) AS p FROM (SELECT *, lag(object) OVER (PARTITION BY game, zone ORDER BY seq) AS o FROM st)),
+m1 AS (SELECT a.game, a.id AS e, b.id AS o, 1.0 AS score FROM a JOIN b USING (game, zone, object, p)),
+a2 AS (SELECT *, row_number() OVER (PARTITION BY game, zone, parity ORDER BY id) AS q FROM a WHERE id NOT IN (SELECT e FROM m1)),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY game, zone, parity ORDER BY id) AS q FROM b WHERE id NOT IN (SELECT o FROM m1)),
+m2 AS (SELECT a2.game, a2.id AS e, b2.id AS o, 0.6 AS score FROM a2 JOIN b2 USING (game, zone, parity, q)),
+a3 AS (SELECT *, row_number() OVER (PARTITION BY game, zone ORDER BY id) AS r FROM a2 WHERE id NOT IN (SELECT e FROM m2)),
+b3 AS (SELECT *, row_number() OVER (PARTITION BY game, zone ORDER BY id) AS r FROM b2 WHERE id NOT IN (SELECT o FROM m2)),
+m3 AS (SELECT a3.game, a3.id AS e, b3.id AS o, 0.5 AS score FROM a3 JOIN b3 USING (game, zone, r))
+SELECT game, e AS expected_id, o AS observed_id, score::DOUBLE AS score FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)"""
+)
 def object_match(spark, sf_dir):
     """All states of a game's zone, against the same states seen late: each with the object of the one before in its zone."""
     rows = states(spark, sf_dir)
     late = rows.withColumn("object", F.lag("object").over(Window.partitionBy("game", "zone").orderBy("seq")))
     expected, observed = (d.withColumn("parity", F.col("object") % 2) for d in (rows, late))
-    return G.greedy_match(expected, observed, ["game", "zone"], {"zone": 0.5, "object": 0.4, "parity": 0.1}).drop("zone")
+    shared_folder(spark, "match")  # a folder for checkpoints
+    return M.greedy_match(expected, observed, ["game", "zone"], {"zone": 0.5, "object": 0.4, "parity": 0.1}).drop("zone")
 
 
 @query(f"{WITH}, s AS (SELECT o.decision, idx, round(CASE WHEN kind = pick_kind THEN 0.45 WHEN left(kind, 1) = left(pick_kind, 1) THEN 0.28 ELSE 0 END + CASE WHEN part = pick_part THEN 0.38 ELSE 0 END + CASE WHEN akey IS NOT NULL THEN 0.12 ELSE 0 END, 6) AS score FROM opt o JOIN dec d ON d.decision = o.decision) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY score DESC, idx) AS rank FROM s) WHERE rank = 1")

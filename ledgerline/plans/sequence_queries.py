@@ -175,14 +175,9 @@ def anti_cache(spark, sf_dir):
     return M.unscored(orders, lines, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
 
 
-@query(f"{WITH}, a AS (SELECT decision, supp AS checkpoint, first(part ORDER BY ts, idx DESC) AS top FROM opt GROUP BY 1, 2) SELECT d.decision, checkpoint, top = pick_part AS agrees FROM dec d JOIN a USING (decision) WHERE checkpoint % 10 = 3")
-def join_decision_analysis(spark, sf_dir):
-    return join_decision_analysis_all(spark, sf_dir).where("checkpoint % 10 = 3")
-
-
 @query(f"{WITH}, a AS (SELECT decision, supp AS checkpoint, first(part ORDER BY ts, idx DESC) AS top FROM opt GROUP BY 1, 2) SELECT d.decision, checkpoint, top = pick_part AS agrees FROM dec d JOIN a USING (decision)")
-def join_decision_analysis_all(spark, sf_dir):
-    """Every checkpoint; join_decision_analysis is held to its SQL."""
+def join_decision_analysis(spark, sf_dir):
+    """The analyses of every checkpoint."""
     analyses = M.latest(option_rows(spark, sf_dir), ["decision", "supp"], [F.desc("idx")]).select("decision", F.col("supp").alias("checkpoint"), F.col("part").alias("top"))
     return M.join_analysis(picks(spark, sf_dir), analyses, ["decision"], "checkpoint", several=True).select("decision", "checkpoint", (F.col("top") == F.col("pick_part")).alias("agrees"))
 
@@ -296,25 +291,12 @@ def outcome_join(spark, sf_dir):
     return df.join(games, "gameId").select("decision", F.when(F.col("games") == 1, F.when(F.col("total") > 200000, 1).otherwise(-1)).alias("label"))
 
 
-@query(
-    f"""{WITH}, s AS (SELECT o.decision, d.game AS pool, min(d.seq) AS ord, count(DISTINCT o.part) AS shared FROM opt o JOIN (SELECT DISTINCT game, seq, pick_part FROM dec) d ON d.pick_part = o.part WHERE o.source = 'P' GROUP BY 1, 2)
-SELECT decision, first(pool ORDER BY shared DESC, pool) AS pool, max(shared) AS shared FROM s GROUP BY 1"""
-)
-def pool_match(spark, sf_dir):
-    return pools_of(spark, sf_dir, option_rows(spark, sf_dir).where("source = 'P'"), 0)
-
-
-def pools_of(spark, sf_dir, rows, least):
-    pools = picks(spark, sf_dir).select(F.col("gameId").alias("pool"), F.lit(0).alias("first"), F.col("pick_part").alias("card"))
-    return M.pool_overlap(rows.select("decision", F.col("part").alias("card")), pools, "decision", "pool", "card", "first", least)
-
-
 @query(
     f"""{WITH}, p AS (SELECT DISTINCT game AS pool, pick_part AS card FROM dec), k AS (SELECT DISTINCT decision, part AS card FROM opt WHERE part IN (SELECT card FROM p)),
 n AS (SELECT decision, count(*) AS known FROM k GROUP BY 1), s AS (SELECT decision, pool, count(*) AS shared FROM k JOIN p USING (card) GROUP BY 1, 2),
 b AS (SELECT decision, first(pool ORDER BY shared DESC, pool) AS pool, max(shared) AS shared FROM s GROUP BY 1)
 SELECT decision, pool, shared FROM b JOIN n USING (decision) WHERE shared * 2 >= known"""
 )
-def pool_match_all(spark, sf_dir):
-    """Decks of every source, with the rejection; pool_match is held to its SQL."""
-    return pools_of(spark, sf_dir, option_rows(spark, sf_dir), 0.5)
+def pool_match(spark, sf_dir):
+    pools = picks(spark, sf_dir).select(F.col("gameId").alias("pool"), F.lit(0).alias("first"), F.col("pick_part").alias("card"))
+    return M.pool_overlap(option_rows(spark, sf_dir).select("decision", F.col("part").alias("card")), pools, "decision", "pool", "card", "first")

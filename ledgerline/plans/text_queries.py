@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
 from ledgerline.operators import matching as M
+from ledgerline.plans.card_queries import alias_sql
 from ledgerline.plans.registry import query
 from ledgerline.plans.sequence_queries import picks
 from ledgerline.plans.views import OPTIONS_SQL, STATES_SQL, decisions, option_rows, read, states
@@ -87,7 +88,7 @@ def normalize_card_name(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", M.plain_name(raw).alias("name"))
 
 
-@query()
+@query(f"SELECT c_custkey, {alias_sql('c_name')} AS alias FROM customer")
 def pseudonym(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", T.pseudonym(F.col("c_name")).alias("alias"))
 

@@ -149,9 +149,16 @@ def test_lines_lineage_and_windows(spark, tmp_path):
     from ledgerline.sources.files import read_lines
 
     spark.sparkContext.setCheckpointDir(f"file://{tmp_path}/c")
-    chain = spark.createDataFrame([(1, k, k + 1) for k in range(20)] + [(2, 5, 6), (2, 7, 7)], "g long, old long, new long")
-    got = {(r["g"], r["object"]): (r["root"], r["changed"]) for r in B.lineage(chain, ["g"]).collect()}
-    assert got == {(1, k): (0, k) for k in range(21)} | {(2, 5): (5, 0), (2, 6): (5, 1)}
+    chain = spark.createDataFrame([(1, k, k, k + 1) for k in range(20)] + [(2, 3, 5, 6), (2, 4, 7, 7)], "g long, t long, old long, new long")
+    got = {(r["g"], r["object"]): (r["root"], r["lineage"]) for r in B.lineage(chain, ["g"], "t").collect()}
+    assert got == {(1, k): (0, list(range(k + 1))) for k in range(1, 21)} | {(2, 6): (5, [5, 6])}
+    # Ids that go round end; an id that was taken away and comes up again is another object; nulls say nothing.
+    moves = spark.createDataFrame([(1, 1, 1, 2), (1, 2, 2, 1), (1, 5, 1, 3), (1, 7, 1, 4), (1, 9, 3, 2), (None, 1, 1, 2), (2, 1, 1, 2), (2, 1, 2, 3)], "g long, t long, old long, new long")
+    said = spark.createDataFrame([(1, 0, 1, "a", 1), (1, 1, 2, None, 2), (1, 2, 2, "lost", 9), (1, 6, 1, "new", None), (1, 6, 3, None, 5), (1, 9, 3, "late", 9), (2, 0, 1, "z", None)], "g long, t long, object long, name string, n long")
+    got = {(r["g"], r["t"], r["object"]): (r["root"], r["lineage"], r["name"], r["n"]) for r in B.lineage(moves.union(moves.limit(1)), ["g"], "t", said, ("name", "n")).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, 1, 2): (1, [1, 2], "a", 1), (1, 2, 1): (1, [1, 2], "a", 2), (1, 5, 3): (1, [1, 2, 3], "a", 2), (1, 7, 4): (1, [1, 4], "new", None), (1, 9, 2): (1, [1, 2, 3], "a", 5)}
+    assert got[2, 1, 3] == (1, [1, 2, 3], "z", None)
+    assert B.lineage(moves.limit(0), ["g"], "t").collect() == []
     windows = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, ["B", "c"]), (1, 2, ["B", "c"]), (1, 3, ["x"]), (1, 4, [])], "k long, t long, lines array<string>")
     assert [r["fresh"] for r in B.new_lines(windows, ["k"], "t").orderBy("t").collect()] == [["a", "b"], ["c"], [], ["x"], []]
     (tmp_path / "t.txt").write_text("".join(f"line {k}\n" for k in range(2000)))

@@ -130,10 +130,12 @@ def test_names(spark):
     assert {r["name"]: r["card"] for r in fuzzy(asked, cards, "name", "card").collect()}["Fire Bold"] == "Fire Bolt"
 
 
-def test_greedy_match_equals_brute_force(spark):
+def test_greedy_match_equals_brute_force(spark, tmp_path):
     import random
 
-    from ledgerline.operators.state import greedy_match
+    from ledgerline.operators.matching import greedy_match
+
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}/c")
 
     random.seed(4)
     big = 1 << 60  # ids and objects that a double cannot hold
@@ -194,6 +196,101 @@ def test_fuzzy_equals_brute_force(spark, least):
     assert least > 0.72 or (got["Lightnng"][0], got["Fir Bollt"][0]) == ("Lightning", "Fire Bolt")
 
 
+def test_fuzzy_compares_few_names_and_loses_none(spark):
+    import random
+
+    from ledgerline.operators.matching import fuzzy, fuzzy_candidates, normalised
+
+    random.seed(6)
+    words = ["".join(random.choices("etaoinshrdlu", k=random.randint(3, 8))) for _ in range(300)]
+    cards = sorted({" ".join(["the", *random.choices(words, k=random.randint(1, 3))]) for _ in range(1500)})  # all share bigrams
+
+    def misspelt(name):
+        for _ in range(random.randint(0, 4)):
+            i = random.randrange(len(name))
+            name = name[:i] + random.choice(["", "x", "e", name[i] * 2]) + name[i + 1 :]
+        return name
+
+    asked = sorted({misspelt(random.choice(cards)) for _ in range(5200)})[:5000]
+    names, catalogue = (spark.createDataFrame([(x,) for x in rows], f"{c} string") for c, rows in (("name", asked), ("card", cards)))
+    a, b = names.select("name", normalised(F.col("name")).alias("a")), catalogue.select("card", normalised(F.col("card")).alias("b"))
+    score = F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")), 6)
+    every = a.join(F.broadcast(b), F.lit(True)).withColumn("score", score).where("score >= 0.8")
+    want = every.groupBy("name").agg(F.min_by("card", F.struct(-F.col("score"), "card")).alias("card"), F.max("score").alias("score"))
+    assert sorted(map(tuple, fuzzy(names, catalogue, "name", "card", 0.8).collect())) == sorted(map(tuple, want.collect()))
+    pairs = fuzzy_candidates(names, catalogue, "name", "card", 0.8).distinct().count()
+    print(f"candidates a name: {pairs / len(asked):.1f} of {len(cards)}")
+    assert pairs / len(asked) < len(cards) / 20
+
+
+def test_pools_equal_brute_force(spark):
+    import random
+
+    from ledgerline.operators.matching import pool_overlap
+
+    random.seed(8)
+    pools = [(p, p // 3, c) for p in range(60) for c in {0, *random.sample(range(80), random.randint(1, 12))}]  # all hold card 0
+    decks = [(d, c) for d in range(200) for c in random.choices([0, *range(90)], k=random.randint(1, 9))] + [(500, 0)] * 30 + [(501, 999)]
+    ids = {c for _, _, c in pools}
+    want = []
+    for d in {d for d, _ in decks}:
+        own = {c for x, c in decks if x == d} & ids
+        shared = sorted((-len(own & {c for p, _, c in pools if p == pool}), pool // 3, pool) for pool in range(60))
+        if -shared[0][0] * 2 >= len(own) > 0:
+            want.append((d, shared[0][2], -shared[0][0]))
+    got = pool_overlap(spark.createDataFrame(decks, "deck long, card long"), spark.createDataFrame(pools, "pool long, at long, card long"), "deck", "pool", "card", "at")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+
+
+def test_redaction_equals_the_recursive_rule(spark, tmp_path):
+    import json
+    import random
+
+    from ledgerline.operators import redaction as D
+
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}/c")
+    plain = lambda key: "".join(c for c in key.lower() if c.isalnum())
+
+    def alias(v):
+        if isinstance(v, dict):
+            return rule(v, True)
+        if isinstance(v, list):
+            return [alias(x) for x in v]
+        h = 2166136261
+        for c in str(v):
+            h = (h ^ ord(c)) * 16777619 % 2**32
+        return v if v is None or v == "" else f"id_{h:08x}"
+
+    def rule(v, player=False):
+        if isinstance(v, list):
+            return [rule(x, player) for x in v]
+        if not isinstance(v, dict):
+            return v
+        out = {}
+        for k, x in v.items():
+            n = plain(k)
+            out[k] = D.REDACTED if n in D.SENSITIVE else alias(x) if n in D.PSEUDONYMS or (player and n in D.NAMES) else rule(x, n in D.PLAYERS)
+        return out
+
+    random.seed(2)
+    keys = ["e-Mail", "Title", "player", "matchIds", "you", "players", "Screen_Name", "name", "x", "é", 'q"\\', "deck"]
+
+    def value(depth):
+        if depth and random.random() < 0.75:
+            return {k: value(depth - 1) for k in random.sample(keys, random.randint(0, 4))} if random.random() < 0.6 else [value(depth - 1) for _ in range(random.randint(0, 3))]
+        return random.choice([None, True, False, 0, -12, 2.5, "", "a \\ \"b\" é\n", "x", 10**15])
+
+    values = [value(7) for _ in range(150)]
+    texts = [json.dumps(v) for v in values] + [None, "", "{", '{"a": 1} 2', "null", '"name"', "[]", "{}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, record string").select("key", "record", F.lit("p").alias("path"), F.lit("m").alias("mode"))
+    got = {r["key"]: r["record"] for r in D.redacted(df, "record").collect()}
+    dumps = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    for i, v in enumerate(values):
+        assert got[i] == dumps(rule(v)), (v, got[i])
+    assert [got[150 + i] for i in range(8)] == [None, None, None, None, "null", '"name"', "[]", "{}"]
+    assert max(map(lambda t: t.count("["), texts[:150])) > 3
+
+
 def test_slugs_keep_all_digits(spark):
     from ledgerline.functions.text import run_slug
 
