@@ -118,13 +118,6 @@ def validate_deck(spark, sf_dir):
     return C.validate_decks(entries, part.where("p_brand <> 'Brand#2'"), "deck", "name", "name").select("deck", "valid")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice < 20000 THEN 'no_consent' WHEN n IS NULL THEN 'empty' WHEN n > 6 THEN 'too_many' END AS error FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
-def validate_envelope(spark, sf_dir):
-    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    rows = read(spark, sf_dir, "orders").join(n, "o_orderkey", "left")
-    return rows.select("o_orderkey", C.first_failure([("no_consent", F.col("o_totalprice") < 20000), ("empty", F.col("n").isNull()), ("too_many", F.col("n") > 6)]).alias("error"))
-
-
 @query("SELECT event_id, event_id % 3 = 0 AS forbidden FROM events")
 def forbidden_key_scan(spark, sf_dir):
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": {"E-Mail": 1}, "b": '), "props", F.lit("}"))).otherwise(F.concat(F.lit('{"text": "email", "b": '), "props", F.lit("}")))
@@ -212,12 +205,6 @@ def belief_label_join(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.col("quality").isNotNull().alias("labelled"), F.coalesce("quality", F.lit(-1)).alias("target"))
 
 
-@query("SELECT count(*) AS bundles FROM (SELECT DISTINCT substr(sha256(o_custkey || '|' || o_orderstatus), 1, 32) AS id FROM orders)")
-def upload_dedupe(spark, sf_dir):
-    stable = F.substring(F.sha2(F.concat_ws("|", "o_custkey", "o_orderstatus"), 256), 1, 32)
-    return M.latest(read(spark, sf_dir, "orders").withColumn("stable", stable), ["stable"], ["o_orderkey"]).agg(F.count("*").alias("bundles"))
-
-
 @query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, min(turn) AS first_turn, max(turn) AS last_turn, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY 1")
 def match_metadata(spark, sf_dir):
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("characters"))

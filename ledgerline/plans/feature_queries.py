@@ -92,17 +92,6 @@ def draft_state(spark, sf_dir):
     return X.running_pack(picks(spark, sf_dir), "gameId", "sequenceNumber", "pick_part", F.col("prompt") == "1-URGENT").select("decision", "picked")
 
 
-@query(f"{WITH} SELECT CASE WHEN n > 6 THEN 'too_many_options' ELSE 'kept' END AS reason, count(*) AS n, sum(n)::BIGINT AS options FROM dec GROUP BY 1")
-def ranker_examples(spark, sf_dir):
-    return picks(spark, sf_dir).groupBy(F.when(F.col("n") > 6, "too_many_options").otherwise("kept").alias("reason")).agg(F.count("*").alias("n_"), F.sum("n").alias("options")).withColumnRenamed("n_", "n")
-
-
-@query(f"{WITH}, t AS (SELECT game, decision, row_number() OVER (PARTITION BY game ORDER BY seq) AS k, count(*) OVER (PARTITION BY game) AS n FROM dec) SELECT game, count(*) AS records, any_value(n) > 5 AS truncated FROM t WHERE k <= 5 GROUP BY game")
-def upload_envelope(spark, sf_dir):
-    rows = S.take_per_group(picks(spark, sf_dir), "gameId", ["sequenceNumber"], 5)
-    return rows.groupBy(F.col("gameId").alias("game")).agg(F.count("*").alias("records"), F.max("truncated").alias("truncated"))
-
-
 @query(f"{WITH} SELECT source = 'P' AS canonical, count(*) AS n, count(*) FILTER (terminal) AS terminal FROM dec GROUP BY 1")
 def read_decisions(spark, sf_dir):
     """Raw lines are written as text files, one folder, then scanned, normalised and folded."""

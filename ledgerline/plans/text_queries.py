@@ -151,25 +151,6 @@ def format_analysis(spark, sf_dir):
     return picks(spark, sf_dir).select("decision", F.format_string("decision %d: %d options, played %d", "sequenceNumber", "n", F.col("pick") + 1).alias("line"))
 
 
-@query(f"{WITH} SELECT decision, game, seq, n, CASE WHEN n <= 1 THEN '0-1' WHEN n <= 4 THEN '2-4' WHEN n <= 8 THEN '5-8' WHEN n <= 16 THEN '9-16' ELSE '17+' END AS options, pick_kind AS chosen_group FROM dec")
-def decision_rows(spark, sf_dir):
-    from ledgerline.operators.records import option_bucket
-
-    return picks(spark, sf_dir).select("decision", F.col("gameId").alias("game"), F.col("sequenceNumber").alias("seq"), "n", option_bucket(F.col("n")).alias("options"), F.col("pick_kind").alias("chosen_group"))
-
-
-@query(f"{WITH}, o AS (SELECT decision, string_agg(kind || ':' || label, ';' ORDER BY idx) AS options FROM opt GROUP BY 1) SELECT decision, prompt, options, pick FROM dec JOIN o USING (decision)")
-def compile_examples(spark, sf_dir):
-    df = decisions(spark, sf_dir)
-    texts = F.transform("select.option", lambda o: F.concat_ws(":", o["type"], o["label"]))
-    return df.select("decision", F.col("select.type").alias("prompt"), F.array_join(texts, ";").alias("options"), F.col("selectedIndices")[0].alias("pick"))
-
-
-@query(f"{WITH} SELECT decision, part AS candidate, count(*) AS copies, bool_or(chosen) AS positive FROM opt GROUP BY 1, 2")
-def selection_examples(spark, sf_dir):
-    return option_rows(spark, sf_dir).groupBy("decision", F.col("part").alias("candidate")).agg(F.count("*").alias("copies"), F.max("chosen").alias("positive"))
-
-
 @query(f"{WITH}, a AS (SELECT decision, first(idx ORDER BY score_a DESC, idx) AS top_a, first(idx ORDER BY score_b DESC, idx) AS top_b FROM opt GROUP BY 1) SELECT decision, top_a, top_b, pick, top_a = top_b AS agree FROM dec JOIN a USING (decision)")
 def comparison_rows(spark, sf_dir):
     best = lambda s: F.min_by("idx", F.struct(-F.col(s), "idx"))
