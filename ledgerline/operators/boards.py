@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import open_json as J
 from ledgerline.functions import text as T
+from ledgerline.operators.features import hash_embedding
 from ledgerline.operators.log_events import at, first_at, is_kind, let
 
 #: Other names of zones.
@@ -58,6 +60,10 @@ OBJECT = {
     "attached_to": "string",
     "attacking": "boolean",
     "blocking": "boolean",
+    "summoning_sick": "boolean",
+    "damage_marked": "bigint",
+    "mana_value": "bigint",
+    "loyalty": "bigint",
     "placeholder": "boolean",
 }
 #: Fields of a state besides its players and objects.
@@ -107,6 +113,10 @@ def _object(value: Column, zone: Column, seat: Column, revealed: bool = False) -
         "attached_to": first_at(value, ("attachedTo", "attached_to")),
         "attacking": flag(at(value, "attacking", "variant")),
         "blocking": flag(at(value, "blocking", "variant")),
+        "summoning_sick": flag(at(value, "summoningSick", "variant")),
+        "damage_marked": whole(value, "damageMarked"),
+        "mana_value": whole(value, "manaValue"),
+        "loyalty": whole(value, "loyalty"),
         "placeholder": F.lit(False),
     }
     return F.struct(*(v.alias(k) for k, v in fields.items()))
@@ -257,43 +267,75 @@ def numeric_row(zone: Column, seat: Column, view: Column, flags: list[Column], v
     return F.array(F.lit(1.0), one(zone == "global"), one(zone == "player"), *(one(known == z) for z in ROW_ZONES), *(one(relation == k) for k in range(3)), *map(one, flags), *values)
 
 
-#: Scales of a row's values (fixed values).
-ROW_SCALES = {"power": 20, "toughness": 20, "damage": 20, "life": 40, "hand_count": 10, "library_count": 60, "graveyard_count": 30, "poison": 10, "energy": 20}
+#: Flags of a row, and its values with their scales, in order (fixed values).
+ROW_FLAGS = ("tapped", "attacking", "blocking", "token", "face_down", "summoning_sick")
+ROW_SCALES = {"power": 20, "toughness": 20, "damage": 20, "damage_marked": 20, "mana_value": 12, "life": 40, "hand_count": 10, "library_count": 60, "graveyard_count": 30, "poison": 10, "energy": 20, "loyalty": 12}
+COUNTS = ("life", "hand_count", "library_count", "graveyard_count", "poison", "energy")
+#: Events of a state's history that are shown, the last ones.
+RECENT = 32
 
 
-def state_rows(states: DataFrame, keys: list[str], state: str = "state", most: int = 128) -> DataFrame:
-    """keys, row, zone, text, numbers: a state's rows, global first, then players, then objects; at most ``most`` of them (the feature's own size).
+def object_numbers(zone: Column, seat: Column, view: Column, has: dict[str, Column]) -> Column:
+    """The numbers of a row from its flags and values by name; what is not there is 0."""
+    flags = [F.coalesce(has.get(k, F.lit(False)), F.lit(False)) for k in ROW_FLAGS]
+    values = [T.norm(F.coalesce(has[k].cast("double"), F.lit(0.0)), scale) if k in has else F.lit(0.0) for k, scale in ROW_SCALES.items()]
+    return numeric_row(zone, seat, view, flags, values)
 
-    An object in another seat's hand, and one in a library that is not revealed, is 'unknown hidden card'.
+
+def state_rows(states: DataFrame, keys: list[str], state: str = "state", history: str | None = None, most: int = 128) -> DataFrame:
+    """keys, row, zone, text, numbers: a state's rows, global first, then players, objects and the last events of its history; at most ``most`` of them (the feature's own size).
+
+    An object in another seat's hand, and one in a library that is not revealed, is 'unknown hidden card'.  History (an array of
+    JSON texts) is told as its flattened events; the last has recency 0, the one before it -1.
     """
     s = F.col(state)
     view = s["perspective"]
     said = lambda head, parts: F.concat_ws(" | ", F.lit(head), *(F.when(c.isNotNull(), F.concat(F.lit(f"{n}="), c.cast("string"))) for n, c in parts.items()))
-    squash = lambda row, has: [F.tanh(F.coalesce(row[k].cast("double"), F.lit(0.0)) / scale) if k in has else F.lit(0.0) for k, scale in ROW_SCALES.items()]
-    none = F.lit(None).cast("string")
-    no_flags = [F.lit(False)] * 5
-    make = lambda zone, text, numbers: F.struct(zone.alias("zone"), text.alias("text"), numbers.alias("numbers"))
-    top = make(F.lit("global"), said("global", {"activeSeat": s["active_seat"], "phase": s["phase"], "prioritySeat": s["priority_seat"], "step": s["step"], "turnNumber": s["turn_number"]}), numeric_row(F.lit("global"), none, view, no_flags, [F.lit(0.0)] * len(ROW_SCALES)))
-    counts = ("life", "hand_count", "library_count", "graveyard_count", "poison", "energy")
-    players = F.transform(s["players"], lambda p: make(F.lit("player"), said("player", {k: p[k] for k in sorted(("name", "seat", *counts))}), numeric_row(F.lit("player"), p["seat"], view, no_flags, squash(p, counts))))
+    none, event = F.lit(None).cast("string"), F.lit(None).cast("string")
+    make = lambda zone, text, numbers, event=event: F.struct(zone.alias("zone"), text.alias("text"), numbers.alias("numbers"), event.alias("event"))
+    top = make(F.lit("global"), said("global", {"activeSeat": s["active_seat"], "phase": s["phase"], "prioritySeat": s["priority_seat"], "step": s["step"], "turnNumber": s["turn_number"]}), object_numbers(F.lit("global"), none, view, {}))
+    players = F.transform(s["players"], lambda p: make(F.lit("player"), said("player", {k: p[k] for k in sorted(("name", "seat", *COUNTS))}), object_numbers(F.lit("player"), p["seat"], view, {k: p[k] for k in COUNTS})))
 
     def of(o: Column) -> Column:
         seat = F.coalesce(o["controller"], o["owner"])
         hidden = ((o["zone"] == "hand") & (seat != view)) | ((o["zone"] == "library") & ~o["revealed"])
         card = said("card", {"name": o["name"], "power": o["power"], "toughness": o["toughness"], "types": F.when(F.size(o["types"]) > 0, F.array_join(o["types"], " "))})
-        flags = [o["tapped"], o["attacking"], o["blocking"], o["token"], o["face_down"]]
-        return make(o["zone"], F.when(F.coalesce(hidden, F.lit(False)), "unknown hidden card").otherwise(card), numeric_row(o["zone"], seat, view, flags, squash(o, ("power", "toughness", "damage"))))
+        has = {k: o[k] for k in (*ROW_FLAGS, *ROW_SCALES) if k in OBJECT}
+        return make(o["zone"], F.when(F.coalesce(hidden, F.lit(False)), "unknown hidden card").otherwise(card), object_numbers(o["zone"], seat, view, has))
 
     shown = F.filter(s["objects"], lambda o: ~o["placeholder"])
-    rows = F.slice(F.concat(F.array(top), players, F.transform(shown, of)), 1, most)
-    return states.select(*keys, F.posexplode(rows).alias("row", "r")).select(*keys, "row", "r.*")
+    parts = [F.array(top), players, F.transform(shown, of)]
+    if history:
+        events = F.coalesce(F.col(history), F.array().cast("array<string>"))
+        recent = F.slice(events, F.greatest(F.lit(1), F.size(events) - RECENT + 1), RECENT)
+        recency = lambda e, i: F.regexp_replace(e, r"\}\s*$", F.concat(F.when(e.rlike(r"^\s*\{\s*\}\s*$"), "").otherwise(","), F.lit('"historyRecency":'), (i - F.size(recent) + 1).cast("string"), F.lit("}")))
+        parts.append(F.transform(recent, lambda e, i: make(F.lit("history"), none, object_numbers(F.lit("history"), none, view, {}), F.when(e.rlike(r"^\s*\{"), recency(e, i)).otherwise(F.concat(F.lit('{"event":'), e, F.lit(',"historyRecency":'), (i - F.size(recent) + 1).cast("string"), F.lit("}"))))))
+    rows = states.select(*keys, F.posexplode(F.slice(F.concat(*parts), 1, most)).alias("row", "r")).select(*keys, "row", "r.*")
+    if history:
+        rows = rows.withColumn("text", F.when(F.col("event").isNotNull(), F.concat(F.lit("public history | "), J.flatten_text(F.col("event")))).otherwise(F.col("text")))
+    return rows.drop("event")
+
+
+#: Amounts of an option's payload, in order (fixed values).
+AMOUNTS = ("amount", "x", "value", "manaValue", "power", "toughness")
+
+
+def option_vectors(options: DataFrame, prompt: str, index: str, option: str, card: str | None = None) -> DataFrame:
+    """The frame with text ('prompt=.. | ..', the flattened option, and its card's) and numbers (there, squashed index and amounts of its payload).
+
+    Option and card are JSON texts; a card that is not known is null.
+    """
+    amount = lambda k: T.norm(F.coalesce(F.try_variant_get(F.try_parse_json(option), f"$.payload.{k}", "double"), F.lit(0.0)), 20.0)
+    said = F.concat(F.lit("prompt="), F.coalesce(F.nullif(F.col(prompt), F.lit("")), F.lit("unknown")), F.lit(" | "), J.flatten_text(F.coalesce(option, F.lit("{}"))))
+    if card:
+        said = F.concat(said, F.coalesce(F.concat(F.lit(" | card semantics="), J.flatten_text(F.col(card))), F.lit("")))
+    place = T.norm(F.coalesce(F.col(index).cast("double"), F.lit(0.0)), 32.0)
+    return options.withColumns({"text": said, "numbers": F.array(F.lit(1.0), place, *map(amount, AMOUNTS))})
 
 
-def option_vectors(options: DataFrame, prompt: str, index: str, text: str, amounts: list[str]) -> DataFrame:
-    """The frame with text ('prompt=.. | ..') and numbers (there, squashed index, squashed amounts)."""
-    squash = lambda c, scale: F.tanh(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / scale)
-    said = F.concat(F.lit("prompt="), F.coalesce(prompt, F.lit("unknown")), F.lit(" | "), F.coalesce(text, F.lit("")))
-    return options.withColumns({"text": said, "numbers": F.array(F.lit(1.0), squash(index, 32.0), *(squash(a, 20.0) for a in amounts))})
+def with_text_vectors(rows: DataFrame, dim: int = 384) -> DataFrame:
+    """Rows with text and numbers and their vector: the text's embedding (each text's once) before the numbers."""
+    return hash_embedding(rows, "text", dim).withColumn("vector", F.concat("vector", "numbers"))
 
 
 def padded(df: DataFrame, rows: str, size: int, width: int) -> DataFrame:

@@ -129,20 +129,49 @@ def causal_delta_vector(spark, sf_dir):
 
 
 @query(
-    f"""WITH {BOARDS_SQL}, r AS (SELECT decision, zone, (zone = 'hand' AND seat <> me)::INT AS unknown_, round(tanh(coalesce(power, 0) / 20.0), 6) AS strength, tapped::INT AS turned FROM o JOIN (SELECT decision, me FROM s) USING (decision)
-  UNION ALL SELECT decision, 'global', 0, 0, 0 FROM s UNION ALL SELECT decision, 'player', 0, 0, 0 FROM s, range(2) UNION ALL SELECT decision, 'library', 1, 0, 0 FROM s, range(2))
-SELECT decision, zone, count(*) AS rows, sum(unknown_)::BIGINT AS unknown, round(sum(strength), 4) AS strength, sum(turned)::DOUBLE AS turned, 32 AS width FROM r GROUP BY 1, 2"""
+    f"""WITH {BOARDS_SQL}, r AS (SELECT decision, zone, (zone = 'hand' AND seat <> me)::INT AS unknown_, round(tanh(coalesce(power, 0) / 20.0), 6) AS strength, tapped::INT AS turned, 0 AS recency FROM o JOIN (SELECT decision, me FROM s) USING (decision)
+  UNION ALL SELECT decision, 'global', 0, 0, 0, 0 FROM s UNION ALL SELECT decision, 'player', 0, 0, 0, 0 FROM s, range(2) UNION ALL SELECT decision, 'library', 1, 0, 0, 0 FROM s, range(2)
+  UNION ALL SELECT a.decision, 'history', 0, 0, 0, a.seq - 1 - b.seq FROM dec a JOIN dec b ON b.game = a.game AND b.seq < a.seq AND b.seq >= a.seq - 32),
+c AS (SELECT decision, least(128 - (SELECT count(*) FROM r x WHERE x.decision = y.decision AND zone <> 'history'), count(*) FILTER (zone = 'history')) AS events FROM r y GROUP BY 1)
+SELECT decision, zone, count(*) AS rows, sum(unknown_)::BIGINT AS unknown, round(sum(strength), 4) AS strength, sum(turned)::DOUBLE AS turned, 36 AS width, sum(recency)::BIGINT AS recency FROM r GROUP BY 1, 2"""
 )
 def state_rows(spark, sf_dir):
-    rows = B.state_rows(boards(spark, sf_dir), ["decision"])
-    n = F.col("numbers")
-    return rows.groupBy("decision", "zone").agg(F.count("*").alias("rows"), F.sum((F.col("text") == "unknown hidden card").cast("long")).alias("unknown"), F.round(F.sum(F.round(n[23], 6)), 4).alias("strength"), F.sum(n[18]).alias("turned"), F.max(F.size("numbers")).alias("width"))
+    """The history of a decision is the prompts of its game before it."""
+    before = Window.partitionBy("game").orderBy("seq").rowsBetween(-40, -1)
+    rows = boards(spark, sf_dir).withColumn("history", F.collect_list(F.concat(F.lit('{"at":'), "seq", F.lit("}"))).over(before))
+    rows = B.state_rows(rows, ["decision"], history="history")
+    n, recency = F.col("numbers"), F.regexp_extract("text", r"historyRecency=(-?\d+)", 1)
+    return rows.groupBy("decision", "zone").agg(
+        F.count("*").alias("rows"), F.sum((F.col("text") == "unknown hidden card").cast("long")).alias("unknown"), F.round(F.sum(F.round(n[24], 6)), 4).alias("strength"), F.sum(n[18]).alias("turned"),
+        F.max(F.size("numbers")).alias("width"), F.coalesce(-F.sum(F.when(recency != "", recency.cast("long"))), F.lit(0)).alias("recency"),
+    )
 
 
-@query(f"{WITH} SELECT decision, idx, 'prompt=' || prompt || ' | ' || label AS text, round(tanh(idx / 32.0), 6) AS place, round(tanh(qty / 20.0), 6) AS amount FROM opt")
+@query(
+    f"""{WITH} SELECT decision, idx, 'prompt=' || prompt || ' | index=' || idx || ' | label=' || label || ' | payload.amount=' || qty::BIGINT || CASE WHEN psize > 25 THEN ' | payload.power=' || psize ELSE '' END || ' | type=' || kind
+  || CASE WHEN part % 2 = 0 THEN ' | card semantics=brand=' || brand || ' | type=' || ptype ELSE '' END AS text,
+  round(tanh(idx / 32.0), 6) AS place, round(tanh(qty / 20.0), 6) AS amount, CASE WHEN psize > 25 THEN round(tanh(psize / 20.0), 6) ELSE 0 END AS power FROM opt"""
+)
 def option_vector(spark, sf_dir):
-    rows = B.option_vectors(option_rows(spark, sf_dir), "prompt", "idx", "label", ["qty"])
-    return rows.select("decision", "idx", "text", F.round(F.col("numbers")[1], 6).alias("place"), F.round(F.col("numbers")[2], 6).alias("amount"))
+    payload = F.struct(F.col("qty").cast("long").alias("amount"), F.when(F.col("psize") > 25, F.col("psize")).alias("power"))
+    option = F.to_json(F.struct(F.col("idx").alias("index"), F.col("kind").alias("type"), "label", payload.alias("payload")))
+    card = F.when(F.col("part") % 2 == 0, F.to_json(F.struct("brand", F.col("ptype").alias("type"))))
+    rows = B.option_vectors(option_rows(spark, sf_dir).withColumns({"option": option, "card": card}), "prompt", "idx", "option", "card")
+    n = F.col("numbers")
+    return rows.select("decision", "idx", "text", F.round(n[1], 6).alias("place"), F.round(n[2], 6).alias("amount"), F.round(n[6], 6).alias("power"))
+
+
+@query(
+    f"""{STATES} SELECT id, 36 AS width, (zone = 'view')::INT::DOUBLE AS hand, (zone = 'click')::INT::DOUBLE AS battlefield, (zone NOT IN ('view', 'click', 'purchase'))::INT::DOUBLE AS other, (object % 3 = 0)::INT::DOUBLE AS own, (object % 3 = 1)::INT::DOUBLE AS theirs,
+  (object % 3 = 2)::INT::DOUBLE AS nobodys, (reading > 30)::INT::DOUBLE AS tapped, (object % 2 = 0)::INT::DOUBLE AS sick, round(tanh(reading / 20), 6) AS power, round(tanh(object / 12.0), 6) AS mana_value, round(tanh(seq / 40.0), 6) AS life, round(tanh(seq / 12.0), 6) AS loyalty FROM st"""
+)
+def object_features(spark, sf_dir):
+    rows = states(spark, sf_dir)
+    zone = F.when(F.col("zone") == "view", "hand").when(F.col("zone") == "click", "battlefield").when(F.col("zone") == "purchase", "graveyard").otherwise("somewhere")
+    seat = F.when(F.col("object") % 3 == 0, "1").when(F.col("object") % 3 == 1, "2")
+    n = B.object_numbers(zone, seat, F.lit("1"), {"tapped": F.col("reading") > 30, "summoning_sick": F.col("object") % 2 == 0, "power": F.col("reading"), "mana_value": F.col("object"), "life": F.col("seq"), "loyalty": F.col("seq")})
+    at = {"hand": 7, "battlefield": 5, "other": 14, "own": 15, "theirs": 16, "nobodys": 17, "tapped": 18, "sick": 23, "power": 24, "mana_value": 28, "life": 29, "loyalty": 35}
+    return rows.select("id", n.alias("n")).select("id", F.size("n").alias("width"), *(F.round(F.col("n")[k], 6).alias(c) for c, k in at.items()))
 
 
 @query(f"{WITH} SELECT decision, 6 AS rows, least(n, 6) AS there, 2 AS width, round(sum(CASE WHEN idx < 6 THEN qty END), 4) AS total FROM opt JOIN (SELECT decision, n FROM dec) USING (decision) GROUP BY decision, n")

@@ -117,9 +117,3 @@ def read_card_catalog(spark, sf_dir):
 def card_text(spark, sf_dir):
     parts = {"name": F.col("p_name"), "type": F.col("p_type"), "size": F.when(F.col("p_size") > 25, F.col("p_size"))}
     return read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" | ", F.lit("card"), X.state_text(parts)).alias("text"))
-
-
-@query(f"{STATES} SELECT id, (zone = 'view')::INT AS is_view, (zone = 'click')::INT AS is_click, (zone = 'error')::INT AS is_error, round(tanh(reading / 50), 6) AS reading, object % 2 AS side FROM st")
-def object_features(spark, sf_dir):
-    one = lambda z: (F.col("zone") == z).cast("int").alias(f"is_{z}")
-    return states(spark, sf_dir).select("id", one("view"), one("click"), one("error"), F.round(F.tanh(F.col("reading") / 50), 6).alias("reading"), (F.col("object") % 2).alias("side"))
