@@ -102,3 +102,18 @@ def bow_score(options: DataFrame, weights: DataFrame, keys: list[str], text: str
     """Summed weights of each option's distinct tokens."""
     words = F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)))
     return options.select(*keys, words.alias("token")).join(weights, "token", "left").groupBy(*keys).agg(F.round(F.coalesce(F.sum("weight"), F.lit(0.0)), 6).alias("bow_score"))
+
+
+def bow_weights(options: DataFrame, text: str, kind: str, prompt: str, least: int = 1) -> DataFrame:
+    """kind (token, option_type, prompt_option_type), key, weight: add-one smoothed log ratios of chosen and all options.
+
+    Tokens that stand in fewer options than ``least`` have no weight, but count in the totals.
+    """
+    tokens = bow_counts(options, text).select(F.lit("token").alias("kind"), F.col("token").alias("key"), "chosen", "every")
+    keys = F.array(F.struct(F.lit("option_type").alias("kind"), F.col(kind).alias("key")), F.struct(F.lit("prompt_option_type").alias("kind"), F.concat_ws("/", prompt, kind).alias("key")))
+    types = options.select("chosen", F.explode(keys).alias("k")).groupBy("k.kind", "k.key").agg(F.sum(F.col("chosen").cast("long")).alias("chosen"), F.count("*").alias("every"))
+    counts = tokens.unionByName(types)
+    totals = counts.groupBy("kind").agg(F.sum("chosen").alias("all_chosen"), F.sum("every").alias("all_every"), F.count("*").alias("keys"))  # three rows
+    ratio = lambda n, total: F.log((F.col(n) + 1) / (F.col(total) + F.col("keys")))
+    rows = counts.join(F.broadcast(totals), "kind").where((F.col("kind") != "token") | (F.col("every") >= least))
+    return rows.select("kind", "key", (ratio("chosen", "all_chosen") - ratio("every", "all_every")).alias("weight"))

@@ -149,12 +149,6 @@ def parse_native_log(spark, sf_dir):
     return rows.groupBy(F.col("o_custkey").alias("log")).agg(F.count("*").alias("records"), F.count("s").alias("actions"), (F.count("*") - F.count("s")).alias("unparsed"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity < 2 THEN 'bad weight' WHEN l_discount > 0.09 THEN 'bad confidence' END AS error FROM lineitem")
-def check_preferences(spark, sf_dir):
-    error = C.first_failure([("bad weight", F.col("l_quantity") < 2), ("bad confidence", F.col("l_discount") > 0.09)])
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", error.alias("error"))
-
-
 @query(f"{WITH}, p AS (SELECT decision, game, seq, list_sort(list(part)) AS deck FROM opt JOIN dec USING (decision, game) GROUP BY ALL) SELECT decision, deck IS DISTINCT FROM lag(deck) OVER (PARTITION BY game ORDER BY seq) AS changed FROM p")
 def join_sideboard(spark, sf_dir):
     decks = decisions(spark, sf_dir).select("decision", "gameId", "sequenceNumber", F.transform("select.option", lambda o: o["part"]).alias("deck"))
@@ -200,11 +194,6 @@ def option_action_match(spark, sf_dir):
     return out.where("rank = 1").select("decision", "idx", F.col("score").cast("double").alias("score"), "rank")
 
 
-@query("SELECT doc_id, quality IS NOT NULL AS labelled, coalesce(quality, -1) AS target FROM documents LEFT JOIN labels USING (doc_id)")
-def belief_label_join(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.col("quality").isNotNull().alias("labelled"), F.coalesce("quality", F.lit(-1)).alias("target"))
-
-
 @query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, min(turn) AS first_turn, max(turn) AS last_turn, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY 1")
 def match_metadata(spark, sf_dir):
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("characters"))
@@ -215,11 +204,6 @@ def selection_metrics(spark, sf_dir):
     return C.selection_metrics(option_rows(spark, sf_dir).withColumn("pos", F.col("price") > 40000), ["decision"], "score_a", "pos")
 
 
-@query(f"{STATES} SELECT game, string_agg(DISTINCT upper(left(zone, 1)), '' ORDER BY upper(left(zone, 1))) AS colors FROM st WHERE object % 3 = 0 GROUP BY 1")
-def colors_seen(spark, sf_dir):
-    return states(spark, sf_dir).where("object % 3 = 0").groupBy("game").agg(F.array_join(F.array_sort(F.collect_set(F.upper(F.substring("zone", 1, 1)))), "").alias("colors"))
-
-
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20".replace("o_orderkey, o_orderdate FROM", "o_orderkey FROM"))
 def recent_bundles(spark, sf_dir):
     return read(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey")

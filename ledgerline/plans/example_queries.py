@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.operators import catalog as C
 from ledgerline.operators import examples as E
 from ledgerline.operators import features as X
+from ledgerline.operators import labels as L
 from ledgerline.operators import uploads as U
 from ledgerline.plans.board_queries import SHOWN_SQL, shown
 from ledgerline.plans.registry import query
@@ -165,3 +167,95 @@ def upload_envelope(spark, sf_dir):
 
     out = U.envelopes(records, bundles, "bundle", "at", "record", KIND, 5)
     return out.withColumn("envelope", F.replace("envelope", pseudonym(F.col("bundle").cast("string")), F.concat(F.lit("<"), "bundle", F.lit(">"))))
+
+
+#: Colours of a part: those whose number divides its size.
+COLORS = ((2, "W"), (3, "U"), (5, "B"), (7, "R"), (11, "G"))
+COLORS_SQL = " || ".join(f"CASE WHEN p_size % {p} = 0 THEN '{c}' ELSE '' END" for p, c in COLORS)
+
+
+def catalogue(spark, sf_dir):
+    """The parts as catalogue responses of 500 cards, written as files and read back."""
+    path = shared_folder(spark, "catalogue")
+    part = read(spark, sf_dir, "part")
+    colors = F.concat(*(F.when(F.col("p_size") % p == 0, c).otherwise("") for p, c in COLORS))
+    card = F.to_json(F.struct(F.col("p_partkey").alias("cardId"), F.col("p_name").alias("name"), F.split("p_type", " ").alias("types"), F.array("p_brand").alias("subtypes"), colors.alias("colors"), F.col("p_size").cast("string").alias("power"), F.lit("x").alias("toughness"), (F.col("p_size") > 40).alias("isToken")))
+    cards = part.groupBy(F.floor(F.col("p_partkey") / 500).alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("c")))), lambda x: x["c"]), ",").alias("cards"))
+    cards.select("k", F.concat(F.lit('{"ok": true, "cards": ['), "cards", F.lit("]}")).alias("value")).repartition("k").write.partitionBy("k").text(path)
+    return C.read_cards(spark, path)
+
+
+
+
+@query(f"SELECT p_partkey AS card, p_name AS name, replace(p_type, ' ', ',') AS types, p_brand AS subtype, {COLORS_SQL} AS colors, p_size::VARCHAR AS power, p_size > 40 AS token FROM part")
+def read_card_catalog(spark, sf_dir):
+    return catalogue(spark, sf_dir).select(F.col("cardId").alias("card"), "name", F.array_join("types", ",").alias("types"), F.col("subtypes")[0].alias("subtype"), "colors", "power", F.col("isToken").alias("token"))
+
+
+@query("SELECT p_name AS name, min(p_partkey) AS card FROM part GROUP BY 1")
+def card_index_by_name(spark, sf_dir):
+    cards = catalogue(spark, sf_dir).withColumn("k", F.regexp_extract("file", r"k=(\d+)", 1).cast("long"))
+    return C.first_printings(cards, order=("k", "place")).select("name", F.col("cardId").alias("card"))
+
+
+def seen_objects(spark, sf_dir):
+    """The options of decisions as objects of a match: some face down, some without a card or with one that no catalogue has."""
+    rows = option_rows(spark, sf_dir)
+    card = F.when(F.col("idx") == 5, 0).when(F.col("part") % 17 == 0, -F.col("part")).otherwise(F.col("part"))
+    return rows.select(
+        "decision", "idx", F.col("game").cast("string").alias("match"), card.alias("card"), (F.col("qty") > 45).alias("face_down"), F.when(F.col("idx") % 2 == 0, F.col("idx").cast("int")).alias("power"), F.lit(None).cast("int").alias("toughness"),
+        F.when(F.col("supp") % 3 == 0, F.col("part")).alias("source_card"), F.when(F.col("idx") % 3 == 0, "BATTLEFIELD").when(F.col("idx") % 3 == 1, "GRAVEYARD").otherwise("HAND").alias("zone"),
+        F.when(F.col("supp") % 5 > 0, F.col("supp") % 2).alias("controller"), F.when(F.col("game") % 2 == 0, F.lit(1)).alias("seat"),
+    )
+
+
+OBJECTS_SQL = f"""{OPTIONS_SQL}, ob AS (SELECT decision, idx, game::VARCHAR AS match, idx <> 5 AND part <> 0 AND qty <= 45 AS open, idx <> 5 AND qty <= 45 AND part % 17 <> 0 AS known, part, supp, psize, label, ptype, {COLORS_SQL.replace("p_size", "psize")} AS colors,
+  CASE WHEN supp % 5 > 0 THEN supp % 2 END AS controller, CASE WHEN game % 2 = 0 THEN 1 END AS seat FROM opt)"""
+
+
+@query(
+    f"""WITH {OBJECTS_SQL} SELECT decision, idx, NOT known AS face_down, CASE WHEN known THEN label END AS name, CASE WHEN known THEN replace(ptype, ' ', ',') END AS types, CASE WHEN known THEN nullif(colors, '') END AS colors,
+  CASE WHEN idx % 2 = 0 THEN idx WHEN known THEN psize END AS power, CASE WHEN open AND supp % 3 = 0 THEN label END AS source_name FROM ob"""
+)
+def enrich_cards(spark, sf_dir):
+    rows = C.enriched(seen_objects(spark, sf_dir), catalogue(spark, sf_dir))
+    return rows.select("decision", "idx", "face_down", "name", F.array_join("types", ",").alias("types"), "colors", "power", "source_name")
+
+
+@query(
+    f"""WITH {OBJECTS_SQL}, c AS (SELECT match, CASE WHEN controller = seat THEN 'you' ELSE 'opponent' END AS side, unnest(string_split(colors, '')) AS c FROM ob WHERE known AND colors <> '' AND idx % 3 < 2 AND controller IS NOT NULL)
+SELECT match, side, string_agg(DISTINCT c, '' ORDER BY strpos('WUBRG', c)) AS colors FROM c GROUP BY 1, 2"""
+)
+def colors_seen(spark, sf_dir):
+    return C.colors_seen(C.enriched(seen_objects(spark, sf_dir), catalogue(spark, sf_dir)))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, quality, doc_id % 3 <> 0 AND doc_id % 2 = 0 AS even FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, CASE WHEN quality IS NULL THEN '0,0,0' ELSE quality || ',' || even::INT || ',0' END AS target, CASE WHEN quality IS NULL THEN 'false,false,false' ELSE 'true,' || even || ',false' END AS mask,
+  CASE WHEN quality IS NULL THEN 'unlabeled' ELSE 'human' END AS label_source FROM d"""
+)
+def belief_label_join(spark, sf_dir):
+    """Labels of a vocabulary of three: one always given, one sometimes, one never."""
+    k = F.col("doc_id")
+    belief = F.concat(F.lit('{"good":'), "quality", F.when(k % 3 == 0, ',"even":null').when(k % 2 == 0, ',"even":true').otherwise(""), F.lit("}"))
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.parse_json(F.concat(F.lit('{"visibility":"oracle-label-only","source":"human","belief":'), belief, F.lit("}"))).alias("payload"))
+    rows = L.belief_labels(read(spark, sf_dir, "documents").select("doc_id"), labels, ["doc_id"], ["good", "even", "odd"])
+    return rows.select("doc_id", F.array_join(F.transform("target", lambda x: x.cast("int").cast("string")), ",").alias("target"), F.array_join(F.col("mask").cast("array<string>"), ",").alias("mask"), "label_source")
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 10 AS k FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CASE k WHEN 1 THEN 'no context' WHEN 2 THEN 'left: unknown factors luck,skill' WHEN 3 THEN 'right: no name;weight must be finite and positive' WHEN 4 THEN 'preferred must be left, right or tie' WHEN 5 THEN 'confidence must be in [0, 1]' WHEN 6 THEN 'left: factors must be numbers' WHEN 7 THEN 'right: no candidate' ELSE '' END AS errors,
+  CASE WHEN k = 4 THEN NULL WHEN k = 8 THEN 'right' WHEN k = 9 THEN 'tie' ELSE 'left' END AS preferred FROM e"""
+)
+def check_preferences(spark, sf_dir):
+    k = F.col("l_partkey") % 10
+    left = F.when(k == 2, '{"id":"a","factors":{"skill":1,"life":2,"luck":0}}').when(k == 6, '{"id":"a","factors":{"life":"2"}}').otherwise('{"id":"a","factors":{"life":2.5}}')
+    right = F.when(k == 3, '{"id":" ","factors":{}}').when(k == 7, "3").otherwise('{"label":"b","factors":{"cards":1}}')
+    text = F.concat(
+        F.lit('{"contextId":'), F.when(k == 1, '" "').otherwise('"c"'), F.lit(',"left":'), left, F.lit(',"right":'), right, F.lit(',"preferred":'), F.when(k == 4, '"up"').when(k == 8, "-0.5").when(k == 9, '" Draw "').otherwise('"A"'),
+        F.lit(',"confidence":'), F.when(k == 5, "1.5").when(k == 8, "null").otherwise("0.5"), F.lit(',"weight":'), F.when(k == 3, "0").otherwise("2"), F.lit("}"),
+    )
+    v = F.parse_json(text)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(L.preference_errors(v, ["life", "cards"]), ";").alias("errors"), L.preferred_side(F.try_variant_get(v, "$.preferred", "variant")).alias("preferred"))

@@ -103,16 +103,6 @@ def read_decisions(spark, sf_dir):
     return rows.groupBy((F.col("shape") == "canonical").alias("canonical")).agg(F.count("*").alias("n"), F.count(F.when(F.col("terminal"), 1)).alias("terminal"))
 
 
-@query("SELECT n_nationkey, n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
-def read_card_catalog(spark, sf_dir):
-    """A catalogue response is written as JSON, read back, checked to be ok, and joined."""
-    path = shared_folder(spark, "cards")
-    files.write_jsonl(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(True).alias("ok")), path)
-    rows, _ = files.read_jsonl(spark, path)
-    cards = rows.select(F.when(N.field("ok", "boolean"), N.field("n_nationkey", "bigint")).otherwise(F.raise_error(F.lit("response not ok")).cast("long")).alias("n_nationkey"), N.field("n_name").alias("n_name"))
-    return cards.join(read(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.count("c_custkey").alias("customers"))
-
-
 @query("SELECT p_partkey, 'card | name=' || p_name || ' | type=' || p_type || CASE WHEN p_size > 25 THEN ' | size=' || p_size ELSE '' END AS text FROM part")
 def card_text(spark, sf_dir):
     parts = {"name": F.col("p_name"), "type": F.col("p_type"), "size": F.when(F.col("p_size") > 25, F.col("p_size"))}

@@ -109,9 +109,14 @@ def bow_counts(spark, sf_dir):
     return R.bow_counts(option_rows(spark, sf_dir), "label")
 
 
-@query(f"{FIT} SELECT * FROM bw")
+KINDS = f"""{TOKENS}, cn AS (SELECT 'token' AS kind, token AS key, chosen, every FROM bc UNION ALL SELECT 'option_type', kind, sum(chosen::INT), count(*) FROM opt GROUP BY 2
+  UNION ALL SELECT 'prompt_option_type', prompt || '/' || kind, sum(chosen::INT), count(*) FROM opt GROUP BY 2),
+tt AS (SELECT *, sum(chosen) OVER w AS ca, sum(every) OVER w AS ea, count(*) OVER w AS n FROM cn WINDOW w AS (PARTITION BY kind))"""
+
+
+@query(f"{KINDS} SELECT kind, key, round(ln((chosen + 1) / (ca + n)::DOUBLE) - ln((every + 1) / (ea + n)::DOUBLE), 6) AS weight FROM tt WHERE kind <> 'token' OR every >= 3")
 def bow_fit(spark, sf_dir):
-    return R.bow_fit(R.bow_counts(option_rows(spark, sf_dir), "label"))
+    return R.bow_weights(option_rows(spark, sf_dir), "label", "kind", "prompt", 3).select("kind", "key", F.round("weight", 6).alias("weight"))
 
 
 @query(f"{FIT} SELECT decision, idx, round(coalesce(sum(weight), 0) + 1e-9, 4) AS bow_score FROM tk JOIN bw USING (token) GROUP BY 1, 2")

@@ -120,18 +120,6 @@ def best_attempt(spark, sf_dir):
     return best.where("score >= 60000")
 
 
-@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
-def enrich_cards(spark, sf_dir):
-    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    cards = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    return read(spark, sf_dir, "customer").join(cards, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
-
-
-@query("SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
-def card_index_by_name(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
-
-
 @query(f"{WITH} SELECT decision, idx, (idx = 0)::DOUBLE AS first_legal, ('0x' || substr(sha256('5|' || decision || '|' || idx), 1, 8))::BIGINT AS seeded FROM opt")
 def baseline_scores(spark, sf_dir):
     from ledgerline.operators.statistics import draw
