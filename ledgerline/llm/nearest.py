@@ -3,7 +3,8 @@
 Unit vectors are turned by pseudo-rotations (three rounds of random signs and a fast
 Hadamard transform) and hashed to the nearest signed axis, once for each table.  Every
 vector is indexed in every table; queries probe the axes nearest to them, and the
-candidates found are reranked by the exact distance of the original vectors.
+candidates found are reranked by the exact distance of the original vectors.  A query whose
+probed axes hold fewer than k vectors is answered from all vectors of its dimension.
 
 Groups of one bucket are dealt in chunks of bounded size, so a bucket that holds much of the
 table is many tasks; each task returns only its nearest few for each query, never all pairs.
@@ -122,6 +123,32 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     asked = hashed(good.where(is_query), tables, probes).join(chunks, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "vec")
     group = lambda df: df.toDF("dim", "table", "axis", "chunk", "vec_id", "vec").groupBy("dim", "table", F.floor(F.col("axis") / AXES), "chunk")
     found = group(dealt).cogroup(group(asked)).applyInPandas(nearest_in_chunk(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = cut(ranked(found, k))
+    answers = best.groupBy("query_id").agg(F.count("*").alias("got"))
+    queries = good.where(is_query).join(answers, F.col("vec_id") == F.col("query_id"), "left")
+    short = cut(queries.where(F.coalesce("got", F.lit(0)) < k).select("vec_id", "vec"))
+    if short.isEmpty():
+        return best
+    few = short.select(F.col("vec_id").alias("query_id")).distinct()
+    return best.join(few, "query_id", "left_anti").unionByName(among_all(good, short, k, chunk))
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query."""
+    near = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return near.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def among_all(good: DataFrame, short: DataFrame, k: int, chunk: int) -> DataFrame:
+    """The answers of these queries from all vectors of their dimension, dealt in chunks.
+
+    They are queries whose probed axes hold fewer than k vectors: few, or there are few vectors at all.
+    """
+    every, asked = (hashed(d, 1, 1).withColumn("axis", F.lit(0)) for d in (good, short))
+    sizes = cut(every.groupBy("dim").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).join(asked.select("dim").distinct(), "dim"))  # a row for each dimension
+    key = ["dim", "table", "axis"]
+    dealt = every.join(sizes, "dim").select(*key, F.pmod(F.xxhash64("vec_id", "vec"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "vec")
+    met = asked.join(sizes, "dim").select(*key, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "vec")
+    group = lambda df: df.toDF("dim", "table", "axis", "chunk", "vec_id", "vec").groupBy("dim", "chunk")
+    return ranked(group(dealt).cogroup(group(met)).applyInPandas(nearest_in_chunk(k), "query_id long, vec_id long, score double"), k)

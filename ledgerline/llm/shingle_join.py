@@ -354,10 +354,10 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b, key_a, key_b) that are links, by both texts."""
+    """The pairs (a, b, key_a, key_b) that are links, by both texts; a text is there once, however often its row repeats."""
     pairs = written(pairs.select("a", "b", "key_a", "key_b"), "pairs")
     keys = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    near = may_hold(docs.select("key", "text"), key_bits(keys)).where("held_")
+    near = may_hold(docs.select("key", "text"), key_bits(keys)).where("held_").select("key", "text").dropDuplicates(["key"])
     of = lambda s: near.select(F.col("key").alias(f"key_{s}"), F.col("text").alias(f"text_{s}"))
     return pairs.join(of("a"), "key_a").join(of("b"), "key_b").where(linked("text_a", "text_b")).select("a", "b").distinct()
 

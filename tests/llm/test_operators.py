@@ -51,6 +51,24 @@ def test_nearest_finds_most_and_measures_exactly(spark):
     assert [tuple(r)[:3] for r in nearest(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1)]
 
 
+@pytest.mark.parametrize("size", [1, 2, 8, 20, 60])
+def test_nearest_answers_whole_small_tables(spark, size):
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm.nearest import nearest
+
+    x = np.random.default_rng(size).normal(size=(size, 64)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in nearest(df, F.col("vec_id") % 4 == 0).collect())
+    want = []
+    for q in range(0, size, 4):
+        gap = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        near = [i for i in np.lexsort((np.arange(size), gap)).tolist() if i != q][:10]
+        want += [(q, rank, i, float(gap[i])) for rank, i in enumerate(near, 1)]
+    assert len(got) == len(want)  # all candidates, if fewer than ten; ten otherwise
+    assert size > 10 or got == want  # fewer than ten candidates: all of them
+
+
 # ---- quality
 
 
@@ -293,6 +311,19 @@ def test_repeats_of_production_size(spark):
 # ---- shingle join
 
 
+def test_rows_that_repeat_thousands_of_times_meet_once(spark):
+    from ledgerline.llm.shingle_join import one_of_each, shingle_join
+
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:58], "x", "y"])
+    rows = [(7, " ".join(words))] * 5000 + [(3, near)] * 5000 + [(9, " ".join(f"z{i}" for i in range(60)))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = shingle_join(df).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    assert {tuple(r) for r in got} == {(7, 56, 3, 5000), (3, 56, 3, 5000), (9, 56, 9, 1)}
+    assert sorted(r["doc_id"] for r in one_of_each(df).collect()) == [3, 9]
+
+
+
 def brute_components(own):
     sets = []
     for _, t in own:
