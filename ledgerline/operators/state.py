@@ -1,10 +1,9 @@
-"""Stateful folds and Python-side operators, one game or group at a time."""
+"""Scorers with memory, one game at a time."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,26 +16,3 @@ def running_scores(df: DataFrame, decay: float = 0.5) -> DataFrame:
     frame = math.ceil(64 / -math.log2(decay))
     recent = F.collect_list("reading").over(Window.partitionBy("game").orderBy("seq").rowsBetween(1 - frame, 0))
     return df.select("game", "seq", F.aggregate(recent, F.lit(0.0), lambda memory, x: memory * decay + x).alias("score"))
-
-
-def embed_distinct(df: DataFrame, text: str, dim: int = 16) -> DataFrame:
-    """The frame with vector: a signed hash of words and 3-grams, computed once for each distinct text."""
-    import hashlib
-
-    import numpy as np
-
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        def one(t):
-            v = np.zeros(dim)
-            t = (t or "").lower()
-            for g in [*t.split(), *(t[i : i + 3] for i in range(len(t) - 2))]:
-                h = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big")
-                v[h % dim] += 1 if h >> 63 else -1
-            n = np.linalg.norm(v)
-            return (v / n if n else v).tolist()
-
-        return texts.map(one)
-
-    vectors = df.select(text).distinct().withColumn("vector", embed(text))
-    return df.join(vectors, df[text].eqNullSafe(vectors[text]), "left").drop(vectors[text])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
 from ledgerline.operators import cards as C
+from ledgerline.operators import features as X
 from ledgerline.operators import matching as M
 from ledgerline.operators import redaction as D
 from ledgerline.operators import state as G
@@ -274,4 +275,4 @@ def stateful_scorer(spark, sf_dir):
 
 @query()
 def card_embed_udf(spark, sf_dir):
-    return G.embed_distinct(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
+    return X.hash_embedding(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
