@@ -30,7 +30,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.stored_text_media(table(spark, sf_dir, "documents"))
+    return telephony.stored_text_media(table(spark, sf_dir, "documents"), telephony.mean_resample)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

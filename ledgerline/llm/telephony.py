@@ -164,6 +164,25 @@ def resample(pcm: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
     return out
 
 
+def mean_resample(pcm: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
+    """To a lower rate by the floor of the mean over each new sample's time, shares of samples included, so that every sample counts.
+
+    The last covers what is left; to a rate that is not lower as resample does.
+    """
+    if out_rate >= rate or not len(pcm):
+        return resample(pcm, rate, out_rate)
+    end = len(pcm) * out_rate
+    out = np.empty(-(-end // rate), np.int16)
+    for start in range(0, len(out), PIECE):
+        edges = np.minimum(np.arange(start, min(start + PIECE, len(out)) + 1, dtype=np.int64) * rate, end)
+        left, part = edges // out_rate, edges % out_rate
+        first = int(left[0])
+        x = np.append(pcm[first : int(left[-1]) + 1].astype(np.int64), 0)
+        before = np.append(0, np.cumsum(x)) * out_rate
+        out[start : start + PIECE] = np.diff(before[left - first] + x[left - first] * part) // np.diff(edges)
+    return out
+
+
 def feature(pcm: np.ndarray) -> str:
     """samples:mean size:peak:sign changes:energy in thousandths, of resampled PCM."""
     total = peak = turns = energy = 0
@@ -196,13 +215,13 @@ def uncoded(form: int, block: int, data: bytes) -> bytes:
     return np.frombuffer(data, np.uint8).reshape(-1, block)[:, 4:].tobytes() if form == ADPCM else data
 
 
-def as_pcm(media: list[bytes], out_rate: int) -> list[bytes]:
+def as_pcm(media: list[bytes], out_rate: int, convert=resample) -> list[bytes]:
     """Media of any form above as resampled 16-bit PCM WAVE bytes; ADPCM blocks of many of them are decoded side by side."""
     out: list[bytes] = [b""] * len(media)
     waiting: dict[int, list[tuple[int, int, bytes]]] = {}
 
     def done(k: int, rate: int, pcm: np.ndarray) -> None:
-        out[k] = wave(resample(pcm, rate, out_rate).astype("<i2").tobytes(), PCM, out_rate)
+        out[k] = wave(convert(pcm, rate, out_rate).astype("<i2").tobytes(), PCM, out_rate)
 
     def decode(block: int) -> None:
         rows = waiting.pop(block)
@@ -225,12 +244,12 @@ def as_pcm(media: list[bytes], out_rate: int) -> list[bytes]:
     return out
 
 
-def text_media(docs: DataFrame, out_rate: int = TEXT_RATE) -> DataFrame:
-    """doc_id, n_bytes, media (each text's padded bytes in a WAVE file) and pcm (its sound, resampled)."""
+def text_media(docs: DataFrame, out_rate: int = TEXT_RATE, convert=resample) -> DataFrame:
+    """doc_id, n_bytes, media (each text's padded bytes in a WAVE file) and pcm (its sound, resampled by convert)."""
     @F.arrow_udf("media binary, pcm binary")
     def stored(texts: pa.Array) -> pa.Array:
         media = [coded(payload(x.as_py())) for x in texts]
-        return pa.StructArray.from_arrays([pa.array(media, pa.binary()), pa.array(as_pcm(media, out_rate), pa.binary())], ["media", "pcm"])
+        return pa.StructArray.from_arrays([pa.array(media, pa.binary()), pa.array(as_pcm(media, out_rate, convert), pa.binary())], ["media", "pcm"])
 
     return docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), stored("text").alias("m")).select("doc_id", "n_bytes", "m.*")
 
@@ -267,6 +286,6 @@ def media_digests(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", digest("media", "pcm").alias("d")).select("doc_id", "n_bytes", "d.*")
 
 
-def stored_text_media(docs: DataFrame) -> DataFrame:
+def stored_text_media(docs: DataFrame, convert=resample) -> DataFrame:
     """Write the media table to the shared folder and compute digests from what is read back."""
-    return media_digests(written(text_media(docs), "media"))
+    return media_digests(written(text_media(docs, convert=convert), "media"))

@@ -268,6 +268,30 @@ def test_long_sounds_in_pieces_are_the_same(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole[0], [T.resample(sound, 8000, r) for r in (2000, 12000)], strict=True)) and T.feature(sound) == whole[1]
 
 
+def test_lower_rates_by_means_count_every_sample(spark, monkeypatch):
+    from ledgerline.llm import telephony as T
+
+    sound = np.random.default_rng(5).integers(-32768, 32767, 1001).astype(np.int16)
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(T, "PIECE", piece)
+        for n, rate in [(0, 2000), (1, 2000), (2, 2000), (63, 2000), (64, 2000), (1001, 3000), (1001, 7999)]:
+            x, want = sound[:n].tolist(), []
+            for k in range(-(-n * rate // 8000)):
+                low, high = k * 8000, min((k + 1) * 8000, n * rate)
+                want.append(sum(v * max(0, min(high, (i + 1) * rate) - max(low, i * rate)) for i, v in enumerate(x)) // (high - low))
+            assert T.mean_resample(sound[:n], 8000, rate).tolist() == want
+        assert (T.mean_resample(sound, 8000, 12000) == T.resample(sound, 8000, 12000)).all()
+    monkeypatch.undo()
+    own = [(1, "abc"), (2, ""), (3, None), (5, "é" * 5000), (1, "abc"), (6, "long " * 250_000)]
+    got = T.stored_text_media(spark.createDataFrame(own, SCHEMA), T.mean_resample).collect()
+    want = []
+    for i, text in own:
+        media = T.coded(T.payload(text))
+        form, rate, block, data = T.unwave(media)
+        want.append((i, hashlib.sha256(media).hexdigest(), T.feature(T.mean_resample(T.expand(form, block, data), rate, 2000))))
+    assert as_key((r["doc_id"], r["media_sha256"], r["feature"]) for r in got) == as_key(want)
+
+
 # ---- repeated bytes
 
 
