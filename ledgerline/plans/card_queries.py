@@ -195,11 +195,6 @@ def option_action_match(spark, sf_dir):
     return out.where("rank = 1").select("decision", "idx", F.col("score").cast("double").alias("score"), "rank")
 
 
-@query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, min(turn) AS first_turn, max(turn) AS last_turn, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY 1")
-def match_metadata(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("characters"))
-
-
 @query(f"{WITH}, r AS (SELECT *, price > 40000 AS pos, row_number() OVER (PARTITION BY decision ORDER BY score_a DESC, idx) AS r, sum((price > 40000)::INT) OVER (PARTITION BY decision) AS k FROM opt), p AS (SELECT decision, max((pos AND r = 1)::INT) AS top1, sum((pos AND r <= k)::INT) / any_value(k)::DOUBLE AS recall, 1.0 / min(CASE WHEN pos THEN r END) AS rr FROM r WHERE k > 0 GROUP BY 1) SELECT count(*) AS decisions, round(avg(top1), 6) AS top1, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM p")
 def selection_metrics(spark, sf_dir):
     return C.selection_metrics(option_rows(spark, sf_dir).withColumn("pos", F.col("price") > 40000), ["decision"], "score_a", "pos")

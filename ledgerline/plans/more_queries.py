@@ -66,12 +66,6 @@ def current_state(spark, sf_dir):
     return rows.select("file", N.as_int("sequenceNumber", "sequence").alias("seq"), F.coalesce(N.field("observation.select.type"), N.field("select.type")).alias("prompt"))
 
 
-@query(f"{STATES}, m AS (SELECT game, object, seq, zone AS to_zone, lag(zone) OVER (PARTITION BY game, object ORDER BY seq) AS from_zone FROM st WHERE object IS NOT NULL) SELECT game, count(*) AS moves, count(*) FILTER (from_zone = 'view' AND to_zone = 'click') AS expected FROM m WHERE from_zone <> to_zone GROUP BY 1")
-def move_invariants(spark, sf_dir):
-    moves = Q.zone_moves(states(spark, sf_dir), "game", "object", ["seq"], "zone")
-    return moves.groupBy("game").agg(F.count("*").alias("moves"), F.count(F.when((F.col("from_zone") == "view") & (F.col("to_zone") == "click"), 1)).alias("expected"))
-
-
 @query(f"{STATES} SELECT id, coalesce(CASE WHEN object % 3 = 0 THEN 'name ' || object END, 'p' || (object % 2), '?') AS label FROM st")
 def player_label(spark, sf_dir):
     o = F.col("object")

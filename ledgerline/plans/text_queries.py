@@ -146,11 +146,6 @@ def comparison_rows(spark, sf_dir):
     return rows.withColumn("agree", F.col("top_a") == F.col("top_b"))
 
 
-@query(f"{STATES} SELECT game, seq, zone, reading, count(*) OVER (PARTITION BY game, zone ORDER BY seq) AS seen FROM st")
-def replay_rows(spark, sf_dir):
-    return states(spark, sf_dir).select("game", "seq", "zone", "reading", F.count("*").over(Window.partitionBy("game", "zone").orderBy("seq")).alias("seen"))
-
-
 @query("SELECT event_type AS agent, count(*) AS requests, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, count(*) FILTER (value > 50) AS slow FROM events GROUP BY 1")
 def score_service_log(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("agent")).agg(F.count("*").alias("requests"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.count(F.when(F.col("value") > 50, 1)).alias("slow"))
