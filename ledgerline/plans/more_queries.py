@@ -9,12 +9,10 @@ from ledgerline.functions import text as T
 from ledgerline.operators import cards as C
 from ledgerline.operators import normalize as N
 from ledgerline.operators import records as R
-from ledgerline.operators import sequences as Q
 from ledgerline.operators import statistics as S
 from ledgerline.plans.log_queries import raw_log
 from ledgerline.plans.registry import query
 from ledgerline.plans.scratch import shared_folder
-from ledgerline.plans.sequence_queries import picks
 from ledgerline.plans.views import OPTIONS_SQL, STATES_SQL, decisions, option_rows, read, states
 from ledgerline.sources import files
 
@@ -32,17 +30,6 @@ def write_jsonl(spark, sf_dir):
     return rows.select(N.field("c_custkey", "bigint").alias("c_custkey"), N.field("c_name").alias("c_name"), N.field("c_nationkey", "bigint").alias("c_nationkey"))
 
 
-@query("SELECT l_suppkey AS expert, count(*) AS n, round(sum(l_quantity), 4) AS quantity FROM lineitem WHERE l_discount <= 0.09 GROUP BY 1")
-def read_preferences(spark, sf_dir):
-    """Preferences are written as JSONL with factor maps, read back typed and checked."""
-    path = shared_folder(spark, "preferences")
-    lines = read(spark, sf_dir, "lineitem")
-    files.write_jsonl(lines.select(F.col("l_suppkey").alias("expert"), F.create_map(F.lit("quantity"), "l_quantity", F.lit("discount"), "l_discount").alias("factors")), path)
-    rows, _ = files.read_jsonl(spark, path)
-    typed = rows.select(N.field("expert", "bigint").alias("expert"), N.field("factors", "map<string, double>").alias("f"))
-    return typed.where(F.col("f")["discount"] <= 0.09).groupBy("expert").agg(F.count("*").alias("n"), F.round(F.sum(F.col("f")["quantity"]), 4).alias("quantity"))
-
-
 @query("SELECT o_orderstatus AS bundle, count(*) AS decisions, (SELECT count(*) FROM events) AS states FROM orders GROUP BY 1")
 def read_bundle(spark, sf_dir):
     """A run directory of two kinds of files is written by bundle and read back, the bundle from the path."""
