@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +122,44 @@ def comparison_metrics(rows: DataFrame) -> DataFrame:
     return ranks.select("model", "covered", (F.col("covered") / F.col("n")).alias("coverage"), share("first_").alias("top1"), share("sum_").alias("mrr"))
 
 
+def draft_picks(packs: DataFrame, picks: DataFrame) -> DataFrame:
+    """source, draft, pack, pick, offered, picked, pool (what was picked before, in order) and reason of picks (source, draft, pack, pick, place, cards).
+
+    A place of a draft keeps its first pack (source, draft, pack, pick, place, cards) and its last pick.  Without a pack the reason
+    is 'picks_missing_pack', but the pick joins the pool; a card that the pack didn't offer raises.
+    """
+    key = ["source", "draft", "pack", "pick"]
+    none = F.array().cast("array<long>")
+    made = picks.groupBy(*key).agg(F.max_by(F.coalesce("cards", none), "place").alias("picked"))
+    offers = packs.groupBy(*(F.col(k).alias(f"{k}_") for k in key)).agg(F.min_by(F.coalesce("cards", none), "place").alias("offered"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key))
+    rows = made.join(offers, same, "left").drop(*(f"{k}_" for k in key))
+    before = Window.partitionBy("source", "draft").orderBy(F.coalesce("pack", F.lit(0)), F.coalesce("pick", F.lit(0))).rowsBetween(Window.unboundedPreceding, -1)
+    missing = F.array_except("picked", "offered")
+    wrong = F.concat_ws(" ", F.lit("picked cards"), F.array_join(missing.cast("array<string>"), ","), F.lit("not offered in draft"), "draft", F.lit("pack"), "pack", F.lit("pick"), "pick", F.lit("of"), "source")
+    checked = F.when(F.size(missing) > 0, F.raise_error(wrong).cast("array<long>")).otherwise(F.col("picked"))
+    rows = rows.withColumns({"picked": checked, "pool": F.flatten(F.collect_list("picked").over(before))})
+    return rows.withColumn("reason", F.when(F.col("offered").isNull(), "picks_missing_pack").otherwise("picks_compiled"))
+
+
+def draft_stats(picks: DataFrame, builds: DataFrame, boards: DataFrame) -> DataFrame:
+    """counter, n over draft_picks's rows, deck builds (source, draft, recovered and their content) and sideboards's rows.
+
+    A build whose draft is null has no pool of its own, one that is recovered got one from another source; records that are
+    equal but for their source are duplicates and dropped.  Counters without rows are left out.
+    """
+    count = lambda df, counter: df.groupBy(counter.alias("counter")).agg(F.count("*").alias("n"))
+    compiled = lambda df: df.where(F.col("reason").endswith("_compiled"))
+
+    def dropped(df):
+        own = [c for c in df.columns if c not in ("source", "place", "recovered", "reason")]
+        return df.groupBy(*own).agg((F.count("*") - 1).alias("n")).where("n > 0").select(F.lit("duplicates_dropped").alias("counter"), "n")
+
+    flags = F.array_compact(F.array(F.lit("deck_builds_compiled"), F.when(F.col("draft").isNull() | F.coalesce("recovered", F.lit(False)), "deck_builds_without_pool"), F.when(F.col("recovered"), "deck_builds_pool_recovered")))
+    parts = [count(picks, F.col("reason")), count(boards, F.col("reason")), count(builds.select(F.explode(flags).alias("f")), F.col("f")), dropped(compiled(picks)), dropped(builds), dropped(compiled(boards))]
+    return reduce(DataFrame.unionByName, parts).groupBy("counter").agg(F.sum("n").alias("n"))
+
+
 def sideboards(prompts: DataFrame, submits: DataFrame) -> DataFrame:
     """Submits (match, resp, place, deck, side) with game, offered_deck, offered_side, changed and reason.
 

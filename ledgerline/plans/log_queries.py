@@ -81,13 +81,6 @@ def read_decklists(spark, sf_dir):
     return S.read_decklists(S.read_lines(spark, path)).select("count", "name")
 
 
-@query("SELECT p_brand AS brand, count(*) AS rows FROM part GROUP BY 1")
-def write_bundle(spark, sf_dir):
-    path = shared_folder(spark, "bundle")
-    read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand")).write.partitionBy("brand").parquet(path)
-    return spark.read.parquet(path).groupBy("brand").agg(F.count("*").alias("rows"))
-
-
 @query("SELECT count(DISTINCT p_brand) AS files, true AS hashed FROM part")
 def file_inventory(spark, sf_dir):
     path = shared_folder(spark, "inventory")

@@ -30,16 +30,6 @@ def write_jsonl(spark, sf_dir):
     return rows.select(N.field("c_custkey", "bigint").alias("c_custkey"), N.field("c_name").alias("c_name"), N.field("c_nationkey", "bigint").alias("c_nationkey"))
 
 
-@query("SELECT o_orderstatus AS bundle, count(*) AS decisions, (SELECT count(*) FROM events) AS states FROM orders GROUP BY 1")
-def read_bundle(spark, sf_dir):
-    """A run directory of two kinds of files is written by bundle and read back, the bundle from the path."""
-    path = shared_folder(spark, "bundle")
-    read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("bundle"), "o_orderkey").write.partitionBy("bundle").parquet(f"{path}/decisions")
-    read(spark, sf_dir, "events").select("event_id").write.parquet(f"{path}/states")
-    n = spark.read.parquet(f"{path}/states").agg(F.count("*").alias("states"))
-    return spark.read.parquet(f"{path}/decisions").groupBy("bundle").agg(F.count("*").alias("decisions")).crossJoin(F.broadcast(n))  # n is one row
-
-
 @query("SELECT p_partkey, p_name AS name FROM part")
 def decode_text(spark, sf_dir):
     k = F.col("p_partkey") % 3

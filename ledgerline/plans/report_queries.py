@@ -142,3 +142,49 @@ def score_service_log(spark, sf_dir):
     good = e.where("event_id % 10 < 8").select(*own, (F.col("event_id") % 9).alias("options"), F.round("value").cast("long").alias("latency"))
     bad = e.where("event_id % 10 >= 8").select(*own, F.when(F.col("event_id") % 10 == 8, "KeyError").otherwise("ValueError").alias("error"))
     return R.service_report(good, bad).withColumns({c: F.round(c, 6) for c in ("options", "median", "p95")})
+
+
+@query("SELECT o_orderstatus AS bundle, count(*) AS decisions, sum(o_orderkey)::BIGINT AS keys, (SELECT count(*) FROM events WHERE user_id % 2 = 0) AS states, count(*) AS stated FROM orders GROUP BY 1")
+def read_bundle(spark, sf_dir):
+    """Runs of decisions, and of states for one of them, are written as bundles and read back with their summary."""
+    path = shared_folder(spark, "bundle")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("bundle"), "o_orderkey", "o_orderdate")
+    events = read(spark, sf_dir, "events").where("user_id % 2 = 0").select(F.lit("a run=é/1").alias("bundle"), "event_id", "props")
+    files.write_bundle({"decisions": orders, "mirror_states": events}, path)
+    parts, summary = files.read_bundle(spark, path)
+    rows = parts["decisions"].groupBy("bundle").agg(F.count("*").alias("decisions"), F.sum(F.variant_get("record", "$.o_orderkey", "long")).alias("keys"))
+    states = parts["mirror_states"].where("bundle = 'a run=é/1' and record is not null").agg(F.count("*").alias("states"))
+    stated = summary.where("part = 'decisions'").select("bundle", F.col("rows").alias("stated"))
+    return rows.join(stated, "bundle").crossJoin(F.broadcast(states))  # states is one row
+
+
+@query("SELECT p_brand AS bundle, p_partkey % 2 = 0 AS even, count(*) AS rows, sum(p_size)::BIGINT AS size FROM part GROUP BY 1, 2")
+def write_bundle(spark, sf_dir):
+    """Parts split to raw and normalised files by brand, and read back."""
+    path = shared_folder(spark, "bundle")
+    part = read(spark, sf_dir, "part").select(F.col("p_brand").alias("bundle"), "p_partkey", "p_size", "p_name")
+    files.write_bundle({"raw_events": part.where("p_partkey % 2 = 0"), "normalized_events": part.where("p_partkey % 2 = 1")}, path)
+    found, _ = files.read_bundle(spark, path, ("raw_events", "normalized_events"))
+    rows = found["raw_events"].withColumn("even", F.lit(True)).unionByName(found["normalized_events"].withColumn("even", F.lit(False)))
+    return rows.groupBy("bundle", "even").agg(F.count("*").alias("rows"), F.sum(F.variant_get("record", "$.p_size", "long")).alias("size"))
+
+
+@query(
+    f"""{WITH}, p AS (SELECT decision, game, list(part ORDER BY idx) AS deck FROM opt GROUP BY 1, 2)
+SELECT counter, n::BIGINT AS n FROM (SELECT 'picks_compiled' AS counter, count(*) FILTER (decision % 9 <> 0) AS n FROM p UNION ALL SELECT 'picks_missing_pack', count(*) FILTER (decision % 9 = 0) FROM p
+ UNION ALL SELECT 'deck_builds_compiled', 2 * count(*) FROM p UNION ALL SELECT 'deck_builds_without_pool', 2 * count(*) FILTER (decision % 4 = 0 OR decision % 4 = 1) FROM p
+ UNION ALL SELECT 'deck_builds_pool_recovered', 2 * count(*) FILTER (decision % 4 = 1) FROM p UNION ALL SELECT 'duplicates_dropped', count(*) FROM p
+ UNION ALL SELECT 'sideboards_compiled', count(*) FILTER (decision % 7 <> 0) FROM p UNION ALL SELECT 'sideboards_missing_prompt', count(*) FILTER (decision % 7 = 0) FROM p) WHERE n > 0"""
+)
+def draft_stats(spark, sf_dir):
+    """An order is a pick out of its parts and two equal builds of two sources; a customer is a draft."""
+    option = F.struct("idx", "part")
+    decks = option_rows(spark, sf_dir).groupBy("game", "decision").agg(F.transform(F.sort_array(F.collect_list(option)), lambda o: o["part"]).alias("cards"))
+    offered = decks.select(F.lit("s").alias("source"), F.col("game").alias("draft"), F.lit(1).alias("pack"), F.col("decision").alias("pick"), F.lit(0).alias("place"), "cards")
+    picks = R.draft_picks(offered.where("pick % 9 <> 0"), offered.withColumn("cards", F.slice("cards", 1, 1)))
+    k = F.col("decision") % 4
+    build = decks.select(F.when(k != 0, F.col("game")).alias("draft"), (k == 1).alias("recovered"), F.col("decision").alias("event"), F.col("cards").alias("deck"))
+    builds = build.withColumn("source", F.explode(F.array(F.lit("s"), F.lit("t"))))
+    prompt = decks.select(F.col("game").cast("string").alias("match"), F.col("decision").alias("resp"), F.lit(0).alias("place"), F.lit(1).alias("game"), F.col("cards").alias("deck"), F.array().cast("array<long>").alias("side"))
+    boards = R.sideboards(prompt.where("resp % 7 <> 0"), prompt.drop("game"))
+    return R.draft_stats(picks, builds, boards)

@@ -109,11 +109,6 @@ def quality_summary(spark, sf_dir):
     return states(spark, sf_dir).groupBy("zone").agg(F.round(F.avg("reading"), 6).alias("mean"), F.min("reading").alias("least"), F.max("reading").alias("most"), F.count("object").alias("identified"), (F.count("*") - F.count("object")).alias("unknown"))
 
 
-@query(f"{WITH} SELECT game, count(*) AS builds, count(*) FILTER (n = 1) AS forced, count(DISTINCT pick_part) AS distinct_picks, count(*) - count(DISTINCT pick_part) AS duplicates FROM dec GROUP BY 1")
-def draft_stats(spark, sf_dir):
-    return picks(spark, sf_dir).groupBy(F.col("gameId").alias("game")).agg(F.count("*").alias("builds"), F.count(F.when(F.col("n") == 1, 1)).alias("forced"), F.countDistinct("pick_part").alias("distinct_picks"), (F.count("*") - F.countDistinct("pick_part")).alias("duplicates"))
-
-
 @query("SELECT l_orderkey, first(l_linenumber ORDER BY l_extendedprice DESC, l_linenumber) AS attempt, max(l_extendedprice) AS score FROM lineitem GROUP BY 1 HAVING max(l_extendedprice) >= 60000")
 def best_attempt(spark, sf_dir):
     best = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_linenumber", F.struct(-F.col("l_extendedprice"), "l_linenumber")).alias("attempt"), F.max("l_extendedprice").alias("score"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,3 +164,37 @@ def quality_split(df: DataFrame, score: str, threshold: float = 0.65) -> tuple[D
     """(training rows, quarantined rows); rows without a score are quarantined."""
     good = F.coalesce(F.col(score) >= threshold, F.lit(False))
     return df.where(good), df.where(~good)
+
+
+def write_bundle(parts: dict[str, DataFrame], path: str, bundle: str = "bundle") -> None:
+    """Each part as JSONL, keys sorted, by bundle below path/part, then path/summary: how many rows each part has in each bundle."""
+    spark = next(iter(parts.values())).sparkSession
+    for name, df in parts.items():
+        row = F.to_json(F.struct(*sorted(c for c in df.columns if c != bundle)), {"ignoreNullFields": "false"})
+        df.select(F.col(bundle).cast("string").alias(bundle), row.alias("value")).write.partitionBy(bundle).text(f"{path}/{name}")
+    counts = [read_part(spark, path, name, bundle).groupBy(bundle).agg(F.count("*").alias("rows")).select(F.lit(name).alias("part"), bundle, "rows") for name in parts]
+    write_jsonl(reduce(DataFrame.unionByName, counts), f"{path}/summary")
+
+
+def read_part(spark: SparkSession, path: str, name: str, bundle: str = "bundle") -> DataFrame:
+    """bundle (from the path, a text) and record (VARIANT, null for a line that is no object) of a part; no rows where a part isn't there."""
+    schema = f"value string, {bundle} string"
+    try:
+        rows = spark.read.schema(schema).text(f"{path}/{name}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    return rows.where("trim(value) <> ''").select(bundle, parsed(F.col("value")).alias("record"))
+
+
+def read_bundle(spark: SparkSession, path: str, parts: tuple[str, ...] = ("mirror_states", "decisions"), bundle: str = "bundle") -> tuple[dict[str, DataFrame], DataFrame]:
+    """(a frame of bundle and record for each part; summary: part, bundle, rows, empty where none was written)."""
+    schema = f"part string, {bundle} string, rows long"
+    try:
+        summary = spark.read.schema(schema).json(f"{path}/summary")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        summary = spark.createDataFrame([], schema)
+    return {name: read_part(spark, path, name, bundle) for name in parts}, summary

@@ -100,3 +100,33 @@ def test_a_service_log_by_agent_and_prompt(spark):
     got = {(r["agent"], r["prompt"]): r for r in R.service_report(requests, errors).collect()}
     assert tuple(got["a", "p"])[2:] == (2, 3.0, 20.0, 29.0, 30, 2, "D")
     assert tuple(got["random", "UNKNOWN"])[2:] == (1, 1.0, 5.0, 5.0, 5, 0, None) and tuple(got["b", "p"])[2:] == (0, None, None, None, None, 1, "E")
+
+
+def test_picks_know_their_pool_and_counters_what_was_dropped(spark):
+    schema = "source string, draft string, pack int, pick int, place int, cards array<long>"
+    packs = spark.createDataFrame([("s", "d", 1, 1, 0, [1, 2]), ("s", "d", 1, 1, 5, [7]), ("s", "d", 1, 3, 0, [3, 3]), ("t", None, None, None, 0, [4])], schema)
+    picks = spark.createDataFrame([("s", "d", 1, 1, 0, [2]), ("s", "d", 1, 1, 1, [1]), ("s", "d", 1, 2, 0, [9]), ("s", "d", 1, 3, 0, [3]), ("t", None, None, None, 0, None)], schema)
+    rows = R.draft_picks(packs, picks)
+    got = {(r["source"], r["pick"]): (r["offered"], r["picked"], r["pool"], r["reason"]) for r in rows.collect()}
+    assert got == {("s", 1): ([1, 2], [1], [], "picks_compiled"), ("s", 2): (None, [9], [1], "picks_missing_pack"), ("s", 3): ([3, 3], [3], [1, 9], "picks_compiled"), ("t", None): ([4], [], [], "picks_compiled")}
+    bad = spark.createDataFrame([("s", "d", 1, 1, 0, [8])], schema)
+    with pytest.raises(Exception, match="picked cards 8 not offered in draft d pack 1 pick 1 of s"):
+        R.draft_picks(packs, bad).collect()
+    builds = spark.createDataFrame([("s", "d", False, [1]), ("t", "d", None, [1]), ("s", None, None, [2]), ("s", "e", True, [3])], "source string, draft string, recovered boolean, deck array<long>")
+    boards = spark.createDataFrame([("m", "sideboards_missing_prompt")] * 2, "match string, reason string")
+    assert {r["counter"]: r["n"] for r in R.draft_stats(rows, builds, boards).collect()} == {"picks_compiled": 3, "picks_missing_pack": 1, "deck_builds_compiled": 4, "deck_builds_without_pool": 2, "deck_builds_pool_recovered": 1, "duplicates_dropped": 1, "sideboards_missing_prompt": 2}
+
+
+def test_bundles_are_read_as_written(spark, tmp_path):
+    from ledgerline.sources import files
+
+    names = ["a b", "x/y=1", "100%+é", "1"]
+    states = spark.createDataFrame([(n, i, "two\nlines") for i, n in enumerate(names)] + [(None, 9, None)], "bundle string, id int, text string")
+    files.write_bundle({"decisions": states.where("id < 2"), "mirror_states": states}, str(tmp_path / "runs"))
+    parts, summary = files.read_bundle(spark, str(tmp_path / "runs"), ("mirror_states", "decisions", "absent"))
+    got = parts["mirror_states"].select("bundle", F.variant_get("record", "$.id", "int").alias("id"), F.try_variant_get("record", "$.text", "string").alias("text")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(n, i, "two\nlines") for i, n in enumerate(names)] + [(None, 9, None)], key=str)
+    assert parts["absent"].count() == 0 and parts["decisions"].count() == 2
+    assert sorted(((r["part"], r["bundle"], r["rows"]) for r in summary.collect()), key=str) == sorted([("mirror_states", n, 1) for n in [*names, None]] + [("decisions", n, 1) for n in names[:2]], key=str)
+    parts, summary = files.read_bundle(spark, str(tmp_path / "none"))
+    assert summary.count() == 0 and parts["decisions"].count() == 0
