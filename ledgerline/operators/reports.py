@@ -237,3 +237,17 @@ def service_report(requests: DataFrame, errors: DataFrame) -> DataFrame:
     kinds = errors.groupBy(*keys, "error").agg(F.count("*").alias("n"))
     bad = kinds.groupBy("agent", "prompt").agg(F.sum("n").alias("failed"), F.min_by("error", F.struct(-F.col("n"), "error")).alias("error"))
     return good.join(bad, ["agent", "prompt"], "full").fillna(0, ["requests", "failed"])
+
+
+def best_attempts(attempts: DataFrame, keys: list[str], score: str, name: str, order: list[str], gate: float = 0.60, kept: int = 8) -> DataFrame:
+    """keys, status, accepted (the name, where accepted), best (the best row) and evidence (the best few rows, best first).
+
+    The highest score is best, ties by order; it is accepted if it has a name and its score reaches the gate.  Places come from
+    a window by key, so that no more rows than are kept are collected.
+    """
+    own = [c for c in attempts.columns if c not in keys]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(score), *order))
+    rows = attempts.withColumn("place_", place).where(F.col("place_") <= kept)
+    found = rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("place_", F.struct(*own).alias("a")))), lambda x: x["a"]).alias("evidence")).withColumn("best", F.get("evidence", F.lit(0)))
+    good = F.coalesce((F.col(f"best.{name}") != "") & (F.col(f"best.{score}") >= gate), F.lit(False))
+    return found.select(*keys, F.when(good, "accepted").otherwise("below-threshold").alias("status"), F.when(good, F.col(f"best.{name}")).alias("accepted"), "best", "evidence")

@@ -188,3 +188,16 @@ def draft_stats(spark, sf_dir):
     prompt = decks.select(F.col("game").cast("string").alias("match"), F.col("decision").alias("resp"), F.lit(0).alias("place"), F.lit(1).alias("game"), F.col("cards").alias("deck"), F.array().cast("array<long>").alias("side"))
     boards = R.sideboards(prompt.where("resp % 7 <> 0"), prompt.drop("game"))
     return R.draft_stats(picks, builds, boards)
+
+
+@query(
+    f"""{WITH}, r AS (SELECT decision, idx, CASE WHEN part % 6 <> 0 THEN label END AS name, price / 100000 AS score, row_number() OVER (PARTITION BY decision ORDER BY price DESC, idx) AS r FROM opt),
+b AS (SELECT decision, max(CASE WHEN r = 1 AND score >= 0.6 THEN name END) AS accepted, max(CASE WHEN r = 1 THEN idx END) AS best, string_agg(idx, ',' ORDER BY r) FILTER (r <= 8) AS evidence FROM r GROUP BY 1)
+SELECT decision, CASE WHEN accepted IS NULL THEN 'below-threshold' ELSE 'accepted' END AS status, accepted, best, evidence FROM b"""
+)
+def best_attempt(spark, sf_dir):
+    """Options as attempts at a name, every sixth part unresolved; their price is the score."""
+    name = F.when(F.col("part") % 6 != 0, F.col("label"))
+    rows = option_rows(spark, sf_dir).select("decision", "idx", name.alias("name"), (F.col("price") / 100000).alias("score"))
+    out = R.best_attempts(rows, ["decision"], "score", "name", ["idx"])
+    return out.select("decision", "status", "accepted", F.col("best.idx").alias("best"), F.array_join(F.transform("evidence", lambda e: e["idx"].cast("string")), ",").alias("evidence"))

@@ -109,12 +109,6 @@ def quality_summary(spark, sf_dir):
     return states(spark, sf_dir).groupBy("zone").agg(F.round(F.avg("reading"), 6).alias("mean"), F.min("reading").alias("least"), F.max("reading").alias("most"), F.count("object").alias("identified"), (F.count("*") - F.count("object")).alias("unknown"))
 
 
-@query("SELECT l_orderkey, first(l_linenumber ORDER BY l_extendedprice DESC, l_linenumber) AS attempt, max(l_extendedprice) AS score FROM lineitem GROUP BY 1 HAVING max(l_extendedprice) >= 60000")
-def best_attempt(spark, sf_dir):
-    best = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_linenumber", F.struct(-F.col("l_extendedprice"), "l_linenumber")).alias("attempt"), F.max("l_extendedprice").alias("score"))
-    return best.where("score >= 60000")
-
-
 @query(f"{WITH} SELECT decision, idx, rank FROM (SELECT decision, idx, row_number() OVER (PARTITION BY decision ORDER BY abs(score_a - score_b) DESC, idx) AS rank FROM opt) WHERE rank <= 2")
 def sort_contributions(spark, sf_dir):
     w = Window.partitionBy("decision").orderBy(F.desc(F.abs(F.col("score_a") - F.col("score_b"))), "idx")

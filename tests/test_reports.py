@@ -130,3 +130,11 @@ def test_bundles_are_read_as_written(spark, tmp_path):
     assert sorted(((r["part"], r["bundle"], r["rows"]) for r in summary.collect()), key=str) == sorted([("mirror_states", n, 1) for n in [*names, None]] + [("decisions", n, 1) for n in names[:2]], key=str)
     parts, summary = files.read_bundle(spark, str(tmp_path / "none"))
     assert summary.count() == 0 and parts["decisions"].count() == 0
+
+
+def test_the_best_attempt_is_accepted_above_the_gate(spark):
+    rows = [(1, "a", 0.7, 2), (1, "b", 0.7, 1), (1, "c", None, 0), (2, "a", 0.59, 0), (3, None, 0.9, 0), (3, "x", 0.8, 1), (4, "n", 0.6, 0)] + [(5, "n", i / 20, i) for i in range(12)]
+    df = spark.createDataFrame(rows, "item int, name string, score double, place int")
+    got = {r["item"]: r for r in R.best_attempts(df, ["item"], "score", "name", ["place"]).collect()}
+    assert [(got[i]["status"], got[i]["accepted"]) for i in (1, 2, 3, 4)] == [("accepted", "b"), ("below-threshold", None), ("below-threshold", None), ("accepted", "n")]
+    assert [e["name"] for e in got[1]["evidence"]] == ["b", "a", "c"] and [e["place"] for e in got[5]["evidence"]] == [11, 10, 9, 8, 7, 6, 5, 4]
