@@ -3,7 +3,8 @@
 Sets are the distinct 5-word shingles of whole texts, as 64-bit hashes.  Documents of equal
 sets are one node.  Shingles are ordered rare first: those found frequent come last, by
 their counts; the others stand in hash order.  The order decides the work, never the
-result.  Linked sets share a shingle of their prefixes; nodes meet on those shingles only.
+result.  Linked sets share a shingle of their prefixes; nodes meet on those shingles only, and on
+one of those that the very same nodes share.
 
 Pairs go through length, positional and suffix filters and are verified once, on texts:
 
@@ -197,14 +198,28 @@ def length_filter(n, m):
     return 4 * m >= 3 * n
 
 
+def meetings(met: DataFrame) -> DataFrame:
+    """hash, sig, n, pos, times of the shingles (hash, sig, n, pos) that several nodes have; those of the very same nodes are one.
+
+    A passage gives many shingles of the same nodes, which would meet on each of them.  One of those shingles stands for all,
+    each node with its first position among them: pairs meet there, and no filter by position admits less than on
+    the first shingle that they share.
+    """
+    w = Window.partitionBy("hash")
+    several = met.withColumns({"least": F.min("sig").over(w), "most": F.max("sig").over(w)}).where("least <> most").select("hash", "sig", "n", "pos").dropDuplicates(["hash", "sig"])
+    nodes = several.withColumns({"met": F.count("*").over(w), "one": F.bit_xor(F.xxhash64("sig")).over(w), "other": F.bit_xor(F.xxhash64("sig", F.lit(1))).over(w)})
+    alike = nodes.groupBy("one", "other", "met", "sig").agg(F.min("hash").alias("hash"), F.min("n").alias("n"), F.min("pos").alias("pos"), F.count("*").alias("times"))
+    return alike.select("hash", "sig", "n", "pos", "times")
+
+
 def chains_and_hubs(live: DataFrame) -> DataFrame:
     """a, b (a before b in size, then sig): on each shingle a node meets the one before it and the smallest; of those, the one it shares most shingles with, of either kind."""
     w = Window.partitionBy("hash").orderBy("n", "sig")
-    met = live.select("sig", "n", F.lag(F.struct("sig", "n")).over(w).alias("chain"), F.first(F.struct("sig", "n")).over(w).alias("hub"))
+    met = live.select("sig", "n", "times", F.lag(F.struct("sig", "n")).over(w).alias("chain"), F.first(F.struct("sig", "n")).over(w).alias("hub"))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("chain").alias("to")), F.struct(F.lit(1).alias("kind"), F.col("hub").alias("to"))))
-    pairs = met.where("chain is not null").select("sig", "n", kinds.alias("k")).select(F.col("k.to.sig").alias("a"), F.col("sig").alias("b"), F.col("k.kind").alias("kind"), F.col("k.to.n").alias("na"), F.col("n").alias("nb"))
+    pairs = met.where("chain is not null").select("sig", "n", "times", kinds.alias("k")).select(F.col("k.to.sig").alias("a"), F.col("sig").alias("b"), "times", F.col("k.kind").alias("kind"), F.col("k.to.n").alias("na"), F.col("n").alias("nb"))
     pairs = pairs.where((F.col("a") != F.col("b")) & length_filter(F.col("nb"), F.col("na")))
-    shared = pairs.groupBy("b", "kind", "a", "na", "nb").count()
+    shared = pairs.groupBy("b", "kind", "a", "na", "nb").agg(F.sum("times").alias("count"))
     best = F.row_number().over(Window.partitionBy("b", "kind").orderBy(F.desc("count"), "a"))
     return shared.withColumn("best", best).where("best = 1").select("a", "b", "na", "nb").distinct()
 
@@ -378,17 +393,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark, state, path = edges.sparkSession, None, scratch(edges.sparkSession, "edges")
     edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().write.parquet(path)
+    least = F.min("v").over(Window.partitionBy("u"))
     while True:
-        edges = spark.read.parquet(path)
+        edges = spark.read.schema("u long, v long").parquet(path)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state, old, path = now, path, scratch(spark, "edges")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        large = both.withColumn("m", F.least("u", least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small.distinct().write.parquet(path)
         remove(spark, old)
     return edges.select(F.col("u").alias("sig"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("sig"), F.col("v").alias("comp")).distinct())
@@ -400,13 +414,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long"), text.alias("text"))
 
 
-def joined_by(pairs: DataFrame, docs: DataFrame, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and components with those pairs (a, b, key_a, key_b) that are links."""
-    found = written(verified(pairs, docs), "links")
+def joined_by(pairs: DataFrame, docs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Components (sig, comp) with those pairs (a, b, ca, cb, key_a, key_b) that are links; ca, cb: the components that a link joins."""
+    found = written(verified(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "key_a", "key_b"), docs), "links")
     if found.isEmpty():
-        return links, comps
-    links = links.unionByName(found)
-    return links, components(links)
+        return comps
+    over = components(found)
+    moved = comps.join(over.select(F.col("sig").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("sig", F.coalesce("top", "comp").alias("comp"))
+    return written(moved.unionByName(over.join(comps, "sig", "left_anti")), "comps")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -416,29 +431,24 @@ def joined(docs: DataFrame) -> DataFrame:
     frequent = found.where("hash is not null").groupBy("hash").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "hash").limit(FREQUENT)
     nodes = rows.where("n > 0").groupBy("sig").agg(F.min_by("key", "key").alias("key"), F.min_by("bins", "key").alias("bins"))
 
-    met = prefixes(docs, frequent)
-    w = Window.partitionBy("hash")
-    live = met.withColumns({"least": F.min("sig").over(w), "most": F.max("sig").over(w)}).where("least <> most").select("hash", "sig", "n", "pos").dropDuplicates(["hash", "sig"])
-    live = written(live, "live")
+    live = written(meetings(prefixes(docs, frequent)), "live")
 
     nodes = written(nodes.join(live.select("sig").distinct(), "sig"), "nodes")
 
     first = written(chains_and_hubs(live), "pairs")
-    links = written(verified(bounded(first, nodes), docs), "links")
-    comps = components(links)
+    comps = components(written(verified(bounded(first, nodes), docs), "links"))
 
     likeliest = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("bound") / (F.col("na") + F.col("nb"))), "a", "b"))
     some = still_apart(bounded(between_components(apart(live, comps)).join(first, ["a", "b"], "left_anti"), nodes), comps)
     some = some.withColumn("comp", F.explode(F.array("ca", "cb"))).withColumn("place", likeliest(["comp"])).where(F.col("place") <= TRIES)
-    some = written(some.select("a", "b", "key_a", "key_b").distinct(), "pairs")
+    some = written(some.select("a", "b", "ca", "cb", "key_a", "key_b").distinct(), "pairs")
     tried = first.select("a", "b").unionByName(some.select("a", "b"))
-    links, comps = joined_by(some, docs, links, comps)
+    comps = joined_by(some, docs, comps)
 
     second = written(still_apart(bounded(across(apart(live, comps), nodes, docs).join(tried, ["a", "b"], "left_anti"), nodes), comps), "pairs")
     best = written(second.withColumn("place", likeliest(["ca", "cb"])).where("place = 1"), "pairs")
-    links, comps = joined_by(best, docs, links, comps)
-    rest = still_apart(second.join(best.select("a", "b"), ["a", "b"], "left_anti"), comps)
-    links, comps = joined_by(rest, docs, links, comps)
+    comps = joined_by(best, docs, comps)
+    comps = joined_by(still_apart(second.join(best.select("a", "b"), ["a", "b"], "left_anti"), comps), docs, comps)
 
     named = rows.select("key", "doc_id", "n", "sig").join(comps, "sig", "left")
     return named.select("key", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "sig")).alias("comp"))

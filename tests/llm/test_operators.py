@@ -433,6 +433,44 @@ def test_large_groups_are_divided_and_lose_no_pair(spark, monkeypatch):
     assert want and want <= got and len(got) < 1.2 * len(want) + 5
 
 
+def test_shingles_of_the_same_nodes_meet_once(spark):
+    from ledgerline.llm import shingle_join as S
+
+    random.seed(15)
+    passage = " ".join(f"p{i}" for i in range(80))
+    own = [(i, " ".join(f"{random.randrange(10**9)}" for _ in range(40)) + " " + passage + f" {i}") for i in range(30)]
+    own += [(100 + i, f"{t} more{i % 2}") for i, t in own[:6]] + [(200 + i, t) for i, t in own[:3]]
+    df = spark.createDataFrame(own, SCHEMA).repartition(3)
+    none = spark.createDataFrame([], "hash long, seen long")
+    sets = {S.signature(s): s for s in S.shingle_sets(pa.array([t for _, t in own]))}
+    by = collections.defaultdict(set)
+    for sig, s in sets.items():
+        for h in s.view(np.int64)[: S.prefix_length(len(s))].tolist():
+            by[h].add(sig)
+    groups = collections.Counter(frozenset(x) for x in by.values() if len(x) > 1)
+    got = S.meetings(S.prefixes(S.keyed(df), none)).collect()
+    assert len(got) == sum(map(len, groups)) < sum(len(x) * k for x, k in groups.items()) / 2
+    met = collections.defaultdict(set)
+    for r in got:
+        met[r["hash"]].add(r["sig"])
+        same = [h for h, x in by.items() if x == by[r["hash"]]]
+        assert r["times"] == len(same) and r["n"] == len(sets[r["sig"]])
+        assert r["pos"] == min(sets[r["sig"]].view(np.int64).tolist().index(h) for h in same)
+    assert {frozenset(x) for x in met.values()} == set(groups)
+    assert as_key(map(tuple, S.shingle_join(df).collect())) == as_key(brute_components(own))
+
+
+def test_links_of_a_long_path_are_one_component(spark):
+    from ledgerline.llm import shingle_join as S
+
+    rows = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (200, 201), (201, 202), (202, 200)]
+    random.seed(3)
+    random.shuffle(rows)
+    got = S.components(spark.createDataFrame(rows, "a long, b long")).collect()
+    assert len(got) == len({r["sig"] for r in got})
+    assert {r["sig"]: r["comp"] for r in got} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, **dict.fromkeys((200, 201, 202), 200)}
+
+
 def test_histograms_bound_what_sets_share(spark):
     from ledgerline.llm import shingle_join as S
 
