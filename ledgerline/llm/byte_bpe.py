@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -31,8 +30,8 @@ part_start = re.compile(r" (?=\S)")
 white = re.compile(r"\s")
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str):
+    """Kept by its memo alone, so that it goes when a worker forgets that."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
     from tokenizers import Tokenizer
 

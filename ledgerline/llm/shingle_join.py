@@ -145,6 +145,8 @@ def survey(docs: DataFrame) -> DataFrame:
                     waiting, size = [], 0
         if waiting:
             yield often(waiting)
+        waiting = sets = bins = own = None
+        forget()
 
     return docs.mapInArrow(run, "key long, doc_id long, n int, sig long, bins binary, hash long, seen long")
 
@@ -189,6 +191,8 @@ def prefixes(docs: DataFrame, frequent: DataFrame) -> DataFrame:
                     ],
                     ["hash", "sig", "n", "pos"],
                 )
+        known = parts = None
+        forget()
 
     return docs.select("text").mapInArrow(run, "hash long, sig long, n int, pos int")
 
@@ -295,6 +299,7 @@ def met_pairs(hashes, cell, role, sig, n, pos, comp, sketches: list[bytes | None
 
 @F.arrow_udf(T.BinaryType())
 def sketched(texts: pa.Array) -> pa.Array:
+    forget()
     return pa.array([high_bits(s).tobytes() if len(s) <= SKETCHED else None for _, part in text_slices(texts) for s in shingle_sets(part)], pa.binary())
 
 
@@ -337,12 +342,15 @@ def across(own: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 waiting.append(b)
         if waiting:
             yield pairs(pa.Table.from_batches(waiting))
+        waiting = None
+        forget()
 
     return dealt.mapInArrow(run, "a long, b long, na int, nb int").distinct()
 
 
 @F.arrow_udf(T.LongType())
 def bins_in_common(left: pa.Array, right: pa.Array) -> pa.Array:
+    forget()
     sizes = np.stack([pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (left, right)], axis=1)
     out = np.zeros(len(left), np.int64)
     for pair in np.unique(sizes, axis=0):  # the finer histogram is added up to the bins of the other
@@ -354,6 +362,7 @@ def bins_in_common(left: pa.Array, right: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.BooleanType())
 def linked(left: pa.Array, right: pa.Array) -> pa.Array:
+    forget()
     out = []
     for k in range(len(left)):
         a, b = shingle_sets(pa.array([left[k].as_py(), right[k].as_py()], pa.string()))

@@ -279,6 +279,34 @@ def test_memo_in_one_call_equals_the_library(hf):
         assert got == [hf.encode(t, add_special_tokens=False).ids + [2] for t in [*own, ""]]
 
 
+def test_forgetting_drops_vocabularies_and_tables(hf):
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from ledgerline.llm import common
+    from ledgerline.llm.byte_bpe import part_ids, tokenizer
+
+    class Watched(common.Rolling):
+        pass
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = part_ids(path)
+    assert part_ids(path) is ids
+    text = "some words that are encoded"
+    want, held = ids.of(text, 2).tolist(), weakref.ref(ids)
+    at = np.array([0])
+    hashed = Watched(np.arange(200, dtype=np.uint8)).at(at, at + 50).tolist()
+    assert len(common.Rolling._up) > 1
+    del ids
+    common.forget()
+    gc.collect()
+    assert held() is None and len(common.Rolling._up) == 1 and not hasattr(tokenizer, "cache_info")
+    assert part_ids(path).of(text, 2).tolist() == want
+    assert Watched(np.arange(200, dtype=np.uint8)).at(at, at + 50).tolist() == hashed
+
+
 def test_arrow_slices_keep_every_row():
     from ledgerline.llm.common import text_slices
 
