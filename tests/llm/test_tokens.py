@@ -279,6 +279,20 @@ def test_memo_in_one_call_equals_the_library(hf):
         assert got == [hf.encode(t, add_special_tokens=False).ids + [2] for t in [*own, ""]]
 
 
+def test_words_marks_and_line_ends_are_remembered_apart(hf):
+    from ledgerline.llm import byte_bpe
+
+    random.seed(6)
+    ink = ["word", "Other", "x's", "'ll", "'", "12", "(", ")", "-", ".", "é", "日本", "😀", "<|endoftext|>"]
+    space = ["", "", " ", "  ", "\n", "\n\n", "\r\n", "\t ", "\x1c", "\x85", "\xa0", "\u2003", "\u3000"]
+    own = ["".join(random.choice(ink) + random.choice(space) for _ in range(random.randint(0, 12))) for _ in range(3000)]
+    ids = byte_bpe.PartIds(BYTES)
+    assert [x.tolist() for x in ids.of_many(own, 2)] == [hf.encode(t, add_special_tokens=False).ids + [2] for t in own]
+    few, words = byte_bpe.PartIds(BYTES), [f" {a}{b}" for a in ("one", "two", "three") for b in "abcdefgh"]
+    list(few.of_many(["".join(w + m for w in words) for m in (",", ".", "!", ".\nThe", ")\n")], 2))
+    assert len(few) <= len(words) + 7  # not a part for each word and mark
+
+
 def test_forgetting_drops_vocabularies_and_tables(hf):
     import gc
     import weakref
