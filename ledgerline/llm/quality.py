@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import remembered
+from ledgerline.llm.common import forget, remembered
 
 BUCKETS = 1 << 18
 DIM = 12
@@ -163,9 +163,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     found = texts.select(F.col("doc_id").cast("long"), "text", "label", F.xxhash64("text").alias("place")).mapInArrow(run, "label int, doc_id long, place long, buckets binary, counts binary")
     rows = found.groupBy("doc_id", "label").agg(F.min_by(F.struct("buckets", "counts"), "place").alias("own")).select("doc_id", "label", "own.*").toArrow()
-    label, buckets, counts = (rows[c].to_pylist() for c in ("label", "buckets", "counts"))
     order = np.argsort(rows["doc_id"].to_numpy())  # the same on every run
-    return train([(label[i], np.frombuffer(buckets[i], "<i4"), np.frombuffer(counts[i], "<f4")) for i in order])
+    numbers = lambda c, i, kind: np.frombuffer(rows[c][i].as_buffer(), kind)  # noqa: E731  where Arrow holds them
+    model = train([(rows["label"][i].as_py(), numbers("buckets", i, "<i4"), numbers("counts", i, "<f4")) for i in order])
+    del rows
+    forget()  # the driver keeps the model alone
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: Column) -> Column:

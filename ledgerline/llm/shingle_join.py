@@ -165,12 +165,14 @@ def rare_first(own: np.ndarray, frequent: np.ndarray, order: np.ndarray) -> np.n
 
 def prefixes(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """hash, sig, n, pos of the prefix shingles of each distinct set of a slice."""
-    rows = frequent.toPandas()  # FREQUENT rows at most
-    hashes, counts = rows["hash"].to_numpy(np.int64).view(np.uint64), rows["seen"].to_numpy(np.int64)
+    rows = frequent.toArrow()  # FREQUENT rows at most
+    hashes, counts = rows["hash"].to_numpy().view(np.uint64), rows["seen"].to_numpy()
     by_hash = np.argsort(hashes)
-    place = np.empty(len(rows), np.int64)
-    place[np.lexsort((hashes, counts))] = np.arange(len(rows))
+    place = np.empty(len(hashes), np.int64)
+    place[np.lexsort((hashes, counts))] = np.arange(len(hashes))
     shipped = docs.sparkSession.sparkContext.broadcast((hashes[by_hash], place[by_hash]))
+    rows = hashes = counts = None
+    forget()
 
     def run(batches):
         forget()

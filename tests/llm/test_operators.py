@@ -559,6 +559,40 @@ def test_grams_that_differ_in_low_or_high_bits_stay_apart():
         assert [x.tolist() for x in unpack_block(pack_block(hashes[a:b], counts[a:b]))] == [hashes[a:b].tolist(), counts[a:b].tolist()]
 
 
+def test_kept_texts_leave_in_small_batches():
+    import hashlib
+
+    import pyarrow as pa
+
+    from ledgerline.llm.repeats import kept_slices
+
+    texts = [chr(97 + i % 26) * 100_000 for i in range(40)] + ["", "é" * 900_000, "end"]
+    runs = [[{"start": i, "windows": 2}] if i % 2 and i < 40 else None for i in range(len(texts))]
+    own = pa.array([{"doc_id": i} for i in range(len(texts))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), own, pa.array(texts), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("windows", pa.int32())])))], ["key", "own", "text", "runs"])
+    made = list(kept_slices(batch, 400))
+    assert len(made) > 4 and all(m.num_rows == 1 or sum(m["n_bytes"].to_pylist()) <= 1 << 20 for m in made)
+    rows = [r for m in made for r in m.to_pylist()]
+    assert [r["own"]["doc_id"] for r in rows] == list(range(len(texts)))
+    for i, (r, text) in enumerate(zip(rows, texts, strict=True)):
+        left = text if not runs[i] else text[:i] + text[i + 401 :]
+        assert r["kept"] == left.encode() and r["kept_sha256"] == hashlib.sha256(left.encode()).hexdigest()
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(text.encode()), 401 if runs[i] else 0, 1 if runs[i] else 0)
+
+
+def test_training_reads_features_where_arrow_holds_them(spark, monkeypatch):
+    import pyarrow as pa
+
+    from ledgerline.llm import quality
+
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda examples: seen.extend(examples) or train(examples))
+    docs = spark.createDataFrame([(i, f"some words {i} of a text") for i in range(8)], "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, label int"))
+    assert [x[0] for x in seen] == [i % 2 for i in range(8)]
+    assert all(isinstance(a.base.obj if isinstance(a.base, memoryview) else a.base, pa.Buffer) and len(a) for _, *both in seen for a in both)
+
+
 # ---- pipeline
 
 
