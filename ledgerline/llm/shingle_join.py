@@ -16,7 +16,8 @@ Pairs go through length, positional and suffix filters and are verified once, on
 
 Links within a component would not change it, so large groups of copies are never expanded
 into pairs.  In step 3 the pairs of a shingle are only looked at where its nodes are together;
-those that pass go on.  Of many nodes the high bits of all shingles are there too, which
+those that pass go on.  Parities of the numbers of shingles by their low bits are there too: as many as differ, so many
+shingles at least are not common.  Of many nodes the high bits of all shingles are there as well, which
 bound what two of them share by little more than it is.  Groups of more than GROUP nodes are divided into chunks, two
 of which meet in a task.
 
@@ -42,6 +43,8 @@ FREQUENT, SEEN, SLICE = 1 << 16, 4, 600_000
 STEP = 0xD6E8FEB86659FD93
 #: Bins of a set's histogram, at least and at most; between them there is about one for each shingle.
 BINS, MOST_BINS = 256, 4_096
+#: Bits of a set's parities, at least and at most.
+SHORTEST, LONGEST = 64, 1 << 16
 #: Nodes of a shingle that one task takes together (two chunks of this size), and those beyond which 16 bits of every shingle of a node go along.
 GROUP, LARGE = 2_048, 64
 #: Shingles of the largest set whose high bits go along, and sets of them that a task keeps.
@@ -112,15 +115,38 @@ def least_sum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where((x.max(axis=1, initial=0) == 255) | (y.max(axis=1, initial=0) == 255), np.iinfo(np.int64).max // 8, bound)
 
 
+def parities(own: np.ndarray) -> bytes:
+    """Whether the number of shingles with the same low bits is odd, a bit for each value of them; as many bits as shingles at least, to LONGEST."""
+    bits = min(LONGEST, max(SHORTEST, 1 << max(0, len(own) - 1).bit_length()))
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_apart(marks: list[bytes | None], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """No fewer shingles are in just one of the sets i and j than this, by their parities; none are known of None.  The longer of two is folded to the shorter."""
+    size = np.array([len(x) if x is not None else 0 for x in marks], np.int64)
+    flat, start = np.frombuffer(b"".join(x for x in marks if x is not None), np.uint8), np.cumsum(size) - size
+    out = np.zeros(len(i), np.int64)
+    both = np.stack([size[i], size[j]], axis=1)
+    for pair in np.unique(both, axis=0):
+        if not (least := int(pair.min())):
+            continue
+        every = np.nonzero((both == pair).all(axis=1))[0]
+        for at in range(0, len(every), step := max(1, COMPARED * 64 // int(pair.max()))):
+            own = every[at : at + step]
+            rows = [np.bitwise_xor.reduce(flat[start[k[own], None] + np.arange(n)].reshape(len(own), -1, least), axis=1) for k, n in zip((i, j), pair, strict=True)]
+            out[own] = np.bitwise_count(rows[0] ^ rows[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def high_bits(own: np.ndarray) -> np.ndarray:
     """The distinct highest 16 bits of a set's hashes."""
     return np.unique((own >> np.uint64(48)).astype("<u2"))
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """One row for each text (key, doc_id, n, sig, bins), and rows (hash, seen) of shingles found often in a slice."""
+    """One row for each text (key, doc_id, n, sig, marks), and rows (hash, seen) of shingles found often in a slice."""
 
-    names = ["key", "doc_id", "n", "sig", "bins", "hash", "seen"]
+    names = ["key", "doc_id", "n", "sig", "marks", "hash", "seen"]
 
     def often(sets):
         found, times = np.unique(np.concatenate(sets), return_counts=True)
@@ -135,8 +161,8 @@ def survey(docs: DataFrame) -> DataFrame:
             for first, part in text_slices(b.column(2)):
                 sets = shingle_sets(part)
                 k = len(sets)
-                bins = [histogram(s) for s in sets]
-                own = [pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.int64()), pa.array(bins, pa.binary())]
+                marks = [parities(s) for s in sets]
+                own = [pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.int64()), pa.array(marks, pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k), b.column(1).slice(first, k), *own, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
                 waiting += sets
                 size += sum(map(len, sets))
@@ -145,10 +171,10 @@ def survey(docs: DataFrame) -> DataFrame:
                     waiting, size = [], 0
         if waiting:
             yield often(waiting)
-        waiting = sets = bins = own = None
+        waiting = sets = marks = own = None
         forget()
 
-    return docs.mapInArrow(run, "key long, doc_id long, n int, sig long, bins binary, hash long, seen long")
+    return docs.mapInArrow(run, "key long, doc_id long, n int, sig long, marks binary, hash long, seen long")
 
 
 def rare_first(own: np.ndarray, frequent: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -237,6 +263,16 @@ def apart(live: DataFrame, comps: DataFrame) -> DataFrame:
     return own.withColumns({"least": F.min("comp").over(w), "most": F.max("comp").over(w), "met": F.count("*").over(w)}).where("least <> most").drop("least", "most")
 
 
+def partnered(own: DataFrame) -> DataFrame:
+    """The rows (hash, sig, n, pos, ...) that the length and positional filters admit with the nearest set of their shingle, or that are near enough in size to one that may be the smaller of a pair: no pair is left out."""
+    w = Window.partitionBy("hash").orderBy("n", "sig")
+    smaller = F.expr("7 * pos <= n")  # the prefix that is enough against sets not smaller
+    larger, before = F.lead("n").over(w), F.last(F.when(smaller, F.col("n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = own.withColumns({"larger": larger, "before": before})
+    ahead = smaller & length_filter(F.col("larger"), F.col("n")) & F.expr("7 * (n - pos) >= 3 * (n + larger)")
+    return rows.where(F.coalesce(ahead, F.lit(False)) | F.coalesce(length_filter(F.col("n"), F.col("before")), F.lit(False))).drop("larger", "before")
+
+
 def in_order(pairs: DataFrame) -> DataFrame:
     """a, b, na, nb of the distinct pairs of structs x, y (sig, n) that the length filter admits; a is the smaller set, then the smaller sig."""
     a, b = F.least("x", "y"), F.greatest("x", "y")
@@ -253,10 +289,10 @@ def between_components(own: DataFrame) -> DataFrame:
     return in_order(met.select("x", F.explode(F.array("hub", "next")).alias("y")))
 
 
-def met_pairs(hashes, cell, role, sig, n, pos, comp, sketches: list[bytes | None]) -> np.ndarray:
+def met_pairs(hashes, cell, role, sig, n, pos, comp, sketches: list[bytes | None], marks: list[bytes | None]) -> np.ndarray:
     """(a, b, na, nb) rows of the pairs of one (hash, cell) that length, positional and suffix filters admit and whose components differ.
 
-    Rows of one (hash, cell) stand together; role 0: only b, 1: only a, 2: either; sketches: high bits of the sets, where they are known.
+    Rows of one (hash, cell) stand together; role 0: only b, 1: only a, 2: either; sketches, marks: high bits and parities of the sets, where they are known.
     """
     first = np.nonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (cell[1:] != cell[:-1])]))[0]
     size = np.diff(np.append(first, len(hashes)))
@@ -287,6 +323,8 @@ def met_pairs(hashes, cell, role, sig, n, pos, comp, sketches: list[bytes | None
         ok = (comp[i] != comp[j]) & (role[j] != 1) & (4 * n[i] >= 3 * n[j]) & ((n[i] < n[j]) | ((n[i] == n[j]) & (sig[i] < sig[j])))
         ok &= 7 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 3 * (n[i] + n[j])
         i, j = i[ok], j[ok]
+        ok = 7 * least_apart(marks, i, j) <= n[i] + n[j]
+        i, j = i[ok], j[ok]
         sure = ~(known[i] & known[j])
         for c in range(0, len(i), COMPARED):
             x, y = i[c : c + COMPARED], j[c : c + COMPARED]
@@ -306,8 +344,8 @@ def sketched(texts: pa.Array) -> pa.Array:
 
 
 def across(own: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, na, nb of all pairs on a shingle that the filters admit and whose components differ."""
-    own = written(own, "apart")
+    """a, b, na, nb of all pairs on a shingle that the filters admit and whose components differ; parities of nodes are used where own has them (marks)."""
+    own = written(own if "marks" in own.columns else own.withColumn("marks", F.lit(None).cast("binary")), "apart")
     large = own.where(F.col("met") > LARGE)
     keys = written(nodes.select("sig", "key").join(large.select("sig").distinct(), "sig"), "keys")
     near = may_hold(docs.select("key", "text"), key_bits(keys)).where("held_").select("key", sketched("text").alias("few"))
@@ -319,7 +357,7 @@ def across(own: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     place = lambda cell, role: F.struct(cell.alias("cell"), F.lit(role).alias("role"))
     halves = F.concat(F.transform(every, lambda k: place(F.col("mine") * F.col("chunks") + k, 1)), F.transform(every, lambda k: place(k * F.col("chunks") + F.col("mine"), 0)))
     rows = narrow.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("place", F.explode(F.when(F.col("chunks") == 1, F.array(place(F.lit(0), 2))).otherwise(halves)))
-    dealt = rows.select("hash", "place.cell", "place.role", "sig", "n", "pos", "comp", "few").repartition("hash", "cell").sortWithinPartitions("hash", "cell")
+    dealt = rows.select("hash", "place.cell", "place.role", "sig", "n", "pos", "comp", "few", "marks").repartition("hash", "cell").sortWithinPartitions("hash", "cell")
 
     def run(batches):
         forget()
@@ -327,7 +365,7 @@ def across(own: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
         def pairs(rows: pa.Table) -> pa.RecordBatch:
             columns = [rows.column(k).to_numpy().astype(np.int64) for k in range(7)]
-            out = met_pairs(*columns, rows.column(7).to_pylist())
+            out = met_pairs(*columns, rows.column(7).to_pylist(), rows.column(8).to_pylist())
             return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32)), pa.array(out[:, 3].astype(np.int32))], ["a", "b", "na", "nb"])
 
         for b in batches:
@@ -362,6 +400,13 @@ def bins_in_common(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
+@F.arrow_udf(T.LongType())
+def bits_apart(left: pa.Array, right: pa.Array) -> pa.Array:
+    forget()
+    at = np.arange(len(left))
+    return pa.array(least_apart([*left.to_pylist(), *right.to_pylist()], at, at + len(left)))
+
+
 @F.arrow_udf(T.BooleanType())
 def linked(left: pa.Array, right: pa.Array) -> pa.Array:
     forget()
@@ -374,9 +419,9 @@ def linked(left: pa.Array, right: pa.Array) -> pa.Array:
 
 def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) that the suffix filter admits, with the keys of their texts and the bound of what they share."""
-    side = lambda s: nodes.select(F.col("sig").alias(s), F.col("bins").alias(f"bins_{s}"), F.col("key").alias(f"key_{s}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("bound", bins_in_common("bins_a", "bins_b"))
-    return rows.where(7 * F.col("bound") >= 3 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", "key_a", "key_b", "bound")
+    side = lambda s: nodes.select(F.col("sig").alias(s), F.col("marks").alias(f"marks_{s}"), F.col("key").alias(f"key_{s}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("least", bits_apart("marks_a", "marks_b"))
+    return rows.where("7 * least <= na + nb").withColumn("bound", F.expr("(na + nb - least) div 2")).select("a", "b", "na", "nb", "key_a", "key_b", "bound")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -438,9 +483,9 @@ def joined_by(pairs: DataFrame, docs: DataFrame, comps: DataFrame) -> DataFrame:
 def joined(docs: DataFrame) -> DataFrame:
     """key, doc_id, n, comp (null for empty sets) of every row of docs (key, doc_id, text)."""
     found = written(survey(docs), "shingles")
-    rows = found.where("sig is not null").select("key", "doc_id", "n", "sig", "bins")
+    rows = found.where("sig is not null").select("key", "doc_id", "n", "sig", "marks")
     frequent = found.where("hash is not null").groupBy("hash").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "hash").limit(FREQUENT)
-    nodes = rows.where("n > 0").groupBy("sig").agg(F.min_by("key", "key").alias("key"), F.min_by("bins", "key").alias("bins"))
+    nodes = rows.where("n > 0").groupBy("sig").agg(F.min_by("key", "key").alias("key"), F.min_by("marks", "key").alias("marks"))
 
     live = written(meetings(prefixes(docs, frequent)), "live")
 
@@ -456,7 +501,7 @@ def joined(docs: DataFrame) -> DataFrame:
     tried = first.select("a", "b").unionByName(some.select("a", "b"))
     comps = joined_by(some, docs, comps)
 
-    second = written(still_apart(bounded(across(apart(live, comps), nodes, docs).join(tried, ["a", "b"], "left_anti"), nodes), comps), "pairs")
+    second = written(still_apart(bounded(across(partnered(apart(live, comps)).join(nodes.select("sig", "marks"), "sig"), nodes, docs).join(tried, ["a", "b"], "left_anti"), nodes), comps), "pairs")
     best = written(second.withColumn("place", likeliest(["ca", "cb"])).where("place = 1"), "pairs")
     comps = joined_by(best, docs, comps)
     comps = joined_by(still_apart(second.join(best.select("a", "b"), ["a", "b"], "left_anti"), comps), docs, comps)

@@ -484,6 +484,56 @@ def test_histograms_bound_what_sets_share(spark):
         assert both <= r["bound"] <= max(2**60, 0) and (r["i"] != r["j"] or r["bound"] == both or r["bound"] > 2**50)
 
 
+def test_parities_bound_what_sets_do_not_share():
+    from ledgerline.llm import shingle_join as S
+
+    rng = np.random.default_rng(8)
+    every = rng.integers(0, 1 << 64, 90_000, dtype=np.uint64)
+    sets = [np.unique(every[a:b]) for a, b in ((0, 1), (0, 64), (0, 100), (10, 110), (50, 500), (0, 600), (80, 600), (1000, 90_000))]
+    marks = [S.parities(s) for s in sets]
+    assert [8 * len(x) for x in marks] == [64, 64, 128, 128, 512, 1024, 1024, S.LONGEST]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(8), np.arange(8)))
+    for a, b, least in zip(i, j, S.least_apart(marks, i, j).tolist(), strict=True):
+        apart = len(np.setxor1d(sets[a], sets[b]))
+        assert least <= apart and (apart - least) % 2 == 0 and (a != b or least == 0)
+    assert S.least_apart([marks[2], None], np.array([0, 1]), np.array([1, 0])).tolist() == [0, 0]
+
+
+def test_pairs_of_small_groups_that_cannot_be_links_stay_in_their_task(spark):
+    from ledgerline.llm import shingle_join as S
+
+    random.seed(16)
+    common = [f"c{i}" for i in range(5)]
+    own = [(i, " ".join([*common, *(f"{random.randrange(10**9)}" for _ in range(60))])) for i in range(40)]
+    own.append((40, own[0][1].rsplit(" ", 1)[0] + " y"))
+    docs = S.keyed(spark.createDataFrame(own, SCHEMA))
+    sets = {S.signature(s): s for s in S.shingle_sets(pa.array([t for _, t in own]))}
+    shared = int(np.array([min(set.intersection(*(set(s.tolist()) for s in sets.values())))], np.uint64).view(np.int64)[0])
+    live = spark.createDataFrame([(shared, sig, len(s), 0) for sig, s in sets.items()], "hash long, sig long, n int, pos int")
+    nodes = S.survey(docs).where("n > 0").select("sig", "key", "marks")
+    met = S.apart(live, spark.createDataFrame([], "sig long, comp long"))
+    got = S.across(met.join(nodes.select("sig", "marks"), "sig"), nodes, docs).collect()
+    first, last = (S.signature(S.shingle_sets(pa.array([own[k][1]]))[0]) for k in (0, 40))
+    assert [{r["a"], r["b"]} for r in got] == [{first, last}]
+    assert as_key(map(tuple, S.shingle_join(docs).collect())) == as_key(brute_components(own))
+
+
+def test_rows_without_a_partner_stay_behind_and_no_pair_is_lost(spark):
+    from ledgerline.llm import shingle_join as S
+
+    rng = np.random.default_rng(17)
+    rows = [(h, 1000 * h + k, int(n := rng.integers(8, 60)), int(rng.integers(0, S.prefix_length(int(n)))), 1000 * h + k) for h in range(150) for k in range(1 + h % 6)]
+    columns = ["hash", "sig", "n", "pos", "comp"]
+    left = {tuple(r) for r in S.partnered(spark.createDataFrame(rows, "hash long, sig long, n int, pos int, comp long")).select(columns).collect()}
+
+    def pairs(own):
+        hashes, sig, n, pos, comp = (np.array(x, np.int64) for x in zip(*own, strict=True))
+        return S.met_pairs(hashes, np.zeros(len(own), np.int64), np.full(len(own), 2), sig, n, pos, comp, [None] * len(own), [None] * len(own)).tolist()
+
+    want = pairs(rows)
+    assert want and pairs(sorted(left)) == want and len(left) < 0.7 * len(rows)
+
+
 def test_frequent_shingles_come_last():
     from ledgerline.llm.shingle_join import needed, prefix_length, rare_first
 
