@@ -332,6 +332,22 @@ def test_repeats_of_production_size(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_runs_that_a_text_repeats_are_one_row(spark):
+    from ledgerline.llm.repeats import runs, without_repeats
+
+    texts = ["Is onhe. " * 3000, "head " + "Is onhe. " * 2000 + "tail", "z" * 20_000]
+    rows = runs(spark.createDataFrame(list(enumerate(texts)), "key long, text string"))
+    assert rows.count() < 60 and rows.where("reach > windows").select("key").distinct().count() == 3
+
+    random.seed(5)
+    word = lambda n: "".join(random.choices("abé ", k=n))
+    own = [(i, word(random.randint(0, 20)) + random.choice(["ab ", "é", "abé ab ", word(9)]) * random.randint(0, 30) + word(random.randint(0, 20))) for i in range(80)]
+    own += [(200, ("ab " * 9 + word(30)) * 3), (201, "xy" * 12), (202, "qrs" * 7 + "!"), (202, "qrs" * 7 + "!"), (203, "0123456789ab" * 2)]
+    for size, span in ((12, 5), (12, 12), (10, 1)):
+        out = without_repeats(spark.createDataFrame(own, SCHEMA), size, span)
+        assert as_key(map(tuple, out.drop("kept").collect())) == as_key(brute_repeats(own, size))
+
+
 # ---- shingle join
 
 
