@@ -145,3 +145,20 @@ def test_labels_are_masked_and_checked(spark):
     df = spark.createDataFrame([(i, json.dumps(c[0])) for i, c in enumerate(cases)], "n long, t string").withColumn("v", F.parse_json("t"))
     rows = df.select("n", L.preference_errors(F.col("v"), ["life"]).alias("e"), L.preferred_side(F.try_variant_get("v", "$.preferred", "variant")).alias("p")).orderBy("n").collect()
     assert [(r["e"], r["p"]) for r in rows] == [c[1:] for c in cases]
+
+
+def test_long_decks_are_unrolled_in_time(spark):
+    import time
+
+    from ledgerline.operators.examples import selections
+
+    random.seed(5)
+    pool = [random.randrange(45) for _ in range(90)]
+    deck = [99, *random.sample(pool, 60), 99]
+    nothing = {k: None for k in ("cards", "picked", "offered", "side", "chosen")}
+    schema = "n long, kind string, source string, draft string, match string, pack long, pick long, cards array<long>, picked array<long>, pool array<long>, deck array<long>, offered array<long>, side array<long>, chosen array<long>"
+    rows = spark.createDataFrame([{"n": n, "kind": "deckBuild", "source": "s", "draft": "d", "match": None, "pack": 1, "pick": 2, "pool": pool, "deck": deck, **nothing} for n in range(4)], schema)
+    began = time.time()
+    got = selections(rows, ["n"]).orderBy("n", "step").collect()
+    assert time.time() - began < 30
+    assert [(r["context"], r["candidates"], r["positives"]) for r in got] == unrolled(pool, deck) * 4
