@@ -5,9 +5,13 @@ import json
 import math
 import re
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_events_carry_match_and_game(spark):
     from ledgerline.operators.log_events import normalize_stream
@@ -182,3 +186,27 @@ def test_ontologies_are_checked(spark, tmp_path):
     for name in ("old", "twice", "none"):
         with pytest.raises(Exception, match="ontology|factors"):
             read(name)
+
+
+def moved(df):
+    """Columns that enter each exchange of a plan."""
+    import re
+
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [re.findall(r"(\w+)#", x) for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+def test_options_of_decisions_move_once(spark):
+    from ledgerline.plans.views import decisions
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        columns = moved(decisions(spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert columns and not [c for c in columns if {"l_tax", "score_b", "option"} & set(c)]
+    rows = {r["decision"]: r for r in decisions(spark, SF).collect()}
+    assert all([o["index"] for o in r["select"]["option"]] == list(range(len(r["select"]["option"]))) for r in rows.values())
+    last = [r for r in rows.values() if r["terminal"]]
+    assert len(last) == len({r["gameId"] for r in rows.values()}) and all(r["sequenceNumber"] == max(x["sequenceNumber"] for x in rows.values() if x["gameId"] == r["gameId"]) for r in last)
