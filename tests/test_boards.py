@@ -210,3 +210,15 @@ def test_options_of_decisions_move_once(spark):
     assert all([o["index"] for o in r["select"]["option"]] == list(range(len(r["select"]["option"]))) for r in rows.values())
     last = [r for r in rows.values() if r["terminal"]]
     assert len(last) == len({r["gameId"] for r in rows.values()}) and all(r["sequenceNumber"] == max(x["sequenceNumber"] for x in rows.values() if x["gameId"] == r["gameId"]) for r in last)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+def test_causal_deltas_move_what_they_read(spark):
+    from ledgerline.operators import boards as B
+    from ledgerline.plans.board_queries import boards
+
+    own = F.col("state")
+    rows = boards(spark, SF).limit(50).select(B.causal_deltas(own, own.withField("turn_number", F.lit(9)), F.lit("0"), F.lit(True)).alias("whole"), B.causal_parts(own).alias("p"))
+    rows = rows.select("whole", B.causal_deltas(F.col("p"), F.col("p").withField("turn_number", F.lit(9)), F.lit("0"), F.lit(True)).alias("parts")).collect()
+    assert rows and all(r["whole"] == r["parts"] for r in rows) and len(B.causal_parts.__doc__) > 0
+    assert set(boards(spark, SF).select(B.causal_parts(own)["objects"][0].alias("o")).schema["o"].dataType.names) == {"zone", "power", "toughness", "tapped"}
