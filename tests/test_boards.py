@@ -222,3 +222,10 @@ def test_causal_deltas_move_what_they_read(spark):
     rows = rows.select("whole", B.causal_deltas(F.col("p"), F.col("p").withField("turn_number", F.lit(9)), F.lit("0"), F.lit(True)).alias("parts")).collect()
     assert rows and all(r["whole"] == r["parts"] for r in rows) and len(B.causal_parts.__doc__) > 0
     assert set(boards(spark, SF).select(B.causal_parts(own)["objects"][0].alias("o")).schema["o"].dataType.names) == {"zone", "power", "toughness", "tapped"}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+def test_state_rows_move_no_states(spark):
+    from ledgerline.plans.registry import QUERIES
+
+    assert not [c for c in moved(QUERIES["state_rows"](spark, SF)) if {"state", "raw", "option"} & set(c)]
