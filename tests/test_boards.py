@@ -226,6 +226,14 @@ def test_causal_deltas_move_what_they_read(spark):
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
 def test_state_rows_move_no_states(spark):
-    from ledgerline.plans.registry import QUERIES
+    from ledgerline.plans.board_queries import state_rows
 
-    assert not [c for c in moved(QUERIES["state_rows"](spark, SF)) if {"state", "raw", "option"} & set(c)]
+    assert not [c for c in moved(state_rows(spark, SF)) if {"state", "raw", "option"} & set(c)]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+def test_states_are_written_compressed(spark):
+    from ledgerline.plans.board_queries import read_canonical_states
+
+    written = read_canonical_states(spark, SF).inputFiles()
+    assert written and all(f.endswith(".gz") for f in written)
