@@ -111,14 +111,14 @@ def pool(df: DataFrame, keys: list[str], order: list, item: str, name: str = "po
 
 
 def consensus(df: DataFrame, keys: list[str], order: list, value: str, score: str, n: int = 5) -> DataFrame:
-    """Over the last n rows with a value: the value of the greatest summed score, then count, then least value; confidence .55 mean score + .45 share."""
+    """Over the last n rows with a value: the value of the greatest summed score (to six places, since the order of a sum leaves more open), then count, then least value; confidence .55 mean score + .45 share."""
     w = within(keys, order).rowsBetween(1 - n, 0)
     rows = df.where(F.col(value).isNotNull()).withColumn("last_", F.collect_list(F.struct(F.col(value).alias("v"), F.col(score).alias("s"))).over(w))
 
     def judged(v):
         own = F.filter("last_", lambda r: r["v"] == v)
         total = F.aggregate(own, F.lit(0.0), lambda a, r: a + r["s"])
-        return F.struct(total.alias("total"), F.size(own).alias("n"), (-v).alias("less"), v.alias("v"))
+        return F.struct(F.round(total, 6).alias("rounded"), F.size(own).alias("n"), (-v).alias("less"), v.alias("v"), total.alias("total"))
 
     best = F.array_max(F.transform(F.array_distinct(F.transform("last_", lambda r: r["v"])), judged))
     rows = rows.withColumn("best_", best)

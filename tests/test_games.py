@@ -157,3 +157,14 @@ def test_waiting_prompts_are_bounded_and_leave_no_state(spark, tmp_path):
     left = run_stream(spark, folder, ends, Pending)
     assert found(spark.read.parquet(f"{folder}/out")) == want
     assert left == 0
+
+
+def test_consensus_takes_equal_sums_as_equal(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators.sequences import consensus
+
+    # 10.1 + 20.2 is 30.299999999999997: as great as 30.3, and of two rows.
+    rows = spark.createDataFrame([("g", 0, 1, 10.1), ("g", 1, 1, 20.2), ("g", 2, 0, 30.3)], "game string, seq long, v long, s double")
+    last = consensus(rows, ["game"], ["seq"], "v", "s").orderBy(F.desc("seq")).first()
+    assert last["agreed"] == 1 and abs(last["confidence"] - (0.55 * 30.3 / 2 + 0.45 * 2 / 3)) < 1e-9
