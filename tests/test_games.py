@@ -168,3 +168,14 @@ def test_consensus_takes_equal_sums_as_equal(spark):
     rows = spark.createDataFrame([("g", 0, 1, 10.1), ("g", 1, 1, 20.2), ("g", 2, 0, 30.3)], "game string, seq long, v long, s double")
     last = consensus(rows, ["game"], ["seq"], "v", "s").orderBy(F.desc("seq")).first()
     assert last["agreed"] == 1 and abs(last["confidence"] - (0.55 * 30.3 / 2 + 0.45 * 2 / 3)) < 1e-9
+
+
+def test_positions_at_every_level_are_not_broadcast(spark):
+    from ledgerline.operators.snapshots import holding
+
+    held = spark.createDataFrame([("m", "zone", 1, 0, 4, "a"), ("m", "zone", 1, 4, None, "b")], "match string, kind string, id long, start long, stop long, record string")
+    asked = spark.createDataFrame([("m", 3), ("m", 9)], "match string, position long")
+    now = holding(held, asked)
+    assert "Broadcast" not in now._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["position"], r["record"]) for r in now.collect()) == [(3, "a"), (9, "b")]
+    assert "Broadcast" not in now._jdf.queryExecution().executedPlan().toString()
