@@ -13,7 +13,8 @@ The offset of a file is how far it has been given, with the length and checksum
 file that is shorter than that, or begins otherwise, has been started anew and is read from its beginning.  What was
 cut off before it was given is lost, as it is for any reader.  Files are reached through pyarrow's file systems, so any
 folder that driver and executors share will do.  A range of over ``split`` bytes is several tasks: each gives the
-entries that begin in its part.
+entries that begin in its part.  Short ranges share a task, up to ``split`` bytes and ``FILES`` of them, and the driver
+looks at several files at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ import re
 import time
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ledgerline.workers import carried
@@ -34,15 +37,58 @@ carried(__name__)
 HEADER = r"\[(?:UnityCrossThreadLogger|Client GRE)\]"
 #: Bytes at the start of a file that tell it from others, of a block that is searched for headers, and of a task.
 HEAD, BLOCK, SPLIT = 256, 1 << 16, 1 << 26
+#: Ranges that share a task at most, and files that the driver looks at at a time.
+FILES, THREADS = 256, 16
 
 
-class Range(InputPartition):
+class Range:
     """Entries of a file that begin from ``low`` (there one begins, if ``first``) to ``high``; nothing is read from ``end`` on."""
 
     def __init__(self, file: str, low: int, high: int, end: int, first: bool, head: list[int]):
         self.file, self.low, self.high, self.end, self.first, self.head = file, low, high, end, first, head
 
 
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+def write_logs(rows: DataFrame, path: str, log: str, order: str, value: str, name: str) -> None:
+    """A file ``name`` in a folder log=.. for each log, of its rows' values as lines in their order; a file is there once it is whole.
+
+    A writer that moves each file from a task's folder to a job's and on to its place would take most of the time of short logs.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path)
+        own, out, n = None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                system.move(f"{folder}/{own}/{name}.part", f"{folder}/{own}/{name}")
+
+        for batch in batches:
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                now = f"log={'__HIVE_DEFAULT_PARTITION__' if key is None else key}"
+                if now != own:
+                    close()
+                    own, n = now, n + 1
+                    system.create_dir(f"{folder}/{own}", recursive=True)
+                    out = system.open_output_stream(f"{folder}/{own}/{name}.part")
+                out.write((line or "").encode() + b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    dealt = rows.repartition(log).sortWithinPartitions(log, order).select(log, value)
+    dealt.mapInArrow(run, "n long").write.format("noop").mode("append").save()
+
+
 class LogTail(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -72,19 +118,26 @@ class TailReader(DataSourceStreamReader):
         return system, [f for f in found if f.type == fs.FileType.File and f.path.endswith(self.suffix)]
 
     @staticmethod
-    def bytes_of(system, file: str, low: int, high: int) -> bytes:
-        with system.open_input_file(file) as f:
-            f.seek(low)
-            return f.read(max(0, high - low))
+    def each(look, items: list) -> list:
+        """look(item) of all items, several at a time."""
+        if len(items) < 2:
+            return [look(x) for x in items]
+        with ThreadPoolExecutor(THREADS) as pool:
+            return list(pool.map(look, items))
+
+    @staticmethod
+    def bytes_of(f, low: int, high: int) -> bytes:
+        f.seek(low)
+        return f.read(max(0, high - low))
 
-    def complete(self, system, info) -> int:
-        """Where the last entry of a file begins."""
+    def complete(self, f, size: int) -> int:
+        """Where the last entry of an open file begins."""
         last = re.compile(rb"(?:^|(?<=\n))" + self.header.pattern)
-        high, rest = info.size, b""
+        high, rest = size, b""
         while high > 0:
             low = max(0, high - BLOCK)
             # One byte more tells whether a line begins at the block; what was read before lets headers lie across blocks.
-            block = self.bytes_of(system, info.path, max(0, low - 1), high) + rest[: 1 << 12]
+            block = self.bytes_of(f, max(0, low - 1), high) + rest[: 1 << 12]
             shift = max(0, low - 1)
             places = [shift + m.start() for m in last.finditer(block) if shift + m.start() >= low and (shift + m.start() == 0 or m.start() > 0)]
             if places:
@@ -92,9 +145,9 @@ class TailReader(DataSourceStreamReader):
             high, rest = low, block[low - shift :]
         return 0
 
-    def head(self, system, file: str, size: int) -> list[int]:
+    def head(self, f, size: int) -> list[int]:
         n = min(HEAD, size)
-        return [n, zlib.crc32(self.bytes_of(system, file, 0, n))]
+        return [n, zlib.crc32(self.bytes_of(f, 0, n))]
 
     # ---- offsets
 
@@ -103,24 +156,40 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:  # noqa: N802
         system, infos = self.files()
-        out = {}
-        for f in infos:
-            quiet = f.mtime_ns is not None and time.time() - f.mtime_ns / 1e9 >= self.idle
-            out[f.path] = {"at": f.size if quiet else self.complete(system, f), "quiet": quiet, "size": f.size, "head": self.head(system, f.path, f.size)}
-        return out
+
+        def look(info) -> dict:
+            quiet = info.mtime_ns is not None and time.time() - info.mtime_ns / 1e9 >= self.idle
+            with system.open_input_file(info.path) as f:
+                return {"at": info.size if quiet else self.complete(f, info.size), "quiet": quiet, "size": info.size, "head": self.head(f, info.size)}
+
+        return dict(zip((f.path for f in infos), self.each(look, infos), strict=True))
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        system, _ = self.files()
-        found, marks = [], self.marks()
-        for file, now in sorted(end.items()):
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.path)
+        marks = self.marks()
+
+        def given(item: tuple[str, dict]) -> int:
+            file, now = item
             low = 0
             for was in filter(None, (start.get(file), marks.get(file))):
                 # The same file, if it begins with the bytes that it began with and is no shorter than what was given.
-                if now["size"] >= max(was["at"], was["head"][0]) and self.begins_with(system, file, was["head"]):
-                    low = max(low, was["at"])
+                if was["at"] > low and now["size"] >= max(was["at"], was["head"][0]) and self.begins_with(system, file, was["head"]):
+                    low = was["at"]
+            return low
+
+        items = sorted(end.items())
+        tasks, held, total = [], [], 0
+        for (file, now), low in zip(items, self.each(given, items), strict=True):
             for at in range(low, now["at"], self.split):
-                found.append(Range(file, at, min(at + self.split, now["at"]), now["at"], at == low, now["head"]))
-        return found
+                one = Range(file, at, min(at + self.split, now["at"]), now["at"], at == low, now["head"])
+                if held and (total + one.high - one.low > self.split or len(held) == FILES):
+                    tasks.append(Ranges(held))
+                    held, total = [], 0
+                held.append(one)
+                total += one.high - one.low
+        return [*tasks, Ranges(held)] if held else tasks
 
     def commit(self, end: dict) -> None:
         """Remember how far quiet files were given: called with every batch's end before the next batch is planned."""
@@ -142,20 +211,26 @@ class TailReader(DataSourceStreamReader):
         system, folder = fs.FileSystem.from_uri(self.memory)
         if system.get_file_info(f"{folder}/marks").type == fs.FileType.NotFound:
             return {}
-        return json.loads(self.bytes_of(system, f"{folder}/marks", 0, system.get_file_info(f"{folder}/marks").size))
+        with system.open_input_file(f"{folder}/marks") as f:
+            return json.loads(f.read())
 
     def begins_with(self, system, file: str, head: list[int]) -> bool:
         try:
-            return zlib.crc32(self.bytes_of(system, file, 0, head[0])) == head[1]
+            with system.open_input_file(file) as f:
+                return zlib.crc32(self.bytes_of(f, 0, head[0])) == head[1]
         except OSError:
             return False
 
     # ---- rows
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Ranges) -> Iterator[tuple]:
         from pyarrow import fs
 
         system, _ = fs.FileSystem.from_uri(self.path)
+        for one in partition.ranges:
+            yield from self.entries(system, one)
+
+    def entries(self, system, partition: Range) -> Iterator[tuple]:
         if not self.begins_with(system, partition.file, partition.head):
             return  # started anew since the offset was taken
         with system.open_input_file(partition.file) as raw:

@@ -127,3 +127,24 @@ def test_table_function_gives_what_the_columns_give(spark):
     plain = lambda d: sorted((r["entry"], r["part"], r["type"], r["message_type"] or "", json.dumps(json.loads(r["body"]), sort_keys=True)) for r in d.collect())
     got = plain(log_events(df))
     assert got == plain(want) and len(got) > 15
+
+
+def test_short_logs_share_tasks(tmp_path):
+    from ledgerline.sources.tail import FILES, TailReader
+
+    for i in range(2 * FILES + 1):
+        (tmp_path / f"{i:04}.log").write_bytes(b"[Log]1\none\n[Log]2\n")
+    reader = TailReader({"path": str(tmp_path), "header": r"\[Log\]\d+"})
+    tasks = reader.partitions({}, reader.latestOffset())
+    assert [len(t.ranges) for t in tasks] == [FILES, FILES, 1]
+    assert [row[1:] for t in tasks for row in reader.read(t)] == [(0, "[Log]1", "one")] * (2 * FILES + 1)
+
+
+def test_logs_are_written_whole_and_in_order(spark, tmp_path):
+    from ledgerline.sources.tail import write_logs
+
+    rows = [(k, i, None if i == 3 else f"{k} {i}\nx") for i in (2, 0, 3, 1) for k in ("a", "b", None)]
+    write_logs(spark.createDataFrame(rows, "log string, at long, value string"), str(tmp_path), "log", "at", "value", "x.txt")
+    found = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    text = lambda k: "".join(f"{k} {i}\nx\n" for i in range(3)) + "\n"
+    assert found == {"log=a/x.txt": text("a"), "log=b/x.txt": text("b"), "log=__HIVE_DEFAULT_PARTITION__/x.txt": text(None)}
