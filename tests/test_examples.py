@@ -162,3 +162,10 @@ def test_long_decks_are_unrolled_in_time(spark):
     got = selections(rows, ["n"]).orderBy("n", "step").collect()
     assert time.time() - began < 30
     assert [(r["context"], r["candidates"], r["positives"]) for r in got] == unrolled(pool, deck) * 4
+
+
+def test_preferences_are_parsed_once(spark):
+    from ledgerline.plans.example_queries import check_preferences
+
+    plan = check_preferences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") == 1
